@@ -322,7 +322,9 @@ def _unordered_matches(hits: DataFrame, number: int, rule: Rule) -> DataFrame:
     return matches
 
 
-def _deduplicate(matches: DataFrame) -> DataFrame:
+def deduplicate(matches: DataFrame) -> DataFrame:
+    """One row per rule, group and tuple of event ids."""
+
     return matches.groupBy("rule_no", "group_key", "event_ids").agg(
         F.min_by(F.struct("first_us", "last_us", "suppression"), "first_us").alias("m")
     ).select(
@@ -421,10 +423,10 @@ def evaluate_rules(
         matches = matches.unionByName(other)
     unique = [i for i, r in enumerate(rules) if r.deduplicate]
     if len(unique) == len(rules):
-        matches = _deduplicate(matches)
+        matches = deduplicate(matches)
     elif unique:
         kept = F.col("rule_no").isin(unique)
-        matches = _deduplicate(matches.filter(kept)).unionByName(matches.filter(~kept))
+        matches = deduplicate(matches.filter(kept)).unionByName(matches.filter(~kept))
     matches = suppress(matches, rules)
 
     def constant(values):

@@ -1,5 +1,6 @@
 """Cutting lineage on shared storage, and the size checks behind plan choices."""
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -49,3 +50,25 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+_WRITTEN: dict = {}
+
+
+def written_table(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """A derived table written once per application to the shared folder, then scanned.
+
+    Later queries read only the columns and rows they need from Parquet, and
+    their plans start at a scan instead of at the whole derivation.
+    """
+
+    context = spark.sparkContext
+    key = (context.applicationId, name, source)
+    if key not in _WRITTEN:
+        _ensure_checkpoint_dir(spark)
+        folder = context._jsc.sc().getCheckpointDir().get()
+        digest = hashlib.sha256(source.encode()).hexdigest()[:12]
+        path = f"{folder}/tables/{name}-{digest}"
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])

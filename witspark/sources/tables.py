@@ -15,6 +15,8 @@ from witspark import schema as S
 from witspark.functions.digest import sorted_json
 from witspark.functions.times import canonical_ts
 from witspark.operators.ordered import in_order
+from witspark.operators.project import evidence_columns
+from witspark.plans.lineage import written_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +106,10 @@ CHECK_BASE = (
 
 
 def check_events() -> str:
-    """The event table as a CTE list for the checking engine: `ev`, and `evc` with causality."""
+    """The event table as a CTE list for the checking engine.
+
+    `ev` holds the mapped rows, `evc` adds causality, `evp` the evidence columns.
+    """
 
     def layer(columns, source, keep):
         shown = ", ".join(
@@ -120,7 +125,11 @@ def check_events() -> str:
         " evc AS (SELECT ev.*,"
         f" row_number() OVER ({order}) - 1 AS sequence,"
         f" lag(event_id) OVER ({order}) AS parent_event_id,"
-        f" first_value(event_id) OVER ({order}) AS root_event_id FROM ev)"
+        f" first_value(event_id) OVER ({order}) AS root_event_id FROM ev),"
+        " evp AS (SELECT evc.*,"
+        " CASE WHEN has_link THEN nullif(link_status, '') ELSE nullif(top_status, '') END AS status,"
+        " coalesce(nullif(link_status, ''), nullif(top_status, '')) AS status_b,"
+        " nullif(link_subject, '') AS subject, nullif(link_evidence, '') AS evidence FROM evc)"
     )
 
 
@@ -212,11 +221,7 @@ def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
-def flat_events(
-    spark: SparkSession, sf_dir: str, *, causality: bool = False, payload: bool = True
-) -> DataFrame:
-    """The flat event table: envelope columns, and the payload as text and VARIANT."""
-
+def _build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mapped_events(spark, sf_dir).select(
         "*",
         F.lit(S.SPEC_VERSION).alias("spec_version"),
@@ -226,15 +231,34 @@ def flat_events(
         F.lit("1").alias("source_version"),
         F.lit(None).cast("string").alias("span_id"),
         F.lit(None).cast("string").alias("session_id"),
+        payload_json().alias("payload"),
     )
-    if causality:
-        df = with_causality(df)
+    return with_causality(df)
+
+
+def flat_events(spark: SparkSession, sf_dir: str, *, payload: bool = True) -> DataFrame:
+    """The flat event table: envelope columns, causality, and the payload as JSON text.
+
+    With `payload` the text is also given as VARIANT, `payload_v`.
+    """
+
+    df = written_table(spark, "events", sf_dir, lambda: _build_events(spark, sf_dir))
     if payload:
-        df = df.withColumn("payload", payload_json())
         df = df.withColumn("payload_v", F.try_parse_json("payload"))
     return df
 
 
+def evidence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table with its evidence columns materialised."""
+
+    return written_table(
+        spark,
+        "evidence",
+        sf_dir,
+        lambda: evidence_columns(flat_events(spark, sf_dir)).drop("payload_v"),
+    )
+
+
 def with_causality(df: DataFrame) -> DataFrame:
     numbered = in_order(
         df,
