@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NODE_FIELDS = [
@@ -144,8 +145,6 @@ def walk_json(df: DataFrame, ids: list[str], json_col: str) -> DataFrame:
 def canonical_json(col: Column) -> Column:
     """Text with sorted keys, no spaces and kept Unicode; null for invalid JSON."""
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def canonical(texts: pd.Series) -> pd.Series:
         def one(text):

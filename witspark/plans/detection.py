@@ -47,8 +47,8 @@ def sequence_sql(rules, suppression=None) -> str:
         + f""", o AS (SELECT *, row_number() OVER (PARTITION BY rule_id, g ORDER BY done_first) AS mn FROM m),
     u AS (SELECT rule_id, g, mn, ids, true AS kept, done_first AS last_at FROM o WHERE mn = 1
     UNION ALL SELECT o.rule_id, o.g, o.mn, o.ids,
-      epoch_us(o.done_first) - epoch_us(u.last_at) > {suppression} * 1000000,
-      CASE WHEN epoch_us(o.done_first) - epoch_us(u.last_at) > {suppression} * 1000000
+      epoch_us(o.done_first) - epoch_us(u.last_at) > {suppression * 1_000_000},
+      CASE WHEN epoch_us(o.done_first) - epoch_us(u.last_at) > {suppression * 1_000_000}
         THEN o.done_first ELSE u.last_at END
       FROM u JOIN o ON o.rule_id = u.rule_id AND o.g = u.g AND o.mn = u.mn + 1)
     SELECT rule_id, g AS grp, ids FROM u WHERE kept"""
@@ -194,7 +194,7 @@ def seq_within(spark, sf_dir):
       FROM s GROUP BY trace_id)
     SELECT 'any_order' AS rule_id, trace_id AS grp, a || ',' || b || ',' || c AS ids FROM p
     WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL
-    AND epoch_us(hi) - epoch_us(lo) <= 864000 * 1000000""",
+    AND epoch_us(hi) - epoch_us(lo) <= 864000000000""",
 )
 def seq_unordered(spark, sf_dir):
     rule = Rule(
