@@ -110,9 +110,8 @@ def parse_events(df: DataFrame, col: str = "line") -> DataFrame:
             columns["root_event_id"],
         ),
     )
-    return df.select(
-        "*", *[c.alias(n) for n, c in columns.items()], first.alias("error")
-    ).drop("__v")
+    kept = [c for c in df.columns if c not in columns and c not in ("__v", "error")]
+    return df.select(*kept, *[c.alias(n) for n, c in columns.items()], first.alias("error"))
 
 
 def check_causality(df: DataFrame) -> DataFrame:
