@@ -127,7 +127,7 @@ def record_fingerprint(df: DataFrame, context: dict[str, Column]) -> DataFrame:
         return F.concat(F.lit(f'"{name}":'), text)
 
     def quoted(col):
-        return F.concat(F.lit('"'), F.col(col), F.lit('"'))
+        return F.regexp_extract(F.to_json(F.array(col)), r"(?s)^\[(.*)\]$", 1)
 
     text = F.concat(
         F.lit("{"),
@@ -384,8 +384,8 @@ def approval_claims(df: DataFrame) -> DataFrame:
     joined = df.join(taken, "nonce", "left")
     used = F.coalesce(F.col("attempt") > F.col("taken_at"), F.lit(False))
     accepted = ~used & F.col("valid")
-    return joined.drop("taken_at").select(
-        "*",
+    return joined.select(
+        *df.columns,
         F.when(accepted, "accepted").otherwise("rejected").alias("status"),
         F.when(used, "approval nonce was already used")
         .when(accepted, "approval accepted")
