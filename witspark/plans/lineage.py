@@ -55,6 +55,13 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 _WRITTEN: dict = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, on storage that all executors share."""
+
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def written_table(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     """A derived table written once per application to the shared folder, then scanned.
 
@@ -65,8 +72,7 @@ def written_table(spark: SparkSession, name: str, source: str, build) -> DataFra
     context = spark.sparkContext
     key = (context.applicationId, name, source)
     if key not in _WRITTEN:
-        _ensure_checkpoint_dir(spark)
-        folder = context._jsc.sc().getCheckpointDir().get()
+        folder = shared_folder(spark)
         digest = hashlib.sha256(source.encode()).hexdigest()[:12]
         path = f"{folder}/tables/{name}-{digest}"
         build().write.mode("overwrite").parquet(path)
