@@ -39,8 +39,7 @@ def kind_of(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), r"^([A-Z]+)", 1)
 
 
-def is_number(value: Column) -> Column:
-    return kind_of(value).isin("BIGINT", "DOUBLE", "DECIMAL")
+NUMBERS = ("BIGINT", "DOUBLE", "DECIMAL")
 
 
 def text_at(value: Column, path: str) -> Column:
@@ -59,7 +58,8 @@ class Resolver:
     """
 
     def __init__(self, payload: str = "payload_v", columns: dict | None = None):
-        self.payload = F.col(payload)
+        self.payload_name = payload
+        self.looked_up: dict = {}
         self.columns = ENVELOPE_COLUMNS if columns is None else columns
 
     def envelope(self, path: str) -> Column | None:
@@ -67,19 +67,35 @@ class Resolver:
         return None if name is None else F.col(name)
 
     def inner(self, path: str) -> Column:
-        stripped = path.removeprefix("payload.")
-        return variant_at(self.payload, stripped)
+        if path in self.looked_up:
+            return F.col(self.looked_up[path][0])
+        return variant_at(F.col(self.payload_name), path.removeprefix("payload."))
+
+    def kind(self, path: str) -> Column:
+        if path in self.looked_up:
+            return F.col(self.looked_up[path][1])
+        return kind_of(self.inner(path))
+
+    def prepared(self, df, paths):
+        """`df` with each payload path looked up once, and a resolver over those columns."""
+
+        ready = Resolver(self.payload_name, self.columns)
+        added = []
+        for i, path in enumerate(sorted(set(paths))):
+            inner = self.inner(path)
+            added += [inner.alias(f"__v{i}"), kind_of(inner).alias(f"__k{i}")]
+            ready.looked_up[path] = (f"__v{i}", f"__k{i}")
+        return df.select("*", *added), ready
 
     def text(self, path: str) -> Column:
         """Value as text; falsy and missing values become the empty string."""
 
-        inner = self.inner(path)
-        kind = kind_of(inner)
+        inner, kind = self.inner(path), self.kind(path)
         shown = (
             F.when(kind == "STRING", F.try_variant_get(inner, "$", "string"))
             .when(kind == "BOOLEAN", F.when(F.try_variant_get(inner, "$", "boolean"), "True"))
             .when(
-                is_number(inner),
+                kind.isin(*NUMBERS),
                 F.when(F.try_variant_get(inner, "$", "double") != 0, F.to_json(inner)),
             )
             .otherwise(F.when(~F.to_json(inner).isin("[]", "{}"), F.to_json(inner)))

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from witspark.functions.payload import Resolver, is_number, kind_of
+from witspark.functions.payload import NUMBERS, Resolver
 
 # Operator names, in the order of precedence inside one predicate.
 OPERATORS = ("in", "exists", "prefix", "suffix", "regex", "not", "gt", "gte", "lt", "lte")
@@ -39,9 +39,9 @@ class _Value:
     def __init__(self, resolver: Resolver, path: str):
         inner = resolver.inner(path)
         column = resolver.envelope(path)
-        kind = kind_of(inner)
+        kind = resolver.kind(path)
         text = F.when(kind == "STRING", F.try_variant_get(inner, "$", "string"))
-        number = F.when(is_number(inner), F.try_variant_get(inner, "$", "double"))
+        number = F.when(kind.isin(*NUMBERS), F.try_variant_get(inner, "$", "double"))
         flag = F.when(kind == "BOOLEAN", F.try_variant_get(inner, "$", "boolean"))
         present = inner.isNotNull()
         if column is not None:

@@ -54,6 +54,9 @@ def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFr
 
     resolver = resolver or Resolver()
     types = sorted({stage.event_type for rule in rules for stage in rule.stages})
+    paths = [p for rule in rules for stage in rule.stages for p in stage.where]
+    paths += [p for rule in rules for p in rule.group_by + rule.suppression_key]
+    df, resolver = resolver.prepared(df.filter(F.col("event_type").isin(types)), paths)
     entries = []
     for number, rule in enumerate(rules):
         skey = [resolver.text(p) for p in rule.suppression_key]
@@ -65,7 +68,7 @@ def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFr
                 (F.to_json(F.array(*skey)) if skey else F.lit("")).alias("suppression"),
             )
         )
-    hits = df.filter(F.col("event_type").isin(types)).select(
+    hits = df.select(
         "event_id",
         F.unix_micros("occurred_at").alias("us"),
         "sequence",

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from witspark import schema as S
 from witspark.functions.digest import hmac_sha256, sha256_label, sorted_json
-from witspark.functions.jsonwalk import canonical_json
 from witspark.functions.times import canonical_ts
 from witspark.operators.redact import redact_json
 from witspark.operators.validate import parse_events
@@ -96,32 +95,6 @@ def append_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return assign_chain(ready), failed
 
 
-def _noncanonical(line: Column) -> Column:
-    """Whether a valid line differs from its canonical text.
-
-    Text that VARIANT prints back unchanged is canonical unless it holds
-    fractions or exponents, whose spelling VARIANT may change; only such lines
-    go through the Python form.
-    """
-
-    same = F.coalesce(F.to_json(F.try_parse_json(line)) == line, F.lit(False))
-    quick = same & ~line.rlike(r'(?:":|,|\[)-?[0-9]+[.eE]')
-    return ~quick & ~F.coalesce(canonical_json(F.when(~quick, line)) == line, F.lit(False))
-
-
-def _incomplete(line: Column) -> Column:
-    """Whether the canonical text lacks an optional envelope member."""
-
-    value = F.try_parse_json(line)
-    missing = F.lit(False)
-    for part, required, optional in S.ENVELOPE_PARTS:
-        inner = F.try_variant_get(value, f"$.{part}", "map<string,variant>")
-        size = len(required) + len(optional)
-        missing = missing | ~F.coalesce(F.size(inner) == size, F.lit(False))
-    whole = F.try_variant_get(value, "$", "map<string,variant>")
-    return missing | (F.size(whole) != len(S.ENVELOPE_FIELDS))
-
-
 def record_issues(df: DataFrame) -> DataFrame:
     """Every record with its first issue code (null if sound), expected and actual values."""
 
@@ -134,24 +107,12 @@ def record_issues(df: DataFrame) -> DataFrame:
     joined = records.join(before, ["journal_id", "record_number"], "left")
     line = F.col("line")
     computed = event_hash(line)
-    text = {
-        "occurred_at": F.get_json_object("line", "$.occurred_at"),
-        "observed_at": F.get_json_object("line", "$.observed_at"),
-    }
-    odd_time = (text["occurred_at"] != canonical_ts(F.col("occurred_at"))) | (
-        text["observed_at"] != canonical_ts(F.col("observed_at"))
-    )
     null = F.lit(None).cast("string")
     steps = [
         ("truncated_record", ~F.col("terminated"), null, null),
         ("empty_record", line == "", null, null),
         ("parse_error", F.col("error").isNotNull(), null, null),
-        (
-            "noncanonical_record",
-            _noncanonical(line) | _incomplete(line) | odd_time,
-            null,
-            null,
-        ),
+        ("noncanonical_record", ~F.coalesce("canonical", F.lit(False)), null, null),
         (
             "sequence_mismatch",
             F.col("sequence") != F.col("record_number") - 1,

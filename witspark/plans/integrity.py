@@ -8,7 +8,7 @@ from witspark.operators.project import project
 from witspark.operators.validate import parse_events
 from witspark.plans.lineage import written_table
 from witspark.plans.registry import query
-from witspark.sources.tables import conversation_events, event_line
+from witspark.sources.tables import conversation_events, event_line, flat_events
 
 AT_TEXT = "2025-01-01T00:00:00Z"
 KEY = b"anchor test key"
@@ -458,3 +458,27 @@ def case_bundle(spark, sf_dir):
     )
     digests = I.ordered_digest(df, ["journal_id"], "record_number", F.col("line"))
     return sizes.join(digests, "journal_id").withColumnRenamed("journal_id", "case_id")
+
+
+def event_journals(spark, sf_dir):
+    """Every run of `events` as a journal, chained once and kept on the shared folder."""
+
+    def build():
+        lines = event_line(flat_events(spark, sf_dir)).select(
+            F.col("run_id").alias("journal_id"), (F.col("sequence") + 1).alias("record_number"), "line"
+        )
+        return I.assign_chain(lines)
+
+    return written_table(spark, "event-journals", sf_dir, build).withColumn("terminated", F.lit(True))
+
+
+@query(
+    "int_chain_verify_events",
+    "WITH {EV} SELECT run_id AS journal_id, min_by(event_type, sequence) IN ('agent.intent.recorded',"
+    " 'agent.run.started', 'recorder.degraded') AS ok, CASE WHEN min_by(event_type, sequence) IN"
+    " ('agent.intent.recorded', 'agent.run.started', 'recorder.degraded') THEN count(*) ELSE 0 END AS records_verified"
+    " FROM evc GROUP BY run_id",
+)
+def chain_verify_events(spark, sf_dir):
+    """Runs that open with no documented root fail to parse at their first record."""
+    return I.verify_chain(event_journals(spark, sf_dir)).select("journal_id", "ok", "records_verified")

@@ -60,7 +60,7 @@ def capability_score(spark, sf_dir):
 
 
 @query(
-    "rpt_replayability",
+    "rpt_replayability_score",
     """WITH w AS (SELECT o_orderkey AS run_id, unnest(['1', '2', '3']) AS artifact FROM orders)
     SELECT run_id, artifact FROM w WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = run_id
     AND CAST(l_linenumber AS VARCHAR) = artifact)""",
