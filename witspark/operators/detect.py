@@ -242,13 +242,28 @@ def _chain(pieces) -> dict:
     return entries
 
 
-def _ordered_matches(hits: DataFrame, rules) -> DataFrame:
+def _may_be_hot(df: DataFrame, rules, resolver: Resolver) -> bool:
+    """Whether some group holds too many events of the rules' types for one task.
+
+    Counts groups by their key columns alone, without looking into predicates;
+    where this bound holds, the matching rows need no second look.
+    """
+
+    types = sorted({stage.event_type for rule in rules for stage in rule.stages})
+    typed = df.filter(F.col("event_type").isin(types))
+    return any(
+        has_hot_group(typed, [resolver.text(p).alias(f"k{i}") for i, p in enumerate(paths)])
+        for paths in sorted({rule.group_by for rule in rules})
+    )
+
+
+def _ordered_matches(hits: DataFrame, rules, may_be_hot: bool) -> DataFrame:
     plans = [
         (len(r.stages), None if r.within_seconds is None else round(r.within_seconds * 1e6))
         for r in rules
     ]
     keys, order = ["rule_no", "group_key"], ["us", "sequence", "event_id"]
-    if not has_hot_group(hits, keys):
+    if not (may_be_hot and has_hot_group(hits, keys)):
         spread = hits.repartition(*keys).sortWithinPartitions(*keys, *order)
         return spread.mapInArrow(_fold_partitions(plans), MATCH_SCHEMA)
     pieces = cut(hits.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
@@ -410,6 +425,7 @@ def evaluate_rules(
     """
 
     rules = [r for r in rules if r.stages and (rule_ids is None or r.rule_id in rule_ids)]
+    resolver = resolver or Resolver()
     hits = candidates(df, rules, resolver)
     ordered = [i for i, r in enumerate(rules) if r.ordered]
     found = []
@@ -418,6 +434,7 @@ def evaluate_rules(
             _ordered_matches(
                 hits if len(ordered) == len(rules) else hits.filter(F.col("rule_no").isin(ordered)),
                 rules,
+                _may_be_hot(df, [rules[i] for i in ordered], resolver),
             )
         )
     found += [_unordered_matches(hits, i, r) for i, r in enumerate(rules) if not r.ordered]
