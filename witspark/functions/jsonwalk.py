@@ -82,7 +82,7 @@ def _nodes(value):
             )
 
 
-def _walk_batches(json_index: int, id_schema, size: int = 8192):
+def _walk_batches(json_index: int, id_schema, keys, kinds, size: int = 8192):
     def run(batches):
         import pyarrow as pa
 
@@ -113,20 +113,29 @@ def _walk_batches(json_index: int, id_schema, size: int = 8192):
                 try:
                     found = _nodes(strict_loads(text))
                     for node in found:
+                        if keys is not None and node[2] not in keys:
+                            continue
+                        if kinds is not None and node[3] not in kinds:
+                            continue
                         buffer.append(ids + node)
                         if len(buffer) >= size:
                             yield flush()
                 except (ValueError, RecursionError):
-                    buffer.append(ids + ("$", 0, None, "invalid", None, None, False))
+                    if keys is None and (kinds is None or "invalid" in kinds):
+                        buffer.append(ids + ("$", 0, None, "invalid", None, None, False))
         if buffer:
             yield flush()
 
     return run
 
 
-def walk_json(df: DataFrame, ids: list[str], json_col: str) -> DataFrame:
+def walk_json(df: DataFrame, ids: list[str], json_col: str, *, keys=None, kinds=None) -> DataFrame:
     """One row per node of every JSON text: path, depth, key, kind, text, members.
 
+    `keys` and `kinds` keep only nodes under such keys and of such kinds. A
+    text that names none of the keys is dropped before it reaches Python; one
+    with an escape may spell a key differently and is always walked.
+
     `kind` is object, array, string, number, boolean, null, capture (a bounded
     capture marker, whose text is the list of its length, digest and scope) or
     invalid (the text is no valid JSON).
@@ -135,11 +144,25 @@ def walk_json(df: DataFrame, ids: list[str], json_col: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = df.select(*ids, json_col)
+    if keys is not None:
+        text = F.col(json_col)
+        named = F.contains(text, F.lit("\\"))
+        for key in keys:
+            named = named | F.contains(text, F.lit(f'"{key}"'))
+        source = source.filter(named)
     id_schema = [(f.name, to_arrow_type(f.dataType)) for f in source.schema.fields[: len(ids)]]
     fields = list(source.schema.fields[: len(ids)]) + [
         T.StructField(name, T._parse_datatype_string(kind)) for name, kind in NODE_FIELDS
     ]
-    return source.mapInArrow(_walk_batches(len(ids), id_schema), T.StructType(fields))
+    return source.mapInArrow(
+        _walk_batches(
+            len(ids),
+            id_schema,
+            None if keys is None else frozenset(keys),
+            None if kinds is None else frozenset(kinds),
+        ),
+        T.StructType(fields),
+    )
 
 
 def canonical_json(col: Column) -> Column:

