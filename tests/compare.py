@@ -66,6 +66,7 @@ def main():
     parser = argparse.ArgumentParser()
     parser.add_argument("prefix", nargs="*")
     parser.add_argument("--sf", default="0.01")
+    parser.add_argument("--hot", help="rows above which a group counts as hot")
     args = parser.parse_args()
     from pyspark.sql import SparkSession
 
@@ -79,6 +80,8 @@ def main():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
+    if args.hot:
+        spark.conf.set("witspark.hotRows", args.hot)
     sf_dir = f"/root/testdata/sf{args.sf}"
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()

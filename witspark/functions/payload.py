@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from witspark.schema import ENVELOPE_COLUMNS
+from witspark.schema import ALWAYS_PRESENT, ENVELOPE_COLUMNS
 
 
 def _key(part: str) -> str:
@@ -66,6 +66,11 @@ class Resolver:
         name = self.columns.get(path)
         return None if name is None else F.col(name)
 
+    def complete(self, path: str) -> bool:
+        """Whether the path is an envelope column that is never null."""
+
+        return path in self.columns and path in ALWAYS_PRESENT
+
     def inner(self, path: str) -> Column:
         if path in self.looked_up:
             return F.col(self.looked_up[path][0])
@@ -82,6 +87,8 @@ class Resolver:
         ready = Resolver(self.payload_name, self.columns)
         added = []
         for i, path in enumerate(sorted(set(paths))):
+            if self.complete(path):
+                continue
             inner = self.inner(path)
             added += [inner.alias(f"__v{i}"), kind_of(inner).alias(f"__k{i}")]
             ready.looked_up[path] = (f"__v{i}", f"__k{i}")
@@ -90,6 +97,8 @@ class Resolver:
     def text(self, path: str) -> Column:
         """Value as text; falsy and missing values become the empty string."""
 
+        if self.complete(path):
+            return F.coalesce(self.envelope(path).cast("string"), F.lit(""))
         inner, kind = self.inner(path), self.kind(path)
         shown = (
             F.when(kind == "STRING", F.try_variant_get(inner, "$", "string"))

@@ -37,6 +37,11 @@ class _Value:
     """One resolved value, seen as text, number, boolean or missing."""
 
     def __init__(self, resolver: Resolver, path: str):
+        if resolver.complete(path):
+            self.text = resolver.envelope(path).cast("string")
+            self.number, self.flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
+            self.present = self.text.isNotNull()
+            return
         inner = resolver.inner(path)
         column = resolver.envelope(path)
         kind = resolver.kind(path)

@@ -116,6 +116,7 @@ _PREDICATES = (
     ("det_pred_not", "tool_identity.name", {"not": "safe_http.send"}, "tool_name <> 'safe_http.send'"),
     ("det_pred_compare", "evidence_link.confidence", {"gte": 0.5}, "link_confidence >= 0.5"),
     ("det_pred_compare_time", "seen_at", {"lt": "2024-01-10T00:00:00Z"}, "occurred_at < TIMESTAMP '2024-01-10'"),
+    ("det_pred_envelope", "classification.trust", {"in": ["trusted", "local"]}, "trust IN ('trusted', 'local')"),
     ("det_pred_compare_text", "label", {"gt": 3}, "false"),
 )
 

@@ -143,6 +143,13 @@ ENVELOPE_COLUMNS = {
     "classification.trust": "trust",
 }
 
+# Envelope paths that a valid event always fills; nothing needs to look behind them.
+ALWAYS_PRESENT = frozenset(ENVELOPE_COLUMNS) - {
+    "correlation.span_id",
+    "correlation.session_id",
+    "causality.parent_event_id",
+}
+
 PROJECTED_COLUMNS = (
     "event_id",
     "spec_version",
