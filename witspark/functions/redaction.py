@@ -106,23 +106,52 @@ def _java(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def redact_text(col: Column) -> Column:
-    """Text with every pattern replaced, in order."""
+def _may_hold(name: str, text: Column) -> Column:
+    """Cheap test that is true for every text the pattern can match."""
 
-    for _name, pattern, replacement in PATTERNS:
-        shown = replacement.replace("\\1", "$1")
-        col = F.regexp_replace(col, _java(pattern), shown)
-    return col
+    if name == "private_key":
+        return F.contains(text, F.lit("PRIVATE KEY-----"))
+    if name == "bearer_token":
+        return F.contains(text, F.lit("Bearer"))
+    if name == "database_url":
+        return F.contains(text, F.lit("://"))
+    if name == "signed_url_parameter":
+        return F.contains(text, F.lit("="))
+    # Long s and dotless i equal s and i when case is ignored.
+    low = F.lower(text)
+    found = F.contains(text, F.lit("\u017f")) | F.contains(text, F.lit("\u0131"))
+    for word in ("key", "token", "secret", "password", "signature"):
+        found = found | F.contains(low, F.lit(word))
+    return found
+
+
+def replace_pattern(col: Column, name: str, pattern: str, replacement: str) -> Column:
+    """One replacement; texts that cannot match skip the pattern."""
+
+    shown = replacement.replace("\\1", "$1")
+
+    def step(text):
+        return F.when(
+            _may_hold(name, text), F.regexp_replace(text, _java(pattern), shown)
+        ).otherwise(text)
 
+    # The lambda names the text once, however often the step looks at it.
+    return F.get(F.transform(F.array(col), step), F.lit(0))
 
-def pattern_counts(col: Column) -> dict[str, Column]:
-    """Number of replacements each pattern makes."""
 
-    counts = {}
+def count_pattern(col: Column, name: str, pattern: str) -> Column:
+    """Number of replacements the pattern makes."""
+
+    count = F.regexp_count(col, F.lit(_java(pattern))).cast("bigint")
+    return F.when(_may_hold(name, col), count).otherwise(F.lit(0).cast("bigint"))
+
+
+def redact_text(col: Column) -> Column:
+    """Text with every pattern replaced, in order."""
+
     for name, pattern, replacement in PATTERNS:
-        counts[name] = F.regexp_count(col, F.lit(_java(pattern))).cast("bigint")
-        col = F.regexp_replace(col, _java(pattern), replacement.replace("\\1", "$1"))
-    return counts
+        col = replace_pattern(col, name, pattern, replacement)
+    return col
 
 
 def _scoped_digest(kind: str, content: Column) -> Column:

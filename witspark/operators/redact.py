@@ -115,12 +115,21 @@ def redact_fields(df: DataFrame, payload: str = "payload", policy: R.Policy = R.
 def redaction_hits(df: DataFrame, text: str, by) -> DataFrame:
     """Replacements per pattern and group of rows; groups without any are left out."""
 
-    counts = R.pattern_counts(F.col(text))
+    # Each pattern counts on the text that the ones before it left behind.
+    staged = df.select(*by, F.col(text).alias("__text"))
+    for name, pattern, replacement in R.PATTERNS:
+        staged = staged.withColumn(name, R.count_pattern(F.col("__text"), name, pattern))
+        staged = staged.withColumn(
+            "__text", R.replace_pattern(F.col("__text"), name, pattern, replacement)
+        )
     each = F.array(
-        *[F.struct(F.lit(n).alias("pattern"), c.alias("hits")) for n, c in counts.items()]
+        *[
+            F.struct(F.lit(name).alias("pattern"), F.col(name).alias("hits"))
+            for name, _pattern, _replacement in R.PATTERNS
+        ]
     )
     return (
-        df.select(*by, F.explode(F.filter(each, lambda e: e["hits"] > 0)).alias("e"))
+        staged.select(*by, F.explode(F.filter(each, lambda e: e["hits"] > 0)).alias("e"))
         .groupBy(*by, "e.pattern")
         .agg(F.sum("e.hits").alias("hits"), F.count(F.lit(1)).alias("rows"))
     )

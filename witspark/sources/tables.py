@@ -203,7 +203,7 @@ def payload_json():
 
 
 def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` with the derived columns, one row per source row."""
+    """`events` with causality and the derived columns, one row per source row."""
 
     base = table(spark, sf_dir, "events").select(
         "event_id",
@@ -214,6 +214,8 @@ def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"),
     )
     df = base.selectExpr(*[f"{text} AS {name}" for name, text in LAYER_1.items()])
+    # The ordering step also keeps the layers from being folded into one another.
+    df = with_causality(df)
     for layer in (LAYER_2, LAYER_3):
         df = df.selectExpr(
             "*", *[f"{text.format(**_SPARK)} AS {name}" for name, text in layer.items()]
@@ -222,7 +224,7 @@ def mapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = mapped_events(spark, sf_dir).select(
+    return mapped_events(spark, sf_dir).select(
         "*",
         F.lit(S.SPEC_VERSION).alias("spec_version"),
         F.col("occurred_at").alias("observed_at"),
@@ -233,7 +235,6 @@ def _build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("session_id"),
         payload_json().alias("payload"),
     )
-    return with_causality(df)
 
 
 def flat_events(spark: SparkSession, sf_dir: str, *, payload: bool = True) -> DataFrame:
