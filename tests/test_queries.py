@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from witspark.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="needs the given tables")
 
