@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from witspark.llm import chat
-from witspark.llm.common import table
+from witspark.llm import bpe, chat, wordbpe, zquality
+from witspark.llm.common import remainder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query("op1_byte_bpe")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text; digests of the ids and of the decoded bytes."""
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path, public_tokenizers.PATTERN).select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("body", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text, and whether it exceeds 2048 tokens."""
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counted = wordbpe.count_tokens(table(spark, sf_dir, "documents"), path)
+    return counted.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit")
+    )
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learnt from the labels whose crc32 remainder by 3 is not 1."""
+
+    docs = table(spark, sf_dir, "documents")
+    model = zquality.fit(docs, table(spark, sf_dir, "labels"), remainder("id", 3) != 1)
+    return zquality.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "difference",
+    )
