@@ -25,7 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from witspark.llm.common import id_type, map_rows, prepare, read_model, texts
+from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts
 
 #: Distinct pre-tokens that a worker remembers; the memory for them is cleared beyond it.
 MEMO = 400_000
@@ -164,17 +164,10 @@ class Vocabulary:
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-_LOADED: dict = {}
-
-
 def loaded(data: bytes, pattern: str) -> Vocabulary:
     """The vocabulary of this worker; built once per Python process."""
 
-    key = (hashlib.sha256(data).digest(), pattern)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(data, pattern)
-    return _LOADED[key]
+    return per_worker(("bpe", hashlib.sha256(data).digest(), pattern), lambda: Vocabulary(data, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

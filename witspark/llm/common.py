@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -70,3 +73,60 @@ def map_rows(df: DataFrame, schema: str, work) -> DataFrame:
 
 def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    use: Column,
+    label: str,
+    per_class: int,
+    max_bytes: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample (`id`, `body`, `label`) of the labelled rows, and the rows by label.
+
+    Of each label the `per_class` rows with the smallest hash of the id, among
+    texts of 1 to `max_bytes` bytes; `use` is a condition on the column `id`. Ids
+    with two labels are left out. Only ids and lengths are shuffled; the texts are
+    then read by at most 2 * per_class broadcast ids.
+    """
+
+    known = (
+        labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
+        .filter(use & F.col("label").isin(0, 1))
+        .groupBy("id")
+        .agg(F.min("label").alias("label"), F.max("label").alias("most"))
+        .filter("label = most")
+        .drop("most")
+    )
+    sizes = texts(docs, id_col, text_col).select("id", F.octet_length("body").alias("size"))
+    pool = sizes.filter(F.col("size").between(1, max_bytes)).select("id").distinct().join(known, "id")
+    order = F.xxhash64(F.col("id").cast("string"))
+    chosen, shares = [], {}
+    for value in (0, 1):
+        own = pool.filter(F.col("label") == value)
+        rows = own.orderBy(order, F.col("id").cast("string")).limit(per_class).collect()
+        shares[value] = own.count() if len(rows) == per_class else len(rows)
+        chosen += rows
+    picked = docs.sparkSession.createDataFrame(chosen, pool.schema)
+    body = texts(docs, id_col, text_col).filter(F.octet_length("body").between(1, max_bytes))
+    return body.join(F.broadcast(picked), "id"), shares
+
+
+def per_worker(key, build):
+    """`build()`, remembered under `key` by this Python process across its tasks.
+
+    The package travels to the workers by value, so its own globals are new in
+    every task; a module of the process is not. The last four values are kept.
+    """
+
+    kept = vars(sys.modules.setdefault("_witspark_worker", ModuleType("_witspark_worker"))).setdefault(
+        "kept", {}
+    )
+    if key not in kept:
+        while len(kept) >= 4:
+            del kept[next(iter(kept))]
+        kept[key] = build()
+    return kept[key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from witspark.llm import bpe, chat, wordbpe, zquality
+from witspark.llm import bpe, chat, fertility, toxic, wordbpe, zquality
 from witspark.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -102,3 +102,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "difference",
     )
+
+
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every text, and the verdict of the fertility bands."""
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return fertility.judge(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the labels whose crc32 remainder by 5 is not 0."""
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxic.fit(docs, table(spark, sf_dir, "labels"), remainder("id", 5) != 0)
+    return toxic.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").cast("bigint").alias("n_passages"),
+    )

@@ -23,7 +23,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from witspark.llm.common import id_type, map_rows, prepare, read_model, texts
+from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts
 
 #: Distinct pre-tokens that a worker remembers.
 MEMO = 600_000
@@ -162,15 +162,8 @@ class Counter:
         return [sum(map(known.__getitem__, own)) + n for own, n in zip(pieces, special, strict=True)]
 
 
-_LOADED: dict = {}
-
-
 def loaded(data: bytes) -> Counter:
-    key = hashlib.sha256(data).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Counter(data)
-    return _LOADED[key]
+    return per_worker(("Counter", hashlib.sha256(data).digest()), lambda: Counter(data))
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ probability of label 1.
 
 Fitting uses a bounded sample of the labelled rows: `per_class` rows of each
 label with texts of at most `max_bytes`, those with the smallest hash of the id;
-even places train the dictionaries, odd places the curve. The bound keeps what
+every second text (by digest) trains the dictionaries, the others the curve. The bound keeps what
 reaches the driver below 2 * per_class * max_bytes. Scoring covers every row and
 whole texts.
 
@@ -28,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
-from witspark.llm.common import id_type, map_rows, prepare, texts
+from witspark.llm.common import id_type, labelled_sample, map_rows, per_worker, prepare, texts
 
-BLOCK = 1024
+BLOCK = 768
 DICT_BYTES = 112_640
 LEVEL = 3
 
@@ -45,27 +45,21 @@ class Model:
     offset: float
 
 
-_LOADED: dict = {}
-
-
-def _compressors(model: Model):
-    key = hashlib.sha256(model.good + b"|" + model.bad).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = []
-        for data in (model.good, model.bad):
-            dictionary = zstandard.ZstdCompressionDict(data)
-            dictionary.precompute_compress(level=LEVEL)
-            _LOADED[key].append(
-                zstandard.ZstdCompressor(
-                    dict_data=dictionary, write_content_size=False, write_dict_id=False
-                ).compress
-            )
-    return _LOADED[key]
+def _compressors(good: bytes, bad: bytes):
+    out = []
+    for data in (good, bad):
+        dictionary = zstandard.ZstdCompressionDict(data)
+        dictionary.precompute_compress(level=LEVEL)
+        out.append(
+            zstandard.ZstdCompressor(
+                dict_data=dictionary, write_content_size=False, write_dict_id=False
+            ).compress
+        )
+    return out
 
 
 def difference(model: Model, text: bytes) -> float:
-    good, bad = _compressors(model)
+    good, bad = per_worker(("zstd", model.good, model.bad), lambda: _compressors(model.good, model.bad))
     a = b = 0
     for start in range(0, len(text), BLOCK):
         block = text[start : start + BLOCK]
@@ -74,23 +68,6 @@ def difference(model: Model, text: bytes) -> float:
     return (b - a) / (a + b) if a + b else 0.0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, use: Column, label: str, id_col: str, text_col: str):
-    """(id, body, label) of the rows to learn from; `use` is a condition on the column `id`.
-
-    Few columns of `labels` meet `docs` on the id, so Spark chooses the join.
-    """
-
-    known = (
-        labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
-        .filter(use & F.col("label").isin(0, 1))
-        .groupBy("id")
-        .agg(F.min("label").alias("label"), F.max("label").alias("most"))
-        .filter("label = most")
-        .drop("most")
-    )
-    return texts(docs, id_col, text_col).join(known, "id")
-
-
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -101,27 +78,15 @@ def fit(
     per_class: int = 1200,
     max_bytes: int = 20_000,
 ) -> Model:
-    pool = labelled(docs, labels, use, label, id_col, text_col).filter(
-        (F.octet_length("body") > 0) & (F.octet_length("body") <= max_bytes)
-    )
-    shares = {r["label"]: r["n"] for r in pool.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
+    sample, shares = labelled_sample(docs, labels, use, label, per_class, max_bytes, id_col, text_col)
+    prior = (shares[1] + 0.5) / (shares[0] + shares[1] + 1)
     base = float(np.log(prior / (1 - prior)))
-    if len(shares) < 2:
+    if not shares[0] or not shares[1]:
         return Model(b"", b"", 0.0, base)
-    sample = {}
-    for value in (0, 1):
-        order = F.xxhash64(F.col("id").cast("string"))
-        rows = (
-            pool.filter(F.col("label") == value)
-            .orderBy(order, F.col("id").cast("string"), "body")
-            .limit(per_class)
-            .select("body")
-            .collect()
-        )
-        sample[value] = [bytes(r["body"]) for r in rows]
-    fitted = Model(_dictionary(sample[1][::2]), _dictionary(sample[0][::2]), 1.0, 0.0)
-    held = {v: [difference(fitted, t) for t in (s[1::2] or s)] for v, s in sample.items()}
+    rows = sorted((r["label"], hashlib.sha256(r["body"]).digest(), bytes(r["body"])) for r in sample.collect())
+    own = {v: [text for label_, _, text in rows if label_ == v] for v in (0, 1)}
+    fitted = Model(_dictionary(own[1][::2]), _dictionary(own[0][::2]), 1.0, 0.0)
+    held = {v: [difference(fitted, t) for t in (s[1::2] or s)] for v, s in own.items()}
     slope, offset = platt(held[0], held[1], prior)
     return Model(fitted.good, fitted.bad, slope, offset)
 
