@@ -1,10 +1,11 @@
 """Toxic passages by maximum-scoring segments.
 
-Training compares the words of toxic and clean labelled texts: a word's score is
-its log-odds ratio under a Dirichlet prior drawn from both kinds together,
-divided by its standard deviation for selection (words with `z` below `least_z`
-say nothing). The lexicon keeps the `lexicon` most significant words; every other
-word has one negative background score, set so that clean text drifts down.
+Training compares the words of toxic and clean labelled texts by the number of
+different neighbourhoods they stand in: a word's score is its log-odds ratio with
+a Dirichlet prior. Words with a ratio below `least_odds`, or below `least_z` of its
+standard deviations, say nothing. The lexicon keeps the `lexicon` most significant
+words; every other word has one negative background score, set so that clean text
+drifts down.
 
 Scanning finds, in one pass per text, all maximal scoring segments: disjoint
 passages of which no extension or part scores more. A segment's score S becomes
@@ -134,8 +135,9 @@ def fit(
     per_class: int = 1500,
     max_bytes: int = 20_000,
     lexicon: int = 20_000,
-    least_z: float = 3.0,
-    prior_weight: float = 500.0,
+    least_z: float = 2.5,
+    least_odds: float = 2.0,
+    prior: float = 0.5,
 ) -> Model:
     sample, shares = labelled_sample(docs, labels, use, label, per_class, max_bytes, id_col, text_col)
     share = (shares[1] + 0.5) / (shares[0] + shares[1] + 1)
@@ -145,7 +147,7 @@ def fit(
     rows = sorted((r["label"], hashlib.sha256(r["body"]).digest(), bytes(r["body"])) for r in sample.collect())
     learn = [(v, tokens(t)) for i, (v, _, t) in enumerate(rows) if i % 3]
     tune = [(v, tokens(t)) for i, (v, _, t) in enumerate(rows) if not i % 3]
-    words, background = log_odds(learn, lexicon, least_z, prior_weight)
+    words, background = log_odds(learn, lexicon, least_z, least_odds, prior)
     model = Model(words, background, 1.0, 1.0, 1.0, 0.0)
     clean = [t for v, t in learn if v == 0]
     scores = np.array([words.get(w, background) for t in clean for w in t if w])
@@ -169,32 +171,42 @@ def _squashed(values: list[float]) -> list[float]:
     return [math.log1p(v) for v in values]
 
 
-def log_odds(rows, lexicon: int, least_z: float, prior_weight: float) -> tuple[dict, float]:
-    """Scores of the significant words, and the background score."""
+def _contexts(texts_) -> dict:
+    """In how many different neighbourhoods (word before, word after) each word stands.
 
-    counts: tuple[dict, dict] = ({}, {})
-    for value, words in rows:
-        own = counts[value]
-        for w in words:
-            if w:
-                own[w] = own.get(w, 0) + 1
-    clean, toxic = counts
-    total = {0: sum(clean.values()), 1: sum(toxic.values())}
-    both = max(1, total[0] + total[1])
+    Copies and near-copies of a text repeat the same neighbourhoods and count once.
+    """
+
+    seen = {c for words in texts_ for c in zip([b"", *words], words, [*words[1:], b""])}
+    out: dict = {}
+    for _, word, _ in seen:
+        if word:
+            out[word] = out.get(word, 0) + 1
+    return out
+
+
+def log_odds(rows, lexicon: int, least_z: float, least_odds: float, prior: float) -> tuple[dict, float]:
+    """Scores of the significant words, and the background score.
+
+    `prior` is the Dirichlet parameter of every word.
+    """
+
+    clean, toxic = (_contexts(t for v, t in rows if v == value) for value in (0, 1))
+    all_words = len(clean.keys() | toxic.keys())
+    none, some = (sum(own.values()) + prior * all_words for own in (clean, toxic))
     ranked = []
     for word, n in toxic.items():
         m = clean.get(word, 0)
-        prior = prior_weight * (n + m) / both
-        odds = math.log((n + prior) / max(1e-9, total[1] + prior_weight - n - prior)) - math.log(
-            (m + prior) / max(1e-9, total[0] + prior_weight - m - prior)
+        odds = math.log((n + prior) / max(prior, some - n - prior)) - math.log(
+            (m + prior) / max(prior, none - m - prior)
         )
         z = odds / math.sqrt(1 / (n + prior) + 1 / (m + prior))
-        if z >= least_z and n >= 3:
+        if z >= least_z and odds >= least_odds:
             ranked.append((-z, word, odds))
     ranked.sort()
     words = {word: odds for _, word, odds in ranked[:lexicon]}
-    share = sum(toxic[w] for w in words) / max(1, total[1])
-    other = sum(clean.get(w, 0) for w in words) / max(1, total[0])
+    share = sum(toxic[w] for w in words) / max(1.0, some)
+    other = sum(clean.get(w, 0) for w in words) / max(1.0, none)
     background = math.log((1 - share + 1e-9) / (1 - other + 1e-9))
     return words, min(background, -0.05)
 
