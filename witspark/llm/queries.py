@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from witspark.llm import bpe, chat, fertility, toxic, wordbpe, zquality
+from witspark.llm import bpe, chat, fertility, pages, toxic, wordbpe, zquality
 from witspark.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -125,3 +125,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").cast("bigint").alias("n_passages"),
     )
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+
+    web = table(spark, sf_dir, "pages")
+    return pages.extract(web, pages.fit(web)).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
