@@ -45,7 +45,7 @@ PRIOR_TAGS = {
         (BOILERPLATE, 60.0),
     ),
     **dict.fromkeys("article main".split(), (CONTENT, 12.0)),
-    **dict.fromkeys("html body".split(), (FRAME, 3.0)),
+    **dict.fromkeys("html body".split(), (FRAME, 10.0)),
     **dict.fromkeys("p h1 h2 h3 blockquote pre figcaption".split(), (CONTENT, 0.5)),
 }
 PRIOR_WORDS = {
@@ -57,7 +57,7 @@ PRIOR_WORDS = {
         " skip hidden alert toast".split(),
         (BOILERPLATE, 60.0),
     ),
-    **dict.fromkeys("article story entry post content articlebody maincontent".split(), (CONTENT, 4.0)),
+    **dict.fromkeys("article story entry post content articlebody maincontent".split(), (CONTENT, 9.0)),
     **dict.fromkeys("wrapper container page site layout root app".split(), (FRAME, 2.0)),
 }
 
@@ -249,7 +249,7 @@ KNOWN = frozenset(
 LIMIT = {"tag": 0.7, "word": 2.0, "links": 0.7, "size": 0.3, "text": 0.5, "ends": 0.3}
 
 #: Share of the general parent-child potentials beside the trained ones.
-GENERAL = 0.1
+GENERAL = 0.5
 
 
 class Model:
