@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from witspark.llm import bpe, chat, fertility, pages, toxic, wordbpe, zquality
+from witspark.llm import bpe, chat, fertility, leaks, pages, toxic, wordbpe, zquality
 from witspark.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -135,3 +135,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(web, pages.fit(web)).select(
         F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars")
     )
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with their edit distance."""
+
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", F.col("end").alias("end_at")
+    )
