@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from witspark.llm import bpe, chat, fertility, leaks, pages, toxic, wordbpe, zquality
+from witspark.llm import bpe, chat, fertility, jaccard, leaks, pages, toxic, wordbpe, zquality
 from witspark.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -145,3 +145,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", F.col("end").alias("end_at")
     )
+
+
+@query("op5_ngram_jaccard")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 5-word shingles at Jaccard 0.8: set size and component of every document."""
+
+    return jaccard.link(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
+    )
