@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from witspark.llm import bpe, chat, fertility, jaccard, leaks, pages, toxic, wordbpe, zquality
+from witspark.llm import bpe, chat, fertility, jaccard, leaks, pages, pitman, toxic, wordbpe, zquality
 from witspark.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -154,3 +154,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text, learnt from ids whose crc32 remainder by 7 is not 2."""
+
+    return pitman.score(table(spark, sf_dir, "documents"), remainder("id", 7) != 2).select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
