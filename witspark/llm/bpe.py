@@ -21,9 +21,12 @@ import hashlib
 import heapq
 
 import numpy as np
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts
 
@@ -196,3 +199,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_rows(
         encoded.select("id", "ids"), f"id {id_type(encoded, 'id')}, ids binary, body binary", work
     )
+
+
+def unpacked(encoded: DataFrame) -> DataFrame:
+    """`id`, `n_tokens` and `ids` as an array of integers."""
+
+    kind = _parse_datatype_string(f"id {id_type(encoded, 'id')}, n_tokens bigint, ids array<int>")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        for batch in batches:
+            packed = batch.column(1).to_pylist()
+            sizes = np.array([0, *(len(p) // 4 for p in packed)])
+            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes[1:]), lists.cast(arrow.field(2).type)], schema=arrow
+            )
+
+    return encoded.select("id", "ids").mapInArrow(run, kind)

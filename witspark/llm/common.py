@@ -33,6 +33,12 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     return df.select(F.col(id_col).alias("id"), body.alias("body"), *more)
 
 
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of `df` as one struct `row`, for operators that pass rows on."""
+
+    return F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row")
+
+
 def remainder(id_col, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as the empty text."""
 
@@ -50,25 +56,33 @@ def read_model(path: str) -> bytes:
     return data
 
 
-def map_rows(df: DataFrame, schema: str, work) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, work, carry: str | None = None) -> DataFrame:
     """mapInArrow where `work(columns) -> dict of lists` treats one batch.
 
     `columns` are Python lists by name, in the order of `df`. Nothing is kept
-    between batches but what `work` holds itself.
+    between batches but what `work` holds itself. The column `carry` is passed on
+    as it is; `work` then gives one row for each.
     """
 
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    result = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(result)
     names = df.columns
+    if carry is not None:
+        result = StructType([*result.fields, df.schema[carry]])
 
     def run(batches):
         for batch in batches:
-            out = work({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
-            yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
-
-    return df.mapInArrow(run, schema)
+            out = work({n: batch.column(i).to_pylist() for i, n in enumerate(names) if n != carry})
+            own = pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
+            if carry is not None:
+                passed = batch.column(names.index(carry))
+                own = pa.RecordBatch.from_arrays([*own.columns, passed], names=[*arrow.names, carry])
+            yield own
+
+    return df.mapInArrow(run, result)
 
 
 def id_type(df: DataFrame, column: str) -> str:

@@ -29,7 +29,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts
+from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts, whole_rows
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -166,8 +166,12 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     bands: dict[str, Band] | None = None,
+    rows: bool = False,
 ) -> DataFrame:
-    """`id`, the base measures, the fertility measures and `kept`; one row per input row."""
+    """`id`, the base measures, the fertility measures and `kept`; one row per input row.
+
+    With `rows` the input row is added as the struct `row`.
+    """
 
     prepare(df.sparkSession)
     bands = BANDS | (bands or {})
@@ -175,7 +179,7 @@ def judge(
 
     def work(cols):
         fertility = loaded(model.value)
-        rows = []
+        found = []
         for body in cols["body"]:
             words, chars, symbols, lines, repeats = base(body)
             failed = len(words) < 50 or 100 * repeats > 50 * len(words)
@@ -188,11 +192,12 @@ def judge(
                 and fallback <= band.most_bytes
                 and entropy >= band.least_entropy
             )
-            rows.append(
+            found.append(
                 (len(words), chars, symbols, lines, repeats, failed, kept, own, n, per, fallback, entropy)
             )
         names = [part.split()[0] for part in SCHEMA.split(",")]
-        columns = list(zip(*rows)) or [()] * len(names)
+        columns = list(zip(*found)) or [()] * len(names)
         return {"id": cols["id"]} | {n: list(c) for n, c in zip(names, columns, strict=True)}
 
-    return map_rows(texts(df, id_col, text_col), f"id {id_type(df, id_col)}, {SCHEMA}", work)
+    source = texts(df, id_col, text_col, *([whole_rows(df)] if rows else []))
+    return map_rows(source, f"id {id_type(df, id_col)}, {SCHEMA}", work, "row" if rows else None)

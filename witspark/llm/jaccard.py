@@ -418,3 +418,24 @@ def _labels(source, docs, groups, size, threshold) -> DataFrame:
     if more.isEmpty():
         return labels
     return connected(edges.union(more))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """`df` with one row of each component: the one with the smallest id.
+
+    Repeated rows of one id leave one; rows without an id all stay. The ids that
+    go are broadcast if they are few, else the rows are joined by id.
+    """
+
+    linked = link(df, id_col=id_col, **options).filter("id is not null")
+    state = cut(
+        linked.groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("rows"))
+    )
+    gone = state.filter("id != component").select(F.col("id").alias(id_col))
+    kept = df.join(broadcast_if_small(gone), id_col, "left_anti").select(df.columns)
+    again = state.filter("id = component and rows > 1").select(F.col("id").alias(id_col))
+    if again.isEmpty():
+        return kept
+    again = broadcast_if_small(again)
+    single = kept.join(again, id_col, "left_anti").select(df.columns)
+    return single.unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns))

@@ -36,6 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from witspark.llm.common import id_type, map_rows, prepare, texts
+from witspark.plans.lineage import broadcast_if_small, cut
 
 STEPS = 64
 SAMPLES = 16
@@ -291,3 +292,10 @@ def find_leaks(
         part = map_rows(source, schema, work)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """`docs` without the documents in which an item was found; rows without an id stay."""
+
+    found = cut(find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("id").alias(id_col)).distinct())
+    return docs.join(broadcast_if_small(found), id_col, "left_anti").select(docs.columns)

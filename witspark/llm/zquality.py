@@ -30,7 +30,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
 
-from witspark.llm.common import id_type, labelled_sample, map_rows, per_worker, prepare, texts
+from witspark.llm.common import id_type, labelled_sample, map_rows, per_worker, prepare, texts, whole_rows
 
 BLOCK = 768
 DICT_BYTES = 112_640
@@ -132,8 +132,13 @@ def platt(negative: list[float], positive: list[float], prior: float) -> tuple[f
     return float(beta[0] / scale), float(beta[1])
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id`, `difference` and `score` (probability of label 1); one row per input row."""
+def score(
+    df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", rows: bool = False
+) -> DataFrame:
+    """`id`, `difference` and `score` (probability of label 1); one row per input row.
+
+    With `rows` the input row is added as the struct `row`.
+    """
 
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -144,6 +149,6 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         values = 1 / (1 + np.exp(-np.clip(model.slope * np.array(found) + model.offset, -50, 50)))
         return {"id": cols["id"], "difference": found, "score": values.tolist()}
 
-    return map_rows(
-        texts(df, id_col, text_col), f"id {id_type(df, id_col)}, difference double, score double", work
-    )
+    source = texts(df, id_col, text_col, *([whole_rows(df)] if rows else []))
+    schema = f"id {id_type(df, id_col)}, difference double, score double"
+    return map_rows(source, schema, work, "row" if rows else None)
