@@ -85,14 +85,25 @@ def test_link_wins_entirely_in_flavour_a_only(spark):
 def test_causal_walks(spark):
     rows = [(f"e{i}", f"e{i - 1}" if i else None) for i in range(40)] + [("x", "gone"), ("c1", "c2"), ("c2", "c1")]
     df = spark.createDataFrame(rows, "event_id string, parent_event_id string")
-    found = {r["event_id"]: (r["root"], r["depth"]) for r in causal_depth(df, max_rounds=8).collect()}
+    found = {r["event_id"]: (r["root"], r["depth"]) for r in causal_depth(df).collect()}
     assert found["e39"] == ("e0", 39) and found["e0"] == ("e0", 0) and found["x"] == ("x", 0)
     assert found["c1"] == (None, None)
     seeds = df.filter("event_id = 'e3'").select("event_id")
     up = {(r["event_id"], r["depth"]) for r in causal_closure(df, seeds).collect()}
     assert up == {("e2", 1), ("e1", 2), ("e0", 3)}
-    down = causal_closure(df, seeds, "descendants", max_depth=2).collect()
-    assert {(r["event_id"], r["depth"]) for r in down} == {("e4", 1), ("e5", 2)}
+    down = causal_closure(df, seeds, "descendants").collect()
+    assert {(r["event_id"], r["depth"]) for r in down} == {(f"e{3 + i}", i) for i in range(1, 37)}
+    # A cycle ends; what it reaches has its least depth.
+    around = causal_closure(df, df.filter("event_id = 'c1'").select("event_id")).collect()
+    assert [(r["event_id"], r["depth"]) for r in around] == [("c2", 1)]
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    df = spark.createDataFrame(
+        [(f"e{i}", f"e{i - 1}" if i else None) for i in range(100)], "event_id string, parent_event_id string"
+    )
+    found = causal_closure(df, df.filter("event_id = 'e99'").select("event_id"))
+    assert found.count() == 99 and found.agg({"depth": "max"}).first()[0] == 99
 
 
 def test_failed_record_does_not_claim_its_key(spark):

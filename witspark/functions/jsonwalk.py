@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NODE_FIELDS = [
     ("path", "string"),
+    ("up", "string"),
     ("depth", "int"),
     ("key", "string"),
     ("kind", "string"),
@@ -52,12 +53,20 @@ def _kind(value) -> str:
     return "null" if value is None else "number"
 
 
+def _step(key: str) -> str:
+    """A member in a path; a key that would read as more than one step is quoted."""
+
+    if key == "" or any(c in key for c in '.[]"'):
+        return f"[{json.dumps(key, ensure_ascii=False)}]"
+    return f".{key}"
+
+
 def _nodes(value):
     """Rows of one document, parents before children; keeps its own stack."""
 
-    stack = [("$", 0, None, value, False)]
+    stack = [("$", "", 0, None, value, False)]
     while stack:
-        path, depth, key, node, inside = stack.pop()
+        path, up, depth, key, node, inside = stack.pop()
         kind = _kind(node)
         marked = kind == "object" and node.get("marker") == CAPTURE_MARKER
         if kind in ("object", "array"):
@@ -71,14 +80,14 @@ def _nodes(value):
         else:
             shown = json.dumps(node)
         size = len(node) if kind in ("object", "array") else None
-        yield path, depth, key, "capture" if marked else kind, shown, size, inside
+        yield path, up, depth, key, "capture" if marked else kind, shown, size, inside
         if kind == "object":
             stack.extend(
-                (f"{path}.{k}", depth + 1, k, v, inside or marked) for k, v in node.items()
+                (path + _step(k), path, depth + 1, k, v, inside or marked) for k, v in node.items()
             )
         elif kind == "array":
             stack.extend(
-                (f"{path}[{i}]", depth + 1, None, v, inside) for i, v in enumerate(node)
+                (f"{path}[{i}]", path, depth + 1, None, v, inside) for i, v in enumerate(node)
             )
 
 
@@ -113,16 +122,16 @@ def _walk_batches(json_index: int, id_schema, keys, kinds, size: int = 8192):
                 try:
                     found = _nodes(strict_loads(text))
                     for node in found:
-                        if keys is not None and node[2] not in keys:
+                        if keys is not None and node[3] not in keys:
                             continue
-                        if kinds is not None and node[3] not in kinds:
+                        if kinds is not None and node[4] not in kinds:
                             continue
                         buffer.append(ids + node)
                         if len(buffer) >= size:
                             yield flush()
                 except (ValueError, RecursionError):
                     if keys is None and (kinds is None or "invalid" in kinds):
-                        buffer.append(ids + ("$", 0, None, "invalid", None, None, False))
+                        buffer.append(ids + ("$", "", 0, None, "invalid", None, None, False))
         if buffer:
             yield flush()
 

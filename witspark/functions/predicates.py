@@ -12,7 +12,6 @@ from witspark.functions.payload import NUMBERS, Resolver
 # Operator names, in the order of precedence inside one predicate.
 OPERATORS = ("in", "exists", "prefix", "suffix", "regex", "not", "gt", "gte", "lt", "lte")
 MAX_PATTERN = 256
-MAX_SUBJECT = 4096
 
 
 def check_predicate(expected) -> None:
@@ -105,9 +104,7 @@ def _regex(value: _Value, pattern: str) -> Column:
         re.compile(pattern)
     except re.error:
         return F.lit(False)
-    return _false(
-        F.when(F.length(value.text) <= MAX_SUBJECT, value.text.rlike(f"(?U){pattern}"))
-    )
+    return _false(value.text.rlike(f"(?U){pattern}"))
 
 
 def _matches(value: _Value, expected) -> Column:

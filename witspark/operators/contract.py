@@ -274,8 +274,14 @@ def check_links(df: DataFrame, need: LinkRequirement, by) -> DataFrame:
     # Types of the referenced events only; the distinct ids spread a popular target.
     ids = rows.select(*by, F.explode(F.array("subject_id", "proof_id")).alias("id"))
     ids = ids.filter("id IS NOT NULL").distinct()
-    known = ids.join(
-        df.select(*by, F.col("event_id").alias("id"), F.col("event_type").alias("kind")), [*by, "id"]
+    # An id that is recorded more than once counts as its last record.
+    known = (
+        ids.join(
+            df.select(*by, F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "sequence"),
+            [*by, "id"],
+        )
+        .groupBy(*by, "id")
+        .agg(F.max_by("kind", F.struct("sequence", "kind")).alias("kind"))
     )
     subject = known.select(*by, F.col("id").alias("subject_id"), F.col("kind").alias("subject_kind"))
     proof = known.select(*by, F.col("id").alias("proof_id"), F.col("kind").alias("proof_kind"))

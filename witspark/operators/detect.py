@@ -4,8 +4,10 @@ Rows that match no stage of any rule are dropped before the shuffle. The fold
 streams each group in event order and holds only the current partial match, so
 no group is ever collected. A group with more rows than one task should take is
 range-partitioned over several tasks: a first pass describes what each piece
-does to every possible entry stage, the driver chains those descriptions (one
+does to every possible entry stage, one task chains those descriptions (one
 small row per piece), and a second pass folds each piece from its true entry.
+The place of a row (piece and number) is written into it before the first pass,
+so both passes agree whatever plan they become part of.
 """
 
 from __future__ import annotations
@@ -40,13 +42,24 @@ def stage_condition(resolver: Resolver, stage):
     return F.coalesce(condition, F.lit(False))
 
 
-def stage_mask(rule: Rule, resolver: Resolver):
-    """Bit i is set where stage i matches the event."""
+#: Stages in one word of a mask.
+WORD = 62
 
-    mask = F.lit(0).cast("bigint")
+
+def stage_mask(rule: Rule, resolver: Resolver, words: int = 1):
+    """Words of WORD bits; bit i over all words is set where stage i matches the event."""
+
+    mask = [F.lit(0).cast("bigint")] * words
     for i, stage in enumerate(rule.stages):
-        mask = mask + F.when(stage_condition(resolver, stage), F.lit(1 << i)).otherwise(F.lit(0))
-    return mask
+        bit = F.lit(1 << i % WORD).cast("bigint")
+        mask[i // WORD] = mask[i // WORD] + F.when(stage_condition(resolver, stage), bit).otherwise(
+            F.lit(0).cast("bigint")
+        )
+    return F.array(*mask)
+
+
+def _bit(stage: int):
+    return F.col("mask")[stage // WORD].bitwiseAND(F.lit(1 << stage % WORD).cast("bigint")) != 0
 
 
 def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFrame:
@@ -58,12 +71,13 @@ def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFr
     paths += [p for rule in rules for p in rule.group_by + rule.suppression_key]
     df, resolver = resolver.prepared(df.filter(F.col("event_type").isin(types)), paths)
     entries = []
+    words = 1 + max((len(rule.stages) - 1) // WORD for rule in rules)
     for number, rule in enumerate(rules):
         skey = [resolver.text(p) for p in rule.suppression_key]
         entries.append(
             F.struct(
                 F.lit(number).alias("rule_no"),
-                stage_mask(rule, resolver).alias("mask"),
+                stage_mask(rule, resolver, words).alias("mask"),
                 F.to_json(F.array(*[resolver.text(p) for p in rule.group_by])).alias("group_key"),
                 (F.to_json(F.array(*skey)) if skey else F.lit("")).alias("suppression"),
             )
@@ -72,7 +86,9 @@ def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFr
         "event_id",
         F.unix_micros("occurred_at").alias("us"),
         "sequence",
-        F.explode(F.filter(F.array(*entries), lambda e: e["mask"] > 0)).alias("hit"),
+        F.explode(
+            F.filter(F.array(*entries), lambda e: F.exists(e["mask"], lambda w: w != 0))
+        ).alias("hit"),
     )
     return hits.select("hit.*", "us", "sequence", "event_id")
 
@@ -91,7 +107,7 @@ class _Fold:
     def step(self, mask, us, event_id, suppression):
         """Take one event; returns a finished match (ids, first, last, key) or None."""
 
-        if not mask >> self.stage & 1:
+        if not mask[self.stage // WORD] >> self.stage % WORD & 1:
             return None
         if self.stage == 0:
             self.suppression = suppression
@@ -137,26 +153,21 @@ def _emit(rows, size=4096):
         yield batch()
 
 
-def _fold_partitions(plans, entries=None):
+def _fold_partitions(plans):
     """mapInArrow function: fold sorted candidate rows, group after group.
 
-    `entries` gives, per partition number, the partial match that the first
-    group of the partition brings along from the partitions before it.
+    In split groups the first row of a piece carries `entry`: the partial match
+    that its group brings along from the pieces before.
     """
 
     def run(batches):
-        from pyspark import TaskContext
-
-        entry = (entries or {}).get(TaskContext.get().partitionId())
-
         def matches():
             current, fold = None, None
-            for rule_no, mask, group_key, suppression, us, _sequence, event_id in _rows(batches):
+            for rule_no, mask, group_key, suppression, us, _sequence, event_id, *entry in _rows(batches):
                 if current != (rule_no, group_key):
-                    first = current is None
                     current, fold = (rule_no, group_key), _Fold(*plans[rule_no])
-                    if first and entry is not None:
-                        fold.start(*entry)
+                if entry and entry[0] is not None:
+                    fold.start(*json.loads(entry[0]))
                 done = fold.step(mask, us, event_id, suppression)
                 if done is not None:
                     ids, start, end, key = done
@@ -167,26 +178,49 @@ def _fold_partitions(plans, entries=None):
     return run
 
 
-PIECE_SCHEMA = "piece int, first_key string, single boolean, effect string, last_key string, last_state string"
+PIECE_SCHEMA = (
+    "piece bigint, first_key string, single boolean, effect string, last_key string, last_state string"
+)
+ENTRY_SCHEMA = "at bigint, entry string"
+
+#: monotonically_increasing_id holds the partition above this many bits, the row below.
+ROW_BITS = 33
+
+
+def _text_batch(schema, rows):
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, type=kinds[kind]) for c, (_, kind) in zip(columns, fields)],
+        names=[name for name, _ in fields],
+    )
 
 
 def _describe_pieces(plans):
-    """mapInArrow function: what a partition does to the group it begins with.
+    """mapInArrow function: what each piece does to the group it begins with.
 
     Every possible entry stage of the first group is folded side by side; what
     the entry brought along stays symbolic (`kept`), new events are listed.
     """
 
     def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
+        piece = None
+
+        def described():
+            effect = [[kept[s], lane.ids, lane.times, lane.suppression] for s, lane in enumerate(lanes)]
+            state = None if fold is None else [fold.ids, fold.times, fold.suppression]
+            row = (piece, first_key, last_key is None, json.dumps(effect), last_key, json.dumps(state))
+            return _text_batch(PIECE_SCHEMA, [row])
 
-        first_key, lanes = None, []
-        last_key, fold = None, None
-        for rule_no, mask, group_key, suppression, us, _sequence, event_id in _rows(batches):
+        for rule_no, mask, group_key, suppression, us, _sequence, event_id, at in _rows(batches):
             key = json.dumps([rule_no, group_key])
-            if first_key is None:
-                first_key = key
+            if at >> ROW_BITS != piece:
+                if piece is not None:
+                    yield described()
+                piece, first_key, last_key, fold = at >> ROW_BITS, key, None, None
                 stages = plans[rule_no][0]
                 lanes = [_Fold(stages, None) for _ in range(stages)]
                 kept = [True] * stages
@@ -200,46 +234,28 @@ def _describe_pieces(plans):
                 if key != last_key:
                     last_key, fold = key, _Fold(*plans[rule_no])
                 fold.step(mask, us, event_id, suppression)
-        if first_key is None:
-            return
-        effect = [
-            [kept[s], lane.ids, lane.times, lane.suppression] for s, lane in enumerate(lanes)
-        ]
-        state = None if fold is None else [fold.ids, fold.times, fold.suppression]
-        values = [
-            TaskContext.get().partitionId(),
-            first_key,
-            last_key is None,
-            json.dumps(effect),
-            last_key,
-            json.dumps(state),
-        ]
-        types = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v], type=t) for v, t in zip(values, types)],
-            names=["piece", "first_key", "single", "effect", "last_key", "last_state"],
-        )
+        if piece is not None:
+            yield described()
 
     return run
 
 
-def _chain(pieces) -> dict:
-    """Entry state per partition, from one description per partition."""
+def _chain_pieces(batches):
+    """mapInArrow function over all descriptions in order: entry state by a piece's first row."""
 
-    entries, carry_key, carry = {}, None, ([], [], None)
-    for piece in sorted(pieces, key=lambda p: p["piece"]):
-        state = carry if carry_key == piece["first_key"] else ([], [], None)
+    carry_key, carry = None, ([], [], None)
+    for piece, first_key, single, effect, last_key, last_state in _rows(batches):
+        state = carry if carry_key == first_key else ([], [], None)
         if state[0]:
-            entries[piece["piece"]] = state
-        kept, ids, times, suppression = json.loads(piece["effect"])[len(state[0])]
+            yield _text_batch(ENTRY_SCHEMA, [(piece << ROW_BITS, json.dumps(state))])
+        kept, ids, times, suppression = json.loads(effect)[len(state[0])]
         if kept:
             ids, times = state[0] + ids, state[1] + times
             suppression = state[2] if state[0] else suppression
-        if piece["single"]:
-            carry_key, carry = piece["first_key"], (ids, times, suppression)
+        if single:
+            carry_key, carry = first_key, (ids, times, suppression)
         else:
-            carry_key, carry = piece["last_key"], tuple(json.loads(piece["last_state"]))
-    return entries
+            carry_key, carry = last_key, tuple(json.loads(last_state))
 
 
 def _may_be_hot(df: DataFrame, rules, resolver: Resolver) -> bool:
@@ -266,10 +282,19 @@ def _ordered_matches(hits: DataFrame, rules, may_be_hot: bool) -> DataFrame:
     if not (may_be_hot and has_hot_group(hits, keys)):
         spread = hits.repartition(*keys).sortWithinPartitions(*keys, *order)
         return spread.mapInArrow(_fold_partitions(plans), MATCH_SCHEMA)
-    pieces = cut(hits.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
-    # One row per partition, each with at most (stages x stages) event ids.
-    described = pieces.mapInArrow(_describe_pieces(plans), PIECE_SCHEMA).collect()
-    return pieces.mapInArrow(_fold_partitions(plans, _chain(described)), MATCH_SCHEMA)
+    pieces = cut(
+        hits.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("at", F.monotonically_increasing_id())
+    )
+    # One row per piece, each with at most (stages x stages) event ids; the chain
+    # over the pieces is the only step in one task.
+    described = pieces.mapInArrow(_describe_pieces(plans), PIECE_SCHEMA)
+    entries = described.repartition(1).sortWithinPartitions("piece").mapInArrow(_chain_pieces, ENTRY_SCHEMA)
+    # Only the first row of a piece meets an entry; the broadcast side has at most
+    # one row per piece, and the order of the pieces' rows stays.
+    entered = pieces.join(F.broadcast(entries), "at", "left").select(*hits.columns, "entry")
+    return entered.mapInArrow(_fold_partitions(plans), MATCH_SCHEMA)
 
 
 def _free_for(stage: int, taken):
@@ -302,7 +327,7 @@ def _unordered_matches(hits: DataFrame, number: int, rule: Rule) -> DataFrame:
             F.filter(
                 F.array(
                     *[
-                        F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) > 0, F.lit(i))
+                        F.when(_bit(i), F.lit(i))
                         for i in range(stages)
                     ]
                 ),
@@ -385,11 +410,11 @@ def suppress(matches: DataFrame, rules) -> DataFrame:
     if all(limit is None for limit in limits):
         return matches
     keys = ["rule_no", "group_key", "suppression"]
+    # Everything below reads the matches again and again: they are computed once.
+    matches = cut(matches.withColumn("__ids", F.to_json("event_ids")))
+    hot = has_hot_group(matches, keys)
     spaced = in_order(
-        matches.withColumn("__ids", F.to_json("event_ids")),
-        keys,
-        ["first_us", "last_us", "__ids"],
-        {"before_us": ("lag", "first_us")},
+        matches, keys, ["first_us", "last_us", "__ids"], {"before_us": ("lag", "first_us")}, hot
     )
     limit = F.element_at(
         F.array(*[F.lit(v).cast("bigint") for v in limits]), F.col("rule_no") + 1
@@ -405,6 +430,7 @@ def suppress(matches: DataFrame, rules) -> DataFrame:
         keys,
         ["first_us", "last_us", "__ids"],
         {"burst": ("carry_forward", "__opens")},
+        hot,
     )
     rows = bursts.select(
         "rule_no", "group_key", "event_ids", "first_us", "last_us", "suppression", "burst"

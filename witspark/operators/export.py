@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from witspark.functions.digest import sorted_json, uuid5_url
@@ -25,11 +27,19 @@ def redacted_events(df: DataFrame, line: str = "line") -> tuple[DataFrame, DataF
     return good, bad
 
 
+#: No text of an event can name a slot, as the slots' names are drawn anew by each process.
+_DRAWN = uuid.uuid4().hex
+
+
+def _slot(name: str) -> str:
+    return f"@{name}-{_DRAWN}"
+
+
 def _raw(text: Column, **slots: Column) -> Column:
     """JSON text whose slot values are replaced by given JSON texts."""
 
     for name, value in slots.items():
-        text = F.replace(text, F.lit(f'"@{name}"'), value)
+        text = F.replace(text, F.lit(f'"{_slot(name)}"'), value)
     return text
 
 
@@ -69,7 +79,7 @@ def _ocsf() -> Column:
         uid=F.col("event_id"),
         actor=F.struct("principal_id", "principal_type"),
         device=F.struct(F.col("source_instance_id").alias("uid")),
-        raw_data=F.lit("@event"),
+        raw_data=F.lit(_slot("event")),
     )
     return _raw(text, event=F.col("event"))
 
@@ -86,7 +96,7 @@ def _ecs() -> Column:
             ),
             "trace": F.struct(F.col("trace_id").alias("id")),
             "agent": F.struct(F.col("source_component").alias("name")),
-            NAMESPACE: F.lit("@event"),
+            NAMESPACE: F.lit(_slot("event")),
         }
     )
     return _raw(text, event=F.col("event"))
@@ -97,7 +107,7 @@ def _splunk() -> Column:
         time=canonical_ts(F.col("occurred_at")),
         source=F.lit(NAMESPACE),
         sourcetype=F.lit(f"{NAMESPACE}:evidence"),
-        event=F.lit("@event"),
+        event=F.lit(_slot("event")),
     )
     return _raw(text, event=F.col("event"))
 
@@ -130,7 +140,7 @@ def _stix_objects() -> Column:
             f"x_{NAMESPACE}_event_type": F.col("event_type"),
             f"x_{NAMESPACE}_trace_id": F.col("trace_id"),
             f"x_{NAMESPACE}_run_id": F.col("run_id"),
-            f"x_{NAMESPACE}_redacted_event": F.lit("@event"),
+            f"x_{NAMESPACE}_redacted_event": F.lit(_slot("event")),
         },
     )
     note = sorted_json(
@@ -153,14 +163,14 @@ def _stix() -> Column:
         type=F.lit("bundle"),
         id=_stix_id("bundle"),
         spec_version=F.lit("2.1"),
-        objects=F.lit("@objects"),
+        objects=F.lit(_slot("objects")),
     )
     return _raw(text, objects=_stix_objects())
 
 
 def _taxii() -> Column:
     return _raw(
-        sorted_json(more=F.lit(False), objects=F.lit("@objects")), objects=_stix_objects()
+        sorted_json(more=F.lit(False), objects=F.lit(_slot("objects"))), objects=_stix_objects()
     )
 
 

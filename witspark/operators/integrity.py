@@ -235,7 +235,8 @@ def ordered_digest(df: DataFrame, keys, number: str, content: Column, levels: in
     """Digest of all contents of a key in number order, as a tree of digests.
 
     A node covers at most FANOUT children, so that no task ever holds a whole
-    journal; three levels reach eight billion records per key.
+    journal. Where more than one node is left above the last level (with three
+    levels: beyond eight billion records), the root covers all of them.
     """
 
     nodes = df.select(
@@ -251,7 +252,10 @@ def ordered_digest(df: DataFrame, keys, number: str, content: Column, levels: in
                 F.sha2(F.array_join(F.transform("__l", lambda e: e["__d"]), ""), 256).alias("__d"),
             )
         )
-    return nodes.groupBy(*keys).agg(F.concat(F.lit("sha256:"), F.min("__d")).alias("digest"))
+    top = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__d"))).alias("__l"))
+    several = F.sha2(F.array_join(F.transform("__l", lambda e: e["__d"]), ""), 256)
+    root = F.when(F.size("__l") == 1, F.col("__l")[0]["__d"]).otherwise(several)
+    return top.select(*keys, F.concat(F.lit("sha256:"), root).alias("digest"))
 
 
 def source_identity(df: DataFrame, verdict: DataFrame) -> DataFrame:

@@ -36,13 +36,16 @@ def _plain(kind: str, source, window) -> Column:
     raise ValueError(f"unknown kind: {kind}")
 
 
-def in_order(df: DataFrame, keys: list[str], order: list[str], wanted: dict) -> DataFrame:
+def in_order(
+    df: DataFrame, keys: list[str], order: list[str], wanted: dict, hot: bool | None = None
+) -> DataFrame:
     """Add one column per entry of `wanted`: name -> (kind, source column or None).
 
     `order` names columns that together order the rows of a group strictly.
+    `hot` says whether a group needs splitting; without it the groups are counted.
     """
 
-    if not has_hot_group(df, keys):
+    if not (has_hot_group(df, keys) if hot is None else hot):
         window = W.partitionBy(*keys).orderBy(*order)
         return df.select(
             "*",
@@ -52,9 +55,12 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], wanted: dict) ->
 
 
 def _split(df: DataFrame, keys, order, wanted) -> DataFrame:
+    # The piece is written into the rows, so that it means the same in every plan.
     pieces = cut(
-        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    ).withColumn("__piece", F.spark_partition_id())
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("__piece", F.spark_partition_id())
+    )
     here = W.partitionBy("__piece", *keys).orderBy(*order)
     whole = here.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     local = pieces.select(

@@ -177,7 +177,8 @@ def filtered_timeline(df: DataFrame, *, ids=("event_id",), payload="payload", **
         for name in ("tool_name", "descriptor_hash", "resource"):
             if filters.get(name) is not None:
                 escaped = json.dumps(filters[name], ensure_ascii=False)[1:-1]
-                df = df.filter(F.col(payload).contains(escaped))
+                # An escape may spell it otherwise, so a text with a backslash is walked too.
+                df = df.filter(F.col(payload).contains(escaped) | F.col(payload).contains("\\"))
         nodes = walk_json(df, list(ids), payload, kinds=("string",))
         hits = nodes.groupBy(*ids).agg(*[F.max(d).alias(f"hit_{i}") for i, d in enumerate(deep)])
         for i in range(len(deep)):
@@ -364,7 +365,7 @@ def explain_events(df: DataFrame, event_id: str | None = None) -> DataFrame:
     return rows.join(known, "event_id", "left_semi")
 
 
-def causal_depth(df: DataFrame, max_rounds: int = 40) -> DataFrame:
+def causal_depth(df: DataFrame) -> DataFrame:
     """Root and depth of every event over parent links, by pointer doubling.
 
     Round r knows the ancestor 2^r steps up, so a chain of a million events
@@ -383,9 +384,9 @@ def causal_depth(df: DataFrame, max_rounds: int = 40) -> DataFrame:
         F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
     )
     state = cut(state)
-    for _ in range(max_rounds):
-        if state.filter("up IS NOT NULL").isEmpty():
-            break
+    # A round settles events as long as some chain goes on; what is left then is cycles.
+    left, before = state.filter("up IS NOT NULL").count(), None
+    while left and left != before:
         above = state.select(
             F.col("event_id").alias("up"),
             F.col("up").alias("next"),
@@ -400,6 +401,7 @@ def causal_depth(df: DataFrame, max_rounds: int = 40) -> DataFrame:
                 (F.col("depth") + F.coalesce("above_depth", F.lit(0))).alias("depth"),
             )
         )
+        left, before = state.filter("up IS NOT NULL").count(), left
     return state.select(
         "event_id",
         F.when(F.col("up").isNull(), F.col("root")).alias("root"),
@@ -407,10 +409,13 @@ def causal_depth(df: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
 
 
-def causal_closure(
-    df: DataFrame, seeds: DataFrame, direction: str = "ancestors", max_depth: int = 64
-) -> DataFrame:
-    """(seed, event_id, depth) reached from the seeds over parent links, level by level."""
+def causal_closure(df: DataFrame, seeds: DataFrame, direction: str = "ancestors") -> DataFrame:
+    """(seed, event_id, depth) reached from the seeds over parent links, level by level.
+
+    Goes on until nothing new is reached; an event reached before is not followed
+    again, so cycles end and every depth is the least one. A seed that lies on a
+    cycle is not its own ancestor.
+    """
 
     edges = df.filter("parent_event_id IS NOT NULL")
     if direction == "ancestors":
@@ -420,25 +425,21 @@ def causal_closure(
         )
     else:
         edges = edges.select(F.col("parent_event_id").alias("at"), F.col("event_id").alias("to"))
+    edges = cut(edges)
     front = cut(
-        seeds.select(F.col("event_id").alias("seed"), "event_id", F.lit(0).alias("depth"))
+        seeds.select(F.col("event_id").alias("seed"), "event_id", F.lit(0).alias("depth")).distinct()
     )
-    levels = []
-    for depth in range(1, max_depth + 1):
-        front = cut(
-            front.join(edges, front["event_id"] == edges["at"])
-            .select("seed", F.col("to").alias("event_id"), F.lit(depth).alias("depth"))
-            .distinct()
+    reached, depth = front, 0
+    while not front.isEmpty():
+        depth += 1
+        near = front.join(edges, front["event_id"] == edges["at"]).select(
+            "seed", F.col("to").alias("event_id"), F.lit(depth).alias("depth")
         )
-        if front.isEmpty():
-            break
-        levels.append(front)
-    if not levels:
-        return front
-    reached = levels[0]
-    for level in levels[1:]:
-        reached = reached.union(level)
-    return reached.groupBy("seed", "event_id").agg(F.min("depth").alias("depth"))
+        front = cut(near.distinct().join(reached.select("seed", "event_id"), ["seed", "event_id"], "left_anti"))
+        reached = reached.union(front)
+        if depth % 16 == 0:  # keeps the union, and so the plan, short on long chains
+            reached = cut(reached)
+    return reached.filter("depth > 0")
 
 
 def console_tables(df: DataFrame) -> dict[str, DataFrame]:

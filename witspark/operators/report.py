@@ -265,7 +265,7 @@ def tool_identities(df: DataFrame, ids, payload: str = "payload") -> DataFrame:
         keys=("name", "descriptor_hash", "server_identity"),
         kinds=("string", "number", "boolean"),
     )
-    nodes = nodes.withColumn("holder", F.regexp_replace("path", r"\.[^.]*$", ""))
+    nodes = nodes.withColumnRenamed("up", "holder")
     objects = nodes.groupBy(*ids, "holder").agg(
         *[
             F.max(F.when(F.col("key") == k, F.col("text"))).alias(k)
@@ -345,7 +345,7 @@ def json_diff(left: DataFrame, right: DataFrame, ids, col: str = "report") -> Da
         return walked.select(
             *ids,
             "path",
-            F.regexp_replace("path", r"(\.[^.\[]*|\[\d+\])$", "").alias("up"),
+            "up",
             F.col("key").alias(f"{side}_key"),
             F.when(F.col("kind") == "capture", "object").otherwise(F.col("kind")).alias(f"{side}_kind"),
             F.col("text").alias(f"{side}_text"),

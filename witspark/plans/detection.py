@@ -155,7 +155,7 @@ STAGED = Rule(
 )
 def stage_match(spark, sf_dir):
     events = flat_events(spark, sf_dir)
-    return events.select("event_id", detect.stage_mask(STAGED, Resolver()).alias("mask")).filter(
+    return events.select("event_id", detect.stage_mask(STAGED, Resolver())[0].alias("mask")).filter(
         "mask > 0"
     )
 

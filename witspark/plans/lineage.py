@@ -62,18 +62,35 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _state_of(spark: SparkSession, source: str) -> str:
+    """Digest of the paths, sizes and times of the files below `source`."""
+
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(source)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files = system.listFiles(path, True)
+    found = []
+    while files.hasNext():
+        file = files.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 def written_table(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     """A derived table written once per application to the shared folder, then scanned.
 
+    It is written again when the files below `source` have changed.
+
     Later queries read only the columns and rows they need from Parquet, and
     their plans start at a scan instead of at the whole derivation.
     """
 
     context = spark.sparkContext
-    key = (context.applicationId, name, source)
+    state = _state_of(spark, source)
+    key = (context.applicationId, name, source, state)
     if key not in _WRITTEN:
         folder = shared_folder(spark)
-        digest = hashlib.sha256(source.encode()).hexdigest()[:12]
+        digest = hashlib.sha256(f"{source} {state}".encode()).hexdigest()[:12]
         path = f"{folder}/tables/{name}-{digest}"
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path

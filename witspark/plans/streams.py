@@ -15,22 +15,35 @@ from witspark.plans.registry import query
 from witspark.sources.tables import event_line, evidence_events, flat_events
 from witspark.streaming import ops
 
-# Longer than one slice, so that no row of a slice is late for its neighbours.
-DELAY = "15 days"
-_SLICES = ("2024-01-11", "2024-01-21")
+def replay(spark, df, time="occurred_at"):
+    """`df` written in time order as three slices and a closing row, and read back.
 
+    Returns the stream, with the column `closing` true for the closing row alone,
+    and a watermark delay longer than a slice, so that no row of a slice is late
+    for its neighbours. The closing row lies far enough ahead for the watermark to
+    pass all real rows. Both follow from the times in `df`.
+    """
 
-def replay(spark, df, time="occurred_at"):
-    """`df` written in time order as three slices and a closing row, read back as a stream."""
     folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex[:12]}"
-    first, second = [F.lit(t).cast("timestamp") for t in _SLICES]
-    at = F.col(time)
-    for part in (at < first, (at >= first) & (at < second), at >= second):
-        df.filter(part).write.mode("append").parquet(folder)
-    # One row far ahead lets the watermark pass all real rows.
+    low, high = df.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    low, high = low or 0, high or 0
+    third = (high - low) // 3 + 1
+    at = F.unix_micros(time)
+    marked = df.withColumn("closing", F.lit(False))
+    for i in range(3):
+        own = (at >= low + i * third) & (at < low + (i + 1) * third)
+        marked.filter(own).write.mode("append").parquet(folder)
+    seconds = third * 3 // 2 // 1_000_000 + 60
     last = df.agg(F.max_by(F.struct(*df.columns), time).alias("e")).select("e.*")
-    last.withColumn(time, F.lit("2025-01-01").cast("timestamp")).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    ahead = F.timestamp_micros(F.lit(high + (2 * seconds + 60) * 1_000_000))
+    (
+        last.withColumn(time, ahead.cast(df.schema[time].dataType))
+        .withColumn("closing", F.lit(True))
+        .write.mode("append")
+        .parquet(folder)
+    )
+    stream = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return stream, f"{seconds} seconds"
 
 
 def finish(spark, stream):
@@ -75,8 +88,8 @@ def _records(spark, sf_dir):
     FROM r LEFT JOIN c ON c.key = r.key LEFT JOIN r o ON o.key = c.key AND o.n = c.n""",
 )
 def idempotent_ingest(spark, sf_dir):
-    stream = replay(spark, _records(spark, sf_dir)).filter("occurred_at < '2025-01-01'")
-    return finish(spark, ops.stream_ingest(stream))
+    stream, _ = replay(spark, _records(spark, sf_dir))
+    return finish(spark, ops.stream_ingest(stream.filter("NOT closing")))
 
 
 def _funnel():
@@ -88,15 +101,16 @@ def _funnel():
 @query("str_stream_sequence_match", sequence_sql([("funnel", "trace_id", FUNNEL_SQL, None)]))
 def sequence_match(spark, sf_dir):
     events = flat_events(spark, sf_dir, payload=False)
-    closing = replay(spark, events).withColumns(
+    stream, delay = replay(spark, events)
+    closing = stream.withColumns(
         {
             # The closing row must reach the matcher to move its watermark.
-            "event_type": F.when(F.col("occurred_at") < "2025-01-01", F.col("event_type")).otherwise(FUNNEL[0]),
-            "trace_id": F.when(F.col("occurred_at") < "2025-01-01", F.col("trace_id")).otherwise("closing"),
+            "event_type": F.when(F.col("closing"), FUNNEL[0]).otherwise(F.col("event_type")),
+            "trace_id": F.when(F.col("closing"), "closing").otherwise(F.col("trace_id")),
         }
     )
     stream = closing.withColumn("payload_v", F.try_parse_json("payload"))
-    rows = finish(spark, ops.stream_sequences(stream, [_funnel()], DELAY))
+    rows = finish(spark, ops.stream_sequences(stream, [_funnel()], delay))
     return rows.select(
         F.lit("funnel").alias("rule_id"),
         F.array_join(F.from_json("group_key", "array<string>"), ",").alias("grp"),
@@ -116,8 +130,10 @@ def suppression(spark, sf_dir):
         F.unix_micros("occurred_at").alias("first_us"),
         "occurred_at",
     )
-    stream = replay(spark, matches).filter("occurred_at < '2025-01-01'")
-    rows = finish(spark, ops.stream_suppression(stream, 172800.0))
+    stream, delay = replay(spark, matches)
+    # The closing row moves the watermark; its own time is never passed.
+    timed = stream.withColumn("first_us", F.unix_micros("occurred_at"))
+    rows = finish(spark, ops.stream_suppression(timed, 172800.0, delay))
     return rows.select(
         F.lit("quiet").alias("rule_id"), F.col("group_key").alias("grp"), F.col("match_id").alias("ids")
     )
@@ -130,9 +146,10 @@ def suppression(spark, sf_dir):
 )
 def status_counts(spark, sf_dir):
     events = evidence_events(spark, sf_dir).select("run_id", "verification_status", "occurred_at")
-    stream = replay(spark, events.filter("verification_status IS NOT NULL"))
-    rows = finish(spark, ops.stream_status_counts(stream, DELAY))
-    return rows.filter("start < '2025-01-01'").select(
+    stream, delay = replay(spark, events.filter("verification_status IS NOT NULL"))
+    # The window of the closing row is never passed by the watermark.
+    rows = finish(spark, ops.stream_status_counts(stream, delay))
+    return rows.select(
         "run_id", "verification_status", F.unix_micros("start").alias("start_us"), "events"
     )
 
@@ -152,13 +169,14 @@ def timeout_evidence(spark, sf_dir):
     seen = events.filter("evidence_subject_event_id IS NOT NULL").select(
         F.col("evidence_subject_event_id").alias("subject_event_id"), F.col("occurred_at").alias("observed_at")
     )
+    actions, delay = replay(spark, acted)
+    observations, other = replay(spark, seen, "observed_at")
+    closing = F.when(F.col("closing"), "closing").otherwise(F.col("event_id"))
     stream = ops.stream_timeouts(
-        replay(spark, acted).withColumn(
-            "event_id", F.when(F.col("occurred_at") < "2025-01-01", F.col("event_id")).otherwise("closing")
-        ),
-        replay(spark, seen, "observed_at"),
+        actions.withColumn("event_id", closing),
+        observations,
         300,
-        DELAY,
+        max(delay, other, key=lambda d: int(d.split()[0])),
     )
     return finish(spark, stream).filter("event_id <> 'closing'")
 
@@ -169,7 +187,7 @@ def timeout_evidence(spark, sf_dir):
 )
 def stream_export(spark, sf_dir):
     lines = event_line(flat_events(spark, sf_dir)).drop("payload_v", "payload")
-    stream = replay(spark, lines).filter("occurred_at < '2025-01-01'")
+    stream = replay(spark, lines)[0].filter("NOT closing").drop("closing")
     folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex[:12]}"
     ops.stream_export(stream, "sigma", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     rows = spark.read.option("lineSep", "\n").text(f"{folder}/out/batch=*")

@@ -47,6 +47,7 @@ class _Ingest(StatefulProcessor):
         claim = self.claim.get() if self.claim.exists() else None
         start = claim
         out = []
+        # All rows of one micro-batch take part in the order of arrival.
         frame = pd.concat(list(rows), ignore_index=True)
         frame = frame.sort_values(["us", "arrival"], kind="stable")
         for row in frame.itertuples(index=False):
@@ -94,7 +95,7 @@ _ROW = T.StructType(
         T.StructField("us", T.LongType()),
         T.StructField("sequence", T.LongType()),
         T.StructField("event_id", T.StringType()),
-        T.StructField("mask", T.LongType()),
+        T.StructField("mask", T.ArrayType(T.LongType())),
         T.StructField("suppression", T.StringType()),
     ]
 )
@@ -107,65 +108,96 @@ _PARTIAL = T.StructType(
 )
 
 
-class _Sequence(StatefulProcessor):
-    """Holds rows until the watermark has passed them, then folds them in event order.
+class _ByTime(StatefulProcessor):
+    """Holds rows until the watermark has passed them, then hands them on in event order.
 
-    Between folds only the partial match is kept. It does not expire: a late
-    completion uses up its events, just as in the batch form.
+    Rows wait in slots of `slot_ms`, each with a timer at its end, so a timer reads
+    only the rows that are due. Timers of a key fire in the order of their times.
     """
 
-    def __init__(self, plans):
-        self.plans = plans
+    row: T.StructType
+    columns: list[str]
+
+    def __init__(self, slot_ms: int):
+        self.slot_ms = max(1, slot_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ROW)
-        self.partial = handle.getValueState("partial", _PARTIAL)
+        slot = T.StructType([T.StructField("slot", T.LongType())])
+        rows = T.StructType([T.StructField("rows", T.ArrayType(self.row))])
+        self.waiting = handle.getMapState("waiting", slot, rows)
+
+    def rows_of(self, frame: pd.DataFrame) -> list[tuple]:
+        """Rows as tuples that begin with their time in microseconds."""
+
+        names = [f.name for f in self.row.fields]
+        return list(zip(*[frame[n].tolist() for n in names]))
 
     def handleInputRows(self, key, rows, timerValues):
-        first = None
         for frame in rows:
-            self.waiting.appendList(
-                list(
-                    zip(
-                        frame["us"].tolist(),
-                        frame["sequence"].tolist(),
-                        frame["event_id"].tolist(),
-                        frame["mask"].tolist(),
-                        frame["suppression"].tolist(),
-                    )
-                )
-            )
-            low = int(frame["us"].min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
-        yield pd.DataFrame(columns=_MATCH_COLUMNS)
+            slots: dict[int, list] = {}
+            for row in self.rows_of(frame):
+                row = tuple(list(map(int, v)) if hasattr(v, "__len__") and not isinstance(v, str) else v for v in row)
+                slots.setdefault(row[0] // 1000 // self.slot_ms, []).append(row)
+            for slot, found in slots.items():
+                if self.waiting.containsKey((slot,)):
+                    found = [*map(tuple, self.waiting.getValue((slot,))[0]), *found]
+                else:
+                    self.handle.registerTimer((slot + 1) * self.slot_ms)
+                self.waiting.updateValue((slot,), (found,))
+        yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in rows if r[0] < passed]
-        later = [r for r in rows if r[0] >= passed]
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
+        rows = sorted((tuple(r) for r in self.waiting.getValue((slot,))[0]), key=self.order)
+        self.waiting.removeKey((slot,))
+        yield pd.DataFrame(self.handle_due(key, rows), columns=self.columns)
+
+    def order(self, row):
+        return row[:3]
+
+    def handle_due(self, key, rows) -> list[tuple]:
+        raise TypeError("a subclass handles the due rows")
+
+    def close(self) -> None:
+        pass
+
+
+def _slot(delay: str) -> int:
+    """A thirty-second part of the delay, in milliseconds."""
+
+    return int(pd.Timedelta(delay).total_seconds() * 1000) // 32
+
+
+class _Sequence(_ByTime):
+    """Folds due rows; between folds only the partial match is kept.
+
+    The partial match does not expire: a late completion uses up its events, just
+    as in the batch form.
+    """
+
+    row = _ROW
+
+    def __init__(self, plans, slot_ms: int):
+        super().__init__(slot_ms)
+        self.plans, self.columns = plans, _MATCH_COLUMNS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.partial = handle.getValueState("partial", _PARTIAL)
+
+    def handle_due(self, key, rows):
         fold = _Fold(*self.plans[key[0]])
         if self.partial.exists():
             ids, times, suppression = self.partial.get()
             fold.start(list(ids), list(times), suppression)
         out = []
-        for us, _sequence, event_id, mask, suppression in due:
+        for us, _sequence, event_id, mask, suppression in rows:
             done = fold.step(mask, us, event_id, suppression)
             if done is not None:
                 out.append((key[0], key[1], *done))
         self.partial.update((fold.ids, fold.times, fold.suppression))
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        yield pd.DataFrame(out, columns=_MATCH_COLUMNS)
-
-    def close(self) -> None:
-        pass
+        return out
 
 
 _MATCH_COLUMNS = ["rule_no", "group_key", "event_ids", "first_us", "last_us", "suppression"]
@@ -187,7 +219,7 @@ def stream_sequences(events: DataFrame, rules, delay: str, resolver=None) -> Dat
     hits = candidates(events, rules, resolver)
     timed = hits.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
     return timed.groupBy("rule_no", "group_key").transformWithStateInPandas(
-        statefulProcessor=_Sequence(plans),
+        statefulProcessor=_Sequence(plans, _slot(delay)),
         outputStructType=(
             "rule_no int, group_key string, event_ids array<string>, first_us bigint,"
             " last_us bigint, suppression string"
@@ -197,39 +229,49 @@ def stream_sequences(events: DataFrame, rules, delay: str, resolver=None) -> Dat
     )
 
 
-class _Suppress(StatefulProcessor):
-    def __init__(self, limit_us: int):
+class _Suppress(_ByTime):
+    """Judges matches in event order, whatever order they arrive in."""
+
+    row = T.StructType(
+        [T.StructField("first_us", T.LongType()), T.StructField("match_id", T.StringType())]
+    )
+    columns = ["group_key", "suppression", "match_id", "first_us"]
+
+    def __init__(self, limit_us: int, slot_ms: int):
+        super().__init__(slot_ms)
         self.limit_us = limit_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         schema = T.StructType([T.StructField("us", T.LongType())])
         self.last = handle.getValueState("last", schema)
 
-    def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows), ignore_index=True).sort_values("first_us", kind="stable")
+    def handle_due(self, key, rows):
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        for row in frame.itertuples(index=False):
-            if last is not None and row.first_us - last <= self.limit_us:
+        for first_us, match_id in rows:
+            if last is not None and first_us - last <= self.limit_us:
                 continue
-            last = row.first_us
-            kept.append((row.group_key, row.suppression, row.match_id, row.first_us))
+            last = first_us
+            kept.append((key[0], key[1], match_id, first_us))
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame(kept, columns=["group_key", "suppression", "match_id", "first_us"])
+        return kept
 
-    def close(self) -> None:
-        pass
 
+def stream_suppression(matches: DataFrame, seconds: float, delay: str) -> DataFrame:
+    """Matches (group_key, suppression, match_id, first_us) that are not suppressed.
 
-def stream_suppression(matches: DataFrame, seconds: float) -> DataFrame:
-    """Matches (group_key, suppression, match_id, first_us) that are not suppressed."""
+    A match is judged once the watermark has passed it; matches that are later
+    than the watermark are dropped.
+    """
 
-    return matches.groupBy("group_key", "suppression").transformWithStateInPandas(
-        statefulProcessor=_Suppress(round(seconds * 1e6)),
+    timed = matches.withColumn("at", F.timestamp_micros("first_us")).withWatermark("at", delay)
+    return timed.groupBy("group_key", "suppression").transformWithStateInPandas(
+        statefulProcessor=_Suppress(round(seconds * 1e6), _slot(delay)),
         outputStructType="group_key string, suppression string, match_id string, first_us bigint",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
