@@ -446,8 +446,8 @@ def evaluate_rules(
 ) -> DataFrame:
     """Matches of all rules in one pass over the events.
 
-    Columns: rule_id, rule_name, severity, group_key (array), event_ids (array),
-    first_us and last_us.
+    Columns: rule_id, rule_name, rule_version, severity, tags (array),
+    required_evidence_quality, group_key (array), event_ids (array), first_us and last_us.
     """
 
     rules = [r for r in rules if r.stages and (rule_ids is None or r.rule_id in rule_ids)]
@@ -481,7 +481,12 @@ def evaluate_rules(
     return matches.select(
         constant([r.rule_id for r in rules]).alias("rule_id"),
         constant([r.name for r in rules]).alias("rule_name"),
+        constant([r.version for r in rules]).alias("rule_version"),
         constant([r.severity for r in rules]).alias("severity"),
+        F.from_json(constant([json.dumps(r.tags) for r in rules]), "array<string>").alias("tags"),
+        constant([r.required_evidence_quality for r in rules])
+        .cast("string")
+        .alias("required_evidence_quality"),
         F.from_json("group_key", "array<string>").alias("group_key"),
         "event_ids",
         "first_us",
@@ -495,7 +500,10 @@ def alert_rows(matches: DataFrame) -> DataFrame:
     return matches.select(
         "rule_id",
         "rule_name",
+        "rule_version",
         "severity",
+        "tags",
+        "required_evidence_quality",
         "group_key",
         F.posexplode("event_ids").alias("stage_index", "event_id"),
     )

@@ -27,6 +27,11 @@ class Rule:
     deduplicate: bool = True
     suppression_seconds: float | None = None
     suppression_key: tuple[str, ...] = ()
+    version: str = "1"
+    tags: tuple[str, ...] = ()
+    rationale: str | None = None
+    references: tuple[str, ...] = ()
+    required_evidence_quality: str | None = None
 
 
 _UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
@@ -67,6 +72,11 @@ def rule_from_dict(data: dict) -> Rule:
             data.get("suppression_seconds", data.get("suppression"))
         ),
         suppression_key=tuple(data.get("suppression_key", ())),
+        version=str(data.get("version", "1")),
+        tags=tuple(data.get("tags", ())),
+        rationale=data.get("rationale"),
+        references=tuple(data.get("references", ())),
+        required_evidence_quality=data.get("required_evidence_quality"),
     )
 
 

@@ -392,3 +392,18 @@ def alert_rows(spark, sf_dir):
         "event_id",
         F.col("stage_index").cast("bigint").alias("stage_index"),
     )
+
+
+@query(
+    "det_explain_candidates",
+    "WITH {EV} "
+    + " UNION ALL ".join(
+        f"SELECT trace_id AS grp, event_id, {i}::BIGINT AS stage_index FROM ev WHERE {condition}"
+        for i, condition in enumerate(FUNNEL_SQL)
+    ),
+)
+def explain_candidates(spark, sf_dir):
+    """Every event that some stage of the funnel could take."""
+    return detect.explain_candidates(flat_events(spark, sf_dir), funnel()).select(
+        F.array_join("group_key", ",").alias("grp"), "event_id", F.col("stage_index").cast("bigint").alias("stage_index")
+    )

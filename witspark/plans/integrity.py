@@ -1,13 +1,16 @@
 """Hash chain queries over `conversations` seen as journals."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from witspark import schema as S
 from witspark.operators import integrity as I
 from witspark.operators.project import project
 from witspark.operators.validate import parse_events
-from witspark.plans.lineage import written_table
+from witspark.plans.lineage import shared_folder, written_table
 from witspark.plans.registry import query
+from witspark.sources.journal import write_case_bundles
 from witspark.sources.tables import conversation_events, event_line, flat_events
 
 AT_TEXT = "2025-01-01T00:00:00Z"
@@ -462,6 +465,56 @@ def case_bundle(spark, sf_dir):
     return sizes.join(digests, "journal_id").withColumnRenamed("journal_id", "case_id")
 
 
+@query(
+    "prj_case_bundle_files",
+    f"""{CHAIN} SELECT journal_id AS case_id, 'events' AS part, count(*) AS lines,
+    sum(octet_length(encode(line)) + 1)::BIGINT AS size_bytes FROM ln GROUP BY journal_id
+    UNION ALL SELECT journal_id, 'summary', 1, octet_length(encode('{{"field":"records","value":"' || journal_id
+    || '","events":' || count(*) || '}}')) + 1 FROM ln GROUP BY journal_id""",
+)
+def case_bundle_files(spark, sf_dir):
+    """Case bundles written as files; lines read back, bytes from the manifest."""
+    df = chained(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/bundles-{uuid.uuid4().hex[:12]}"
+    summary = df.groupBy("journal_id").agg(F.count(F.lit(1)).alias("events")).select(
+        "journal_id", F.lit("records").alias("field"), F.col("journal_id").alias("value"), "events"
+    )
+    events = df.select(
+        "journal_id",
+        F.timestamp_seconds("record_number").alias("occurred_at"),
+        F.col("record_number").alias("sequence"),
+        F.sha2("line", 256).alias("event_id"),
+        "line",
+    )
+    manifest = write_case_bundles(events, folder, summary, by="journal_id")
+    sizes = manifest.groupBy("case_id", "part").agg(F.sum("size_bytes").alias("size_bytes"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)
+    path = F.col("_metadata.file_path")
+    counts = lines.groupBy(
+        F.url_decode(F.regexp_extract(path, r"case_id=([^/]+)/", 1)).alias("case_id"),
+        F.regexp_extract(path, r"/(events|summary)/case_id=", 1).alias("part"),
+    ).agg(F.count(F.lit(1)).alias("lines"))
+    return counts.join(sizes, ["case_id", "part"])
+
+
+@query(
+    "int_append_events",
+    "WITH {EV} SELECT run_id AS journal_id, count(*) AS appended, 0::BIGINT AS failed, max(sequence) + 1 AS last_record"
+    " FROM evc GROUP BY run_id",
+)
+def append_events(spark, sf_dir):
+    """Events redacted, chained and read back: records of each run, and those that failed."""
+    lines = event_line(flat_events(spark, sf_dir)).select(
+        F.col("run_id").alias("journal_id"), (F.col("sequence") + 1).alias("record_number"), "line"
+    )
+    good, bad = I.append_events(lines)
+    appended = good.groupBy("journal_id").agg(
+        F.count(F.lit(1)).alias("appended"), F.max("record_number").alias("last_record")
+    )
+    failed = bad.groupBy("journal_id").agg(F.count(F.lit(1)).alias("failed"))
+    return appended.join(failed, "journal_id", "left").withColumn("failed", F.coalesce("failed", F.lit(0)))
+
+
 def event_journals(spark, sf_dir):
     """Every run of `events` as a journal, chained once and kept on the shared folder."""
 

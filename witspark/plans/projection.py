@@ -1,9 +1,12 @@
 """Queries over the flat projection of `events`."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from witspark.operators import graph, project
 from witspark.operators.validate import parse_events
+from witspark.plans.lineage import shared_folder
 from witspark.plans.registry import query
 from witspark.sources.tables import event_line, evidence_events, flat_events
 
@@ -305,6 +308,59 @@ def causal_closure(spark, sf_dir):
     return project.causal_depth(flat_events(spark, sf_dir, payload=False))
 
 
+def _closure_sql(event_type, step):
+    return f"""WITH RECURSIVE {{EV}}, s AS (SELECT event_id AS seed FROM evp WHERE event_type = '{event_type}'),
+    c AS (SELECT seed, seed AS event_id, 0::BIGINT AS depth FROM s
+    UNION ALL SELECT c.seed, {step})
+    SELECT seed, event_id, min(depth) AS depth FROM c WHERE depth > 0 GROUP BY ALL"""
+
+
+def _closure(spark, sf_dir, event_type, direction):
+    rows = evidence_events(spark, sf_dir)
+    seeds = rows.filter(F.col("event_type") == event_type).select("event_id")
+    found = project.causal_closure(rows, seeds, direction)
+    return found.withColumn("depth", F.col("depth").cast("bigint"))
+
+
+@query(
+    "prj_causal_ancestors",
+    _closure_sql(
+        "side_effect.unverified",
+        "p.event_id AS event_id, c.depth + 1 FROM c JOIN evp e ON e.event_id = c.event_id"
+        " JOIN evp p ON p.event_id = e.parent_event_id",
+    ),
+)
+def causal_ancestors(spark, sf_dir):
+    """All events that the unverified side effects descend from."""
+    return _closure(spark, sf_dir, "side_effect.unverified", "ancestors")
+
+
+@query(
+    "prj_causal_descendants",
+    _closure_sql(
+        "agent.run.started",
+        "e.event_id AS event_id, c.depth + 1 FROM c JOIN evp e ON e.parent_event_id = c.event_id",
+    ),
+)
+def causal_descendants(spark, sf_dir):
+    """All events that descend from a started run."""
+    return _closure(spark, sf_dir, "agent.run.started", "descendants")
+
+
+@query(
+    "prj_projection_round_trip",
+    """WITH {EV} SELECT event_id, strftime(occurred_at, '%Y-%m-%d') AS occurred_on, run_id,
+    status AS verification_status FROM evp""",
+)
+def projection_round_trip(spark, sf_dir):
+    """The projection written by day and read again."""
+    folder = f"{shared_folder(spark)}/projection-{uuid.uuid4().hex[:12]}"
+    project.write_projection(evidence_events(spark, sf_dir), folder)
+    return spark.read.parquet(folder).select(
+        "event_id", F.date_format("occurred_on", "yyyy-MM-dd").alias("occurred_on"), "run_id", "verification_status"
+    )
+
+
 @query(
     "prj_console_rows",
     f"""WITH {{EV}} SELECT 'timeline' AS part, event_id AS a, event_type AS b,

@@ -195,3 +195,46 @@ def stream_export(spark, sf_dir):
         F.get_json_object("value", "$.detection.selection.event_id").alias("event_id"),
         F.get_json_object("value", "$.detection.selection.event_type").alias("title_type"),
     )
+
+
+@query(
+    "str_stream_distinct",
+    """WITH {EV} SELECT DISTINCT 'key_' || n % 4000 AS idempotency_key,
+    sha256((n % 4000) || ':' || k % 2) AS fingerprint FROM ev""",
+)
+def distinct(spark, sf_dir):
+    """Records without repeats, with a horizon as long as the replay."""
+    records = _records(spark, sf_dir).select("idempotency_key", "fingerprint", "occurred_at")
+    stream, delay = replay(spark, records)
+    horizon = f"{4 * int(delay.split()[0])} seconds"
+    rows = finish(spark, ops.stream_distinct(stream.filter("NOT closing"), horizon))
+    return rows.select("idempotency_key", "fingerprint")
+
+
+@query(
+    "str_stream_sliding_counts",
+    """WITH {EV}, e AS (SELECT run_id, status, occurred_at FROM evp WHERE status IS NOT NULL), w AS (
+    SELECT run_id, status, date_trunc('day', occurred_at) AS s FROM e UNION ALL
+    SELECT run_id, status, date_trunc('day', occurred_at) - INTERVAL 1 DAY FROM e)
+    SELECT run_id, status AS verification_status, epoch_us(s) AS start_us, count(*) AS events FROM w GROUP BY ALL""",
+)
+def sliding_counts(spark, sf_dir):
+    events = evidence_events(spark, sf_dir).select("run_id", "verification_status", "occurred_at")
+    stream, delay = replay(spark, events.filter("verification_status IS NOT NULL"))
+    rows = finish(spark, ops.stream_status_counts(stream, delay, size="2 days", slide="1 day"))
+    return rows.select("run_id", "verification_status", F.unix_micros("start").alias("start_us"), "events")
+
+
+@query(
+    "str_stream_session_counts",
+    """WITH {EV}, e AS (SELECT run_id, status, epoch_us(occurred_at) AS us FROM evp WHERE status IS NOT NULL),
+    b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY run_id, status ORDER BY us) <= 86400000000 THEN 0 ELSE 1 END AS opens FROM e),
+    g AS (SELECT *, sum(opens) OVER (PARTITION BY run_id, status ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM b)
+    SELECT run_id, status AS verification_status, min(us) AS start_us, count(*) AS events FROM g GROUP BY run_id, status, session""",
+)
+def session_counts(spark, sf_dir):
+    """Sessions end after a day without an event."""
+    events = evidence_events(spark, sf_dir).select("run_id", "verification_status", "occurred_at")
+    stream, delay = replay(spark, events.filter("verification_status IS NOT NULL"))
+    rows = finish(spark, ops.stream_status_counts(stream, delay, gap="1 day"))
+    return rows.select("run_id", "verification_status", F.unix_micros("start").alias("start_us"), "events")
