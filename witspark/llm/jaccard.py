@@ -17,11 +17,11 @@ until it has not. So no link is lost.
 
 Signatures are dealt by their leading bits; a task sorts its own and keeps those
 that several nodes share, as groups. Of each group first the pairs with its
-smallest node are verified by the exact Jaccard of the sets; components follow.
-Then pairs of one group whose nodes are still in different components are compared
-by a parity sketch (each differing element flips one of `SKETCH` bits, so the
-number of different bits never exceeds the true difference) and, where that does
-not rule them out, verified exactly. Groups are never expanded to pairs within a
+smallest node are taken, then, as components are known, those pairs of a group
+whose nodes are still in different components. A parity sketch rules most out
+(each differing element flips one of `SKETCH` bits, so the number of different bits
+never exceeds the true difference); the rest is verified by the exact Jaccard of
+the sets. Groups are never expanded to pairs within a
 component.
 
 Defined cases: null, empty and blank texts have no n-grams and are linked with
@@ -35,7 +35,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from witspark.llm.common import id_type, map_rows, prepare, texts
 from witspark.llm.components import connected
@@ -307,6 +307,17 @@ def _sketch(values: np.ndarray) -> list[int]:
     return np.packbits(odd).view("<i8").tolist()
 
 
+def _possible(threshold: Fraction) -> Column:
+    """Whether sizes and sketches of `l` and `r` allow the threshold; never false for a link."""
+
+    t, u = threshold.numerator, threshold.denominator
+    differ = " + ".join(f"bit_count(l.sketch[{i}] ^ r.sketch[{i}])" for i in range(SKETCH // 64))
+    return F.expr(
+        f"{u} * least(l.n, r.n) >= {t} * greatest(l.n, r.n)"
+        f" and ({differ}) * {u + t} <= {u - t} * (l.n + r.n)"
+    )
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (`a`, `b`) whose sets have at least the threshold as Jaccard."""
 
@@ -392,24 +403,24 @@ def _labels(source, docs, groups, size, threshold) -> DataFrame:
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
-    edges = cut(_verified(stars, sets, threshold).distinct())
+    light = sets.select("node", "n", "sketch")
+    likely = (
+        stars.join(light.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("l")), "a")
+        .join(light.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("r")), "b")
+        .filter(_possible(threshold))
+        .select("a", "b")
+    )
+    edges = cut(_verified(likely, sets, threshold).distinct())
     labels = connected(edges)
     # What is left: nodes of one group in different components.
     placed = groups.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("gid").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1")
-    light = sets.select("node", "n", "sketch")
     open_ = cut(placed.join(mixed.select("gid"), "gid").join(light, "node"))
     left, right = open_.alias("l"), open_.alias("r")
-    t, u = threshold.numerator, threshold.denominator
-    differ = " + ".join(f"bit_count(l.sketch[{i}] ^ r.sketch[{i}])" for i in range(SKETCH // 64))
     rest = (
         left.join(
             right,
-            F.expr(
-                "l.gid = r.gid and l.node < r.node and l.comp != r.comp"
-                f" and {u} * least(l.n, r.n) >= {t} * greatest(l.n, r.n)"
-                f" and ({differ}) * {u + t} <= {u - t} * (l.n + r.n)"
-            ),
+            F.expr("l.gid = r.gid and l.node < r.node and l.comp != r.comp") & _possible(threshold),
         )
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
