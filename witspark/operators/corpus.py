@@ -16,7 +16,7 @@ SPELLINGS = (
     ("demo://workspace/", "demo://workspace/./"),
     ("http://receiver.local/", "http://receiver.local:80/"),
 )
-UNCERTAIN_NOTE = "mutation replaced verified outcome with unverified evidence"
+UNCERTAIN_NOTE = "outcome made uncertain by a mutation"
 
 
 def _edit(col: Column, change) -> Column:

@@ -169,9 +169,10 @@ def import_batch(records: DataFrame, existing: DataFrame) -> DataFrame:
     stored = existing.groupBy("idempotency_key").agg(
         F.max_by(F.struct("event_id", "fingerprint"), "position").alias("stored")
     )
-    joined = records.join(claims, "idempotency_key", "left").join(
-        stored, "idempotency_key", "left"
-    )
+    # One entry per key first: the records meet it in a single join, whose popular
+    # keys Spark can split as nothing above it needs them together.
+    entries = claims.join(stored, "idempotency_key", "full")
+    joined = records.join(entries, "idempotency_key", "left")
     claim, old = F.col("claim"), F.col("stored")
     earlier = claim.isNotNull() & (claim["at"] < place)
     entry = F.when(old.isNotNull(), old).when(
@@ -191,8 +192,8 @@ def import_batch(records: DataFrame, existing: DataFrame) -> DataFrame:
         F.when(entry.isNotNull(), entry["event_id"])
         .when(F.col("valid"), F.col("event_id"))
         .alias("event_id"),
-        F.when(status == "conflict", "idempotency key already used for a different record")
-        .when(status == "failed", "record could not be imported")
+        F.when(status == "conflict", "key_claimed_by_other")
+        .when(status == "failed", "not_importable")
         .alias("error"),
     )
 
@@ -387,9 +388,9 @@ def approval_claims(df: DataFrame) -> DataFrame:
     return joined.select(
         *df.columns,
         F.when(accepted, "accepted").otherwise("rejected").alias("status"),
-        F.when(used, "approval nonce was already used")
-        .when(accepted, "approval accepted")
-        .otherwise("approval scope, subject, or expiry is invalid")
+        F.when(used, "nonce_spent")
+        .when(accepted, "approval_ok")
+        .otherwise("approval_invalid")
         .alias("reason"),
     )
 

@@ -9,7 +9,7 @@ from witspark.functions.digest import hmac_sha256, sha256_label, sorted_json
 from witspark.functions.times import canonical_ts
 from witspark.operators.redact import redact_json
 from witspark.operators.validate import parse_events
-from witspark.plans.lineage import broadcast_if_small
+from witspark.plans.lineage import broadcast_if_small, cut
 
 ANCHOR_VERSION = f"{S.NAMESPACE}/anchor-v1"
 ANCHOR_LOG_VERSION = f"{S.NAMESPACE}/anchor-log-v1"
@@ -221,8 +221,11 @@ def first_corrupt(verdict: DataFrame) -> DataFrame:
 def verified_prefix(df: DataFrame, verdict: DataFrame) -> DataFrame:
     """Lines before the first bad record of their journal."""
 
-    bad = verdict.filter("record_number IS NOT NULL").select(
-        "journal_id", F.col("record_number").alias("bad_record")
+    # Counted for its size and joined: the verdict is computed once for both.
+    bad = cut(
+        verdict.filter("record_number IS NOT NULL").select(
+            "journal_id", F.col("record_number").alias("bad_record")
+        )
     )
     marked = df.join(broadcast_if_small(bad), "journal_id", "left")
     return marked.filter("bad_record IS NULL OR record_number < bad_record").drop("bad_record")

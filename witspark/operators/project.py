@@ -14,7 +14,7 @@ from witspark.plans.lineage import cut
 
 TOOL_KEYS = ("name", "tool", "tool_name")
 RESOURCE_KEYS = ("identifier", "path", "uri", "url")
-CLAIM = "No observation recorded is not proof that a side effect did not occur."
+CLAIM = "Nothing observed does not mean that nothing happened."
 TIMELINE_ORDER = ("occurred_at", "sequence", "journal_record_number", "event_id")
 
 

@@ -407,8 +407,8 @@ def mcp_plan(spark, sf_dir):
     t AS (SELECT *, coalesce(max(CASE WHEN valid THEN 1 ELSE 0 END) OVER (PARTITION BY nonce ORDER BY attempt
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM a)
     SELECT nonce, attempt, CASE WHEN used = 0 AND valid THEN 'accepted' ELSE 'rejected' END AS status,
-    CASE WHEN used = 1 THEN 'approval nonce was already used' WHEN valid THEN 'approval accepted'
-    ELSE 'approval scope, subject, or expiry is invalid' END AS reason FROM t""",
+    CASE WHEN used = 1 THEN 'nonce_spent' WHEN valid THEN 'approval_ok'
+    ELSE 'approval_invalid' END AS reason FROM t""",
 )
 def approval_claims(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(

@@ -327,24 +327,24 @@ def sensor(spark, sf_dir):
 
 
 _REASONS = [
-    ("s_suppkey % 4 = 0", "attestation observer_identity does not match observation observer_identity"),
-    ("s_suppkey % 5 = 0", "attestation evidence_kind is not independent_live_telemetry"),
-    ("o_orderstatus = 'P'", "subject action type is required for independent observer attestation"),
-    ("o_orderstatus = 'O' AND s_suppkey % 3 <> 0", "subject action type is outside observer attestation scope"),
-    ("o_orderkey % 6 = 0", "subject resource type is required for independent observer attestation"),
-    ("o_orderkey % 6 = 1", "subject resource type is outside observer attestation scope"),
-    ("rev > DATE '2024-06-30'", "observer attestation review date is in the future"),
-    ("s_suppkey % 7 = 0", "observer attestation declaration is expired"),
-    ("date_diff('day', rev, DATE '2024-06-30') > 365", "observer attestation declaration is stale"),
-    ("s_suppkey % 9 = 0", "observer attestation declares shared dependencies"),
+    ("s_suppkey % 4 = 0", "observer_differs"),
+    ("s_suppkey % 5 = 0", "not_live_telemetry"),
+    ("o_orderstatus = 'P'", "no_action_type"),
+    ("o_orderstatus = 'O' AND s_suppkey % 3 <> 0", "action_not_covered"),
+    ("o_orderkey % 6 = 0", "no_resource_type"),
+    ("o_orderkey % 6 = 1", "resource_not_covered"),
+    ("rev > DATE '2024-06-30'", "reviewed_later"),
+    ("s_suppkey % 7 = 0", "attestation_expired"),
+    ("date_diff('day', rev, DATE '2024-06-30') > 365", "review_too_old"),
+    ("s_suppkey % 9 = 0", "dependencies_shared"),
 ] + [
     item
     for b in O.BOUNDARIES
     for item in (
         (
-            ("s_suppkey % 10 = 3", f"observer attestation is missing {b} boundary")
+            ("s_suppkey % 10 = 3", f"boundary_missing:{b}")
             if b == O.BOUNDARIES[1]
-            else ("s_suppkey % 10 = 4", f"observer attestation {b} boundary is shared")
+            else ("s_suppkey % 10 = 4", f"boundary_shared:{b}")
             if b == O.BOUNDARIES[2]
             else ("false", "")
         ),
@@ -356,7 +356,7 @@ _REASONS = [
     "obs_independence_reasons",
     "WITH j AS (SELECT *, DATE '2023-01-01' + CAST(s_suppkey * 8 % 800 AS INTEGER) AS rev FROM orders LEFT JOIN supplier"
     " ON s_suppkey = o_orderkey % 110) SELECT o_orderkey, CASE WHEN s_suppkey IS NULL THEN"
-    " 'missing reviewed observer attestation declaration' ELSE concat_ws(';', "
+    " 'no_attestation' ELSE concat_ws(';', "
     + ", ".join(f"CASE WHEN {test} THEN '{text}' END" for test, text in _REASONS)
     + ") END AS reasons FROM j",
 )

@@ -242,7 +242,7 @@ def status_counts(spark, sf_dir):
     'Verification statuses: ' || coalesce(shown, 'none recorded') AS statuses,
     'Evidence links: ' || links AS link_line,
     'Conflicting events: ' || CASE WHEN conf = 0 THEN 'none recorded' ELSE CAST(conf AS VARCHAR) END
-    AS conflict_line, 'No observation recorded is not proof that a side effect did not occur.' AS claim
+    AS conflict_line, 'Nothing observed does not mean that nothing happened.' AS claim
     FROM c LEFT JOIN s ON c.run_id = s.run_id""",
 )
 def grounded_summary(spark, sf_dir):

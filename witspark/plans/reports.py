@@ -359,7 +359,7 @@ def tool_call_listing(spark, sf_dir):
             F.when(even, "w").alias("mode"),
             F.when(~even, "/p").alias("path"),
             F.col("url").alias("url"),
-            F.substring("html", 1, 30).alias("body"),
+            F.col("html").alias("body"),
         )
     )
     odd = F.to_json(
@@ -367,7 +367,7 @@ def tool_call_listing(spark, sf_dir):
             F.when(even, "w").alias("mode"),
             F.when(~even, "/p").alias("path"),
             F.col("page_id").alias("url"),
-            F.substring("html", 1, 30).alias("body"),
+            F.col("html").alias("body"),
         )
     )
     df = table(spark, sf_dir, "pages").select(
