@@ -7,15 +7,32 @@ from pyspark.sql import DataFrame, functions as F
 from witspark.operators.project import RESOURCE_KEYS, TOOL_KEYS, summary_values
 
 
-def _entity(df, kind, value, attribute):
-    return df.select(
-        F.concat(F.lit(f"{kind}:"), value).alias("id"),
-        F.lit(kind).alias("kind"),
-        value.alias("label"),
-        F.to_json(F.struct(value.alias(attribute))).alias("attributes"),
+#: Relationship and node kind of the values found in payloads, with the name of the
+#: attribute that holds the value.
+_FOUND = {"tool": ("uses_tool", "name"), "resource": ("references_resource", "identifier")}
+
+
+def _entity(kind, value, attribute):
+    """Node of a value; null where the value is null."""
+
+    return F.when(
+        value.isNotNull(),
+        F.struct(
+            F.concat(F.lit(f"{kind}:"), value).alias("id"),
+            F.lit(kind).alias("kind"),
+            value.alias("label"),
+            F.to_json(F.struct(value.alias(attribute))).alias("attributes"),
+        ),
     )
 
 
+def _exploded(df: DataFrame, structs) -> DataFrame:
+    """One row per struct that is not null, from one scan of `df`."""
+
+    present = F.filter(F.array(*structs), lambda s: s.isNotNull())
+    return df.select(F.explode(present).alias("s")).select("s.*")
+
+
 def _deep_values(df: DataFrame) -> DataFrame:
     return summary_values(
         df, ["event_id"], "payload", {"tool": TOOL_KEYS, "resource": RESOURCE_KEYS}
@@ -25,63 +42,57 @@ def _deep_values(df: DataFrame) -> DataFrame:
 def graph_nodes(df: DataFrame) -> DataFrame:
     """Nodes (id, kind, label, attributes); referenced events not in the table included."""
 
-    events = df.select(
+    link = F.col("evidence_link")
+    both = link["subject_event_id"].isNotNull() & link["evidence_event_id"].isNotNull()
+
+    def reference(event_id):
+        shown = F.struct(event_id.alias("event_id"), F.lit(False).alias("in_selected_timeline"))
+        return F.struct(
+            F.concat(F.lit("event:"), event_id).alias("id"),
+            F.lit("event_reference").alias("kind"),
+            event_id.alias("label"),
+            F.to_json(shown).alias("attributes"),
+        )
+
+    event = F.struct(
         F.concat(F.lit("event:"), F.col("event_id")).alias("id"),
         F.lit("event").alias("kind"),
         F.col("event_type").alias("label"),
-        F.to_json(
-            F.struct("event_id", "event_type", "sequence", "verification_status")
-        ).alias("attributes"),
+        F.to_json(F.struct("event_id", "event_type", "sequence", "verification_status")).alias("attributes"),
     )
-    link = F.col("evidence_link")
-    ends = F.when(
-        link["subject_event_id"].isNotNull() & link["evidence_event_id"].isNotNull(),
-        F.array(link["subject_event_id"], link["evidence_event_id"]),
-    )
-    mentioned = df.select(
-        F.explode(
-            F.concat(
-                F.array("parent_event_id"), F.coalesce(ends, F.array().cast("array<string>"))
-            )
-        ).alias("event_id")
-    ).filter("event_id IS NOT NULL")
-    references = (
-        mentioned.distinct()
-        .join(df.select("event_id"), "event_id", "left_anti")
-        .select(
-            F.concat(F.lit("event:"), F.col("event_id")).alias("id"),
-            F.lit("event_reference").alias("kind"),
-            F.col("event_id").alias("label"),
-            F.to_json(F.struct("event_id", F.lit(False).alias("in_selected_timeline"))).alias(
-                "attributes"
-            ),
-        )
+    parent = F.col("parent_event_id")
+    nodes = _exploded(
+        df,
+        [
+            event,
+            F.when(parent.isNotNull(), reference(parent)),
+            F.when(both, reference(link["subject_event_id"])),
+            F.when(both, reference(link["evidence_event_id"])),
+            _entity("principal", F.col("principal_id"), "principal_id"),
+            _entity("verification_status", F.col("verification_status"), "status"),
+        ],
     )
-    people = df.filter("principal_id IS NOT NULL").select("principal_id").distinct()
-    statuses = df.filter("verification_status IS NOT NULL").select("verification_status").distinct()
-    deep = _deep_values(df).select("field", "value").distinct()
-    return (
-        events.unionByName(references)
-        .unionByName(_entity(people, "principal", F.col("principal_id"), "principal_id"))
-        .unionByName(
-            _entity(statuses, "verification_status", F.col("verification_status"), "status")
-        )
-        .unionByName(_entity(deep.filter("field = 'tool'"), "tool", F.col("value"), "name"))
-        .unionByName(
-            _entity(deep.filter("field = 'resource'"), "resource", F.col("value"), "identifier")
-        )
-        .dropDuplicates(["id"])
+    value, field = F.col("value"), F.col("field")
+    deep = _exploded(
+        _deep_values(df),
+        [F.when(field == kind, _entity(kind, value, name)) for kind, (_, name) in _FOUND.items()],
     )
+    # An event of the table stands before mere references to it ("event" is the lesser kind).
+    merged = nodes.unionByName(deep).groupBy("id").agg(F.min(F.struct("kind", "label", "attributes")).alias("n"))
+    return merged.select("id", "n.*")
 
 
-def _edges(df, relationship, source, target, attributes=None):
+def _edge(present, relationship, source, target, attributes=None):
     relation = F.lit(relationship) if isinstance(relationship, str) else relationship
-    return df.select(
-        F.concat_ws(":", F.lit("edge"), relation, source, target).alias("id"),
-        source.alias("src"),
-        target.alias("dst"),
-        relation.alias("relationship"),
-        (F.lit("{}") if attributes is None else attributes).alias("attributes"),
+    return F.when(
+        present,
+        F.struct(
+            F.concat_ws(":", F.lit("edge"), relation, source, target).alias("id"),
+            source.alias("src"),
+            target.alias("dst"),
+            relation.alias("relationship"),
+            (F.lit("{}") if attributes is None else attributes).alias("attributes"),
+        ),
     )
 
 
@@ -93,10 +104,6 @@ def graph_edges(df: DataFrame) -> DataFrame:
     """Edges (id, src, dst, relationship, attributes), one per id."""
 
     me = _event("event_id")
-    deep = _deep_values(df)
-    linked = df.filter(
-        "evidence_link.subject_event_id IS NOT NULL AND evidence_link.evidence_event_id IS NOT NULL"
-    )
     link = F.col("evidence_link")
     safe = F.to_json(
         F.struct(
@@ -112,44 +119,41 @@ def graph_edges(df: DataFrame) -> DataFrame:
             F.when(F.size(link["limitations"]) > 0, link["limitations"]).alias("limitations"),
         )
     )
-    parts = [
-        _edges(
-            df.filter("parent_event_id IS NOT NULL"), "causal_parent", _event("parent_event_id"), me
-        ),
-        _edges(
-            df.filter("principal_id IS NOT NULL"),
-            "performed_by",
-            me,
-            F.concat(F.lit("principal:"), F.col("principal_id")),
-        ),
-        _edges(
-            deep.filter("field = 'tool'"), "uses_tool", me, F.concat(F.lit("tool:"), F.col("value"))
-        ),
-        _edges(
-            deep.filter("field = 'resource'"),
-            "references_resource",
-            me,
-            F.concat(F.lit("resource:"), F.col("value")),
-        ),
-        _edges(
-            df.filter("verification_status IS NOT NULL"),
-            "has_verification_status",
-            me,
-            F.concat(F.lit("verification_status:"), F.col("verification_status")),
-        ),
-        _edges(
-            linked,
-            F.concat(
-                F.lit("evidence_link:"), F.coalesce(link["relationship"], F.lit("evidence_link"))
+    edges = _exploded(
+        df,
+        [
+            _edge(F.col("parent_event_id").isNotNull(), "causal_parent", _event("parent_event_id"), me),
+            _edge(
+                F.col("principal_id").isNotNull(),
+                "performed_by",
+                me,
+                F.concat(F.lit("principal:"), F.col("principal_id")),
             ),
-            F.concat(F.lit("event:"), link["evidence_event_id"]),
-            F.concat(F.lit("event:"), link["subject_event_id"]),
-            safe,
-        ),
-    ]
-    edges = parts[0]
-    for part in parts[1:]:
-        edges = edges.unionByName(part)
+            _edge(
+                F.col("verification_status").isNotNull(),
+                "has_verification_status",
+                me,
+                F.concat(F.lit("verification_status:"), F.col("verification_status")),
+            ),
+            _edge(
+                link["subject_event_id"].isNotNull() & link["evidence_event_id"].isNotNull(),
+                F.concat(
+                    F.lit("evidence_link:"), F.coalesce(link["relationship"], F.lit("evidence_link"))
+                ),
+                F.concat(F.lit("event:"), link["evidence_event_id"]),
+                F.concat(F.lit("event:"), link["subject_event_id"]),
+                safe,
+            ),
+        ],
+    ).unionByName(
+        _exploded(
+            _deep_values(df),
+            [
+                _edge(F.col("field") == kind, relation, me, F.concat(F.lit(f"{kind}:"), F.col("value")))
+                for kind, (relation, _) in _FOUND.items()
+            ],
+        )
+    )
     kept = edges.groupBy("id").agg(
         F.min(F.struct("src", "dst", "relationship", "attributes")).alias("e")
     )
