@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -130,6 +131,8 @@ def contract_from_dict(data: dict) -> Contract:
     )
 
 
+STATUS_FIELD = "payload.evidence_link.verification_status"
+
 SHAPE = ("code", "event_id", "event_type", "field")
 
 
@@ -253,7 +256,6 @@ def check_relationship(df: DataFrame, need: Relationship, by) -> DataFrame:
 def check_links(df: DataFrame, need: LinkRequirement, by) -> DataFrame:
     """Evidence-link faults of the events of one type; the first kind of fault ends a row."""
 
-    events = df.filter(F.col("event_type") == need.event_type)
     absent = (
         df.groupBy(*by)
         .agg(_any(F.col("event_type") == need.event_type).alias("there"))
@@ -262,67 +264,8 @@ def check_links(df: DataFrame, need: LinkRequirement, by) -> DataFrame:
     absent = _spread(
         absent, by, _issue("evidence_link_event_missing", event_type=need.event_type)
     )
-    link = F.col("evidence_link")
-    rows = events.select(
-        *by,
-        "event_id",
-        "event_type",
-        "evidence_link",
-        link["subject_event_id"].alias("subject_id"),
-        link["evidence_event_id"].alias("proof_id"),
-    )
-    # Types of the referenced events only; the distinct ids spread a popular target.
-    ids = rows.select(*by, F.explode(F.array("subject_id", "proof_id")).alias("id"))
-    ids = ids.filter("id IS NOT NULL").distinct()
-    # An id that is recorded more than once counts as its last record.
-    known = (
-        ids.join(
-            df.select(*by, F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "sequence"),
-            [*by, "id"],
-        )
-        .groupBy(*by, "id")
-        .agg(F.max_by("kind", F.struct("sequence", "kind")).alias("kind"))
-    )
-    subject = known.select(*by, F.col("id").alias("subject_id"), F.col("kind").alias("subject_kind"))
-    proof = known.select(*by, F.col("id").alias("proof_id"), F.col("kind").alias("proof_kind"))
-    rows = rows.join(subject, [*by, "subject_id"], "left").join(proof, [*by, "proof_id"], "left")
-    no_link = link.isNull()
-    no_ids = ~no_link & (F.col("subject_id").isNull() | F.col("proof_id").isNull())
-    dangling = ~no_link & ~no_ids & (F.col("subject_kind").isNull() | F.col("proof_kind").isNull())
-    sound = ~no_link & ~no_ids & ~dangling
-
-    def issue(code, field):
-        return _issue(code, F.col("event_id"), F.col("event_type"), field)
-
-    issues = [
-        F.when(no_link, issue("evidence_link_missing", "payload.evidence_link")),
-        F.when(no_ids, issue("evidence_link_field_missing", "payload.evidence_link")),
-        F.when(dangling, issue("evidence_link_reference_missing", "payload.evidence_link")),
-    ]
-    wants = [
-        (need.subject_type, F.col("subject_kind"), "subjectEventType"),
-        (need.evidence_type, F.col("proof_kind"), "evidenceEventType"),
-        (need.relationship, link["relationship"], "relationship"),
-        (need.status, link["verification_status"], "verificationStatus"),
-        (need.observer, link["observer_identity"], "observerIdentity"),
-    ]
-    mismatch = "evidence_link_requirement_mismatch"
-    for expected, actual, name in wants:
-        if expected is not None:
-            issues.append(
-                F.when(
-                    sound & ~actual.eqNullSafe(F.lit(expected)),
-                    issue(mismatch, f"payload.evidence_link.{name}"),
-                )
-            )
-    if need.corroboration_types:
-        allowed = F.coalesce(
-            link["corroboration_type"].isin(*need.corroboration_types), F.lit(False)
-        )
-        issues.append(
-            F.when(sound & ~allowed, issue(mismatch, "payload.evidence_link.corroboration_type"))
-        )
-    return _spread(rows, by, *issues).unionByName(absent)
+    rows = _link_rows(df, [need], by)
+    return _spread(rows, by, *_link_issues_of(need)).unionByName(absent)
 
 
 def check_latency(df: DataFrame, need: Latency, by) -> DataFrame:
@@ -339,6 +282,16 @@ def check_latency(df: DataFrame, need: Latency, by) -> DataFrame:
         by,
         _issue("latency_event_missing", event_type=need.end),
     )
+    return _latency_rows(df, need, by).unionByName(missing)
+
+
+def _latency_rows(df: DataFrame, need: Latency, by) -> DataFrame:
+    """Ends without a start in their group, or too far from the nearest one.
+
+    Scopes without any start have no row here: they lack the event altogether.
+    """
+
+    is_start, is_end = F.col("event_type") == need.start, F.col("event_type") == need.end
     groups = [f"__g{i}" for i in range(len(need.group_by))]
     rows = df.filter(is_start | is_end).select(
         *by,
@@ -357,9 +310,9 @@ def check_latency(df: DataFrame, need: Latency, by) -> DataFrame:
     )
     gap = F.least(F.col("us") - F.col("before"), F.col("after") - F.col("us"))
     ends = near.filter(is_end).withColumn("gap", gap)
-    ends = ends.join(presence.filter("starts").select(*by), list(by), "left_semi")
+    ends = ends.join(df.filter(is_start).select(*by).distinct(), list(by), "left_semi")
     limit = round(need.max_seconds * 1_000_000)
-    found = _spread(
+    return _spread(
         ends,
         by,
         F.when(
@@ -371,7 +324,6 @@ def check_latency(df: DataFrame, need: Latency, by) -> DataFrame:
             _issue("latency_breach", F.col("event_id"), F.col("event_type"), "occurred_at"),
         ),
     )
-    return found.unionByName(missing)
 
 
 def check_descriptor(df: DataFrame, need: Descriptor, by) -> DataFrame:
@@ -380,21 +332,21 @@ def check_descriptor(df: DataFrame, need: Descriptor, by) -> DataFrame:
     is_type = F.col("event_type") == need.event_type
     absent = df.groupBy(*by).agg(_any(is_type).alias("there")).filter(~F.col("there"))
     absent = _spread(absent, by, _issue("descriptor_event_missing", event_type=need.event_type))
+    return _spread(df.filter(is_type), by, *_descriptor_issues(need)).unionByName(absent)
+
+
+def _descriptor_issues(need: Descriptor) -> list[Column]:
+    wanted = F.col("event_type") == need.event_type
     digest = exact_text(need.hash_field)
     unknown = (exact_text(need.name_field) == "") | (digest == "")
 
     def issue(code):
         return _issue(code, F.col("event_id"), F.col("event_type"), need.hash_field)
 
-    rows = _spread(
-        df.filter(is_type),
-        by,
-        F.when(unknown, issue("descriptor_identity_missing")),
-        F.when(
-            ~unknown & ~F.startswith(digest, F.lit(need.prefix)), issue("descriptor_hash_invalid")
-        ),
-    )
-    return rows.unionByName(absent)
+    return [
+        F.when(wanted & unknown, issue("descriptor_identity_missing")),
+        F.when(wanted & ~unknown & ~F.startswith(digest, F.lit(need.prefix)), issue("descriptor_hash_invalid")),
+    ]
 
 
 def check_detection(
@@ -458,27 +410,196 @@ def check_integrity(df: DataFrame, verdict: DataFrame, by: str = "journal_id") -
     )
 
 
+class _Facts:
+    """Conditions on the events of a scope; equal conditions are aggregated once."""
+
+    def __init__(self):
+        self.conditions: dict[str, Column] = {}
+
+    def any(self, key: str, condition: Column) -> Column:
+        """Whether some event of the scope meets `condition`, which `key` describes."""
+
+        self.conditions.setdefault(key, _any(condition))
+        return F.col(f"__f{list(self.conditions).index(key)}")
+
+    def kind(self, event_type: str) -> Column:
+        return self.any(f"type {event_type}", F.col("event_type") == event_type)
+
+    def status(self, status: str) -> Column:
+        return self.any(f"status {status}", _has_status(status))
+
+    def aggregates(self) -> list[Column]:
+        return [c.alias(f"__f{i}") for i, c in enumerate(self.conditions.values())]
+
+
+def _named(contract, issue: Column) -> Column:
+    return F.struct(F.lit(contract).alias("contract"), issue.alias("i"))
+
+
+def _spread_named(df: DataFrame, by, issues) -> DataFrame:
+    """One row per issue that is not null, with its contract."""
+
+    found = F.filter(F.array(*issues), lambda n: n["i"].isNotNull())
+    return df.select(*by, F.explode(found).alias("n")).select(*by, "n.contract", "n.i.*")
+
+
+def _scope_issues(df: DataFrame, contracts, by, matches: DataFrame | None) -> DataFrame | None:
+    """All that is decided by what a scope holds: one aggregate for all contracts."""
+
+    facts, issues = _Facts(), []
+    for contract in contracts:
+        own = []
+        for need in contract.events:
+            there = facts.kind(need.event_type)
+            own.append(F.when(~there, _issue("required_event_missing", event_type=need.event_type)))
+            for path in need.fields:
+                held = facts.any(
+                    f"field {need.event_type} {path}", (F.col("event_type") == need.event_type) & _nonempty(path)
+                )
+                missing = _issue("required_field_missing", event_type=need.event_type, field=path)
+                own.append(F.when(there & ~held, missing))
+        if contract.required_status is not None:
+            missing = _issue("verification_status_missing", field=STATUS_FIELD)
+            own.append(F.when(~facts.status(contract.required_status), missing))
+        for need in contract.links:
+            missing = _issue("evidence_link_event_missing", event_type=need.event_type)
+            own.append(F.when(~facts.kind(need.event_type), missing))
+        for need in contract.latency:
+            missing = _issue("latency_event_missing", event_type=need.end)
+            own.append(F.when(~(facts.kind(need.start) & facts.kind(need.end)), missing))
+        for need in contract.descriptors:
+            missing = _issue("descriptor_event_missing", event_type=need.event_type)
+            own.append(F.when(~facts.kind(need.event_type), missing))
+        for need in contract.detections if matches is not None else ():
+            hit = F.array_contains(F.coalesce("__hits", F.array().cast("array<string>")), need.rule_id)
+            code = "detection_control_dependency_missing"
+            kinds = [facts.kind(kind) for kind in need.event_types]
+            statuses = [facts.status(status) for status in need.statuses]
+            own.append(F.when(~hit & F.lit(need.required), _issue("required_detection_missing")))
+            own.append(F.when(hit & ~reduce(and_, kinds, F.lit(True)), _issue(code)))
+            own.append(F.when(hit & ~reduce(and_, statuses, F.lit(True)), _issue(code, field=STATUS_FIELD)))
+        issues += [_named(contract.name, issue) for issue in own]
+    if not issues:
+        return None
+    scopes = df.groupBy(*by).agg(*(facts.aggregates() or [F.count(F.lit(1)).alias("__n")]))
+    if matches is not None:
+        hits = matches.groupBy(*by).agg(F.collect_set("rule_id").alias("__hits"))
+        scopes = scopes.join(hits, list(by), "left")
+    return _spread_named(scopes, by, issues)
+
+
+def _status_issues(df: DataFrame, contracts, by) -> DataFrame | None:
+    allowed = [c for c in contracts if c.allowed_statuses]
+    if not allowed:
+        return None
+    both = F.array("evidence_link.verification_status", "payload_status")
+    found = df.select(*by, F.explode(both).alias("field")).filter("field IS NOT NULL").distinct()
+    issues = [
+        _named(
+            c.name,
+            F.when(
+                ~F.col("field").isin(*c.allowed_statuses),
+                _issue("verification_status_not_allowed", field=F.col("field")),
+            ),
+        )
+        for c in allowed
+    ]
+    return _spread_named(found, by, issues)
+
+
+def _link_rows(df: DataFrame, needs, by) -> DataFrame:
+    """Events of the needed types with the types of the two events that their links name."""
+
+    link = F.col("evidence_link")
+    rows = df.filter(F.col("event_type").isin(*sorted({n.event_type for n in needs}))).select(
+        *by,
+        "event_id",
+        "event_type",
+        "evidence_link",
+        link["subject_event_id"].alias("subject_id"),
+        link["evidence_event_id"].alias("proof_id"),
+    )
+    # Types of the referenced events only; the distinct ids spread a popular target.
+    ids = rows.select(*by, F.explode(F.array("subject_id", "proof_id")).alias("id"))
+    ids = ids.filter("id IS NOT NULL").distinct()
+    # An id that is recorded more than once counts as its last record.
+    known = (
+        ids.join(
+            df.select(*by, F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "sequence"),
+            [*by, "id"],
+        )
+        .groupBy(*by, "id")
+        .agg(F.max_by("kind", F.struct("sequence", "kind")).alias("kind"))
+    )
+    subject = known.select(*by, F.col("id").alias("subject_id"), F.col("kind").alias("subject_kind"))
+    proof = known.select(*by, F.col("id").alias("proof_id"), F.col("kind").alias("proof_kind"))
+    return rows.join(subject, [*by, "subject_id"], "left").join(proof, [*by, "proof_id"], "left")
+
+
+def _link_issues_of(need: LinkRequirement) -> list[Column]:
+    """Faults of one row of `_link_rows`; the first kind of fault ends a row."""
+
+    link = F.col("evidence_link")
+    wanted = F.col("event_type") == need.event_type
+    no_link = link.isNull()
+    no_ids = ~no_link & (F.col("subject_id").isNull() | F.col("proof_id").isNull())
+    dangling = ~no_link & ~no_ids & (F.col("subject_kind").isNull() | F.col("proof_kind").isNull())
+    sound = ~no_link & ~no_ids & ~dangling
+
+    def issue(code, field):
+        return _issue(code, F.col("event_id"), F.col("event_type"), field)
+
+    issues = [
+        F.when(wanted & no_link, issue("evidence_link_missing", "payload.evidence_link")),
+        F.when(wanted & no_ids, issue("evidence_link_field_missing", "payload.evidence_link")),
+        F.when(wanted & dangling, issue("evidence_link_reference_missing", "payload.evidence_link")),
+    ]
+    values = [
+        (need.subject_type, F.col("subject_kind"), "subjectEventType"),
+        (need.evidence_type, F.col("proof_kind"), "evidenceEventType"),
+        (need.relationship, link["relationship"], "relationship"),
+        (need.status, link["verification_status"], "verificationStatus"),
+        (need.observer, link["observer_identity"], "observerIdentity"),
+    ]
+    mismatch = "evidence_link_requirement_mismatch"
+    for expected, actual, name in values:
+        if expected is not None:
+            other = wanted & sound & ~actual.eqNullSafe(F.lit(expected))
+            issues.append(F.when(other, issue(mismatch, f"payload.evidence_link.{name}")))
+    if need.corroboration_types:
+        allowed = F.coalesce(link["corroboration_type"].isin(*need.corroboration_types), F.lit(False))
+        issues.append(
+            F.when(wanted & sound & ~allowed, issue(mismatch, "payload.evidence_link.corroboration_type"))
+        )
+    return issues
+
+
 def validate(
     df: DataFrame, contracts, by, matches: DataFrame | None = None, integrity: DataFrame | None = None
 ) -> DataFrame:
-    """All checks of all contracts for every scope; `integrity` rows come from check_integrity."""
+    """All checks of all contracts for every scope; `integrity` rows come from check_integrity.
+
+    What a scope holds is one aggregate, the links of all contracts are one pass, so
+    are the descriptors and the statuses; only relationships and latencies, which
+    join or order the events each in their own way, take a pass of their own.
+    """
 
-    by = list(by)
-    parts = []
+    by, contracts = list(by), list(contracts)
+    found = [_scope_issues(df, contracts, by, matches), _status_issues(df, contracts, by)]
+    links = [(c.name, n) for c in contracts for n in c.links]
+    if links:
+        issues = [_named(name, i) for name, n in links for i in _link_issues_of(n)]
+        found.append(_spread_named(_link_rows(df, [n for _, n in links], by), by, issues))
+    descriptors = [(c.name, n) for c in contracts for n in c.descriptors]
+    if descriptors:
+        kinds = sorted({n.event_type for _, n in descriptors})
+        issues = [_named(name, i) for name, n in descriptors for i in _descriptor_issues(n)]
+        found.append(_spread_named(df.filter(F.col("event_type").isin(*kinds)), by, issues))
     for contract in contracts:
-        found = []
-        if contract.events or contract.required_status is not None:
-            found.append(check_presence(df, contract, by))
-        if contract.allowed_statuses:
-            found.append(check_allowed_statuses(df, contract, by))
-        found += [check_relationship(df, n, by) for n in contract.relationships]
-        found += [check_links(df, n, by) for n in contract.links]
-        found += [check_latency(df, n, by) for n in contract.latency]
-        found += [check_descriptor(df, n, by) for n in contract.descriptors]
-        if matches is not None:
-            found += [check_detection(df, matches, n, by) for n in contract.detections]
+        own = [check_relationship(df, n, by) for n in contract.relationships]
+        own += [_latency_rows(df, n, by) for n in contract.latency]
         if contract.hash_chain_required and integrity is not None:
-            found.append(integrity)
-        parts += [rows.withColumn("contract", F.lit(contract.name)) for rows in found]
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
+            own.append(integrity)
+        found += [rows.withColumn("contract", F.lit(contract.name)) for rows in own]
+    rows = reduce(lambda a, b: a.unionByName(b), [f for f in found if f is not None])
     return rows.select(*by, "contract", *SHAPE, F.lit("error").alias("severity"))
