@@ -321,7 +321,10 @@ def _possible(threshold: Fraction) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The pairs (`a`, `b`) whose sets have at least the threshold as Jaccard."""
 
-    own = sets.select("node", "packed")
+    pairs = cut(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # Only the sets of these pairs go through the joins.
+    own = sets.select("node", "packed").join(broadcast_if_small(nodes), "node", "left_semi")
     joined = pairs.join(own.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(
         own.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b"
     )
