@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -87,3 +88,46 @@ def test_log_form_hides_captures(spark):
     assert first["big"]["value"] == R.LOG_CAPTURE_VALUE and first["big"]["original_length"] == 600
     assert first["big"]["digest"].startswith("sha256:") and first["n"] == 1
     assert second["marker"] == R.LOG_FAILURE_MARKER
+
+
+LITERAL = [
+    ("Authorization: Bearer abcdefgh12345678 end", "Authorization: Bearer [REDACTED:bearer_token] end"),
+    ("see postgres://user:pw@host/db now", "see [REDACTED:database_url] now"),
+    ("https://x/y?sig=abcdefgh1&z=1", "https://x/y?sig=[REDACTED:secret]&z=1"),
+    ("password = hunter2hunter2!", "password=[REDACTED:secret]!"),
+    ("password = short", "password = short"),
+    ("a-----BEGIN PRIVATE KEY-----\nxyz\n-----END PRIVATE KEY-----b", "a[REDACTED:private_key]b"),
+    ("nothing to hide: tokens and keys", "nothing to hide: tokens and keys"),
+]
+
+
+@pytest.mark.parametrize("text, expected", LITERAL)
+def test_patterns_by_literal_cases(spark, text, expected):
+    """Written down by hand, not derived from the patterns."""
+
+    df = spark.createDataFrame([(text,)], "t string")
+    column = F.col("t")
+    for name, pattern, replacement in R.PATTERNS:
+        column = R.replace_pattern(column, name, pattern, replacement)
+    assert df.select(column).first()[0] == expected
+
+
+@pytest.mark.parametrize(
+    "text, leaks",
+    [("XYZ_CANARY_1", True), ("ghp_" + "a" * 20, True), ("sk-" + "b" * 19, False), ("Bearer " + "c" * 16, True)],
+)
+def test_leaks_by_literal_cases(spark, text, leaks):
+    import re
+
+    assert any(re.search(pattern, text) for _, pattern in R.LEAK_PATTERNS) == leaks
+
+
+@settings(max_examples=120, deadline=None)
+@given(value=tree)
+def test_short_cut_equals_the_walk(value):
+    """Texts that skip the walk come out as the walk would give them."""
+
+    text = json.dumps(value, ensure_ascii=False)
+    policy = R.Policy()
+    if redact._harmless(policy)(text):
+        assert redact._redactor(policy)(json.loads(text)) == (json.loads(text), 0, 0)

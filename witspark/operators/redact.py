@@ -13,24 +13,30 @@ from witspark.functions.jsonwalk import CAPTURE_MARKER, canonical_text, strict_l
 
 
 def _redactor(policy: R.Policy):
-    """Function: JSON value -> (redacted value, captures, captured bytes)."""
+    """Function: JSON value -> (redacted value, captures, captured bytes).
+
+    Works off a list of places (container and key) and writes each new value back
+    where the old one was; the given value is changed.
+    """
 
     import hashlib
 
     patterns = [(re.compile(p), shown) for _name, p, shown in R.PATTERNS]
+    limits = {dict: policy.max_members, list: policy.max_items}
+    hidden = {"marker": R.REDACTED_MARKER, "reason": "sensitive", "value": R.REDACTED_VALUE}
 
-    def text(value):
-        for pattern, shown in patterns:
-            value = pattern.sub(shown, value)
-        return value
+    def is_hidden(path):
+        return bool(path) and (
+            path[-1].replace("-", "_") in policy.sensitive_names or ".".join(path) in policy.sensitive_paths
+        )
 
-    def capture(value):
-        digest = hashlib.sha256(f"{R.DIGEST_SCOPE}\0text\0".encode() + value.encode()).hexdigest()
+    def cut_text(text):
+        digest = hashlib.sha256(f"{R.DIGEST_SCOPE}\0text\0".encode() + text.encode()).hexdigest()
         return {
             "marker": CAPTURE_MARKER,
             "encoding": "text",
-            "value": value[: policy.max_text],
-            "original_length": len(value),
+            "value": text[: policy.max_text],
+            "original_length": len(text),
             "captured_length": policy.max_text,
             "truncated": True,
             "digest": f"sha256:{digest}",
@@ -38,44 +44,62 @@ def _redactor(policy: R.Policy):
         }
 
     def run(document):
-        used = [0, 0]
-
-        def visit(value, path, depth):
-            name = path[-1].replace("-", "_") if path else ""
-            if ".".join(path) in policy.sensitive_paths or name in policy.sensitive_names:
-                return {
-                    "marker": R.REDACTED_MARKER,
-                    "reason": "sensitive",
-                    "value": R.REDACTED_VALUE,
-                }
+        root = [document]
+        places = [(root, 0, (), 0)]
+        captures = []
+        while places:
+            holder, key, path, depth = places.pop()
+            if is_hidden(path):
+                holder[key] = dict(hidden)
+                continue
             if depth > policy.max_depth:
                 raise ValueError("too deep")
-            if isinstance(value, str):
-                shown = text(value)
-                if ".".join(path) in policy.exempt_paths or len(shown) <= policy.max_text:
-                    return shown
-                captured = capture(shown)
-                used[0] += 1
-                used[1] += len(captured["value"].encode())
-                if used[0] > policy.max_captures or used[1] > policy.max_captured_bytes:
-                    raise ValueError("capture budget exceeded")
-                return captured
-            if isinstance(value, dict):
-                if len(value) > policy.max_members:
-                    raise ValueError("too many members")
-                return {k: visit(v, path + (k.lower(),), depth + 1) for k, v in value.items()}
-            if isinstance(value, list):
-                if len(value) > policy.max_items:
-                    raise ValueError("too many items")
-                # Positions in a list are not part of the path.
-                return [visit(v, path, depth + 1) for v in value]
-            return value
-
-        return visit(document, (), 0), used[0], used[1]
+            value = holder[key]
+            if type(value) in limits:
+                if len(value) > limits[type(value)]:
+                    raise ValueError("too many members or items")
+                if isinstance(value, dict):
+                    places.extend((value, k, (*path, k.lower()), depth + 1) for k in value)
+                else:  # positions in a list are not part of the path
+                    places.extend((value, i, path, depth + 1) for i in range(len(value)))
+            elif isinstance(value, str):
+                for pattern, shown in patterns:
+                    value = pattern.sub(shown, value)
+                if len(value) > policy.max_text and ".".join(path) not in policy.exempt_paths:
+                    value = cut_text(value)
+                    captures.append(len(value["value"].encode()))
+                holder[key] = value
+        if len(captures) > policy.max_captures or sum(captures) > policy.max_captured_bytes:
+            raise ValueError("capture budget exceeded")
+        return root[0], len(captures), sum(captures)
 
     return run
 
 
+def _harmless(policy: R.Policy):
+    """Function: text -> whether its redacted form is surely its canonical form.
+
+    No sensitive name, no start of a pattern, and too short for a capture or a limit.
+    """
+
+    names = {n for n in policy.sensitive_names} | {p.rsplit(".", 1)[-1] for p in policy.sensitive_paths}
+    spelled = "|".join(sorted({re.escape(n).replace("_", "[-_]").replace(r"\-", "[-_]") for n in names}))
+    # A backslash may spell any of these otherwise.
+    starts = r"\\|-----BEGIN|bearer|://|=|key|token|secret|password|signature|[\u017f\u0131]"
+    risky = re.compile(f"{spelled}|{starts}" if spelled else starts, re.I)
+    shortest = min(policy.max_text, policy.max_members, policy.max_items, policy.max_depth)
+
+    def test(text):
+        return (
+            len(text) <= policy.max_text
+            and text.count(",") < shortest
+            and text.count("{") + text.count("[") < policy.max_depth
+            and not risky.search(text)
+        )
+
+    return test
+
+
 def redact_json(col: Column, policy: R.Policy = R.Policy()) -> Column:
     """Struct (json, captures, captured_bytes, error) of a JSON text.
 
@@ -85,13 +109,16 @@ def redact_json(col: Column, policy: R.Policy = R.Policy()) -> Column:
 
     @F.pandas_udf("json string, captures bigint, captured_bytes bigint, error string")
     def redact(texts: pd.Series) -> pd.DataFrame:
-        apply = _redactor(policy)
+        apply, harmless = _redactor(policy), _harmless(policy)
         rows = []
         for item in texts:
             if item is None:
                 rows.append((None, 0, 0, None))
                 continue
             try:
+                if harmless(item):
+                    rows.append((canonical_text(strict_loads(item)), 0, 0, None))
+                    continue
                 value, count, size = apply(strict_loads(item))
                 rows.append((canonical_text(value), count, size, None))
             except (ValueError, RecursionError):
