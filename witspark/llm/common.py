@@ -8,6 +8,8 @@ from types import ModuleType
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from witspark.plans.lineage import cut
+
 #: Rows of one Arrow batch; a batch of texts then stays at some tens of MB even
 #: where most texts are very long.
 BATCH_ROWS = 256
@@ -21,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small; every operator that runs Python calls this."""
+    """Keep Arrow batches small, and let the shuffle files of a step go when it ends.
+
+    Every operator that runs Python calls this. Steps leave their results as
+    checkpoints, so nothing reads a finished step's shuffle again; without the
+    second setting the files stay until the driver happens to collect its garbage.
+    """
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -116,7 +124,8 @@ def labelled_sample(
         .drop("most")
     )
     sizes = texts(docs, id_col, text_col).select("id", F.octet_length("body").alias("size"))
-    pool = sizes.filter(F.col("size").between(1, max_bytes)).select("id").distinct().join(known, "id")
+    # Ids and labels only; kept, as both classes are taken from it.
+    pool = cut(sizes.filter(F.col("size").between(1, max_bytes)).select("id").distinct().join(known, "id"))
     order = F.xxhash64(F.col("id").cast("string"))
     chosen, shares = [], {}
     for value in (0, 1):
