@@ -373,7 +373,8 @@ def link(
     groups = cut(found.filter("gid is not null").select("gid", "node").distinct())
     labels = _labels(source, docs, groups, size, threshold)
     named = docs.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component"))
+    # Kept apart from the join, so that Spark can split the rows of a large component.
+    least = cut(named.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component")))
     return named.join(least, "comp", "left").select(
         "id", "n", F.coalesce("component", "id").alias("component")
     )
