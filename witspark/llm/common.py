@@ -142,14 +142,14 @@ def per_worker(key, build):
     """`build()`, remembered under `key` by this Python process across its tasks.
 
     The package travels to the workers by value, so its own globals are new in
-    every task; a module of the process is not. The last four values are kept.
+    every task; a module of the process is not. Only the last value is kept, so that
+    the steps of a long job do not add up in the workers' memory.
     """
 
     kept = vars(sys.modules.setdefault("_witspark_worker", ModuleType("_witspark_worker"))).setdefault(
         "kept", {}
     )
     if key not in kept:
-        while len(kept) >= 4:
-            del kept[next(iter(kept))]
+        kept.clear()
         kept[key] = build()
     return kept[key]

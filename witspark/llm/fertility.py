@@ -35,7 +35,7 @@ SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 
 #: Words that a worker remembers with their tokens.
-MEMO = 400_000
+MEMO = 200_000
 MEMO_BYTES = 96
 
 

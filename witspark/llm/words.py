@@ -8,7 +8,7 @@ import xxhash
 from witspark.llm.common import per_worker
 
 #: Words that a worker remembers with their hashes.
-MEMO = 500_000
+MEMO = 200_000
 MEMO_BYTES = 64
 
 
