@@ -193,6 +193,41 @@ def test_recall_of_edited_items(spark, sf_dir, rate, least):
     assert hits / total >= least
 
 
+def damaged(random_, text, edits):
+    """`text` after random edits of single characters."""
+
+    letters = list(text)
+    for _ in range(edits):
+        at, c = random_.randrange(len(letters)), random_.choice("abcxyz ")
+        letters[at : at + random_.randrange(2)] = random_.choice([[c], []])
+    return "".join(letters)
+
+
+def test_every_leak_within_the_radius_is_found(spark, sf_dir, texts):
+    random_ = random.Random(5)
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    items = [(k, leaks.normal(r["text"])) for k, r in enumerate(rows)]
+    # Lengths around the pieces' limits, and short items.
+    items += [(len(items) + n, items[n % 40][1][:n].strip()) for n in (1, 3, 5, 9, 14, 20, 31, 63, 64, 65, 66)]
+    bodies = []
+    for _, text in items:
+        bodies += [f"some w{damaged(random_, text, int(r * len(text)))}ords" for r in (0.1, 0.15, 0.2)]
+        even = "".join("#" if i % 6 == 3 else c for i, c in enumerate(text))
+        bodies += [even, f"xx{even}", text]
+    bodies += [leaks.normal(t) for t in list(texts.values())[:10]]
+    for max_edit in (0.2, 0.05):
+        probes = leaks.build(items, max_edit)
+        found = {(d, k): n for d, k, n, _ in leaks.search(probes, items, bodies, max_edit)}
+        expected = {}
+        for d, body in enumerate(bodies):
+            for k, (_, text) in enumerate(items):
+                hit = leaks.edit_distance(text, body, int(max_edit * len(text))) if text else None
+                if hit:
+                    expected[d, k] = hit[0]
+        assert found == expected
+        assert len(expected) > (4 if max_edit == 0.2 else 1) * 40
+
+
 def test_leaks_of_odd_rows(spark, odd):
     items = spark.createDataFrame(
         [(1, "some words without an id, said twice"), (2, None), (3, ""), (4, "the SAME  row"), (None, "as it is")],
