@@ -124,6 +124,19 @@ def test_bands_reject_what_no_language_gives(spark):
     assert rows[3]["script"] == "cyrillic" and rows[1]["script"] == "latin"
 
 
+def test_bands_follow_the_input(spark):
+    random.seed(2)
+    known = "the story of one small house goes on with many other good words and a long way home again".split()
+    rows = [(i, " ".join(random.choice(known) for _ in range(60 + i % 40))) for i in range(400)]
+    odd = [(1000 + i, " ".join(random.choice(known) + "#" * (j % 2) for j in range(80))) for i in range(2)]
+    kept = {r["id"]: r["kept"] for r in fertility.judge(spark.createDataFrame(rows + odd, "doc_id int, text string"), PIECES).collect()}
+    assert not kept[1000] and not kept[1001]
+    assert sum(kept[i] for i, _ in rows) >= 390
+    # Under RARE rows only the general limits hold.
+    few = fertility.judge(spark.createDataFrame(rows[:20] + odd, "doc_id int, text string"), PIECES)
+    assert few.filter("kept").count() == 22
+
+
 def test_odd_rows(spark, odd):
     judged = fertility.judge(odd, PIECES, rows=True)
     rows = judged.collect()

@@ -10,8 +10,13 @@ judged by
 * token entropy in bits per token, relative to what a text of so many tokens
   reaches: repeated words keep it low.
 
-The band depends on the script that most letters of the text belong to. A
-document is kept if it passes the base rules and all three bands.
+Characters per token are also measured with a second public vocabulary.
+
+The band depends on the script that most letters of the text belong to, and comes from
+the input: of all rows that pass the base rules, the quantiles `TAIL` and 1 - `TAIL` by
+script, with `MARGIN` of the distance between them on either side. Limits that hold for
+any language (`BANDS`) apply besides, and alone where a script has under `RARE` such
+rows. A document is kept if it passes the base rules and all bands.
 
 Defined cases: a null text has no words, fails the base rule and is not kept;
 texts without letters use the band of `other`; repeated rows are judged each.
@@ -25,11 +30,14 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
+from witspark.llm import wordbpe
 from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts, whole_rows
+from witspark.plans.lineage import cut
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -38,6 +46,10 @@ SYMBOLS = b"#*$%&|<>"
 MEMO = 200_000
 MEMO_BYTES = 96
 
+TAIL = 0.01
+MARGIN = 0.1
+RARE = 200
+
 
 @dataclass(frozen=True)
 class Band:
@@ -49,7 +61,7 @@ class Band:
     least_entropy: float
 
 
-#: Bands by script. Alphabets take 1 to 8 characters per token in this vocabulary,
+#: General limits by script. Alphabets take 1 to 8 characters per token in this vocabulary,
 #: syllabaries and ideographs about one.
 BANDS = {
     "latin": Band(1.5, 8.0, 0.10, 0.60),
@@ -149,16 +161,52 @@ def base(text: bytes) -> tuple[list[bytes], int, int, int, int]:
     return words, chars, symbols, repeated, inside
 
 
-def loaded(data: bytes) -> Fertility:
-    return per_worker(("Fertility", hashlib.sha256(data).digest()), lambda: Fertility(data))
+def loaded(data: bytes, words: bytes) -> tuple[Fertility, wordbpe.Counter]:
+    key = ("Fertility", hashlib.sha256(data).digest(), hashlib.sha256(words).digest())
+    return per_worker(key, lambda: (Fertility(data), wordbpe.Counter(words)))
 
 
 SCHEMA = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,"
-    " base_failed boolean, kept boolean, script string, n_tokens bigint, chars_per_token double,"
-    " byte_share double, relative_entropy double"
+    " base_failed boolean, script string, n_tokens bigint, chars_per_token double,"
+    " byte_share double, relative_entropy double, chars_per_word_token double"
 )
 
+#: Measures that the input's own bands limit, and whether they do so above too.
+BANDED = {"chars_per_token": True, "chars_per_word_token": True, "relative_entropy": False}
+
+
+def derived(measured: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
+    """Least and most of each measure by script; at most one row per script is collected."""
+
+    ends = [F.percentile_approx(m, [TAIL, 1 - TAIL], 10_000).alias(m) for m in BANDED]
+    rows = measured.filter("not base_failed").groupBy("script").agg(F.count(F.lit(1)).alias("n"), *ends).collect()
+    out = {}
+    for row in rows:
+        if row["n"] >= RARE:
+            own = out[row["script"]] = {}
+            for measure, above in BANDED.items():
+                low, high = row[measure]
+                margin = MARGIN * (high - low)
+                own[measure] = (low - margin, high + margin if above else math.inf)
+    return out
+
+
+def verdict(general: dict[str, Band], own: dict[str, dict[str, tuple[float, float]]]) -> Column:
+    """Whether a row passes the base rules and the bands of its script."""
+
+    out = F.lit(False)
+    for name, band in general.items():
+        passed = (
+            F.col("chars_per_token").between(band.least_chars, band.most_chars)
+            & (F.col("byte_share") <= band.most_bytes)
+            & (F.col("relative_entropy") >= band.least_entropy)
+        )
+        for measure, (low, high) in own.get(name, {}).items():
+            passed &= F.col(measure).between(low, high)
+        out = F.when(F.col("script") == name, passed).otherwise(out)
+    return ~F.col("base_failed") & out
+
 
 def judge(
     df: DataFrame,
@@ -167,37 +215,42 @@ def judge(
     text_col: str = "text",
     bands: dict[str, Band] | None = None,
     rows: bool = False,
+    words_path: str | None = None,
 ) -> DataFrame:
     """`id`, the base measures, the fertility measures and `kept`; one row per input row.
 
-    With `rows` the input row is added as the struct `row`.
+    `words_path` is the second vocabulary (the public word-level one if None). With
+    `rows` the input row is added as the struct `row`; the texts are then measured twice,
+    once for the bands, so that no copy of them is written.
     """
 
     prepare(df.sparkSession)
-    bands = BANDS | (bands or {})
-    model = df.sparkSession.sparkContext.broadcast(read_model(path))
+    general = BANDS | (bands or {})
+    context = df.sparkSession.sparkContext
+    words_path = words_path or public_tokenizers.path("word_bpe_49k.json")
+    models = context.broadcast((read_model(path), read_model(words_path)))
 
     def work(cols):
-        fertility = loaded(model.value)
+        fertility, counter = loaded(*models.value)
+        bodies = [body.decode() for body in cols["body"]]
         found = []
-        for body in cols["body"]:
+        for body, text, tokens in zip(cols["body"], bodies, counter.counts(bodies), strict=True):
             words, chars, symbols, lines, repeats = base(body)
             failed = len(words) < 50 or 100 * repeats > 50 * len(words)
-            own = script(body.decode())
             n, per, fallback, entropy = fertility.measures(words, chars)
-            band = bands[own]
-            kept = (
-                not failed
-                and band.least_chars <= per <= band.most_chars
-                and fallback <= band.most_bytes
-                and entropy >= band.least_entropy
-            )
+            second = chars / tokens if tokens else 0.0
             found.append(
-                (len(words), chars, symbols, lines, repeats, failed, kept, own, n, per, fallback, entropy)
+                (len(words), chars, symbols, lines, repeats, failed, script(text), n, per, fallback, entropy, second)
             )
         names = [part.split()[0] for part in SCHEMA.split(",")]
         columns = list(zip(*found)) or [()] * len(names)
         return {"id": cols["id"]} | {n: list(c) for n, c in zip(names, columns, strict=True)}
 
-    source = texts(df, id_col, text_col, *([whole_rows(df)] if rows else []))
-    return map_rows(source, f"id {id_type(df, id_col)}, {SCHEMA}", work, "row" if rows else None)
+    shape = f"id {id_type(df, id_col)}, {SCHEMA}"
+    measured = map_rows(texts(df, id_col, text_col), shape, work)
+    if not rows:
+        measured = cut(measured)
+    own = derived(measured)
+    if rows:
+        measured = map_rows(texts(df, id_col, text_col, whole_rows(df)), shape, work, "row")
+    return measured.withColumn("kept", verdict(general, own))
