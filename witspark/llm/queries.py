@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from witspark.llm import bpe, chat, fertility, jaccard, leaks, pages, pitman, toxic, wordbpe, zquality
+from witspark.llm import (
+    bpe, chat, descent, feast, fertility, jaccard, leaks, mergepath, pages, pitman, toxic, wordbpe, zquality,
+)
 from witspark.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -169,3 +171,46 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(degree.n, 0)::BIGINT AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON least.a = v.vec_id LEFT JOIN degree ON degree.a = v.vec_id
+"""
+
+
+@query("op11_embedding_near_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of vectors of one label at cosine 0.93: links and component of every vector."""
+
+    return descent.near_duplicates(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
+    )
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four largest components of the distinct vectors, whitened."""
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return feast.whiten(vectors, feast.fit(vectors)).withColumnRenamed("id", "vec_id")
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned by their ends in every text."""
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return mergepath.align(table(spark, sf_dir, "documents"), *paths).withColumnRenamed("id", "doc_id")
