@@ -180,6 +180,16 @@ def seq_within(spark, sf_dir):
     return shown(detect.evaluate_rules(flat_events(spark, sf_dir), [funnel(within_seconds=86400.0)]))
 
 
+ANY_ORDER = Rule(
+    "any_order",
+    "any order",
+    (Stage("side_effect.verified"), Stage("agent.run.started"), Stage("side_effect.verified")),
+    group_by=BY_TRACE,
+    ordered=False,
+    within_seconds=864000.0,
+)
+
+
 @query(
     "det_seq_unordered",
     """WITH {EV}, s AS (SELECT trace_id, event_type, event_id, occurred_at,
@@ -198,15 +208,7 @@ def seq_within(spark, sf_dir):
     AND epoch_us(hi) - epoch_us(lo) <= 864000000000""",
 )
 def seq_unordered(spark, sf_dir):
-    rule = Rule(
-        "any_order",
-        "any order",
-        (Stage("side_effect.verified"), Stage("agent.run.started"), Stage("side_effect.verified")),
-        group_by=BY_TRACE,
-        ordered=False,
-        within_seconds=864000.0,
-    )
-    return shown(detect.evaluate_rules(flat_events(spark, sf_dir), [rule]))
+    return shown(detect.evaluate_rules(flat_events(spark, sf_dir), [ANY_ORDER]))
 
 
 @query("det_seq_dedupe", sequence_sql([("funnel", "trace_id", FUNNEL_SQL[1:], None)]))

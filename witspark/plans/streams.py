@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from witspark.operators import detect
 from witspark.operators.rules import Rule, Stage
-from witspark.plans.detection import FUNNEL, FUNNEL_SQL, sequence_sql
+from witspark.plans import registry
+from witspark.plans.detection import ANY_ORDER, FUNNEL, FUNNEL_SQL, sequence_sql
 from witspark.plans.integrity import CHAIN, chained
 from witspark.plans.lineage import shared_folder
 from witspark.plans.registry import query
@@ -92,32 +93,49 @@ def idempotent_ingest(spark, sf_dir):
     return finish(spark, ops.stream_ingest(stream.filter("NOT closing")))
 
 
-def _funnel():
+def _funnel(**options):
     return Rule(
-        "funnel", "funnel", tuple(Stage(t) for t in FUNNEL), group_by=("correlation.trace_id",)
+        "funnel", "funnel", tuple(Stage(t) for t in FUNNEL), group_by=("correlation.trace_id",), **options
     )
 
 
-@query("str_stream_sequence_match", sequence_sql([("funnel", "trace_id", FUNNEL_SQL, None)]))
-def sequence_match(spark, sf_dir):
+def _matched(spark, sf_dir, rule):
+    """Matches of one rule over the replayed events; the closing row is in a group of its own."""
     events = flat_events(spark, sf_dir, payload=False)
     stream, delay = replay(spark, events)
     closing = stream.withColumns(
         {
             # The closing row must reach the matcher to move its watermark.
-            "event_type": F.when(F.col("closing"), FUNNEL[0]).otherwise(F.col("event_type")),
+            "event_type": F.when(F.col("closing"), rule.stages[0].event_type).otherwise(F.col("event_type")),
             "trace_id": F.when(F.col("closing"), "closing").otherwise(F.col("trace_id")),
         }
     )
     stream = closing.withColumn("payload_v", F.try_parse_json("payload"))
-    rows = finish(spark, ops.stream_sequences(stream, [_funnel()], delay))
-    return rows.select(
-        F.lit("funnel").alias("rule_id"),
+    rows = finish(spark, ops.stream_sequences(stream, [rule], delay))
+    return rows.filter("group_key <> '[\"closing\"]'").select(
+        F.lit(rule.rule_id).alias("rule_id"),
         F.array_join(F.from_json("group_key", "array<string>"), ",").alias("grp"),
         F.array_join("event_ids", ",").alias("ids"),
     )
 
 
+@query("str_stream_sequence_match", sequence_sql([("funnel", "trace_id", FUNNEL_SQL, None)]))
+def sequence_match(spark, sf_dir):
+    return _matched(spark, sf_dir, _funnel())
+
+
+@query("str_stream_unordered_match", registry.ORACLES["det_seq_unordered"])
+def unordered_match(spark, sf_dir):
+    """Stages in any order; two of them want the same type of event."""
+    return _matched(spark, sf_dir, ANY_ORDER)
+
+
+@query("str_stream_quiet_match", sequence_sql([("funnel", "trace_id", FUNNEL_SQL, None)], 864000))
+def quiet_match(spark, sf_dir):
+    """Deduplicated and suppressed matches from one stateful operator."""
+    return _matched(spark, sf_dir, _funnel(suppression_seconds=864000.0))
+
+
 @query(
     "str_stream_suppression",
     sequence_sql([("quiet", "trace_id", ["event_type = 'agent.run.started'"], None)], 172800),
@@ -197,6 +215,28 @@ def stream_export(spark, sf_dir):
     )
 
 
+@query(
+    "str_stream_ingest_horizon",
+    """WITH RECURSIVE {EV}, r AS (SELECT 'key_' || n % 4000 AS key, n, epoch_us(occurred_at) AS us, event_id,
+    (n % 4000) || ':' || k % 2 AS fp, k % 10 <> 3 AS valid FROM ev),
+    c AS (SELECT key, min(us) AS us FROM r WHERE valid GROUP BY key
+      UNION ALL SELECT c.key, (SELECT min(r.us) FROM r WHERE r.key = c.key AND r.valid AND r.us > c.us + 864000000000)
+      FROM c WHERE c.us IS NOT NULL),
+    o AS (SELECT r.key, r.us, r.event_id, r.fp, r.n FROM r JOIN c ON c.key = r.key AND c.us = r.us AND r.valid)
+    SELECT r.key AS idempotency_key, r.n AS arrival, CASE WHEN o.key IS NULL THEN 'failed'
+    WHEN o.n = r.n THEN 'imported' WHEN o.fp = r.fp THEN 'duplicate' ELSE 'conflict' END AS status, o.event_id
+    FROM r LEFT JOIN o ON o.key = r.key AND r.us >= o.us AND r.us <= o.us + 864000000000""",
+)
+def ingest_horizon(spark, sf_dir):
+    """Claims end ten days after their record; the key may then be used anew."""
+    stream, delay = replay(spark, _records(spark, sf_dir))
+    keyed = stream.withColumn(
+        "idempotency_key", F.when(F.col("closing"), "closing").otherwise(F.col("idempotency_key"))
+    )
+    rows = finish(spark, ops.stream_ingest(keyed, "10 days", delay))
+    return rows.filter("idempotency_key <> 'closing'")
+
+
 @query(
     "str_stream_distinct",
     """WITH {EV} SELECT DISTINCT 'key_' || n % 4000 AS idempotency_key,

@@ -6,11 +6,16 @@ operators need the RocksDB state store provider (see `use_rocksdb`).
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections import namedtuple
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from witspark.operators.detect import _Fold, candidates
+from witspark.operators.detect import WORD, _Fold, candidates
 from witspark.operators.export import export, redacted_events
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,57 +36,146 @@ def stream_journal(spark: SparkSession, path: str, max_files: int | None = None)
     )
 
 
+_CLAIM = T.StructType(
+    [
+        T.StructField("event_id", T.StringType()),
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("us", T.LongType()),
+    ]
+)
+_RECORD = T.StructType(
+    [
+        T.StructField("us", T.LongType()),
+        T.StructField("arrival", T.LongType()),
+        T.StructField("fingerprint", T.StringType()),
+        T.StructField("event_id", T.StringType()),
+        T.StructField("valid", T.BooleanType()),
+    ]
+)
+_OUTCOME = ["idempotency_key", "arrival", "status", "event_id"]
+
+
+def _plain(value):
+    return value.item() if hasattr(value, "item") else value
+
+
 class _Ingest(StatefulProcessor):
-    """Remembers the record that claimed a key."""
+    """Remembers the record that claimed a key, for as long as the horizon.
+
+    A batch's rows of a key come as a stream of frames. Where a claim could be made
+    among them, they wait in list state, frame by frame, until the earliest valid one
+    is known; so one frame at most is in memory, however often a batch holds a key.
+    """
+
+    def __init__(self, horizon_us: int | None):
+        self.horizon_us = horizon_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType(
-            [
-                T.StructField("event_id", T.StringType()),
-                T.StructField("fingerprint", T.StringType()),
-            ]
-        )
-        self.claim = handle.getValueState("claim", schema)
+        self.handle = handle
+        self.claim = handle.getValueState("claim", _CLAIM)
+        self.arrived = handle.getListState("arrived", _RECORD)
+
+    def _ends(self, claim) -> int | None:
+        return None if self.horizon_us is None else claim[2] + self.horizon_us
 
     def handleInputRows(self, key, rows, timerValues):
-        claim = self.claim.get() if self.claim.exists() else None
-        start = claim
+        claims = [tuple(self.claim.get())] if self.claim.exists() else []
+        known = len(claims)
+        if claims and self.horizon_us is None:
+            for frame in rows:
+                yield self._judged(key, frame.itertuples(index=False), claims)
+            return
+        names = [f.name for f in _RECORD.fields]
+        for frame in rows:
+            self.arrived.appendList([tuple(map(_plain, r)) for r in frame[names].itertuples(index=False)])
+        # Each pass over the waiting rows finds the next claim: the earliest valid
+        # row behind the end of the one before.
+        while not claims or self.horizon_us is not None:
+            after = self._ends(claims[-1]) if claims else None
+            free = (r for r in self.arrived.get() if r[4] and (after is None or r[0] > after))
+            first = min(((r[0], r[1], r[3], r[2]) for r in free), default=None)
+            if first is None:
+                break
+            claims.append((first[2], first[3], first[0], first[1]))
+        waiting, size = [], 4096
+        for row in self.arrived.get():
+            waiting.append(_Row(*row))
+            if len(waiting) == size:
+                yield self._judged(key, waiting, claims)
+                waiting = []
+        yield self._judged(key, waiting, claims)
+        self.arrived.clear()
+        if len(claims) > known:
+            if known and self.horizon_us is not None:
+                self._forget_timers()
+            self.claim.update(claims[-1][:3])
+            if self.horizon_us is not None:
+                self.handle.registerTimer(self._ends(claims[-1]) // 1000 + 1)
+
+    def _forget_timers(self):
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(_plain(timer[0] if isinstance(timer, tuple) else timer))
+
+    def _judged(self, key, rows, claims):
         out = []
-        # All rows of one micro-batch take part in the order of arrival.
-        frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame.sort_values(["us", "arrival"], kind="stable")
-        for row in frame.itertuples(index=False):
-            if claim is not None:
-                status = "duplicate" if claim[1] == row.fingerprint else "conflict"
-                out.append((key[0], row.arrival, status, claim[0]))
-            elif row.valid:
-                claim = (row.event_id, row.fingerprint)
-                out.append((key[0], row.arrival, "imported", row.event_id))
-            else:
+        for row in rows:
+            place = (row.us, row.arrival)
+            # The claim that holds at this row; the one from before the batch holds for late rows too.
+            held = None
+            for claim in claims:
+                if len(claim) == 3 or (claim[2], claim[3]) <= place:
+                    held = claim
+            if held is not None and self.horizon_us is not None and row.us > self._ends(held):
+                held = None
+            if held is None:
                 out.append((key[0], row.arrival, "failed", None))
-        if claim is not None and claim is not start:
-            self.claim.update(claim)
-        yield pd.DataFrame(out, columns=["idempotency_key", "arrival", "status", "event_id"])
+            elif len(held) == 4 and (held[2], held[3]) == place:
+                out.append((key[0], row.arrival, "imported", held[0]))
+            else:
+                status = "duplicate" if held[1] == row.fingerprint else "conflict"
+                out.append((key[0], row.arrival, status, held[0]))
+        return pd.DataFrame(out, columns=_OUTCOME)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.claim.exists():
+            at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            if self._ends(self.claim.get()) < at:
+                self.claim.clear()
+        yield pd.DataFrame(columns=_OUTCOME)
 
     def close(self) -> None:
         pass
 
 
-def stream_ingest(records: DataFrame) -> DataFrame:
+_Row = namedtuple("_Row", ["us", "arrival", "fingerprint", "event_id", "valid"])
+
+
+def stream_ingest(
+    records: DataFrame, horizon: str | None = None, delay: str = "0 seconds", time: str = "occurred_at"
+) -> DataFrame:
     """Outcome of each record as it arrives; same rules as the batch import.
 
     Records: idempotency_key, us (arrival time in microseconds), arrival,
-    fingerprint, event_id, valid.
+    fingerprint, event_id, valid. With a `horizon` a claim ends that long after its
+    record: a later record of the key makes a new claim, and the state goes once the
+    watermark over `time` (with `delay`) has passed its end. Without one, claims stay
+    for ever, as in the batch form.
     """
 
+    if horizon is not None:
+        records = records.withWatermark(time, delay)
     return records.groupBy("idempotency_key").transformWithStateInPandas(
-        statefulProcessor=_Ingest(),
+        statefulProcessor=_Ingest(None if horizon is None else _micros(horizon)),
         outputStructType="idempotency_key string, arrival bigint, status string, event_id string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if horizon is None else "EventTime",
     )
 
 
+def _micros(duration: str) -> int:
+    return int(pd.Timedelta(duration).total_seconds() * 1_000_000)
+
+
 def stream_distinct(records: DataFrame, horizon: str, time: str = "occurred_at") -> DataFrame:
     """Records without repeats of (key, fingerprint) inside the horizon."""
 
@@ -123,9 +217,11 @@ class _ByTime(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        slot = T.StructType([T.StructField("slot", T.LongType())])
+        slot, parts = T.StructField("slot", T.LongType()), T.StructField("parts", T.LongType())
+        self.parts = handle.getMapState("parts", T.StructType([slot]), T.StructType([parts]))
+        part = T.StructType([slot, T.StructField("part", T.LongType())])
         rows = T.StructType([T.StructField("rows", T.ArrayType(self.row))])
-        self.waiting = handle.getMapState("waiting", slot, rows)
+        self.waiting = handle.getMapState("waiting", part, rows)
 
     def rows_of(self, frame: pd.DataFrame) -> list[tuple]:
         """Rows as tuples that begin with their time in microseconds."""
@@ -134,24 +230,41 @@ class _ByTime(StatefulProcessor):
         return list(zip(*[frame[n].tolist() for n in names]))
 
     def handleInputRows(self, key, rows, timerValues):
+        # A slot's rows are only ever added to, part by part, and read once.
         for frame in rows:
             slots: dict[int, list] = {}
             for row in self.rows_of(frame):
                 row = tuple(list(map(int, v)) if hasattr(v, "__len__") and not isinstance(v, str) else v for v in row)
                 slots.setdefault(row[0] // 1000 // self.slot_ms, []).append(row)
             for slot, found in slots.items():
-                if self.waiting.containsKey((slot,)):
-                    found = [*map(tuple, self.waiting.getValue((slot,))[0]), *found]
-                else:
+                part = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
+                if not part:
                     self.handle.registerTimer((slot + 1) * self.slot_ms)
-                self.waiting.updateValue((slot,), (found,))
+                self.waiting.updateValue((slot, part), (found,))
+                self.parts.updateValue((slot,), (part + 1,))
         yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        slot = expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms - 1
-        rows = sorted((tuple(r) for r in self.waiting.getValue((slot,))[0]), key=self.order)
-        self.waiting.removeKey((slot,))
-        yield pd.DataFrame(self.handle_due(key, rows), columns=self.columns)
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        slot = end // self.slot_ms - 1
+        out = []
+        if self.parts.containsKey((slot,)):
+            rows = []
+            for part in range(self.parts.getValue((slot,))[0]):
+                rows += [tuple(r) for r in self.waiting.getValue((slot, part))[0]]
+                self.waiting.removeKey((slot, part))
+            self.parts.removeKey((slot,))
+            out = self.handle_due(key, sorted(rows, key=self.order))
+        self.expire(end * 1000)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def wake(self, us: int) -> None:
+        """A timer at the end of the slot that holds `us`, so that the slot's rows come first."""
+
+        self.handle.registerTimer((us // 1000 // self.slot_ms + 1) * self.slot_ms)
+
+    def expire(self, us: int) -> None:
+        """Drop what no row later than `us` needs."""
 
     def order(self, row):
         return row[:3]
@@ -169,57 +282,178 @@ def _slot(delay: str) -> int:
     return int(pd.Timedelta(delay).total_seconds() * 1000) // 32
 
 
-class _Sequence(_ByTime):
-    """Folds due rows; between folds only the partial match is kept.
+class Plan(NamedTuple):
+    """What the streaming matcher needs of a rule; times in microseconds."""
+
+    stages: int
+    within_us: int | None
+    ordered: bool
+    deduplicate: bool
+    quiet_us: int | None
+
+    @classmethod
+    def of(cls, rule) -> Plan:
+        def micros(seconds):
+            return None if seconds is None else round(seconds * 1e6)
+
+        return cls(
+            len(rule.stages), micros(rule.within_seconds), rule.ordered, rule.deduplicate,
+            micros(rule.suppression_seconds),
+        )
+
+
+_LAST = T.StructType([T.StructField("us", T.LongType())])
+_TEXT = T.StructType([T.StructField("text", T.StringType())])
+
 
-    The partial match does not expire: a late completion uses up its events, just
-    as in the batch form.
+class _Sequence(_ByTime):
+    """Matches due rows of one rule and group, then drops repeats and quietens the rest.
+
+    Ordered rules keep the partial match. It does not expire: a late completion uses
+    up its events, just as in the batch form. Unordered rules keep the earliest
+    `stages` events of each stage in list state until every stage has one that no
+    stage before it took; as rows come in event order, a later one cannot change
+    that choice, so the match is final and the list goes.
+
+    Seen tuples of event ids and the last match per suppression key lie behind the
+    matcher; a suppression key goes when no further match can start within its time.
+    With a horizon a group without a row for that long starts anew, and all of its
+    state goes.
     """
 
     row = _ROW
 
-    def __init__(self, plans, slot_ms: int):
+    def __init__(self, plans: list[Plan], slot_ms: int, horizon_us: int | None):
         super().__init__(slot_ms)
-        self.plans, self.columns = plans, _MATCH_COLUMNS
+        self.plans, self.columns, self.horizon_us = plans, _MATCH_COLUMNS, horizon_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.partial = handle.getValueState("partial", _PARTIAL)
+        self.held = handle.getListState("held", _ROW)
+        self.done = handle.getValueState("done", T.StructType([T.StructField("done", T.BooleanType())]))
+        self.seen = handle.getMapState("seen", _TEXT, _LAST)
+        self.quiet = handle.getMapState("quiet", _TEXT, _LAST)
+        self.last = handle.getValueState("last", _LAST)
 
     def handle_due(self, key, rows):
-        fold = _Fold(*self.plans[key[0]])
+        out, session = [], []
+        last = self.last.get()[0] if self.last.exists() else None
+        for row in rows:
+            if self.horizon_us is not None and last is not None and row[0] - last > self.horizon_us:
+                out += self._matches(key, session)
+                session = []
+                self._clear()
+            session.append(row)
+            last = row[0] if last is None else max(last, row[0])
+        out += self._matches(key, session)
+        if self.horizon_us is not None and last is not None:
+            self.last.update((last,))
+            self.wake(last + self.horizon_us)
+        return out
+
+    def expire(self, us):
+        if self.horizon_us is not None and self.last.exists() and self.last.get()[0] + self.horizon_us < us:
+            self._clear()
+            self.last.clear()
+
+    def _clear(self):
+        for state in (self.partial, self.held, self.done, self.seen, self.quiet):
+            state.clear()
+
+    def _matches(self, key, rows):
+        if not rows:
+            return []
+        plan = self.plans[key[0]]
+        found = self._ordered(plan, rows) if plan.ordered else self._unordered(plan, rows)
+        kept = [(key[0], key[1], *match) for match in found if self._emits(plan, match)]
+        if plan.quiet_us is not None:
+            # The next match starts at the open one's first event or later than all due rows.
+            open_times = list(self.partial.get()[1]) if self.partial.exists() else []
+            earliest = min([rows[-1][0], *open_times])
+            for entry, (at,) in [(k, v) for k, v in self.quiet.iterator()]:
+                if earliest - at > plan.quiet_us:
+                    self.quiet.removeKey(entry)
+        return kept
+
+    def _ordered(self, plan, rows):
+        fold = _Fold(plan.stages, plan.within_us)
         if self.partial.exists():
             ids, times, suppression = self.partial.get()
             fold.start(list(ids), list(times), suppression)
-        out = []
-        for us, _sequence, event_id, mask, suppression in rows:
-            done = fold.step(mask, us, event_id, suppression)
-            if done is not None:
-                out.append((key[0], key[1], *done))
+        found = [fold.step(mask, us, event_id, key) for us, _sequence, event_id, mask, key in rows]
         self.partial.update((fold.ids, fold.times, fold.suppression))
-        return out
+        return [match for match in found if match is not None]
+
+    def _unordered(self, plan, rows):
+        if self.done.exists():
+            return []
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        places = [sum(_has(r[3], i) for r in held) for i in range(plan.stages)]
+        new = []
+        for row in rows:
+            wanted = [i for i in range(plan.stages) if _has(row[3], i) and places[i] < plan.stages]
+            if wanted:
+                mask = [0] * len(row[3])
+                for i in wanted:
+                    places[i] += 1
+                    mask[i // WORD] |= 1 << i % WORD
+                new.append((*row[:3], mask, row[4]))
+        taken: list[tuple] = []
+        for i in range(plan.stages):
+            free = (r for r in held + new if _has(r[3], i) and all(r[2] != t[2] for t in taken))
+            first = next(free, None)
+            if first is None:
+                if new:
+                    self.held.appendList(new)
+                return []
+            taken.append(first)
+        self.held.clear()
+        self.done.update((True,))
+        times = [t[0] for t in taken]
+        if plan.within_us is not None and plan.stages > 1 and max(times) - min(times) > plan.within_us:
+            return []
+        return [([t[2] for t in taken], min(times), max(times), taken[0][4])]
+
+    def _emits(self, plan, match):
+        ids, first_us, _last_us, suppression = match
+        if plan.deduplicate and plan.ordered:
+            name = (hashlib.sha256(json.dumps(list(ids)).encode()).hexdigest(),)
+            if self.seen.containsKey(name):
+                return False
+            self.seen.updateValue(name, (first_us,))
+        if plan.quiet_us is not None:
+            name = (suppression or "",)
+            if self.quiet.containsKey(name) and first_us - self.quiet.getValue(name)[0] <= plan.quiet_us:
+                return False
+            self.quiet.updateValue(name, (first_us,))
+        return True
+
+
+def _has(mask, stage: int) -> bool:
+    return bool(mask[stage // WORD] >> stage % WORD & 1)
 
 
 _MATCH_COLUMNS = ["rule_no", "group_key", "event_ids", "first_us", "last_us", "suppression"]
 
 
-def stream_sequences(events: DataFrame, rules, delay: str, resolver=None) -> DataFrame:
-    """Matches of ordered rules over a stream of events with `occurred_at`.
+def stream_sequences(
+    events: DataFrame, rules, delay: str, resolver=None, horizon: str | None = None
+) -> DataFrame:
+    """Matches of ordered and unordered rules over a stream of events with `occurred_at`.
 
-    Rows later than the watermark are dropped; everything else gives the
-    matches of the batch form, each emitted once the watermark has passed it.
+    Rows later than the watermark are dropped; everything else gives the matches of
+    the batch form, without repeats and suppressed as the rules say, each emitted
+    once the watermark has passed it. With a `horizon` a group's state ends after a
+    pause of that length; without one it stays.
     """
 
-    if any(not r.ordered for r in rules):
-        raise ValueError("the streaming form takes ordered rules only")
-    plans = [
-        (len(r.stages), None if r.within_seconds is None else round(r.within_seconds * 1e6))
-        for r in rules
-    ]
     hits = candidates(events, rules, resolver)
     timed = hits.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
     return timed.groupBy("rule_no", "group_key").transformWithStateInPandas(
-        statefulProcessor=_Sequence(plans, _slot(delay)),
+        statefulProcessor=_Sequence(
+            [Plan.of(r) for r in rules], _slot(delay), None if horizon is None else _micros(horizon)
+        ),
         outputStructType=(
             "rule_no int, group_key string, event_ids array<string>, first_us bigint,"
             " last_us bigint, suppression string"
@@ -243,8 +477,11 @@ class _Suppress(_ByTime):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        schema = T.StructType([T.StructField("us", T.LongType())])
-        self.last = handle.getValueState("last", schema)
+        self.last = handle.getValueState("last", _LAST)
+
+    def expire(self, us):
+        if self.last.exists() and self.last.get()[0] + self.limit_us < us:
+            self.last.clear()
 
     def handle_due(self, key, rows):
         last = self.last.get()[0] if self.last.exists() else None
@@ -254,8 +491,9 @@ class _Suppress(_ByTime):
                 continue
             last = first_us
             kept.append((key[0], key[1], match_id, first_us))
-        if last is not None:
+        if kept:
             self.last.update((last,))
+            self.wake(last + self.limit_us)
         return kept
 
 
@@ -263,7 +501,8 @@ def stream_suppression(matches: DataFrame, seconds: float, delay: str) -> DataFr
     """Matches (group_key, suppression, match_id, first_us) that are not suppressed.
 
     A match is judged once the watermark has passed it; matches that are later
-    than the watermark are dropped.
+    than the watermark are dropped. The state of a key goes when the watermark has
+    passed the suppression time of its last match.
     """
 
     timed = matches.withColumn("at", F.timestamp_micros("first_us")).withWatermark("at", delay)
