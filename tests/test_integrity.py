@@ -214,3 +214,57 @@ def test_journal_files(spark, tmp_path):
     assert sorted(by["one.jsonl"]) == [(1, "a", True), (2, "b\r", True), (3, "c", True)]
     assert sorted(by["two.jsonl"]) == [(1, "x", True), (2, "", True), (3, "y", False)]
     assert sorted(by["big.jsonl"]) == [(i + 1, f"line {i}", True) for i in range(20000)]
+
+
+def loose(spark, events_by_journal):
+    rows = [
+        (journal, e["causality"]["sequence"] + 1, canonical_text(e))
+        for journal, events in events_by_journal.items()
+        for e in events
+    ]
+    return spark.createDataFrame(rows, "journal_id string, record_number bigint, line string")
+
+
+def lines_of(df):
+    return {(r["journal_id"], r["record_number"]): r["line"] for r in df.collect()}
+
+
+def test_slices_give_the_chain_made_at_once(spark):
+    events = {j: [event(i, j) for i in range(9)] for j in ("a", "b")}
+    events["c"] = [event(0, "c")]
+    whole = {(j, n + 1): line for j, own in events.items() for n, line in enumerate(chain(own))}
+    ends, done = I.chain_ends(loose(spark, {"x": []})), {}
+    for low, high in ((0, 3), (3, 4), (4, 9)):
+        part = loose(spark, {j: own[low:high] for j, own in events.items()})
+        appended, refused = I.continue_chain(part, ends)
+        assert refused.count() == 0
+        done |= lines_of(appended)
+        ends = I.newer_ends(ends, appended)
+    assert done == whole
+    stored = spark.createDataFrame([(*k, v) for k, v in done.items()], "journal_id string, record_number int, line string")
+    assert sorted(map(tuple, I.chain_ends(stored).collect())) == sorted(map(tuple, ends.collect()))
+
+
+def test_wrong_next_numbers_are_refused(spark):
+    own = [event(i, "a") for i in range(8)]
+    stored, _ = I.continue_chain(loose(spark, {"a": own[:3]}), I.chain_ends(loose(spark, {"x": []})))
+    new = loose(spark, {"a": [own[2], own[3], own[3], own[5], own[6]], "b": [event(4, "b")]})
+    appended, refused = I.continue_chain(new, I.chain_ends(stored))
+    # 3 is stored already, of 4 one is taken, 6 and 7 wait for 5; a new journal starts with 1.
+    assert set(lines_of(appended)) == {("a", 4)}
+    assert lines_of(appended)[("a", 4)] == chain(own[:4])[3]
+    assert sorted(map(tuple, refused.collect())) == [("a", 3, 4), ("a", 4, 5), ("a", 6, 5), ("a", 7, 5), ("b", 5, 1)]
+
+
+def test_appending_needs_a_sound_journal(spark):
+    good, bad = [event(i, "g") for i in range(3)], [event(i, "b") for i in range(3)]
+    lines = [("g", n + 1, line, True) for n, line in enumerate(chain(good[:2]))]
+    lines += [("b", n + 1, line.replace('"p"', '"q"'), True) for n, line in enumerate(chain(bad[:2]))]
+    stored = spark.createDataFrame(lines, "journal_id string, record_number bigint, line string, terminated boolean")
+    late = loose(spark, {"g": [good[2]], "b": [bad[2]], "n": [event(0, "n"), event(2, "n")]})
+    appended, failed = I.append_events(late, stored)
+    assert lines_of(appended) == {("g", 3): chain(good)[2], ("n", 1): chain([event(0, "n")])[0]}
+    assert sorted(map(tuple, failed.collect())) == [
+        ("b", 3, "stored_chain_invalid"),
+        ("n", 3, "sequence_mismatch: expected record 2"),
+    ]

@@ -33,42 +33,51 @@ def event_hash(line: Column) -> Column:
     return sha256_label(F.regexp_replace(line, _HASH, "$1null"))
 
 
+CHAIN_SCHEMA = (
+    "journal_id string, record_number bigint, previous_event_hash string, event_hash string, line string,"
+    " expected bigint"
+)
+
+
 def _chain_partitions(batches):
-    """mapInArrow function: link each line to the one before it in its journal."""
+    """mapInArrow function: link each line to the one before it in its journal.
+
+    A journal's first row brings what is stored of it (`count`, `last`). A line whose
+    number is not the next one is not linked: it comes out without hash and line and
+    with the number that would have been right.
+    """
 
     import hashlib
 
     import pyarrow as pa
 
-    current, last = None, None
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    names = [f.split()[0] for f in CHAIN_SCHEMA.split(", ")]
+    current, last, following = object(), None, 1
     for batch in batches:
         out = []
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for journal, number, head, tail in zip(*columns):
+        for journal, number, head, tail, count, stored in zip(*columns):
             if journal != current:
-                current, last = journal, None
+                current, last, following = journal, stored, None if count is None else count + 1
+            if following is None:
+                following = number  # nothing is said of what is stored: any first number will do
+            if number != following:
+                out.append((journal, number, None, None, None, following))
+                continue
             before = "null" if last is None else f'"{last}"'
             rest = f',"previous_event_hash":{before}}}{tail}'
             digest = hashlib.sha256(f'{head}"event_hash":null{rest}'.encode()).hexdigest()
             own = f"sha256:{digest}"
-            out.append((journal, number, last, own, f'{head}"event_hash":"{own}"{rest}'))
-            last = own
+            out.append((journal, number, last, own, f'{head}"event_hash":"{own}"{rest}', None))
+            last, following = own, following + 1
         if out:
-            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            names = ["journal_id", "record_number", "previous_event_hash", "event_hash", "line"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], type=t) for i, t in enumerate(types)], names=names
             )
 
 
-def assign_chain(df: DataFrame) -> DataFrame:
-    """Chain canonical lines per journal: needs journal_id, record_number and line.
-
-    Each hash covers the one before it, so one journal is one serial stream;
-    it is streamed in order and never gathered. Everything that can run in
-    parallel (redaction, canonical text) belongs before this step.
-    """
-
+def _linked(df: DataFrame, ends: DataFrame | None) -> DataFrame:
     place = F.position(F.lit(_OPEN), F.col("line"))
     parts = df.select(
         "journal_id",
@@ -76,23 +85,98 @@ def assign_chain(df: DataFrame) -> DataFrame:
         F.substring(F.col("line"), F.lit(1), place - 1).alias("head"),
         F.substring(F.col("line"), place + len(_OPEN), F.length("line")).alias("tail"),
     )
-    spread = parts.repartition("journal_id").sortWithinPartitions("journal_id", "record_number")
-    return spread.mapInArrow(
-        _chain_partitions,
-        "journal_id string, record_number bigint, previous_event_hash string,"
-        " event_hash string, line string",
+    if ends is None:
+        parts = parts.select(
+            "*", F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("string").alias("last")
+        )
+    else:
+        stored = ends.select("journal_id", F.col("records").alias("count"), F.col("event_hash").alias("last"))
+        parts = parts.join(stored, "journal_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+        parts = parts.select("journal_id", "record_number", "head", "tail", "count", "last")
+    # The text orders lines that claim the same number, so that a repeated run refuses the same one.
+    spread = parts.repartition("journal_id").sortWithinPartitions("journal_id", "record_number", "tail")
+    return spread.mapInArrow(_chain_partitions, CHAIN_SCHEMA)
+
+
+def assign_chain(df: DataFrame) -> DataFrame:
+    """Chain canonical lines of whole journals: needs journal_id, record_number and line.
+
+    Each hash covers the one before it, so one journal is one serial stream;
+    it is streamed in order and never gathered. Everything that can run in
+    parallel (redaction, canonical text) belongs before this step. Numbers must
+    follow each other; `continue_chain` reports those that do not.
+    """
+
+    return _linked(df, None).filter("expected IS NULL").drop("expected")
+
+
+def chain_ends(lines: DataFrame) -> DataFrame:
+    """What is stored of each journal: `records` and the `event_hash` of its last record.
+
+    An aggregate that combines before its shuffle; one row per journal, which may be
+    kept and brought up to date by `newer_ends` without reading old lines again.
+    """
+
+    number = F.col("record_number").cast("bigint")
+    own = F.nullif(F.regexp_extract("line", _OWN_HASH, 1), F.lit(""))
+    return lines.groupBy("journal_id").agg(
+        F.max(number).alias("records"), F.max_by(own, number).alias("event_hash")
     )
 
 
-def append_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Redact, then chain. Lines that cannot be redacted go to the second table only."""
+def newer_ends(ends: DataFrame, appended: DataFrame) -> DataFrame:
+    """`ends` after the lines that `continue_chain` or `append_events` has appended."""
+
+    both = ends.unionByName(chain_ends(appended))
+    return both.groupBy("journal_id").agg(
+        F.max("records").alias("records"), F.max_by("event_hash", "records").alias("event_hash")
+    )
+
+
+def continue_chain(df: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chain new lines behind the stored ones: (appended, refused).
+
+    `ends` has one row per stored journal (`journal_id`, `records`, `event_hash`); a
+    journal without one begins with record 1. The stored end is joined by journal, the
+    key that the lines are dealt by anyway, and starts the fold. A line is appended if
+    its number is the next one; else it is refused with the `expected` number, and the
+    lines behind it are judged against that same number, as in appending one by one.
+    """
+
+    linked = cut(_linked(df, ends))
+    refused = linked.filter("expected IS NOT NULL").select("journal_id", "record_number", "expected")
+    return linked.filter("expected IS NULL").drop("expected"), refused
+
+
+def append_events(df: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Redact, then chain behind the `stored` lines: (appended, failed with an `error` each).
+
+    Nothing is appended to a journal whose stored lines fail verification; lines that
+    cannot be redacted are left out before numbers are judged.
+    """
 
     safe = df.withColumn("__r", redact_json(F.col("line")))
     failed = safe.filter("__r.error IS NOT NULL").select(
         "journal_id", "record_number", F.col("__r.error").alias("error")
     )
     ready = safe.filter("__r.error IS NULL").withColumn("line", F.col("__r.json"))
-    return assign_chain(ready), failed
+    if stored is None:
+        return assign_chain(ready), failed
+    verdict = cut(
+        verify_chain(stored).select(
+            "journal_id", "ok", F.col("records_verified").alias("records"), F.col("last_event_hash").alias("event_hash")
+        )
+    )
+    broken = verdict.filter("NOT ok").select("journal_id")
+    barred = ready.join(broken, "journal_id", "left_semi").select(
+        "journal_id", "record_number", F.lit("stored_chain_invalid").alias("error")
+    )
+    open_ = ready.join(broken, "journal_id", "left_anti")
+    appended, refused = continue_chain(open_, verdict.filter("ok"))
+    wrong = refused.select(
+        "journal_id", "record_number", F.format_string("sequence_mismatch: expected record %d", "expected").alias("error")
+    )
+    return appended, failed.unionByName(barred).unionByName(wrong)
 
 
 def record_issues(df: DataFrame) -> DataFrame:

@@ -134,6 +134,49 @@ def chain_assign(spark, sf_dir):
     )
 
 
+@query(
+    "int_chain_continue",
+    f"{CHAIN} SELECT journal_id, record_number, prev AS previous_event_hash, hash AS event_hash,"
+    " sha256(line) AS line_digest FROM ln",
+)
+def chain_continue(spark, sf_dir):
+    """Three slices of every journal, each chained behind the end of the slice before."""
+    df = event_line(conversation_events(spark, sf_dir))
+    number = F.col("record_number")
+    ends = I.chain_ends(df.filter("false"))
+    done = []
+    for part in (number <= 2, (number > 2) & (number <= 5), number > 5):
+        appended, _ = I.continue_chain(df.filter(part), ends)
+        done.append(appended)
+        ends = I.newer_ends(ends, appended)
+    whole = done[0].unionByName(done[1]).unionByName(done[2])
+    return whole.select(
+        "journal_id",
+        "record_number",
+        "previous_event_hash",
+        "event_hash",
+        F.sha2("line", 256).alias("line_digest"),
+    )
+
+
+@query(
+    "int_chain_refused",
+    f"""{CHAIN} SELECT t.journal_id, t.record_number, 3::BIGINT AS expected FROM t
+    WHERE conv_id % 5 = 2 AND t.record_number > 3
+    UNION ALL SELECT journal_id, 2, 3 FROM t WHERE conv_id % 5 = 3 AND t.record_number = 2""",
+)
+def chain_refused(spark, sf_dir):
+    """Lines that do not follow their stored journal: a missing third record, a repeated second one."""
+    df = event_line(conversation_events(spark, sf_dir))
+    number = F.col("record_number")
+    kind = F.regexp_extract("journal_id", "([0-9]+)", 1).cast("bigint") % 5
+    stored, _ = I.continue_chain(df.filter(number <= 2), I.chain_ends(df.filter("false")))
+    later = df.filter((number > 2) & ~((kind == 2) & (number == 3)))
+    again = df.filter((number == 2) & (kind == 3))
+    _, refused = I.continue_chain(later.unionByName(again), I.chain_ends(stored))
+    return refused
+
+
 @query(
     "int_chain_verify",
     f"{CHAIN} SELECT journal_id, ok, verified AS records_verified, last AS last_event_hash,"
