@@ -10,7 +10,7 @@ from witspark import schema as S
 from witspark.functions.jsonwalk import walk_json
 from witspark.functions.payload import kind_of, text_at, variant_at
 from witspark.operators.ordered import in_order
-from witspark.plans.lineage import cut
+from witspark.plans.lineage import Rounds, cut
 
 TOOL_KEYS = ("name", "tool", "tool_name")
 RESOURCE_KEYS = ("identifier", "path", "uri", "url")
@@ -410,36 +410,45 @@ def causal_depth(df: DataFrame) -> DataFrame:
 
 
 def causal_closure(df: DataFrame, seeds: DataFrame, direction: str = "ancestors") -> DataFrame:
-    """(seed, event_id, depth) reached from the seeds over parent links, level by level.
-
-    Goes on until nothing new is reached; an event reached before is not followed
-    again, so cycles end and every depth is the least one. A seed that lies on a
+    """(seed, event_id, depth) reached from the seeds over parent links, in doubling rounds.
+
+    Round r has everything less than 2^r steps away, and a table of jumps over exactly
+    2^r steps; one join of the two gives all that lies 2^r to 2^(r+1) steps away, and
+    the jumps joined with themselves are the next ones. So a chain of a million events
+    takes 20 rounds, and a row of the result is made once. Descendants go the jumps
+    backwards. A depth that a round reaches for the first time implies the depths
+    before it, so a round with nothing new is the last; an event reached before is not
+    taken again, which ends cycles and keeps the least depth. A seed that lies on a
     cycle is not its own ancestor.
     """
 
-    edges = df.filter("parent_event_id IS NOT NULL")
-    if direction == "ancestors":
-        edges = edges.select(F.col("event_id").alias("at"), F.col("parent_event_id").alias("to"))
-        edges = edges.join(df.select(F.col("event_id").alias("to")), "to", "left_semi").select(
-            "at", "to"
-        )
-    else:
-        edges = edges.select(F.col("parent_event_id").alias("at"), F.col("event_id").alias("to"))
-    edges = cut(edges)
-    front = cut(
-        seeds.select(F.col("event_id").alias("seed"), "event_id", F.lit(0).alias("depth")).distinct()
+    rounds = Rounds(df.sparkSession, "closure")
+    known = df.select(F.col("event_id").alias("up")).distinct()
+    links = df.filter("parent_event_id IS NOT NULL").select(
+        F.col("event_id").alias("down"), F.col("parent_event_id").alias("up")
+    )
+    # Each jump leads from an event to the one above it.
+    jumps = rounds.keep("jumps", links.distinct().join(known, "up", "left_semi").select("down", "up"))
+    start, end = ("down", "up") if direction == "ancestors" else ("up", "down")
+    asked = seeds.filter("event_id IS NOT NULL")
+    _, reached = rounds.add(
+        "reached", asked.select(F.col("event_id").alias("seed"), "event_id", F.lit(0).alias("depth")).distinct()
     )
-    reached, depth = front, 0
-    while not front.isEmpty():
-        depth += 1
-        near = front.join(edges, front["event_id"] == edges["at"]).select(
-            "seed", F.col("to").alias("event_id"), F.lit(depth).alias("depth")
+    step = 1
+    while True:
+        further = jumps.select(F.col(start).alias("event_id"), F.col(end).alias("to"))
+        near = (
+            reached.join(further, "event_id")
+            .groupBy("seed", F.col("to").alias("event_id"))
+            .agg((F.min("depth") + step).alias("depth"))
         )
-        front = cut(near.distinct().join(reached.select("seed", "event_id"), ["seed", "event_id"], "left_anti"))
-        reached = reached.union(front)
-        if depth % 16 == 0:  # keeps the union, and so the plan, short on long chains
-            reached = cut(reached)
-    return reached.filter("depth > 0")
+        fresh = near.join(reached.select("seed", "event_id"), ["seed", "event_id"], "left_anti")
+        new, reached = rounds.add("reached", fresh)
+        if new.isEmpty():
+            return reached.filter("depth > 0")
+        upper = jumps.select(F.col("down").alias("up"), F.col("up").alias("next"))
+        jumps = rounds.keep("jumps", jumps.join(upper, "up").select("down", F.col("next").alias("up")).distinct())
+        step *= 2
 
 
 def console_tables(df: DataFrame) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -95,3 +96,40 @@ def written_table(spark: SparkSession, name: str, source: str, build) -> DataFra
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+class Rounds:
+    """Tables of an iteration, written to the shared folder and scanned again.
+
+    A checkpoint keeps the size that Spark estimates for what it holds, and the estimate
+    of a join is the product of its sides: joined round after round, the number itself
+    outgrows the data. A scan has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.latest: dict[str, str] = {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """The new state of a table; the files of the one before go."""
+
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        before, self.latest[name] = self.latest.get(name), path
+        if before is not None:
+            self.drop(before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, name: str, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows added to a table that only grows: (the added ones, all)."""
+
+        path = f"{self.folder}/{name}"
+        own = f"{path}/{uuid.uuid4().hex}"
+        df.write.parquet(own)
+        reader = self.spark.read.schema(df.schema)
+        return reader.parquet(own), reader.option("recursiveFileLookup", "true").parquet(path)
+
+    def drop(self, path: str) -> None:
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
