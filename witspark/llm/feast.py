@@ -202,29 +202,40 @@ def usable(df: DataFrame, vector_col: str) -> F.Column:
     return F.coalesce((F.size(vector_col) > 0) & ~bad, F.lit(False))
 
 
-def _entries(parts: DataFrame, of, shape: str, width: int) -> np.ndarray:
-    """Sums over all tasks of the vector that `of(matrix of x)` gives; one row per entry and task.
+#: Partial sums that one task adds up; there are two such steps.
+FAN_IN = 64
 
-    Exact for whole numbers: those leave the tasks as decimals.
+
+def _added(parts: DataFrame, of, width: int, whole: bool = False) -> list[int] | np.ndarray:
+    """Sum of the vectors that `of(packed rows)` gives over all rows.
+
+    Each task leaves one packed row, whatever its rows; `FAN_IN` tasks add those up,
+    then one adds up theirs, and the driver gets a single row. Whole numbers are added
+    exactly, in 16 bytes each.
     """
 
-    whole = shape == "decimal(38,0)"
-    kind = _parse_datatype_string(f"at int, value {shape}")
-    arrow = to_arrow_schema(kind)
+    def read(data: bytes):
+        if not whole:
+            return np.frombuffer(data)
+        return [int.from_bytes(data[k : k + 16], "little", signed=True) for k in range(0, 16 * width, 16)]
 
-    def work(batches):
+    def summed(vectors):
         total = [0] * width if whole else np.zeros(width)
-        for batch in batches:
-            x = of([v.as_py() for v in batch.column(0)])
-            total = [t + v for t, v in zip(total, x)] if whole else total + x
-        values = pa.array(total, arrow.field(1).type) if whole else pa.array(total)
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), values], schema=arrow)
+        for v in vectors:
+            total = [t + x for t, x in zip(total, v)] if whole else total + v
+        data = b"".join(t.to_bytes(16, "little", signed=True) for t in total) if whole else total.tobytes()
+        yield pa.RecordBatch.from_pydict({"total": pa.array([data], pa.binary())})
+
+    def first(batches):
+        return summed(of([v.as_py() for v in batch.column(0)]) for batch in batches)
+
+    def further(batches):
+        return summed(read(v.as_py()) for batch in batches for v in batch.column(0))
 
-    rows = parts.mapInArrow(work, kind).groupBy("at").agg(F.sum("value").cast(shape).alias("value")).collect()
-    out = [0] * width
-    for at, value in rows:
-        out[at] = int(value) if whole else value
-    return out
+    rows = parts.mapInArrow(first, "total binary")
+    for tasks in (FAN_IN, 1):
+        rows = rows.repartition(tasks).mapInArrow(further, "total binary")
+    return read(bytes(rows.first()["total"]))
 
 
 def fit(df: DataFrame, wanted: int = 4, vector_col: str = "embedding") -> Whitening | None:
@@ -250,7 +261,7 @@ def fit(df: DataFrame, wanted: int = 4, vector_col: str = "embedding") -> Whiten
 
     fitted = cut(vectors.filter(F.size("v") == d).mapInArrow(pack, "x binary").distinct())
     n = fitted.count()
-    sums = _entries(fitted, sums_of, "decimal(38,0)", d)
+    sums = _added(fitted, sums_of, d, whole=True)
     mean = np.array([s / n for s in sums])
 
     def products(packed):
@@ -258,7 +269,7 @@ def fit(df: DataFrame, wanted: int = 4, vector_col: str = "embedding") -> Whiten
         return (centred.T @ centred)[np.triu_indices(d)]
 
     covariance = np.zeros((d, d))
-    covariance[np.triu_indices(d)] = np.array(_entries(fitted, products, "double", d * (d + 1) // 2)) / n
+    covariance[np.triu_indices(d)] = _added(fitted, products, d * (d + 1) // 2) / n
     covariance = covariance + np.triu(covariance, 1).T
     values, directions = components(covariance, wanted)
     k = len(values)
@@ -269,7 +280,7 @@ def fit(df: DataFrame, wanted: int = 4, vector_col: str = "embedding") -> Whiten
 
     error = 0.0
     if k:
-        moments = np.array(_entries(fitted, whitened, "double", k + k * k)) / n
+        moments = _added(fitted, whitened, k + k * k) / n
         spread = moments[k:].reshape(k, k) - np.outer(moments[:k], moments[:k])
         error = float(np.abs(spread - np.eye(k)).max())
     return Whitening(d, n, sums, values, directions, float(np.trace(covariance)), error)
