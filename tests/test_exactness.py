@@ -182,7 +182,7 @@ def test_rule_metadata_reaches_the_alerts(spark):
     )
     rows = [("e0", 0, "g", "a")]
     alert = detect.alert_rows(detect.evaluate_rules(events(spark, rows), [rule], resolver=resolver())).first()
-    assert (alert["rule_version"], alert["tags"], alert["required_evidence_quality"]) == ("3", ["t1", "t2"], "verified")
+    assert (alert["rule_version"], alert["tags"], alert["required_evidence_quality"]) == ("3", ["t1", "t2"], ["verified"])
 
 
 def test_random_groups_at_both_settings(spark, hot):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from witspark.functions.payload import Resolver
 from witspark.functions.predicates import predicate
 from witspark.operators.ordered import in_order
+from witspark.operators.ruleindex import WORD, indexed_candidates
 from witspark.operators.rules import Rule
 from witspark.plans.lineage import cut, has_hot_group
 
@@ -42,10 +43,6 @@ def stage_condition(resolver: Resolver, stage):
     return F.coalesce(condition, F.lit(False))
 
 
-#: Stages in one word of a mask.
-WORD = 62
-
-
 def stage_mask(rule: Rule, resolver: Resolver, words: int = 1):
     """Words of WORD bits; bit i over all words is set where stage i matches the event."""
 
@@ -62,8 +59,17 @@ def _bit(stage: int):
     return F.col("mask")[stage // WORD].bitwiseAND(F.lit(1 << stage % WORD).cast("bigint")) != 0
 
 
+#: Stages of all rules from which on the index pays; both ways give the same rows.
+INDEXED_STAGES = 64
+
+
 def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFrame:
-    """One row per (rule, event) with at least one matching stage."""
+    """One row per (rule, event) with at least one matching stage.
+
+    Few rules are columns of one projection; many go through an index over their
+    predicates (`ruleindex`), so that neither the plan nor an event's work grows with
+    rules that have nothing to do with the event.
+    """
 
     resolver = resolver or Resolver()
     types = sorted({stage.event_type for rule in rules for stage in rule.stages})
@@ -72,6 +78,9 @@ def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFr
     df, resolver = resolver.prepared(df.filter(F.col("event_type").isin(types)), paths)
     entries = []
     words = 1 + max((len(rule.stages) - 1) // WORD for rule in rules)
+    least = int(df.sparkSession.conf.get("witspark.indexedStages", str(INDEXED_STAGES)))
+    if sum(len(rule.stages) for rule in rules) >= least:
+        return indexed_candidates(df, rules, resolver, words)
     for number, rule in enumerate(rules):
         skey = [resolver.text(p) for p in rule.suppression_key]
         entries.append(
@@ -484,9 +493,9 @@ def evaluate_rules(
         constant([r.version for r in rules]).alias("rule_version"),
         constant([r.severity for r in rules]).alias("severity"),
         F.from_json(constant([json.dumps(r.tags) for r in rules]), "array<string>").alias("tags"),
-        constant([r.required_evidence_quality for r in rules])
-        .cast("string")
-        .alias("required_evidence_quality"),
+        F.from_json(
+            constant([json.dumps(r.required_evidence_quality) for r in rules]), "array<string>"
+        ).alias("required_evidence_quality"),
         F.from_json("group_key", "array<string>").alias("group_key"),
         "event_ids",
         "first_us",

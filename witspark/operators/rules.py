@@ -31,7 +31,7 @@ class Rule:
     tags: tuple[str, ...] = ()
     rationale: str | None = None
     references: tuple[str, ...] = ()
-    required_evidence_quality: str | None = None
+    required_evidence_quality: tuple[str, ...] = ()
 
 
 _UNITS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0}
@@ -50,6 +50,17 @@ def duration_seconds(value) -> float | None:
     return float(found[1]) * _UNITS[found[2] or "s"]
 
 
+def _texts(value) -> tuple[str, ...]:
+    """A list of texts; a single one counts as a list of one."""
+
+    if value is None:
+        return ()
+    values = (value,) if isinstance(value, str) else tuple(value)
+    if not all(isinstance(v, str) for v in values):
+        raise ValueError("a list of texts is needed")
+    return values
+
+
 def rule_from_dict(data: dict) -> Rule:
     """Rule from a parsed JSON or YAML object; unknown predicates are an error."""
 
@@ -76,7 +87,7 @@ def rule_from_dict(data: dict) -> Rule:
         tags=tuple(data.get("tags", ())),
         rationale=data.get("rationale"),
         references=tuple(data.get("references", ())),
-        required_evidence_quality=data.get("required_evidence_quality"),
+        required_evidence_quality=_texts(data.get("required_evidence_quality")),
     )
 
 

@@ -14,10 +14,13 @@ BY_TRACE = ("correlation.trace_id",)
 ACK_SEND = {"tool_identity.name": "safe_http.send"}
 
 
-def sequence_sql(rules, suppression=None) -> str:
-    """Greedy matching of (rule id, group column, [stage conditions], window seconds) in SQL."""
+def sequence_sql(rules, suppression=None, hits=None) -> str:
+    """Greedy matching of (rule id, group column, [stage conditions], window seconds) in SQL.
 
-    hits = " UNION ALL ".join(
+    `hits` may give the matching events of all rules in SQL instead.
+    """
+
+    hits = hits or " UNION ALL ".join(
         f"SELECT '{rule_id}' AS rule_id, {len(stages)} AS k, {within or 'NULL'}::DOUBLE AS win,"
         f" {group} AS g, event_id, occurred_at, n, ("
         + " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(stages))
@@ -281,6 +284,36 @@ def multi_rule(spark, sf_dir):
     )
 
 
+def many_rules(n=2000):
+    """Rules of two stages that differ in the values they want, some by lists, flags or comparisons."""
+    ack, effect = "tool.execution.acknowledged", "side_effect.verified"
+    return [
+        Rule(
+            f"r{i}",
+            f"rule {i}",
+            (
+                Stage(ack, {"k": {"in": [i % 80, (i * 3 + 1) % 80]}}),
+                Stage(effect, {"k": i * 7 % 80, "flag": i % 2 == 0} if i % 4 else {"k": {"gte": 60 + i % 20}}),
+            ),
+            group_by=BY_TRACE,
+        )
+        for i in range(n)
+    ]
+
+
+_MANY_HITS = """SELECT 'r' || i AS rule_id, 2 AS k, NULL::DOUBLE AS win, trace_id AS g, event_id, occurred_at, n,
+    CASE WHEN event_type = 'side_effect.verified' THEN 2 ELSE 1 END AS mask FROM evp JOIN generate_series(0, 1999) r(i)
+    ON (event_type = 'tool.execution.acknowledged' AND k IN (i % 80, (i * 3 + 1) % 80))
+    OR (event_type = 'side_effect.verified' AND CASE WHEN i % 4 > 0 THEN k = i * 7 % 80 AND flag = (i % 2 = 0)
+      ELSE k >= 60 + i % 20 END)"""
+
+
+@query("det_rule_index", sequence_sql([], hits=_MANY_HITS))
+def rule_index(spark, sf_dir):
+    """Two thousand rules in one plan."""
+    return shown(detect.evaluate_rules(flat_events(spark, sf_dir), many_rules()))
+
+
 @query(
     "det_rule_explain",
     """WITH {EV} SELECT trace_id AS grp, count(*) AS event_count, s.i::BIGINT AS stage_index, s.t AS event_type,
