@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -257,6 +259,56 @@ def log_safe_json(col: Column, max_text: int = R.MAX_LOG_TEXT) -> Column:
     return shorten(col)
 
 
+#: Up to so many literals are columns of the projection; more go through an automaton.
+FEW_LITERALS = 16
+#: Bytes of literals in one automaton, which is broadcast; more literals make several.
+LITERAL_BYTES = 4 << 20
+
+
+def _literal_blocks(literals: dict[str, list[int]]) -> list[dict[str, list[int]]]:
+    blocks, size = [{}], 0
+    for text, places in literals.items():
+        own = len(text.encode())
+        if blocks[-1] and size + own > LITERAL_BYTES:
+            blocks.append({})
+            size = 0
+        blocks[-1][text] = places
+        size += own
+    return blocks
+
+
+def literal_hits(spark, text: Column, literals: dict[str, list[int]]) -> list[Column]:
+    """Arrays of the numbers whose literals a text holds; one array per block of literals.
+
+    An Aho-Corasick automaton reads each text once, however many literals there are;
+    it is built once per Python worker.
+    """
+
+    found = []
+    for block in _literal_blocks(literals):
+        shared = spark.sparkContext.broadcast(block)
+
+        @F.pandas_udf("array<int>")
+        def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for literal, places in shared.value.items():
+                automaton.add_word(literal, places)
+            automaton.make_automaton()
+
+            def one(item):
+                if item is None:
+                    return []
+                return sorted({n for _, places in automaton.iter(item) for n in places})
+
+            for series in texts:
+                yield series.map(one)
+
+        found.append(hits(text))
+    return found
+
+
 def leak_audit(df: DataFrame, ids, text: str, canaries=()) -> DataFrame:
     """(ids, pattern) of every text that holds a forbidden pattern or literal canary.
 
@@ -264,12 +316,17 @@ def leak_audit(df: DataFrame, ids, text: str, canaries=()) -> DataFrame:
     """
 
     named = [(n, F.col(text).rlike("(?U)" + p)) for n, p in R.LEAK_PATTERNS]
-    named += [
-        (f"extra_canary_{i}", F.contains(F.col(text), F.lit(c)))
-        for i, c in enumerate(canaries)
-        if c
-    ]
-    found = F.array(*[F.when(hit, F.lit(name)) for name, hit in named])
-    return df.select(
-        *ids, F.explode(F.filter(found, lambda name: name.isNotNull())).alias("pattern")
-    )
+    literals = [(i, c) for i, c in enumerate(canaries) if c]
+    many = []
+    if len(literals) <= FEW_LITERALS:
+        named += [(f"extra_canary_{i}", F.contains(F.col(text), F.lit(c))) for i, c in literals]
+    else:
+        places: dict[str, list[int]] = {}
+        for i, c in literals:
+            places.setdefault(c, []).append(i)
+        many = [
+            F.transform(hits, lambda i: F.concat(F.lit("extra_canary_"), i.cast("string")))
+            for hits in literal_hits(df.sparkSession, F.col(text), places)
+        ]
+    found = F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in named]), lambda name: name.isNotNull())
+    return df.select(*ids, F.explode(F.concat(found, *many) if many else found).alias("pattern"))

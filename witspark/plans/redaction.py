@@ -183,3 +183,25 @@ _LEAK_SQL = " UNION ALL ".join(
 @query("red_leak_audit", f"WITH {_DOCS} {_LEAK_SQL}")
 def leak_audit(spark, sf_dir):
     return redact.leak_audit(texts(spark, sf_dir), ["doc_id"], "text", _CANARIES)
+
+
+def _many(spark, sf_dir):
+    """Ten thousand literals: pieces of the benchmark's texts and others that occur nowhere."""
+    items = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(200).select("text").collect()
+    known = [r["text"][at : at + 24] for r in items for at in range(0, 240, 24)]
+    known = [c for c in known if len(c) == 24]
+    return known + [f"no such literal {i}" for i in range(10_000 - len(known))]
+
+
+@query(
+    "red_leak_audit_many",
+    """WITH b AS (SELECT text, row_number() OVER (ORDER BY item_id) AS rn FROM benchmark ORDER BY item_id LIMIT 200),
+    p AS (SELECT rn, pos, substring(text, pos + 1, 24) AS c FROM b, unnest(range(0, 240, 24)) AS u(pos)),
+    n AS (SELECT c, row_number() OVER (ORDER BY rn, pos) - 1 AS i FROM p WHERE length(c) = 24)
+    SELECT doc_id, 'extra_canary_' || i AS pattern FROM documents, n WHERE contains(text, c)""",
+)
+def leak_audit_many(spark, sf_dir):
+    """Ten thousand canaries in one pass over every text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = redact.leak_audit(docs, ["doc_id"], "text", _many(spark, sf_dir))
+    return found.filter("pattern LIKE 'extra_canary_%'")
