@@ -241,3 +241,14 @@ def test_leaks_of_odd_rows(spark, odd):
     assert leaks.find_leaks(odd, items.limit(0)).collect() == []
     kept = leaks.without_leaks(odd, items)
     assert kept.columns == odd.columns and kept.count() == 6
+
+
+def test_a_text_without_an_id_links_others(spark):
+    """Two documents are alike only through a third, which has no id."""
+
+    words = [f"w{i}" for i in range(100)]
+    last = " ".join(words[:90] + [f"x{i}" for i in range(10)])
+    first = " ".join([f"y{i}" for i in range(10)] + words[10:])
+    rows = [(5, last), (7, first), (None, " ".join(words)), (None, "alone without an id and unlike all others"), (9, "q")]
+    found = jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r["id"], r["component"]) for r in found), key=str) == [(5, 5), (7, 5), (9, 9), (None, 5), (None, None)]

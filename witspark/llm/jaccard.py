@@ -380,6 +380,18 @@ def link(
     )
 
 
+def _described(bodies: list[bytes], size: int) -> dict[str, list]:
+    """Node, length, set and sketch of each text that has n-grams."""
+
+    sets = [s for s in ngram_sets(bodies, size) if len(s)]
+    return {
+        "node": digests(sets).tolist() if sets else [],
+        "n": [len(s) for s in sets],
+        "packed": [s.astype("<u8").tobytes() for s in sets],
+        "sketch": [_sketch(s) for s in sets],
+    }
+
+
 def _labels(source, docs, groups, size, threshold) -> DataFrame:
     """`node`, `comp` of all nodes that have a link."""
 
@@ -387,7 +399,8 @@ def _labels(source, docs, groups, size, threshold) -> DataFrame:
     wanted = cut(
         docs.join(groups.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"))
     )
-    body = source.join(broadcast_if_small(wanted), "id").select("node", "body")
+    named = wanted.filter("id is not null")
+    body = source.join(broadcast_if_small(named), "id").select("node", "body")
 
     def work(cols):
         sets = ngram_sets(cols["body"], size)
@@ -400,7 +413,15 @@ def _labels(source, docs, groups, size, threshold) -> DataFrame:
             "sketch": [_sketch(sets[i]) for i in kept],
         }
 
-    sets = cut(map_rows(body, "node bigint, n bigint, packed binary, sketch array<bigint>", work))
+    shape = "node bigint, n bigint, packed binary, sketch array<bigint>"
+    sets = map_rows(body, shape, work)
+    nameless = wanted.filter("id is null").select("node")
+    if not nameless.isEmpty():
+        # No id leads to the text of these; the rows without an id name their nodes anew.
+        own = map_rows(source.filter("id is null").select("body"), shape, lambda cols: _described(cols["body"], size))
+        own = own.join(broadcast_if_small(nameless), "node", "left_semi").dropDuplicates(["node"])
+        sets = sets.unionByName(own)
+    sets = cut(sets)
     stars = (
         groups.join(groups.groupBy("gid").agg(F.min("node").alias("a")), "gid")
         .filter("node != a")
