@@ -54,13 +54,6 @@ def remainder(id_col, parts: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table of an earlier step from the shared folder."""
-
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def read_model(path: str) -> bytes:
     """A public vocabulary file, read once on the driver; larger files are refused."""
 

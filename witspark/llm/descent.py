@@ -27,7 +27,6 @@ gives no rows.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +35,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from witspark.llm.common import prepare, remove
+from witspark.llm.common import prepare
 from witspark.llm.components import connected
-from witspark.plans.lineage import broadcast_if_small, cut, shared_folder
+from witspark.plans.lineage import Rounds, broadcast_if_small, cut
 
 #: Sketch words of 64 bits.
 WORDS = 4
@@ -237,31 +236,12 @@ def refine(lists: DataFrame, turn: int, growing: DataFrame | None = None) -> Dat
     return nearest(lists.withColumn("fresh", F.lit(False)).unionByName(found))
 
 
-class Rounds:
-    """The table of the latest round, written and read back; the one before it goes.
-
-    A checkpoint would keep the size that Spark estimates for the round's joins, which
-    squares from round to round.
-    """
-
-    def __init__(self, spark):
-        self.spark, self.folder, self.last = spark, f"{shared_folder(spark)}/descent-{uuid.uuid4().hex}", None
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        if self.last is not None:
-            remove(self.spark, self.last)
-        self.last = path
-        return self.spark.read.parquet(path)
-
-
 def settled(lists: DataFrame, first_turn: int, rounds: Rounds) -> DataFrame:
     """Rounds until fewer than one edge in 100 is new."""
 
     turn = first_turn
     while True:
-        lists = rounds.keep(refine(lists, turn))
+        lists = rounds.keep("lists", refine(lists, turn))
         turn += 1
         edges, fresh = lists.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
         if fresh * 100 <= edges:
@@ -282,7 +262,7 @@ def enlarged(lists: DataFrame, bound: int, rounds: Rounds) -> DataFrame:
         # The nodes whose lists have just doubled have free places, and look.
         marked = lists.join(full.withColumn("grows", F.lit(True)), "node", "left")
         doubled = marked.withColumn("wide", F.expr("if(grows, wide * 2, wide)")).drop("grows")
-        lists = rounds.keep(refine(doubled, turn, full))
+        lists = rounds.keep("lists", refine(doubled, turn, full))
         turn += 1
 
 
@@ -355,7 +335,7 @@ def links_of(nodes: DataFrame, threshold: float, recall: float = 0.99, width: in
     """`a`, `b` of all pairs of nodes that are found and verified, with the audit as the judge."""
 
     bound = bit_bound(threshold)
-    rounds = Rounds(nodes.sparkSession)
+    rounds = Rounds(nodes.sparkSession, "descent")
     begun = [starts(nodes, turn) for turn in range(WORDS)]
     turn = WORDS
     lists = None
@@ -368,7 +348,7 @@ def links_of(nodes: DataFrame, threshold: float, recall: float = 0.99, width: in
             edges = edges.unionByName(lists.withColumn("wide", F.greatest("wide", F.lit(width))))
             wide = edges.groupBy("node").agg(F.max("wide").alias("wide"))
             edges = edges.drop("wide").join(wide, "node")
-        lists = enlarged(settled(rounds.keep(nearest(edges)), turn, rounds), bound, rounds)
+        lists = enlarged(settled(rounds.keep("lists", nearest(edges)), turn, rounds), bound, rounds)
         links = cut(near_pairs(nodes, lists.filter(F.col("bits") <= bound), threshold))
         true, found = audit(nodes, links, threshold)
         if found >= recall * true:
