@@ -10,6 +10,7 @@ from witspark.functions.payload import Resolver
 from witspark.operators import detect, observe, redact
 from witspark.operators.ruleindex import wanted_values
 from witspark.operators.rules import Rule, Stage, rule_from_dict
+from witspark.plans.lineage import broadcast_if_small
 
 RESOLVER = Resolver("payload_v", {"g": "grp"})
 
@@ -159,3 +160,15 @@ def test_only_patterns_that_expectations_hold_are_put_together(spark):
     assert rows == {1: ("observed", 1, 1), 2: ("observed", 1, 2), 3: ("unverified", 0, 0), 4: ("unverified", 0, 0)}
     assert sorted(map(tuple, seen[0])) == [("u", 1), ("v", 6)]
     assert sorted(map(tuple, seen[1])) == [("u", 1), ("v", 0)]
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    def hinted(df):
+        return "ResolvedHint" in broadcast_if_small(df)._jdf.queryExecution().analyzed().toString()
+
+    rows = spark.range(100).select("id", F.lit("x" * 1000).alias("s"), F.array(F.lit("y" * 1000)).alias("a"))
+    assert hinted(rows) and hinted(rows.limit(0)) and hinted(spark.createDataFrame([(None, None)], "s string, b binary"))
+    for name, value in (("witspark.broadcastRows", "99"), ("witspark.broadcastBytes", "150000")):
+        spark.conf.set(name, value)
+        assert not hinted(rows)
+        spark.conf.unset(name)

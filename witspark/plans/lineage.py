@@ -4,10 +4,11 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -44,11 +45,25 @@ def has_hot_group(df: DataFrame, keys: list) -> bool:
     return not counts.filter(F.col("__rows") > limit).isEmpty()
 
 
+def _bytes_of(field: T.StructField) -> Column:
+    """About the bytes of a value; nested values count by their JSON text."""
+
+    col, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0))
+    return F.lit(8)
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the side small."""
+    """Broadcast hint only when a bounded count of rows and bytes proves the side small."""
 
     limit = int(df.sparkSession.conf.get("witspark.broadcastRows", str(BROADCAST_ROWS)))
-    if df.limit(limit + 1).count() <= limit:
+    most = int(df.sparkSession.conf.get("witspark.broadcastBytes", str(BROADCAST_BYTES)))
+    size = sum((_bytes_of(field) for field in df.schema.fields), F.lit(0))
+    rows, held = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(size.cast("bigint"))).first()
+    if rows <= limit and (held or 0) <= most:
         return F.broadcast(df)
     return df
 
