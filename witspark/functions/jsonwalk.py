@@ -174,8 +174,28 @@ def walk_json(df: DataFrame, ids: list[str], json_col: str, *, keys=None, kinds=
     )
 
 
+def settled_json(col: Column) -> Column:
+    """Canonical text of the texts that columns alone can settle; null for all others.
+
+    Written back from VARIANT, keys come sorted and nothing stands between. That is the
+    canonical text where all characters are printable ASCII without escapes, numbers
+    are whole and short, and nothing but the order of members differs: text and result
+    then have the same length, which something left over behind a value never has.
+    """
+
+    bare = F.regexp_replace(col, '"[^"]*"', '""')
+    plain = col.rlike(r"^[\x20-\x5b\x5d-\x7e]*$")
+    simple = ~bare.rlike(r"[0-9][.eE]|[0-9]{16}|\s")
+    shallow = F.length(F.regexp_replace(bare, r"[^\[{]", "")) <= 200
+    written = F.to_json(F.try_parse_json(col))
+    return F.when(plain & simple & shallow & (F.length(written) == F.length(col)), written)
+
+
 def canonical_json(col: Column) -> Column:
-    """Text with sorted keys, no spaces and kept Unicode; null for invalid JSON."""
+    """Text with sorted keys, no spaces and kept Unicode; null for invalid JSON.
+
+    Only texts that columns cannot settle cross to Python.
+    """
 
     @F.pandas_udf("string")
     def canonical(texts: pd.Series) -> pd.Series:
@@ -189,4 +209,5 @@ def canonical_json(col: Column) -> Column:
 
         return texts.map(one)
 
-    return canonical(col)
+    settled = settled_json(col)
+    return F.coalesce(settled, canonical(F.when(settled.isNull(), col)))

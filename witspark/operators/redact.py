@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from witspark.functions import redaction as R
-from witspark.functions.jsonwalk import CAPTURE_MARKER, canonical_text, strict_loads
+from witspark.functions.jsonwalk import CAPTURE_MARKER, canonical_text, settled_json, strict_loads
 
 
 def _redactor(policy: R.Policy):
@@ -84,11 +84,7 @@ def _harmless(policy: R.Policy):
     No sensitive name, no start of a pattern, and too short for a capture or a limit.
     """
 
-    names = {n for n in policy.sensitive_names} | {p.rsplit(".", 1)[-1] for p in policy.sensitive_paths}
-    spelled = "|".join(sorted({re.escape(n).replace("_", "[-_]").replace(r"\-", "[-_]") for n in names}))
-    # A backslash may spell any of these otherwise.
-    starts = r"\\|-----BEGIN|bearer|://|=|key|token|secret|password|signature|[\u017f\u0131]"
-    risky = re.compile(f"{spelled}|{starts}" if spelled else starts, re.I)
+    risky = re.compile(_spelled(policy), re.I)
     shortest = min(policy.max_text, policy.max_members, policy.max_items, policy.max_depth)
 
     def test(text):
@@ -102,11 +98,38 @@ def _harmless(policy: R.Policy):
     return test
 
 
+def _spelled(policy: R.Policy) -> str:
+    """Pattern of what a sensitive name or the start of a sensitive text may look like."""
+
+    names = {n for n in policy.sensitive_names} | {p.rsplit(".", 1)[-1] for p in policy.sensitive_paths}
+    spelled = "|".join(sorted({re.escape(n).replace("_", "[-_]").replace(r"\-", "[-_]") for n in names}))
+    # A backslash may spell any of these otherwise.
+    starts = r"\\|-----BEGIN|bearer|://|=|key|token|secret|password|signature|[\u017f\u0131]"
+    return f"{spelled}|{starts}" if spelled else starts
+
+
+def _surely_harmless(col: Column, policy: R.Policy) -> Column:
+    """`_harmless` as a column, for texts of ASCII characters."""
+
+    shortest = min(policy.max_text, policy.max_members, policy.max_items, policy.max_depth)
+
+    def count(marks):
+        return F.length(F.regexp_replace(col, f"[^{marks}]", ""))
+
+    return (
+        (F.length(col) <= policy.max_text)
+        & (count(",") < shortest)
+        & (count(r"\[{") < policy.max_depth)
+        & ~col.rlike("(?i)" + _spelled(policy))
+    )
+
+
 def redact_json(col: Column, policy: R.Policy = R.Policy()) -> Column:
     """Struct (json, captures, captured_bytes, error) of a JSON text.
 
     Fails closed: with an error the json member is null, never the input. The
-    text comes out canonical, so that it can be hashed as it is.
+    text comes out canonical, so that it can be hashed as it is. Texts that columns
+    show to be harmless and can write canonically do not cross to Python.
     """
 
     @F.pandas_udf("json string, captures bigint, captured_bytes bigint, error string")
@@ -127,7 +150,12 @@ def redact_json(col: Column, policy: R.Policy = R.Policy()) -> Column:
                 rows.append((None, 0, 0, "redaction_failed"))
         return pd.DataFrame(rows, columns=["json", "captures", "captured_bytes", "error"])
 
-    return redact(col)
+    settled = F.when(_surely_harmless(col, policy), settled_json(col))
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    done = F.struct(
+        settled.alias("json"), zero.alias("captures"), zero.alias("captured_bytes"), none.alias("error")
+    )
+    return F.when(settled.isNotNull(), done).otherwise(redact(F.when(settled.isNull(), col)))
 
 
 def redact_fields(df: DataFrame, payload: str = "payload", policy: R.Policy = R.Policy()) -> DataFrame:
