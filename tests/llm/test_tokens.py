@@ -150,3 +150,18 @@ def test_empty_table(spark, odd):
     none = odd.limit(0)
     assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).collect() == []
     assert wordbpe.count_tokens(none, WORDS).collect() == []
+
+
+_SPACED = st.lists(st.sampled_from(["a", "b1", "'s", " ", "  ", "\n", "\t", "!", "é", "漢", "　", "\xa0", "\x1c", "don't"]), max_size=30)
+
+
+@settings(deadline=None, max_examples=400)
+@given(parts=_SPACED, times=st.integers(1, 2))
+def test_cutting_at_spaces_changes_nothing(parts, times):
+    """White space of all kinds around the single spaces at which a text is cut."""
+
+    own, theirs = _both()
+    assert own.by_space
+    for _ in range(times):  # the second time from memory
+        assert ids(own.encode("".join(parts))) == theirs.encode_ordinary("".join(parts))
+        assert ids(own.encode(" ".join(parts))) == theirs.encode_ordinary(" ".join(parts))

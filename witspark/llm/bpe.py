@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,39 @@ from pyspark.sql.types import _parse_datatype_string
 
 from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts
 
-#: Distinct pre-tokens that a worker remembers; the memory for them is cleared beyond it.
-MEMO = 400_000
+#: Distinct pre-tokens, and stretches of text, that a worker remembers in each of two halves.
+MEMO = 300_000
 
 #: Remembered pre-tokens longer than this many characters would let memory grow with the texts.
 MEMO_CHARS = 64
 
+#: Fixed value: a split whose matches never go across a space that a non-space follows,
+#: as every such space begins a match. What lies between two of them is split by itself.
+BY_SPACE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class Memory(dict):
+    """What a worker remembers: when one half is full, the half before it is forgotten.
+
+    What is asked for again moves to the young half, so that frequent words stay,
+    however many rare ones pass by.
+    """
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def room(self, more: int) -> None:
+        if len(self) + more > self.size:
+            self.old = dict(self)
+            self.clear()
+
 
 def _mixed(keys: np.ndarray, level: int) -> np.ndarray:
     x = keys ^ np.uint64((0x9E3779B97F4A7C15 * (level + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -93,37 +120,44 @@ class Vocabulary:
         for slot, (token, rank) in zip(order.tolist(), self.ranks.items(), strict=True):
             self.at[slot] = token
             self.rank_at[slot] = rank
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memory(MEMO)
+        self.by_space = pattern == BY_SPACE
+        self.stretches = Memory(MEMO)
 
     def merged(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that is no token: a heap over linked bytes."""
+        """Ids of a pre-token that is no token: a heap over linked bytes.
+
+        An entry is one number: rank, then where the left part begins, then where the
+        right part ends. It is out of date if either part has changed since.
+        """
 
-        ranks, n = self.ranks, len(piece)
+        rank_of, n = self.ranks.get, len(piece)
+        bits = n.bit_length()
+        low, high = (1 << bits) - 1, 2 * bits
         end = list(range(1, n + 1))  # where the part that begins here ends; 0: merged away
         prior = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                heap.append((rank, i, i + 2))
-        heapq.heapify(heap)
+        heap = [
+            rank << high | i << bits | i + 2
+            for i in range(n - 1)
+            if (rank := rank_of(piece[i : i + 2])) is not None
+        ]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            entry = heappop(heap)
+            i, stop = entry >> bits & low, entry & low
             j = end[i]
             if not j or j >= n or end[j] != stop:
-                continue  # one of the two has changed since
+                continue
             end[i], end[j] = stop, 0
             if stop < n:
                 prior[stop] = i
-                rank = ranks.get(piece[i : end[stop]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, end[stop]))
+                after = end[stop]
+                if (rank := rank_of(piece[i:after])) is not None:
+                    heappush(heap, rank << high | i << bits | after)
             k = prior[i]
-            if k >= 0:
-                rank = ranks.get(piece[k:stop])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, k, stop))
-        out, i = [], 0
+            if k >= 0 and (rank := rank_of(piece[k:stop])) is not None:
+                heappush(heap, rank << high | k << bits | stop)
+        ranks, out, i = self.ranks, [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = end[i]
@@ -145,26 +179,63 @@ class Vocabulary:
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts_: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; what is new is learnt together."""
+
+        if not self.by_space:
+            return self._joined([self.split(t) for t in texts_])
+        return self._by_stretches(texts_)
+
+    def _joined(self, texts_: list[list[str]]) -> list[bytes]:
+        """Packed ids of several texts, given as their pre-tokens."""
 
-        pieces = self.split(text)
-        memo = self.memo
-        new = set(pieces).difference(memo)
-        known = memo
+        ids = [list(map(self.memo.__getitem__, own)) for own in texts_]
+        new = {p for own, known in zip(texts_, ids) if None in known for p, i in zip(own, known) if i is None}
         if new:
             found = self.learn(new)
-            short = {p: ids for p, ids in found.items() if len(p) <= MEMO_CHARS}
-            if len(memo) + len(short) > MEMO:
-                known = {p: memo[p] for p in pieces if p in memo} | found
-                memo.clear()
-            elif len(short) < len(found):
-                known = {p: memo[p] for p in pieces if p in memo} | found
-            memo.update(short)
-        return b"".join(map(known.__getitem__, pieces))
+            self.memo.room(len(found))
+            self.memo.update((p, i) for p, i in found.items() if len(p) <= MEMO_CHARS)
+            for own, known in zip(texts_, ids):
+                if None in known:
+                    known[:] = [found[p] if i is None else i for p, i in zip(own, known)]
+        return [b"".join(known) for known in ids]
+
+    def _by_stretches(self, texts_: list[str]) -> list[bytes]:
+        """Ids by the stretches between spaces; where a space is followed by white space or by
+        nothing, a text is split as a whole.
+
+        A worker remembers the ids of whole stretches, so that a text whose words are
+        known is cut at its spaces alone.
+        """
+
+        cuts = [t.split(" ") for t in texts_]
+        ids = [list(map(self.stretches.__getitem__, own)) for own in cuts]
+        for own in ids:
+            own[0] = b""  # what stands before the first space is looked at by itself
+        new = {s for own, known in zip(cuts, ids) if None in known for s, i in zip(own, known) if i is None}
+        odd = {s for s in new if not s or s[0].isspace()}
+        whole = {t for t, own in enumerate(cuts) if odd and not odd.isdisjoint(own[1:])}
+        fresh = [s for s in new if s not in odd]
+        starts = [[] if t in whole else self.split(own[0]) for t, own in enumerate(cuts)]
+        rest = [self.split(texts_[t]) for t in sorted(whole)]
+        learnt = self._joined([*(self.split(" " + s) for s in fresh), *starts, *rest])
+        found = dict(zip(fresh, learnt))
+        first = learnt[len(fresh) : len(fresh) + len(cuts)]
+        out = dict(zip(sorted(whole), learnt[len(fresh) + len(cuts) :]))
+        self.stretches.room(len(found))
+        self.stretches.update((s, i) for s, i in found.items() if len(s) <= MEMO_CHARS)
+        for t, (own, known) in enumerate(zip(cuts, ids)):
+            if t not in whole:
+                if None in known:
+                    known = [found[s] if i is None else i for s, i in zip(own, known)]
+                out[t] = first[t] + b"".join(known)
+        return [out[t] for t in range(len(texts_))]
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def loaded(data: bytes, pattern: str) -> Vocabulary:
@@ -181,7 +252,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def work(cols):
         vocabulary = loaded(model.value, pattern)
-        return {"id": cols["id"], "ids": [vocabulary.encode(b.decode()) for b in cols["body"]]}
+        return {"id": cols["id"], "ids": vocabulary.encode_all([b.decode() for b in cols["body"]])}
 
     return map_rows(texts(df, id_col, text_col), f"id {id_type(df, id_col)}, ids binary", work)
 
