@@ -1,5 +1,6 @@
 """Quality, toxicity and quality rules: brute force and held-out accuracy."""
 
+import math
 import random
 import re
 import zlib
@@ -104,12 +105,16 @@ def test_query_op6(spark, sf_dir, texts):
 
 
 def test_fertility_measures_equal_the_library(spark, texts):
-    own = fertility.Fertility(open(PIECES, "rb").read())
+    second = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+    own = fertility.Fertility(open(PIECES, "rb").read(), second)
+    whole = fertility.wordbpe.Counter(second)
     for text in list(texts.values())[:60] + ["漢字かな", "\U0001f600\U0001f600 ok"]:
         words = text.encode().split()
         expected = [i for w in words for i in own.model.encode(w.decode(), num_threads=1)]
-        n, _, fallback, _ = own.measures(words, 10)
+        n, _, fallback, _, other = own.measures(*own.tokens([words])[0], 10)
         assert n == len(expected)
+        # By words, the second vocabulary counts what it counts over the whole text.
+        assert other == (10 / whole.counts([text])[0] if n else 0.0)
         assert fallback == pytest.approx(sum(own.model.is_byte(i) for i in expected) / max(1, n))
 
 
@@ -132,11 +137,47 @@ def test_bands_follow_the_input(spark):
     kept = {r["id"]: r["kept"] for r in fertility.judge(spark.createDataFrame(rows + odd, "doc_id int, text string"), PIECES).collect()}
     assert not kept[1000] and not kept[1001]
     assert sum(kept[i] for i, _ in rows) >= 390
-    # Under RARE rows only the general limits hold.
+    # Few rows move the bands a little only.
     few = fertility.judge(spark.createDataFrame(rows[:20] + odd, "doc_id int, text string"), PIECES)
     assert few.filter("kept").count() == 22
 
 
+@pytest.mark.parametrize("n", [1, 19, 200, 999])
+def test_more_rows_move_a_band_further(n):
+    """The band lies between the general limits and the quantiles, n / (n + PRIOR) of the way."""
+
+    counts = {2000: n, 3000: 1}
+    least, most = fertility._band(counts, (1.0, 8.0), True)
+    low, high = (2.0, 3.0) if n < 99 else (2.0, 2.0)
+    margin, weight = fertility.MARGIN * (high - low), (n + 1) / (n + 1 + fertility.PRIOR)
+    assert least == pytest.approx(1 + weight * (low - margin - 1))
+    assert most == pytest.approx(8 - weight * (8 - high - margin))
+
+
+def test_verdict_equals_brute_force(spark, documents):
+    """Bands from sorted values and verdicts row by row, on a whole table."""
+
+    rows = fertility.judge(documents, PIECES).collect()
+    measures = list(fertility.BANDED)
+    bands = {}
+    for name, general in fertility.BANDS.items():
+        own = [r for r in rows if r["script"] == name and not r["base_failed"]]
+        for m in measures:
+            least, most = general.limits(m)
+            if own:
+                values = sorted(math.floor(min(r[m], fertility.MOST) * fertility.GRID + 0.5) / fertility.GRID for r in own)
+                low, high = (values[max(0, math.ceil(q * len(own)) - 1)] for q in (fertility.TAIL, 1 - fertility.TAIL))
+                margin, weight = fertility.MARGIN * (high - low), len(own) / (len(own) + fertility.PRIOR)
+                least = max(least, least + weight * (low - margin - least))
+                if fertility.BANDED[m]:
+                    most = min(most, most + weight * (high + margin - most))
+            bands[name, m] = least, most
+    for r in rows:
+        inside = all(bands[r["script"], m][0] <= r[m] <= bands[r["script"], m][1] for m in measures)
+        few_bytes = r["byte_share"] <= fertility.BANDS[r["script"]].most_bytes
+        assert r["kept"] == (not r["base_failed"] and inside and few_bytes)
+
+
 def test_odd_rows(spark, odd):
     judged = fertility.judge(odd, PIECES, rows=True)
     rows = judged.collect()

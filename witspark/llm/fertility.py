@@ -12,11 +12,17 @@ judged by
 
 Characters per token are also measured with a second public vocabulary.
 
+Both vocabularies cut at white space, so a text is measured by its words, whose tokens a
+worker remembers.
+
 The band depends on the script that most letters of the text belong to, and comes from
 the input: of all rows that pass the base rules, the quantiles `TAIL` and 1 - `TAIL` by
-script, with `MARGIN` of the distance between them on either side. Limits that hold for
-any language (`BANDS`) apply besides, and alone where a script has under `RARE` such
-rows. A document is kept if it passes the base rules and all bands.
+script, with `MARGIN` of the distance between them on either side. Quantiles are exact on
+a grid of `GRID` steps a unit, from one count per script and step, whatever order
+partitions come in. Limits that hold for any language (`BANDS`) apply besides; n rows of
+a script move its band from those limits by the share n / (n + `PRIOR`) of the way to the
+quantiles, so that few rows say little and no number of rows is a switch. A document is
+kept if it passes the base rules and all bands.
 
 Defined cases: a null text has no words, fails the base rule and is not kept;
 texts without letters use the band of `other`; repeated rows are judged each.
@@ -36,19 +42,24 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
 from witspark.llm import wordbpe
+from witspark.llm.bpe import Memory
 from witspark.llm.common import id_type, map_rows, per_worker, prepare, read_model, texts, whole_rows
-from witspark.plans.lineage import cut
+from witspark.plans.lineage import Rounds
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 
-#: Words that a worker remembers with their tokens.
+#: Words that a worker remembers with their tokens, in each of two halves.
 MEMO = 200_000
 MEMO_BYTES = 96
 
 TAIL = 0.01
 MARGIN = 0.1
-RARE = 200
+GRID = 1000
+#: Rows of a script at which its band lies halfway between the general limits and the quantiles.
+PRIOR = 200
+#: Steps of the grid end here; a measure beyond counts as this.
+MOST = 64.0
 
 
 @dataclass(frozen=True)
@@ -59,6 +70,16 @@ class Band:
     most_chars: float
     most_bytes: float
     least_entropy: float
+    #: Of the second vocabulary, which is made for one language: wider.
+    least_second: float = 0.1
+    most_second: float = 16.0
+
+    def limits(self, measure: str) -> tuple[float, float]:
+        return {
+            "chars_per_token": (self.least_chars, self.most_chars),
+            "chars_per_word_token": (self.least_second, self.most_second),
+            "relative_entropy": (self.least_entropy, math.inf),
+        }[measure]
 
 
 #: General limits by script. Alphabets take 1 to 8 characters per token in this vocabulary,
@@ -101,43 +122,49 @@ def script(text: str) -> str:
 
 
 class Fertility:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, second: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.second = wordbpe.Counter(second)
         self.size = self.model.get_piece_size()
         self.bytes = np.array([self.model.is_byte(i) for i in range(self.size)])
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memory(MEMO)
+
+    def tokens(self, texts_: list[list[bytes]]) -> list[tuple[np.ndarray, int]]:
+        """Of each text (as words) the ids, and how many tokens the second vocabulary makes.
+
+        The new words of all texts are cut together.
+        """
 
-    def tokens(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        new = list(set(words).difference(memo))
-        known = memo
+        known = [list(map(self.memo.__getitem__, words)) for words in texts_]
+        new = list({w for words, own in zip(texts_, known) if None in own for w, k in zip(words, own) if k is None})
         if new:
             # A word may hold white space of Unicode; then it has several pieces, as it should.
-            ids = self.model.encode([w.decode() for w in new], num_threads=1)
-            found = {w: np.array(i, "<u4").tobytes() for w, i in zip(new, ids, strict=True)}
-            short = {w: i for w, i in found.items() if len(w) <= MEMO_BYTES}
-            over = len(memo) + len(short) > MEMO
-            if over or len(short) < len(found):
-                known = {w: memo[w] for w in words if w in memo} | found
-            if over:
-                memo.clear()
-            memo.update(short)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-
-    def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
-        """Tokens, characters per token, byte share, relative entropy."""
-
-        ids = self.tokens(words)
+            said = [w.decode() for w in new]
+            ids = self.model.encode(said, num_threads=1)
+            counts = self.second.counts(said)
+            found = {w: (np.array(i, "<u4").tobytes(), n) for w, i, n in zip(new, ids, counts, strict=True)}
+            self.memo.room(len(found))
+            self.memo.update((w, v) for w, v in found.items() if len(w) <= MEMO_BYTES)
+            for words, own in zip(texts_, known):
+                if None in own:
+                    own[:] = [found[w] if k is None else k for w, k in zip(words, own)]
+        return [
+            (np.frombuffer(b"".join([ids for ids, _ in own]), "<u4"), sum([n for _, n in own])) for own in known
+        ]
+
+    def measures(self, ids: np.ndarray, others: int, chars: int) -> tuple[int, float, float, float, float]:
+        """Tokens, characters per token, byte share, relative entropy, characters per second token."""
+
         n = len(ids)
         if not n:
-            return 0, 0.0, 0.0, 0.0
+            return 0, 0.0, 0.0, 0.0, 0.0
         counts = np.unique(ids, return_counts=True)
         share = counts[1] / n
         entropy = float(-(share * np.log2(share)).sum())
         # Natural text of n tokens reaches about the entropy of sqrt(n) * 4 equal tokens.
         reach = math.log2(max(2.0, min(n, 4 * math.sqrt(n))))
         fallback = float(counts[1][self.bytes[counts[0]]].sum()) / n
-        return n, chars / n, fallback, entropy / reach
+        return n, chars / n, fallback, entropy / reach, chars / others if others else 0.0
 
 
 def base(text: bytes) -> tuple[list[bytes], int, int, int, int]:
@@ -161,9 +188,9 @@ def base(text: bytes) -> tuple[list[bytes], int, int, int, int]:
     return words, chars, symbols, repeated, inside
 
 
-def loaded(data: bytes, words: bytes) -> tuple[Fertility, wordbpe.Counter]:
+def loaded(data: bytes, words: bytes) -> Fertility:
     key = ("Fertility", hashlib.sha256(data).digest(), hashlib.sha256(words).digest())
-    return per_worker(key, lambda: (Fertility(data), wordbpe.Counter(words)))
+    return per_worker(key, lambda: Fertility(data, words))
 
 
 SCHEMA = (
@@ -176,20 +203,54 @@ SCHEMA = (
 BANDED = {"chars_per_token": True, "chars_per_word_token": True, "relative_entropy": False}
 
 
-def derived(measured: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
-    """Least and most of each measure by script; at most one row per script is collected."""
+def derived(measured: DataFrame, general: dict[str, Band]) -> dict[str, dict[str, tuple[float, float]]]:
+    """Least and most of each measure by script.
+
+    At most GRID * MOST counts per script and measure are collected.
+    """
+
+    step = F.round(F.least(F.col("value"), F.lit(MOST)) * GRID).cast("int")
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in BANDED])
+    counts = (
+        measured.filter("not base_failed")
+        .select("script", F.explode(each).alias("m"))
+        .select("script", "m.measure", "m.value")
+        .groupBy("script", "measure", step.alias("step"))
+        .count()
+        .collect()
+    )
+    steps: dict[tuple[str, str], dict[int, int]] = {}
+    for name, measure, at, n in counts:
+        steps.setdefault((name, measure), {})[at] = n
+    return {
+        name: {m: _band(steps.get((name, m), {}), band.limits(m), above) for m, above in BANDED.items()}
+        for name, band in general.items()
+    }
+
+
+def _band(counts: dict[int, int], limits: tuple[float, float], above: bool) -> tuple[float, float]:
+    """Limits of one measure: the general ones, moved towards the quantiles of its steps."""
+
+    n = sum(counts.values())
+    if not n:
+        return limits
+    low, high = _quantile(counts, TAIL), _quantile(counts, 1 - TAIL)
+    margin = MARGIN * (high - low)
+    weight = n / (n + PRIOR)
+    least = max(limits[0], limits[0] + weight * (low - margin - limits[0]))
+    most = min(limits[1], limits[1] + weight * (high + margin - limits[1])) if above else limits[1]
+    return least, most
+
+
+def _quantile(counts: dict[int, int], share: float) -> float:
+    """The least step that at least this share of all rows does not exceed."""
 
-    ends = [F.percentile_approx(m, [TAIL, 1 - TAIL], 10_000).alias(m) for m in BANDED]
-    rows = measured.filter("not base_failed").groupBy("script").agg(F.count(F.lit(1)).alias("n"), *ends).collect()
-    out = {}
-    for row in rows:
-        if row["n"] >= RARE:
-            own = out[row["script"]] = {}
-            for measure, above in BANDED.items():
-                low, high = row[measure]
-                margin = MARGIN * (high - low)
-                own[measure] = (low - margin, high + margin if above else math.inf)
-    return out
+    wanted, seen = share * sum(counts.values()), 0
+    for step in sorted(counts):
+        seen += counts[step]
+        if seen >= wanted:
+            break
+    return step / GRID
 
 
 def verdict(general: dict[str, Band], own: dict[str, dict[str, tuple[float, float]]]) -> Column:
@@ -197,12 +258,8 @@ def verdict(general: dict[str, Band], own: dict[str, dict[str, tuple[float, floa
 
     out = F.lit(False)
     for name, band in general.items():
-        passed = (
-            F.col("chars_per_token").between(band.least_chars, band.most_chars)
-            & (F.col("byte_share") <= band.most_bytes)
-            & (F.col("relative_entropy") >= band.least_entropy)
-        )
-        for measure, (low, high) in own.get(name, {}).items():
+        passed = F.col("byte_share") <= band.most_bytes
+        for measure, (low, high) in own[name].items():
             passed &= F.col(measure).between(low, high)
         out = F.when(F.col("script") == name, passed).otherwise(out)
     return ~F.col("base_failed") & out
@@ -220,8 +277,8 @@ def judge(
     """`id`, the base measures, the fertility measures and `kept`; one row per input row.
 
     `words_path` is the second vocabulary (the public word-level one if None). With
-    `rows` the input row is added as the struct `row`; the texts are then measured twice,
-    once for the bands, so that no copy of them is written.
+    `rows` the input row is added as the struct `row`. The measured rows are written once,
+    as the bands need them all before the first verdict.
     """
 
     prepare(df.sparkSession)
@@ -231,26 +288,22 @@ def judge(
     models = context.broadcast((read_model(path), read_model(words_path)))
 
     def work(cols):
-        fertility, counter = loaded(*models.value)
-        bodies = [body.decode() for body in cols["body"]]
+        fertility = loaded(*models.value)
+        based = [base(body) for body in cols["body"]]
+        tokens = fertility.tokens([words for words, *_ in based])
         found = []
-        for body, text, tokens in zip(cols["body"], bodies, counter.counts(bodies), strict=True):
-            words, chars, symbols, lines, repeats = base(body)
+        for body, (words, chars, symbols, lines, repeats), (ids, others) in zip(cols["body"], based, tokens, strict=True):
             failed = len(words) < 50 or 100 * repeats > 50 * len(words)
-            n, per, fallback, entropy = fertility.measures(words, chars)
-            second = chars / tokens if tokens else 0.0
+            n, per, fallback, entropy, second = fertility.measures(ids, others, chars)
             found.append(
-                (len(words), chars, symbols, lines, repeats, failed, script(text), n, per, fallback, entropy, second)
+                (len(words), chars, symbols, lines, repeats, failed, script(body.decode()), n, per, fallback, entropy, second)
             )
         names = [part.split()[0] for part in SCHEMA.split(",")]
         columns = list(zip(*found)) or [()] * len(names)
         return {"id": cols["id"]} | {n: list(c) for n, c in zip(names, columns, strict=True)}
 
     shape = f"id {id_type(df, id_col)}, {SCHEMA}"
-    measured = map_rows(texts(df, id_col, text_col), shape, work)
-    if not rows:
-        measured = cut(measured)
-    own = derived(measured)
-    if rows:
-        measured = map_rows(texts(df, id_col, text_col, whole_rows(df)), shape, work, "row")
-    return measured.withColumn("kept", verdict(general, own))
+    more = [whole_rows(df)] if rows else []
+    measured = map_rows(texts(df, id_col, text_col, *more), shape, work, "row" if rows else None)
+    measured = Rounds(df.sparkSession, "fertility").keep("measured", measured)
+    return measured.withColumn("kept", verdict(general, derived(measured, general)))
