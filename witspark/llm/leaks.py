@@ -1,40 +1,46 @@
-"""Benchmark decontamination: q-gram candidates without loss, exact edit verification.
+"""Benchmark decontamination: CGK random walks, bit-sampling LSH, exact edit verification.
 
 A leak is an item with at most `max_edit` of its length as edit distance to a part of
 a document. All letters are lower-cased and white space folds to one space first.
 
-Candidates come from a filter that no leak can miss. An item is cut into pieces of at
-most `PIECE` characters. If the item has k edits, one of its pieces of w characters has
-at most k * w / m of the m characters' edits (pigeonhole); call that e. An edit spoils
-at most q of the w - q + 1 q-grams of the piece, so at least w - q + 1 - q * e of them
-stand in the document, on diagonals (place in the document less place in the piece)
-that differ by at most e. Pairs of equal q-grams are counted by piece and band of
-diagonals; two neighbouring bands, each at least e wide, hold all that belong to one
-leak. q is the largest for which the count still says something. The windows start at
-every character, not only at words, and nothing is sampled: the recall is 1 by
-construction, whatever the edits are, and is tested against brute force.
-
-An embedding of windows (CGK) with sampled steps was used before. At a radius of 0.2 it
-found some half of the copies with 20% edits, and more repetitions cost more than the
-counts, which miss none.
-
-The pieces that pass are compared with the text around, many at once; for those within
-their share of the edits the whole item is compared by exact edit distance (free ends
-in the document).
-
-The benchmark is the query set: it is sent in blocks of at most `BLOCK_CHARS`
-characters, each a pass over the documents without a shuffle. The work grows with the
-documents times the items.
+The CGK embedding reads a text by a random walk: at step j it stands on a character,
+notes it, and moves on if a random bit of (j, character) is set. Walks over two texts
+that differ by few edits meet again after each edit, so that the notes agree at most
+steps and edit distance becomes Hamming distance. Two walks over one text that meet at
+the same step stay together. So walks from very many starts cost little more than
+those from few: equal places are merged as the walks go on.
+
+Windows have the item's size, as the walks take two steps for each of its characters.
+In the documents a window begins at every `stride`-th character; in the items at every
+character of the first half, so that any place in a document stands against its own
+place in the item. The steps of a walk are cut into stretches; of every stretch a
+random sample of steps is a signature (bit sampling). An item is a candidate where a
+stretch of the same repeat and number has the same signature. Every repeat has its own
+walk and samples. Their number is the least that finds `target` of damaged copies of
+the items themselves, with `max_edit` of their length as random edits, but two at least
+and `MOST_REPEATS` at most. Undamaged copies are always found: a window's first stretch
+ends within the item, whatever the walk.
+
+Around a candidate's stretch, the piece of the item that holds it (at most 64
+characters) is first compared with the text, many at once; it passes with at most twice
+its share of the edits. Then the whole item is compared by exact edit distance (free
+ends in the document), so that every row is right.
+
+The benchmark is the query set: its signatures are sent in blocks of at most
+`BLOCK_BYTES`, each a pass over the documents without a shuffle. The walks don't depend
+on the number of items; only looking up their signatures does, by candidates.
 
 Defined cases: null or empty texts and items match nothing; equal items with
 different ids give a row each; an item that occurs several times in a document
-gives its best place (the first of equal ones); documents with the same id and
-text give a row each.
+gives the best of the places found (the first of equal ones); documents with the same
+id and text give a row each.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -42,17 +48,27 @@ from pyspark.sql import DataFrame, functions as F
 from witspark.llm.common import id_type, map_rows, prepare, texts
 from witspark.plans.lineage import broadcast_if_small, cut
 
-#: Longest piece of an item, longest q-gram, and pieces counted together.
+#: Share of copies with `max_edit` random edits that the repeats must find.
+TARGET = 0.97
+MOST_REPEATS = 32
+#: Damaged copies by which the repeats are chosen.
+TRIALS = 64
+#: Longest distance of windows, steps of a stretch, and steps sampled from it.
+STRIDE = 16
+STRETCH = 32
+SAMPLE = 12
+#: Windows of an item begin in its first half, and in its first characters.
+REACH = 4096
+#: Longest piece of an item, and pieces compared at once.
 PIECE = 64
-GRAM = 8
-PIECES = 1024
-BLOCK_CHARS = 8_000_000
-#: Document characters whose pairs are counted at once; their cells stay in the cache.
-WINDOW = 4096
-#: Candidates compared at once.
+#: Characters whose windows are walked at once; bounds the memory for very long texts.
+SLICE = 1 << 20
 TOGETHER = 4096
-TABLE_BITS = 16
+#: Signatures and filter of one broadcast; characters first tried for it.
+BLOCK_BYTES = 64 << 20
+BLOCK_CHARS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(29)
 
 
 def normal(text: str) -> str:
@@ -64,158 +80,260 @@ def codes_of(text: str) -> np.ndarray:
     return ((wide ^ (wide >> 8)) & 0xFF).astype(np.uint8)
 
 
-def slots(codes: np.ndarray, q: int) -> np.ndarray:
-    """Table slot of the q-gram at every place; equal q-grams share one."""
+@dataclass(frozen=True)
+class Plan:
+    """How the items of about one length are searched."""
 
-    value = np.zeros(max(0, len(codes) - q + 1), np.uint64)
-    for i in range(q):
-        value <<= np.uint64(8)
-        value |= codes[i : len(codes) - q + 1 + i]
-    return ((value * _ODD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    stride: int
+    steps: int  # of a stretch
+    stretches: int
+    repeats: int = 1
 
 
-def cuts(length: int, most: int) -> list[tuple[int, int, int]]:
-    """(start, end, edits) of the pieces of an item with at most `most` edits."""
+def plan_of(length: int) -> tuple[int, int]:
+    """Stride and steps for items of this length; the last window's first stretch fits in."""
 
-    n = -(-length // PIECE)
-    edges = [length * i // n for i in range(n + 1)]
-    return [(a, b, most * (b - a) // length) for a, b in zip(edges, edges[1:])]
+    power = 1 << (length.bit_length() - 1)
+    return max(1, min(STRIDE, power // 4)), max(1, min(STRETCH, power // 2))
 
 
-def gram_of(width: int, edits: int) -> tuple[int, int]:
-    """q and the least number of shared q-grams: the largest q that leaves an eighth of the width."""
+@lru_cache(maxsize=256)
+def chances(stride: int, steps: int, repeat: int, stretch: int) -> tuple:
+    """Moves by step and code, weights of codes, first value and sampled steps of a stretch."""
 
-    for q in range(min(GRAM, width), 1, -1):
-        if 8 * (least := width - q + 1 - q * edits) >= width:
-            return q, least
-    return 1, width - edits
+    random = np.random.default_rng([repeat, stretch, stride])
+    moves = random.integers(0, 2, (steps, 256))
+    weights = random.integers(0, 1 << 63, 256, dtype=np.uint64)
+    sampled = np.zeros(steps, bool)
+    sampled[random.permutation(steps)[:SAMPLE]] = True
+    return moves, weights, random.integers(0, 1 << 63, dtype=np.uint64), sampled
+
+
+def walk(codes: np.ndarray, starts: np.ndarray, plan: Plan, repeat: int) -> Iterator[tuple]:
+    """(places before, places after, signatures) of every stretch of the walks from `starts`.
+
+    `starts` ascend. Walks that have met go on as one; those at the end of the text stop.
+    """
+
+    size = len(codes)
+    codes = np.append(codes, np.zeros(plan.steps, np.uint8)).astype(np.intp)
+    at = np.asarray(starts, np.int64)
+    for stretch in range(plan.stretches):
+        at = at[: np.searchsorted(at, size)]
+        if len(at) > 1:
+            at = at[np.append(True, at[1:] != at[:-1])]
+        if not len(at):
+            return
+        moves, weights, seed, sampled = chances(plan.stride, plan.steps, repeat, stretch)
+        begin, at, value = at, at.copy(), np.full(len(at), seed)
+        seen, move, weight = (np.empty(len(at), t) for t in (np.intp, np.int64, np.uint64))
+        for j in range(plan.steps):
+            codes.take(at, out=seen, mode="clip")
+            if sampled[j]:
+                value *= _ODD
+                value += weights.take(seen, out=weight, mode="clip")
+            at += moves[j].take(seen, out=move, mode="clip")
+        value ^= value >> _SHIFT
+        value *= _ODD
+        yield begin, at, value
+
+
+def joined(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all texts with a zero behind each, where each begins, and its length."""
+
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    return codes_of("".join(b + "\0" for b in bodies)), np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+def windows(begins: np.ndarray, sizes: np.ndarray, stride: int) -> np.ndarray:
+    """Places of the items at which their windows begin."""
+
+    reach = np.maximum(stride, np.minimum(sizes // 2, REACH))
+    first = np.cumsum(reach) - reach
+    return np.repeat(begins - first, reach) + np.arange(int(reach.sum()))
+
+
+def damaged(random: np.random.Generator, text: str, edits: int) -> str:
+    """`text` after random substitutions, insertions and deletions of single characters."""
+
+    letters = list(text)
+    for kind, where, new in zip(*(random.integers(0, n, edits).tolist() for n in (3, 1 << 30, 1 << 30))):
+        at = where % max(1, len(letters))
+        letters[at : at + (kind != 1)] = [] if kind == 2 else [text[new % len(text)]]
+    return "".join(letters)
+
+
+def enough_repeats(plan: Plan, bodies: list[str], max_edit: float, target: float) -> int:
+    """The least number of repeats that finds `target` of damaged copies of the items."""
+
+    random = np.random.default_rng(len(bodies))
+    some = [bodies[i] for i in random.permutation(len(bodies))[:TRIALS].tolist()]
+    some = [some[i % len(some)] for i in range(TRIALS)]
+    copies = [damaged(random, t, int(max_edit * len(t))) for t in some]
+    codes, begins, sizes = joined(some)
+    owner = np.repeat(np.arange(TRIALS, dtype=np.uint64), sizes + 1)
+    others, _, lengths = joined(["#" * int(n) + t for n, t in zip(random.integers(0, plan.stride, TRIALS), copies)])
+    holder = np.repeat(np.arange(TRIALS, dtype=np.uint64), lengths + 1)
+    found = np.zeros(TRIALS, bool)
+    for repeat in range(MOST_REPEATS):
+        pairs = zip(
+            walk(codes, windows(begins, sizes, plan.stride), plan, repeat),
+            walk(others, np.arange(0, len(others), plan.stride), plan, repeat),
+        )
+        for (begin, end, value), (place, _, seen) in pairs:
+            inside = owner[begin] == owner[np.minimum(end, len(owner) - 1)]
+            mine = value[inside] ^ owner[begin[inside]]
+            theirs = holder[place]
+            found[theirs[np.isin(seen ^ theirs, mine)].astype(int)] = True
+        if repeat and found.mean() >= target:
+            return repeat + 1
+    return MOST_REPEATS
 
 
 @dataclass
-class Probe:
-    """Pieces with the same q and width of bands, at most PIECES."""
-
-    q: int
-    shift: int  # bands are 1 << shift diagonals wide
-    longest: int  # longest piece
-    bands: int  # of each piece in one window
-    item: np.ndarray  # by piece
-    offset: np.ndarray  # of the piece in its item
-    least: np.ndarray  # shared q-grams, by piece and band
-    count: np.ndarray  # q-grams of pieces by slot
-    first: np.ndarray
-    place: np.ndarray  # by q-gram: first diagonal of its piece, less the place in it
+class Index:
+    """Signatures of the items' windows."""
+
+    plans: list[Plan]
+    keys: np.ndarray  # ascending
+    item: np.ndarray  # by key
+    place: np.ndarray  # in the item, by key
+    maybe: np.ndarray  # by leading bits of a signature: may it be there?
+    first: np.ndarray  # piece of each item, by item
     width: np.ndarray  # of the piece
-    edits: np.ndarray  # that it may have
+    offset: np.ndarray  # of the piece in its item
     masks: np.ndarray  # by piece and code: bits of the places that hold it
 
+    @property
+    def shift(self) -> np.uint64:
+        return np.uint64(65 - len(self.maybe).bit_length())
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.item.nbytes + self.place.nbytes + self.maybe.nbytes + self.masks.nbytes
+
+
+def pieces(items: list[tuple[object, str]]) -> tuple[np.ndarray, ...]:
+    """`first`, `width`, `offset` and `masks` of an index."""
+
+    counts = [-(-len(text) // PIECE) for _, text in items]
+    masks = np.zeros((sum(counts), 256), np.uint64)
+    width, offset = np.zeros(len(masks), np.int64), np.zeros(len(masks), np.int64)
+    row = 0
+    for (_, text), n in zip(items, counts):
+        codes = codes_of(text)
+        for i in range(n):
+            a, b = len(codes) * i // n, len(codes) * (i + 1) // n
+            np.bitwise_or.at(masks[row], codes[a:b], np.uint64(1) << np.arange(b - a, dtype=np.uint64))
+            width[row], offset[row] = b - a, a
+            row += 1
+    return np.cumsum(counts, dtype=np.int64) - np.array(counts, np.int64), width, offset, masks
+
 
-def build(items: list[tuple[object, str]], max_edit: float = 0.2) -> list[Probe]:
-    """Probes over the normalised items (index, text)."""
+def build(items: list[tuple[object, str]], max_edit: float = 0.2, target: float = TARGET) -> Index:
+    """Signatures of the normalised items (id, text)."""
 
     if not 0 <= max_edit < 1:
         raise ValueError("max_edit must be at least 0 and below 1")
-    kinds: dict[tuple[int, int], list[tuple]] = {}
+    kinds: dict[tuple[int, int], list[int]] = {}
     for k, (_, text) in enumerate(items):
-        if not text:
-            continue
-        codes = codes_of(text)
-        for a, b, edits in cuts(len(codes), int(max_edit * len(codes))):
-            q, least = gram_of(b - a, edits)
-            shift = max(3, (edits - 1).bit_length())
-            kinds.setdefault((q, shift), []).append((k, a, least, edits, codes[a:b]))
-    probes = []
-    for (q, shift), pieces in sorted(kinds.items()):
-        for low in range(0, len(pieces), PIECES):
-            own = pieces[low : low + PIECES]
-            longest = max(len(codes) for *_, codes in own)
-            bands = ((WINDOW + longest) >> shift) + 2
-            slot = [slots(codes, q) for *_, codes in own]
-            place = [(i * bands << shift) + longest - np.arange(len(s)) for i, s in enumerate(slot)]
-            slot, place = np.concatenate(slot), np.concatenate(place)
-            count = np.bincount(slot, minlength=1 << TABLE_BITS)
-            item, offset, least, edits = (np.array([p[i] for p in own]) for i in range(4))
-            masks = np.zeros((len(own), 256), np.uint64)
-            for i, (*_, codes) in enumerate(own):
-                np.bitwise_or.at(masks[i], codes, np.uint64(1) << np.arange(len(codes), dtype=np.uint64))
-            width = np.array([len(codes) for *_, codes in own])
-            order = np.argsort(slot, kind="stable")
-            probes.append(
-                Probe(
-                    q, shift, longest, bands, item, offset, np.repeat(least, bands), count,
-                    np.cumsum(count) - count, place[order], width, edits, masks.ravel(),
-                )
-            )
-    return probes
-
-
-def near(probe: Probe, codes: np.ndarray, piece: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """Which pieces are within their edits of the text around their two bands.
-
-    Bit-parallel dynamic programming as in `edit_distance`, for all candidates at once.
-    Codes fold characters, so a distance can only come out too small.
+        if text:
+            kinds.setdefault(plan_of(len(text)), []).append(k)
+    plans, parts = [], []
+    for (stride, steps), numbers in sorted(kinds.items()):
+        bodies = [items[k][1] for k in numbers]
+        codes, begins, sizes = joined(bodies)
+        plan = Plan(stride, steps, -(-2 * int(sizes.max()) // steps))
+        plan = replace(plan, repeats=enough_repeats(plan, bodies, max_edit, target))
+        plans.append(plan)
+        owner = np.repeat(np.arange(len(bodies)), sizes + 1)
+        starts = windows(begins, sizes, stride)
+        for repeat in range(plan.repeats):
+            for begin, end, value in walk(codes, starts, plan, repeat):
+                own = owner[begin]
+                inside = own == owner[np.minimum(end, len(owner) - 1)]
+                own, begin = own[inside], begin[inside]
+                parts.append((value[inside], np.array(numbers, np.int32)[own], (begin - begins[own]).astype(np.int32)))
+    if not parts:
+        return Index([], *(np.zeros(0, t) for t in (np.uint64, np.int32, np.int32)), np.zeros(2, bool), *pieces(items))
+    keys, item, place = map(np.concatenate, zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    maybe = np.zeros(1 << max(16, (8 * len(keys)).bit_length()), bool)
+    index = Index(plans, keys[order], item[order], place[order], maybe, *pieces(items))
+    maybe[(keys >> index.shift).astype(np.int64)] = True
+    return index
+
+
+def candidates(index: Index, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, place in the item, place in `codes`) of equal signatures."""
+
+    for plan, low in [(p, low) for p in index.plans for low in range(0, len(codes), SLICE)]:
+        starts = np.arange(low + -low % plan.stride, min(low + SLICE, len(codes)), plan.stride)
+        for repeat in range(plan.repeats):
+            for begin, _, value in walk(codes, starts, plan, repeat):
+                hit = np.flatnonzero(index.maybe.take((value >> index.shift).astype(np.int64)))
+                first = np.searchsorted(index.keys, value[hit], "left")
+                count = np.searchsorted(index.keys, value[hit], "right") - first
+                if count.any():
+                    ends = np.cumsum(count)
+                    row = np.repeat(first - ends + count, count) + np.arange(ends[-1])
+                    yield index.item[row], index.place[row], np.repeat(begin[hit], count)
+
+
+def together(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """The same rows in parts of TOGETHER, but for the last."""
+
+    waiting, size = [], 0
+    for part in parts:
+        waiting.append(part)
+        size += len(part[0])
+        if size >= TOGETHER:
+            whole = [np.concatenate(x) for x in zip(*waiting)]
+            ends = size - size % TOGETHER
+            for low in range(0, ends, TOGETHER):
+                yield [x[low : low + TOGETHER] for x in whole]
+            waiting, size = [tuple(x[ends:] for x in whole)], size - ends
+    if size:
+        yield [np.concatenate(x) for x in zip(*waiting)]
+
+
+def near(index: Index, codes: np.ndarray, item: np.ndarray, place: np.ndarray, at: np.ndarray, max_edit: float):
+    """Which candidates' pieces are within twice their share of the edits of the text around.
+
+    `at` of `codes` stands against `place` of `item`. Bit-parallel dynamic programming as
+    in `edit_distance`, for all candidates at once. Codes fold characters, so a distance
+    can only come out too small.
     """
 
-    edits = probe.edits[piece]
+    count = np.diff(np.append(index.first, len(index.width)))[item]
+    # The piece with the middle of the stretch, which has some half as many characters as steps.
+    piece = index.first[item]
+    size = index.offset[piece + count - 1] + index.width[piece + count - 1]
+    piece = piece + np.minimum((place + STRETCH // 4) * count // size, count - 1)
+    width = index.width[piece]
+    edits = np.minimum((2 * max_edit * width).astype(np.int64) + 1, width - 1)
     reach = int(edits.max())
-    at = diagonal - reach
-    steps = (2 << probe.shift) + probe.longest + 2 * reach
-    high = np.uint64(1) << (probe.width[piece] - 1).astype(np.uint64)
-    row = piece * 256
-    plus = np.full(len(piece), ~np.uint64(0))
-    minus = np.zeros(len(piece), np.uint64)
-    score = probe.width[piece].astype(np.int16)
+    at = at - place + index.offset[piece] - reach
+    high = np.uint64(1) << (width - 1).astype(np.uint64)
+    row, masks = piece * 256, index.masks.ravel()
+    plus, minus = np.full(len(piece), ~np.uint64(0)), np.zeros(len(piece), np.uint64)
+    score = width.astype(np.int16)
     best, one = score.copy(), np.uint64(1)
-    for _ in range(steps):
-        eq = probe.masks[row + codes[np.minimum(np.maximum(at, 0), len(codes) - 1)]]
-        diagonals = (((eq & plus) + plus) ^ plus) | eq | minus
-        up = minus | ~(diagonals | plus)
-        down = plus & diagonals
+    for _ in range(int(width.max()) + 2 * reach):
+        eq = masks.take(row + codes.take(at, mode="clip"))
+        diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
+        up = minus | ~(diagonal | plus)
+        down = plus & diagonal
         score += (up & high) != 0
-        score -= ((down & high) != 0).astype(np.int16)
+        score -= (down & high) != 0
         np.minimum(best, score, out=best)
         up <<= one
-        plus = (down << one) | ~(diagonals | up)
-        minus = up & diagonals
+        plus = (down << one) | ~(diagonal | up)
+        minus = up & diagonal
         at += 1
     return best <= edits
 
 
-def candidates(probe: Probe, codes: np.ndarray):
-    """(piece, first diagonal) of each two neighbouring bands that may hold a leak's piece."""
-
-    slot = slots(codes, probe.q)
-    size = len(probe.item) * probe.bands
-    # The windows overlap, so that all places of a leak's piece are in one of them.
-    step = WINDOW - 3 * probe.longest
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    for low in range(0, max(1, len(slot) - 3 * probe.longest), step):
-        own = slot[low : low + WINDOW]
-        count = probe.count[own]
-        at = np.flatnonzero(count)
-        if len(at):
-            count = count[at]
-            ends = np.cumsum(count)
-            index = np.repeat(probe.first[own[at]] - ends + count, count)
-            index += np.arange(ends[-1])
-            key = probe.place[index]
-            key += np.repeat(at, count)
-            key >>= probe.shift
-            cells = np.bincount(key, minlength=size).astype(np.int16)
-            # The last band of a piece is empty, so pairs across pieces add nothing.
-            cells[:-1] += cells[1:].copy()
-            cell = np.flatnonzero(cells >= probe.least)
-            if len(cell):
-                piece, band = np.divmod(cell, probe.bands)
-                waiting.append((piece, low + (band << probe.shift) - probe.longest))
-        if waiting and (sum(len(p) for p, _ in waiting) >= TOGETHER or low + step >= len(slot) - 3 * probe.longest):
-            piece, diagonal = map(np.concatenate, zip(*waiting))
-            waiting = []
-            for a in range(0, len(piece), TOGETHER):
-                kept = near(probe, codes, piece[a : a + TOGETHER], diagonal[a : a + TOGETHER])
-                yield piece[a : a + TOGETHER][kept], diagonal[a : a + TOGETHER][kept]
-
-
 def edit_distance(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     """Least edit distance of `pattern` to a part of `text`, and where that part ends.
 
@@ -249,42 +367,43 @@ def edit_distance(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
-def search(probes: list[Probe], items: list[tuple[object, str]], bodies: list[str], max_edit: float):
-    """(document, item, distance, end) of every leak; documents are normalised texts.
+def search(index: Index, items: list[tuple[object, str]], bodies: list[str], max_edit: float):
+    """(document, item, distance, end) of the leaks; documents are normalised texts.
 
-    `probes` must be built for the same `max_edit`.
+    `index` must be built for the same `max_edit`.
     """
 
-    codes = codes_of("\0".join(bodies))
-    sizes = np.array([len(b) for b in bodies])
-    begins = np.cumsum(sizes + 1) - sizes - 1
+    codes, begins, sizes = joined(bodies)
     length = np.array([len(text) for _, text in items])
     most = np.array([int(max_edit * n) for n in length.tolist()])
-    found: dict[tuple[int, int], set[tuple[int, int]]] = {}
-    for probe in probes:
-        for piece, diagonal in candidates(probe, codes):
-            k = probe.item[piece]
-            # All that a leak with this piece on these diagonals can cover.
-            low = diagonal - probe.offset[piece] - most[k]
-            high = diagonal + (2 << probe.shift) - probe.offset[piece] + length[k] + 2 * most[k]
-            one = np.maximum(np.searchsorted(begins, low, "right") - 1, 0)
-            last = np.searchsorted(begins, high, "left")
-            for a, b, first, end, item in zip(*(x.tolist() for x in (low, high, one, last, k))):
-                for d in range(first, end):
-                    part = max(0, a - int(begins[d])), min(int(sizes[d]), b - int(begins[d]))
-                    if part[1] - part[0] >= length[item] - most[item]:
-                        found.setdefault((d, item), set()).add(part)
+    # Places of one item in a row of characters are looked at once.
+    found = [np.zeros((2, 0), np.int64)]
+    for own in together(candidates(index, codes)):
+        kept = near(index, codes, *own, max_edit)
+        found.append(np.stack([own[0][kept], own[2][kept] - own[1][kept]]))
+    parts: dict[tuple[int, int], list[list[int]]] = {}
+    k, start = np.concatenate(found, axis=1)
+    if len(k):
+        k, start = np.unique(np.stack([k, start]), axis=1)
+        low = start - most[k]
+        high = start + length[k] + most[k]
+        one = np.maximum(np.searchsorted(begins, low, "right") - 1, 0)
+        last = np.searchsorted(begins, high, "left")
+        for a, b, first, end, item in zip(*(x.tolist() for x in (low, high, one, last, k))):
+            for d in range(first, end):
+                a_, b_ = max(0, a - int(begins[d])), min(int(sizes[d]), b - int(begins[d]))
+                if b_ - a_ >= length[item] - most[item]:
+                    # Places ascend within an item, so parts do in each document.
+                    own = parts.setdefault((d, item), [])
+                    if own and a_ <= own[-1][1]:
+                        own[-1][1] = max(own[-1][1], b_)
+                    else:
+                        own.append([a_, b_])
     out = []
-    for (d, k), parts in sorted(found.items()):
+    for (d, k), own in sorted(parts.items()):
         text, body = items[k][1], bodies[d]
-        joined: list[list[int]] = []
-        for low, high in sorted(parts):
-            if joined and low <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], high)
-            else:
-                joined.append([low, high])
         best = None
-        for low, high in joined:
+        for low, high in own:
             hit = edit_distance(text, body[low:high], int(most[k]))
             if hit and (best is None or hit[0] < best[0]):
                 best = (hit[0], low + hit[1])
@@ -295,21 +414,28 @@ def search(probes: list[Probe], items: list[tuple[object, str]], bodies: list[st
     return out
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Normalised items in blocks, read one partition at a time."""
+def blocks(rows, max_edit: float, target: float):
+    """(index, normalised items) in blocks of at most BLOCK_BYTES of signatures."""
+
+    def fit(block):
+        index = build(block, max_edit, target)
+        if index.nbytes <= BLOCK_BYTES or len(block) == 1:
+            if index.nbytes > BLOCK_BYTES:
+                raise ValueError(f"one benchmark item needs {index.nbytes} bytes of signatures")
+            yield index, block
+        else:
+            yield from fit(block[: len(block) // 2])
+            yield from fit(block[len(block) // 2 :])
 
-    rows = benchmark.select(
-        F.col(item_col).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
     block, size = [], 0
-    for row in rows.toLocalIterator():
+    for row in rows:
         text = normal(row["text"])
         if size + len(text) > BLOCK_CHARS and block:
-            yield block
+            yield from fit(block)
             block, size = [], 0
         block.append((row["item"], text))
         size += len(text)
-    yield block
+    yield from fit(block)
 
 
 def find_leaks(
@@ -320,6 +446,7 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
+    target: float = TARGET,
 ) -> DataFrame:
     """`id`, `item`, `distance`, `end` (in the normalised text): one row per document and item."""
 
@@ -329,14 +456,15 @@ def find_leaks(
         f"id {id_type(docs, id_col)}, item {id_type(benchmark, item_col)}, distance bigint, end bigint"
     )
     source = texts(docs, id_col, text_col)
-    out = None
-    for block in blocks(benchmark, item_col, item_text):
-        shared = context.broadcast((build(block, max_edit), block))
+    rows = benchmark.select(
+        F.col(item_col).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")
+    )
 
-        def work(cols, shared=shared):
-            probes, items = shared.value
+    def one_pass(shared):
+        def work(cols):
+            index, items = shared.value
             bodies = [normal(b.decode()) for b in cols["body"]]
-            hits = search(probes, items, bodies, max_edit) if probes else []
+            hits = search(index, items, bodies, max_edit) if index.plans else []
             return {
                 "id": [cols["id"][d] for d, *_ in hits],
                 "item": [items[k][0] for _, k, *_ in hits],
@@ -344,9 +472,18 @@ def find_leaks(
                 "end": [h[3] for h in hits],
             }
 
-        part = map_rows(source, schema, work)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return map_rows(source, schema, work)
+
+    # All but the last block's rows are written before the next block is built.
+    out = waiting = None
+    for block in blocks(rows.toLocalIterator(), max_edit, target):
+        if waiting is not None:
+            done = cut(one_pass(waiting))
+            waiting.unpersist()
+            out = done if out is None else out.unionByName(done)
+        waiting = context.broadcast(block)
+    part = one_pass(waiting)
+    return part if out is None else out.unionByName(part)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
