@@ -12,12 +12,12 @@ those from few: equal places are merged as the walks go on.
 
 Windows have the item's size, as the walks take two steps for each of its characters.
 In the documents a window begins at every `stride`-th character; in the items at every
-character of the first half, so that any place in a document stands against its own
-place in the item. The steps of a walk are cut into stretches; of every stretch a
-random sample of steps is a signature (bit sampling). An item is a candidate where a
-stretch of the same repeat and number has the same signature. Every repeat has its own
-walk and samples. Their number is the least that finds `target` of damaged copies of
-the items themselves, with `max_edit` of their length as random edits, but two at least
+character (of the first `REACH`), so that any place in a document stands against its own
+place in the item. The steps of a walk are cut into stretches; of every stretch random
+samples of steps are signatures (bit sampling, `SAMPLES` times a walk). An item is a
+candidate where a stretch of the same repeat and number has the same signature. Every
+repeat has its own walk and samples. Their number is the least that finds `target` of
+damaged copies of the items themselves, with `max_edit` of their length as random edits,
 and `MOST_REPEATS` at most. Undamaged copies are always found: a window's first stretch
 ends within the item, whatever the walk.
 
@@ -53,11 +53,12 @@ TARGET = 0.97
 MOST_REPEATS = 32
 #: Damaged copies by which the repeats are chosen.
 TRIALS = 64
-#: Longest distance of windows, steps of a stretch, and steps sampled from it.
-STRIDE = 16
+#: Longest distance of windows, steps of a stretch, steps sampled from it, and samplings of a walk.
+STRIDE = 32
 STRETCH = 32
 SAMPLE = 12
-#: Windows of an item begin in its first half, and in its first characters.
+SAMPLES = 2
+#: Windows of an item begin in its first characters.
 REACH = 4096
 #: Longest piece of an item, and pieces compared at once.
 PIECE = 64
@@ -94,23 +95,24 @@ def plan_of(length: int) -> tuple[int, int]:
     """Stride and steps for items of this length; the last window's first stretch fits in."""
 
     power = 1 << (length.bit_length() - 1)
-    return max(1, min(STRIDE, power // 4)), max(1, min(STRETCH, power // 2))
+    return max(1, min(STRIDE, power // 2)), max(1, min(STRETCH, power // 2))
 
 
 @lru_cache(maxsize=256)
 def chances(stride: int, steps: int, repeat: int, stretch: int) -> tuple:
-    """Moves by step and code, weights of codes, first value and sampled steps of a stretch."""
+    """Moves by step and code, weights of codes, first values and sampled steps of a stretch."""
 
     random = np.random.default_rng([repeat, stretch, stride])
     moves = random.integers(0, 2, (steps, 256))
     weights = random.integers(0, 1 << 63, 256, dtype=np.uint64)
-    sampled = np.zeros(steps, bool)
-    sampled[random.permutation(steps)[:SAMPLE]] = True
-    return moves, weights, random.integers(0, 1 << 63, dtype=np.uint64), sampled
+    sampled = np.zeros((SAMPLES, steps), bool)
+    for own in sampled:
+        own[random.permutation(steps)[:SAMPLE]] = True
+    return moves, weights, random.integers(0, 1 << 63, SAMPLES, dtype=np.uint64), sampled
 
 
 def walk(codes: np.ndarray, starts: np.ndarray, plan: Plan, repeat: int) -> Iterator[tuple]:
-    """(places before, places after, signatures) of every stretch of the walks from `starts`.
+    """(places before, places after, signatures) of every stretch and sampling of the walks from `starts`.
 
     `starts` ascend. Walks that have met go on as one; those at the end of the text stop.
     """
@@ -124,18 +126,22 @@ def walk(codes: np.ndarray, starts: np.ndarray, plan: Plan, repeat: int) -> Iter
             at = at[np.append(True, at[1:] != at[:-1])]
         if not len(at):
             return
-        moves, weights, seed, sampled = chances(plan.stride, plan.steps, repeat, stretch)
-        begin, at, value = at, at.copy(), np.full(len(at), seed)
+        moves, weights, seeds, sampled = chances(plan.stride, plan.steps, repeat, stretch)
+        begin, at, values = at, at.copy(), [np.full(len(at), seed) for seed in seeds]
         seen, move, weight = (np.empty(len(at), t) for t in (np.intp, np.int64, np.uint64))
         for j in range(plan.steps):
             codes.take(at, out=seen, mode="clip")
-            if sampled[j]:
-                value *= _ODD
-                value += weights.take(seen, out=weight, mode="clip")
+            if sampled[:, j].any():
+                weights.take(seen, out=weight, mode="clip")
+                for value, own in zip(values, sampled):
+                    if own[j]:
+                        value *= _ODD
+                        value += weight
             at += moves[j].take(seen, out=move, mode="clip")
-        value ^= value >> _SHIFT
-        value *= _ODD
-        yield begin, at, value
+        for value in values:
+            value ^= value >> _SHIFT
+            value *= _ODD
+            yield begin, at, value
 
 
 def joined(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +154,7 @@ def joined(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def windows(begins: np.ndarray, sizes: np.ndarray, stride: int) -> np.ndarray:
     """Places of the items at which their windows begin."""
 
-    reach = np.maximum(stride, np.minimum(sizes // 2, REACH))
+    reach = np.minimum(sizes, REACH)
     first = np.cumsum(reach) - reach
     return np.repeat(begins - first, reach) + np.arange(int(reach.sum()))
 
@@ -185,7 +191,7 @@ def enough_repeats(plan: Plan, bodies: list[str], max_edit: float, target: float
             mine = value[inside] ^ owner[begin[inside]]
             theirs = holder[place]
             found[theirs[np.isin(seen ^ theirs, mine)].astype(int)] = True
-        if repeat and found.mean() >= target:
+        if found.mean() >= target:
             return repeat + 1
     return MOST_REPEATS
 
