@@ -95,7 +95,7 @@ def plan_of(length: int) -> tuple[int, int]:
     """Stride and steps for items of this length; the last window's first stretch fits in."""
 
     power = 1 << (length.bit_length() - 1)
-    return max(1, min(STRIDE, power // 2)), max(1, min(STRETCH, power // 2))
+    return STRIDE if power >= 2 * STRIDE else max(1, power // 4), max(1, min(STRETCH, power // 2))
 
 
 @lru_cache(maxsize=256)
