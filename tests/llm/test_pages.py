@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -94,3 +95,20 @@ def test_odd_rows(spark):
 def test_parsing_is_linear_in_depth():
     tree = pages.Tree("<div>" * 5000 + "x" + "</div>" * 5000)
     assert len(tree.tag) == 5002
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 200_000,
+        "<a " * 350_000,
+        "<a " * 350_000 + ">",
+        "<div>" * 100_000 + "</b>" * 100_000,
+        "<b>" * 150_000 + "<h1></h1>" * 50_000,
+    ],
+    ids=["nested", "unclosed", "closed late", "unmatched ends", "no paragraph"],
+)
+def test_a_megabyte_of_odd_tags_parses_in_seconds(source):
+    begin = time.process_time()
+    pages.Tree(source)
+    assert time.process_time() - begin < 5

@@ -30,6 +30,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -84,6 +85,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+#: What a token can be where no ">" follows; it has the groups of `TOKEN`, all empty.
+REST = re.compile(r"<!--.*\Z|<[!?][^>]*\Z" + "|(?!)()()()()()()", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none""", re.I)
@@ -99,12 +102,14 @@ class Tree:
         self.text: list[str] = [""]
         self.flow: list[int] = []  # text nodes in order; -1 is a block break
         stack = [0]
+        self.open: Counter = Counter()  # elements of the stack by tag
+        self.silent = 0  # those that hold no text
         at, end = 0, len(source)
-        silent = 0
-        match = TOKEN.search(source)
+        last = source.rfind(">")
+        match = (TOKEN if last >= 0 else REST).search(source)
         while True:
             stop = match.start() if match else end
-            if stop > at and not silent:
+            if stop > at and not self.silent:
                 self._add_text(stack[-1], source[at:stop])
             if not match:
                 break
@@ -117,25 +122,33 @@ class Tree:
                 if name not in INLINE:
                     self.flow.append(-1)
                 if close:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[depth]] == name:
-                            for node in stack[depth:]:
-                                silent -= self.tag[node] in SILENT
-                            del stack[depth:]
-                            break
+                    if self.open[name]:
+                        depth = len(stack) - 1
+                        while self.tag[stack[depth]] != name:
+                            depth -= 1
+                        self._shut(stack, depth)
                 elif name not in VOID:
                     self._end_open(stack, name)
-                    silent = sum(self.tag[n] in SILENT for n in stack)
                     node = self._add(stack[-1], name, attributes)
                     stack.append(node)
-                    silent += name in SILENT
+                    self.open[name] += 1
+                    self.silent += name in SILENT
                     if name in RAW:
                         finish = re.compile(f"</{name}", re.I).search(source, at)
                         stop = finish.start() if finish else end
-                        if not silent and stop > at:
+                        if not self.silent and stop > at:
                             self._add_text(node, source[at:stop])
                         at = stop
-            match = TOKEN.search(source, at)
+            # Behind the last ">" only a comment or a declaration can still begin.
+            match = (TOKEN if at <= last else REST).search(source, at)
+
+    def _shut(self, stack, depth):
+        """Close the elements from `depth` on; each is closed once."""
+
+        for node in stack[depth:]:
+            self.open[self.tag[node]] -= 1
+            self.silent -= self.tag[node] in SILENT
+        del stack[depth:]
 
     def _end_open(self, stack, name):
         if name in CLOSES_P:
@@ -144,10 +157,12 @@ class Tree:
             targets = SIBLING[name]
         else:
             return
+        if not any(self.open[tag] for tag in targets):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag in targets:
-                del stack[depth:]
+                self._shut(stack, depth)
                 return
             if tag in SCOPE:
                 return
