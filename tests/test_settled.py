@@ -96,3 +96,21 @@ def test_settled_texts_do_not_reach_python(spark):
     assert re.search(r"ArrowEvalPython \[canonical\(CASE WHEN CASE WHEN", plan)
     settled = df.select("n", settled_json(F.col("t")).alias("s")).collect()
     assert [r["n"] for r in settled if r["s"] is None] == [2]
+
+
+def test_short_decimals_and_plain_addresses_are_settled(spark):
+    """The numbers and file addresses of event lines need no Python, and a row is redacted once."""
+
+    lines = ['{"a":"file:///data/1.txt","v":29.61,"w":[0.0875,-3.5,0.0001,12345678901.25]}']
+    odd = ["29.60", "0.00001", "1.23456", "123456789012.5", "1.5e3", "0.0", "1.0", "-0.0", "[1.,2]"]
+    df = spark.createDataFrame(list(enumerate(lines + odd)), "n int, line string")
+    rows = df.select("n", settled_json(F.col("line")).alias("s"), canonical_json(F.col("line")).alias("c")).collect()
+    assert [r["n"] for r in rows if r["s"] is not None] == [0]
+    assert [r["c"] for r in rows] == [by_python(t) for t in lines + odd]
+    postgres = '{"a":"POSTGRES://u:p@h/x"}'
+    safe = redact.with_redacted(df.union(spark.createDataFrame([(99, postgres)], df.schema)), "line", "r")
+    plan = safe.filter("r.error IS NULL").select("r.json")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert plan.count("parse_json") + plan.count("ParseJson") <= 2
+    done = {r["n"]: r["r"]["json"] for r in safe.collect()}
+    assert done[0] == lines[0] and done[99] == '{"a":"[REDACTED:database_url]"}'

@@ -179,16 +179,21 @@ def settled_json(col: Column) -> Column:
 
     Written back from VARIANT, keys come sorted and nothing stands between. That is the
     canonical text where all characters are printable ASCII without escapes, numbers
-    are whole and short, and nothing but the order of members differs: text and result
-    then have the same length, which something left over behind a value never has.
+    are short, and nothing but the order of members differs: text and result then have
+    the same length, which something left over behind a value never has. A number with
+    up to eleven digits before the point and four behind it, the last not zero, is the
+    shortest text of its double, and no exponent is written for it.
     """
 
     bare = F.regexp_replace(col, '"[^"]*"', '""')
     plain = col.rlike(r"^[\x20-\x5b\x5d-\x7e]*$")
-    simple = ~bare.rlike(r"[0-9][.eE]|[0-9]{16}|\s")
-    shallow = F.length(F.regexp_replace(bare, r"[^\[{]", "")) <= 200
-    written = F.to_json(F.try_parse_json(col))
-    return F.when(plain & simple & shallow & (F.length(written) == F.length(col)), written)
+    simple = ~bare.rlike(r"[0-9][eE]|\.(?![0-9]{0,3}[1-9](?![0-9]))|[0-9]{12}\.|[0-9]{16}|\s")
+    opened = [F.length(col) - F.length(F.replace(col, F.lit(mark), F.lit(""))) for mark in "[{"]
+    shallow = opened[0] + opened[1] <= 200
+    written = F.array(F.to_json(F.try_parse_json(col)))
+    # The lambda names the written text once, though the step looks at it twice.
+    kept = F.transform(written, lambda text: F.when(F.length(text) == F.length(col), text))
+    return F.when(plain & simple & shallow, F.get(kept, F.lit(0)))
 
 
 def canonical_json(col: Column) -> Column:

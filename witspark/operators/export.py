@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from witspark.functions.digest import sorted_json, uuid5_url
 from witspark.functions.times import canonical_ts
-from witspark.operators.redact import redact_json
+from witspark.operators.redact import with_redacted
 from witspark.schema import NAMESPACE
 
 
@@ -19,7 +19,12 @@ def redacted_events(df: DataFrame, line: str = "line") -> tuple[DataFrame, DataF
     exported unredacted and no input row is lost without a trace.
     """
 
-    safe = df.withColumn("__r", redact_json(F.col(line)))
+    return by_redaction(with_redacted(df, line, "__r"))
+
+
+def by_redaction(safe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of `redacted_events`, from rows with their redaction in `__r`."""
+
     good = safe.filter("__r.error IS NULL").withColumn("event", F.col("__r.json")).drop("__r")
     bad = safe.filter("__r.error IS NOT NULL").select(
         "event_id", F.col("__r.error").alias("error")

@@ -104,34 +104,49 @@ def _spelled(policy: R.Policy) -> str:
     names = {n for n in policy.sensitive_names} | {p.rsplit(".", 1)[-1] for p in policy.sensitive_paths}
     spelled = "|".join(sorted({re.escape(n).replace("_", "[-_]").replace(r"\-", "[-_]") for n in names}))
     # A backslash may spell any of these otherwise.
-    starts = r"\\|-----BEGIN|bearer|://|=|key|token|secret|password|signature|[\u017f\u0131]"
+    schemes = "|".join(map(re.escape, _SCHEMES))
+    starts = rf"\\|-----BEGIN|bearer|(?:{schemes})://|=|key|token|secret|password|signature|[\u017f\u0131]"
     return f"{spelled}|{starts}" if spelled else starts
 
 
+#: The schemes of the pattern `database_url`; other addresses are no secret by themselves.
+_SCHEMES = (
+    "postgres", "postgresql", "mysql", "mariadb", "mongodb", "mongodb+srv", "redis", "rediss", "amqp", "amqps"
+)
+
+
 def _surely_harmless(col: Column, policy: R.Policy) -> Column:
-    """`_harmless` as a column, for texts of ASCII characters."""
+    """`_harmless` as a column, for texts of ASCII characters.
 
-    shortest = min(policy.max_text, policy.max_members, policy.max_items, policy.max_depth)
+    Plain searches, as a pattern of so many names is tried anew at every character.
+    """
 
-    def count(marks):
-        return F.length(F.regexp_replace(col, f"[^{marks}]", ""))
+    def count(mark):
+        return F.length(col) - F.length(F.replace(col, F.lit(mark), F.lit("")))
 
+    names = set(policy.sensitive_names) | {p.rsplit(".", 1)[-1] for p in policy.sensitive_paths}
+    words = {n.lower().replace("-", "_") for n in names}
+    words |= {"\\", "_____begin", "bearer", "=", "key", "token", "secret", "password", "signature"}
+    # A word that holds another is found with it.
+    words = {w for w in words if not any(o in w for o in words if o != w)}
+    low = F.replace(F.lower(col), F.lit("-"), F.lit("_"))
+    risky = F.contains(col, F.lit("://")) & _any(F.contains(low, F.lit(f"{s}://")) for s in _SCHEMES)
     return (
         (F.length(col) <= policy.max_text)
-        & (count(",") < shortest)
-        & (count(r"\[{") < policy.max_depth)
-        & ~col.rlike("(?i)" + _spelled(policy))
+        & (count(",") < min(policy.max_members, policy.max_items))
+        & (count("[") + count("{") < policy.max_depth)
+        & ~(_any(F.contains(low, F.lit(w)) for w in sorted(words)) | risky)
     )
 
 
-def redact_json(col: Column, policy: R.Policy = R.Policy()) -> Column:
-    """Struct (json, captures, captured_bytes, error) of a JSON text.
+def _any(tests) -> Column:
+    found = F.lit(False)
+    for test in tests:
+        found = found | test
+    return found
 
-    Fails closed: with an error the json member is null, never the input. The
-    text comes out canonical, so that it can be hashed as it is. Texts that columns
-    show to be harmless and can write canonically do not cross to Python.
-    """
 
+def _redact_udf(policy: R.Policy):
     @F.pandas_udf("json string, captures bigint, captured_bytes bigint, error string")
     def redact(texts: pd.Series) -> pd.DataFrame:
         apply, harmless = _redactor(policy), _harmless(policy)
@@ -150,19 +165,52 @@ def redact_json(col: Column, policy: R.Policy = R.Policy()) -> Column:
                 rows.append((None, 0, 0, "redaction_failed"))
         return pd.DataFrame(rows, columns=["json", "captures", "captured_bytes", "error"])
 
-    settled = F.when(_surely_harmless(col, policy), settled_json(col))
+    # Spark moves a filter on the result below the projection, and would run the function
+    # in both; it moves no filter over a function that may give another result.
+    return redact.asNondeterministic()
+
+
+def _settled(col: Column, policy: R.Policy) -> Column:
+    return F.when(_surely_harmless(col, policy), settled_json(col))
+
+
+def _redacted(settled: Column, by_python: Column) -> Column:
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
     done = F.struct(
         settled.alias("json"), zero.alias("captures"), zero.alias("captured_bytes"), none.alias("error")
     )
-    return F.when(settled.isNotNull(), done).otherwise(redact(F.when(settled.isNull(), col)))
+    return F.when(settled.isNotNull(), done).otherwise(by_python)
+
+
+def redact_json(col: Column, policy: R.Policy = R.Policy()) -> Column:
+    """Struct (json, captures, captured_bytes, error) of a JSON text.
+
+    Fails closed: with an error the json member is null, never the input. The
+    text comes out canonical, so that it can be hashed as it is. Texts that columns
+    show to be harmless and can write canonically do not cross to Python.
+    """
+
+    settled = _settled(col, policy)
+    return _redacted(settled, _redact_udf(policy)(F.when(settled.isNull(), col)))
+
+
+def with_redacted(df: DataFrame, text: str, to: str, policy: R.Policy = R.Policy()) -> DataFrame:
+    """`df` with the struct of `redact_json` of the column `text` in `to`.
+
+    The steps are columns of their own, so that Spark makes each of them once a row,
+    however long the expression behind `text` is.
+    """
+
+    steps = df.withColumn("__settled", _settled(F.col(text), policy))
+    steps = steps.withColumn("__python", _redact_udf(policy)(F.when(F.col("__settled").isNull(), F.col(text))))
+    return steps.withColumn(to, _redacted(F.col("__settled"), F.col("__python"))).drop("__settled", "__python")
 
 
 def redact_fields(df: DataFrame, payload: str = "payload", policy: R.Policy = R.Policy()) -> DataFrame:
     """Replace the JSON text by its redacted form and add the `redaction_error` column."""
 
     return (
-        df.withColumn("__redacted", redact_json(F.col(payload), policy))
+        with_redacted(df, payload, "__redacted", policy)
         .withColumn(payload, F.col("__redacted.json"))
         .withColumn("redaction_error", F.col("__redacted.error"))
         .drop("__redacted")

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from witspark.operators.detect import WORD, _Fold, candidates
-from witspark.operators.export import export, redacted_events
+from witspark.operators.export import by_redaction, export
+from witspark.operators.redact import with_redacted
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -563,11 +564,14 @@ def stream_export(events: DataFrame, profile: str, path: str, checkpoint: str):
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        good, bad = redacted_events(batch)
+        # Both outputs come from one redaction of the batch.
+        safe = with_redacted(batch, "line", "__r").drop("line").persist()
+        good, bad = by_redaction(safe)
         export(good, profile).select("record").write.mode("overwrite").text(
             f"{path}/batch={number}"
         )
         bad.write.mode("overwrite").json(f"{path}/failed/batch={number}")
+        safe.unpersist()
 
     return (
         events.writeStream.foreachBatch(write)
