@@ -193,3 +193,13 @@ def test_suppression_state_goes(spark, tmp_path):
     got, query = played(spark, tmp_path, frames, lambda s: ops.stream_suppression(s, 25.0, "100 seconds"))
     assert len([x for x in got if x["match_id"].startswith("m")]) == 160
     assert keys_left(query) <= 10
+
+
+def test_a_replay_has_few_batches_however_many_files(spark, tmp_path):
+    from witspark.plans.streams import BATCHES, replay
+
+    rows = spark.range(400).repartition(20).select("id", F.timestamp_seconds(F.col("id") * 60).alias("occurred_at"))
+    stream, _ = replay(spark, rows)
+    ops.run_to_files(stream, str(tmp_path))
+    assert len(list((tmp_path / "checkpoint" / "commits").glob("[0-9]*"))) <= BATCHES + 1
+    assert spark.read.parquet(f"{tmp_path}/out").filter("NOT closing").count() == 400

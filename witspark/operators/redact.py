@@ -84,7 +84,14 @@ def _harmless(policy: R.Policy):
     No sensitive name, no start of a pattern, and too short for a capture or a limit.
     """
 
-    risky = re.compile(_spelled(policy), re.I)
+    spelled, words = re.compile(_spelled(policy), re.I), _words(policy)
+
+    def risky(text):
+        if not text.isascii():
+            return spelled.search(text)
+        low = text.lower().replace("-", "_")
+        return any(w in low for w in words) or "://" in text and any(f"{s}://" in low for s in _SCHEMES)
+
     shortest = min(policy.max_text, policy.max_members, policy.max_items, policy.max_depth)
 
     def test(text):
@@ -92,7 +99,7 @@ def _harmless(policy: R.Policy):
             len(text) <= policy.max_text
             and text.count(",") < shortest
             and text.count("{") + text.count("[") < policy.max_depth
-            and not risky.search(text)
+            and not risky(text)
         )
 
     return test
@@ -124,21 +131,31 @@ def _surely_harmless(col: Column, policy: R.Policy) -> Column:
     def count(mark):
         return F.length(col) - F.length(F.replace(col, F.lit(mark), F.lit("")))
 
-    names = set(policy.sensitive_names) | {p.rsplit(".", 1)[-1] for p in policy.sensitive_paths}
-    words = {n.lower().replace("-", "_") for n in names}
-    words |= {"\\", "_____begin", "bearer", "=", "key", "token", "secret", "password", "signature"}
-    # A word that holds another is found with it.
-    words = {w for w in words if not any(o in w for o in words if o != w)}
     low = F.replace(F.lower(col), F.lit("-"), F.lit("_"))
-    risky = F.contains(col, F.lit("://")) & _any(F.contains(low, F.lit(f"{s}://")) for s in _SCHEMES)
+
+    def risky(text):
+        schemes = _any(F.contains(text, F.lit(f"{s}://")) for s in _SCHEMES)
+        return _any(F.contains(text, F.lit(w)) for w in _words(policy)) | F.contains(text, F.lit("://")) & schemes
+
+    # The lambda names the lowered text once, for all the searches in it.
     return (
         (F.length(col) <= policy.max_text)
         & (count(",") < min(policy.max_members, policy.max_items))
         & (count("[") + count("{") < policy.max_depth)
-        & ~(_any(F.contains(low, F.lit(w)) for w in sorted(words)) | risky)
+        & ~F.exists(F.array(low), risky)
     )
 
 
+def _words(policy: R.Policy) -> list[str]:
+    """Lower-case words, with "_" for "-", of which a risky text of ASCII characters holds one."""
+
+    names = set(policy.sensitive_names) | {p.rsplit(".", 1)[-1] for p in policy.sensitive_paths}
+    words = {n.lower().replace("-", "_") for n in names}
+    words |= {"\\", "_____begin", "bearer", "=", "key", "token", "secret", "password", "signature"}
+    # A word that holds another is found with it.
+    return sorted(w for w in words if not any(o in w for o in words if o != w))
+
+
 def _any(tests) -> Column:
     found = F.lit(False)
     for test in tests:
