@@ -172,3 +172,13 @@ def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
         spark.conf.set(name, value)
         assert not hinted(rows)
         spark.conf.unset(name)
+
+
+def test_stages_of_one_type_share_a_mask_and_others_need_none():
+    from witspark.operators.rules import Rule, Stage
+    from witspark.operators.ruleindex import Index
+
+    shared = Rule("s", "s", (Stage("a", {}), Stage("a", {}), Stage("b", {})))
+    found = Index([shared]).by_type
+    assert [entry[-1] for entry in found["a"]] == [False, False]
+    assert [entry[-1] for entry in found["b"]] == [True]

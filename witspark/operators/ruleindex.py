@@ -15,7 +15,7 @@ The tables are made from the rules, which the driver holds anyway; they are broa
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,7 +24,7 @@ from witspark.functions.predicates import _Value, predicate
 
 #: Stages in one word of a mask.
 WORD = 62
-_STAGE = "array<struct<rule:int, word:int, bit:bigint, rest:array<int>>>"
+_STAGE = "array<struct<rule:int, word:int, bit:bigint, rest:array<int>, alone:boolean>>"
 _NONE = f"cast(array() as {_STAGE})"
 
 
@@ -55,6 +55,7 @@ class Index:
         fulfils, leads = defaultdict(set), defaultdict(list)
         by_type = defaultdict(list)
         for number, rule in enumerate(rules):
+            types = Counter(stage.event_type for stage in rule.stages)
             for i, stage in enumerate(rule.stages):
                 named, leader = [], None
                 for path, expected in stage.where.items():
@@ -69,7 +70,7 @@ class Index:
                         fulfils[path, stage.event_type, _typed(value)].add(own)
                     if leader is None:
                         leader = (path, values)
-                entry = (number, i // WORD, 1 << i % WORD, named)
+                entry = (number, i // WORD, 1 << i % WORD, named, types[stage.event_type] == 1)
                 if leader is None:
                     by_type[stage.event_type].append(entry)
                 else:
@@ -115,7 +116,7 @@ class Index:
             holds.append(F.filter(F.array(*single), lambda i: i.isNotNull()))
         held = F.concat(*holds) if holds else F.expr("cast(array() as array<int>)")
         df = df.withColumn("__held", held).withColumn("__led", F.concat(*stages))
-        df = df.withColumn("__ok", F.expr("filter(__led, s -> size(array_except(s.rest, __held)) = 0)"))
+        df = df.withColumn("__ok", F.expr("filter(__led, s -> forall(s.rest, p -> array_contains(__held, p)))"))
         return df.filter("size(__ok) > 0").drop("__held", "__led")
 
 
@@ -139,20 +140,26 @@ def indexed_candidates(df: DataFrame, rules, resolver: Resolver, words: int) ->
     lists = sorted({r.group_by for r in rules} | {r.suppression_key for r in rules if r.suppression_key})
     place = {paths: i for i, paths in enumerate(lists)}
     keys = F.array(*[F.to_json(F.array(*[resolver.text(p) for p in paths])) for paths in lists])
-    hits = index.found(df, resolver).select(
-        "event_id", F.unix_micros("occurred_at").alias("us"), "sequence", keys.alias("keys"),
-        F.col("__ok").alias("ok"), F.explode(F.expr("array_distinct(transform(__ok, s -> s.rule))")).alias("rule_no"),
-    )
-    mask = F.expr(
-        f"transform(sequence(0, {words - 1}), w -> aggregate(filter(ok, s -> s.rule = rule_no and s.word = w),"
+    # A stage that alone in its rule wants the type is the rule's only one at an event; the
+    # other stages that match are put together by rule, and only these are looked through for it.
+    at_word = f"transform(sequence(0, {words - 1}), w -> if(s.word = w, s.bit, 0L))"
+    alone = f"transform(filter(__ok, s -> s.alone), s -> struct(s.rule as rule_no, {at_word} as mask))"
+    joined = (
+        f"transform(sequence(0, {words - 1}), w -> aggregate(filter(__more, s -> s.rule = r and s.word = w),"
         " 0L, (m, s) -> m | s.bit))"
     )
+    more = f"transform(array_distinct(transform(__more, s -> s.rule)), r -> struct(r as rule_no, {joined} as mask))"
+    found = index.found(df, resolver).withColumn("__more", F.expr("filter(__ok, s -> not s.alone)"))
+    hits = found.select(
+        "event_id", F.unix_micros("occurred_at").alias("us"), "sequence", keys.alias("keys"),
+        F.inline(F.expr(f"concat({alone}, {more})")),
+    )
     at = F.col("rule_no") + 1
     group = F.element_at(F.array(*[F.lit(place[r.group_by] + 1) for r in rules]), at)
     quiet = F.element_at(F.array(*[F.lit(place[r.suppression_key] + 1 if r.suppression_key else 0) for r in rules]), at)
     return hits.select(
         "rule_no",
-        mask.alias("mask"),
+        "mask",
         F.element_at("keys", group).alias("group_key"),
         F.when(quiet > 0, F.try_element_at("keys", F.greatest(quiet, F.lit(1)))).otherwise("").alias("suppression"),
         "us",
