@@ -173,6 +173,24 @@ def test_query_op10(spark, sf_dir, texts):
         assert brute_edit(items[r["item_id"]], leaks.normal(texts[r["doc_id"]])) == r["distance"]
 
 
+@pytest.mark.parametrize("rows, per_signature", [(256, 6), (400, 7)])
+def test_signatures_are_packed_small_and_read_back(rows, per_signature):
+    random_ = random.Random(6)
+    bodies = [" ".join(str(random_.randrange(10**6)) for _ in range(60)).encode() for _ in range(rows)]
+    out = jaccard._map_side(3, 5, Fraction(4, 5))({"id": list(range(rows)), "body": bodies})
+    sets = jaccard.ngram_sets(bodies, 5)
+    sig, which = jaccard.signatures(sets, jaccard.Bands(Fraction(4, 5)))
+    nodes = jaccard.digests(sets)[which]
+    expected = {(int(s) >> 61, int(s) << 3 >> 24 & (1 << 40) - 1, n) for s, n in zip(sig.tolist(), nodes.tolist())}
+    found, held = set(), 0
+    for bucket, blob in zip(out["bucket"], out["packed"]):
+        if blob is not None:
+            held += len(blob) - 8 - 8 * int(np.frombuffer(blob, "<u4", 1)[0])
+            values, own = jaccard._unpack(bucket, blob, 3)
+            found |= {(bucket, v & (1 << 40) - 1, n) for v, n in zip(values.tolist(), own.tolist())}
+    assert found == expected and held == per_signature * len(sig)
+
+
 @pytest.mark.parametrize("rate, least", [(0.02, 0.97), (0.05, 0.95), (0.1, 0.85)])
 def test_recall_of_edited_items(spark, sf_dir, rate, least):
     random_ = random.Random(3)

@@ -70,6 +70,9 @@ BLOCK_BYTES = 64 << 20
 BLOCK_CHARS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
+_ONE = np.uint64(1)
+#: Mark of leading bits that different signatures have.
+SEVERAL = 2
 
 
 def normal(text: str) -> str:
@@ -100,7 +103,10 @@ def plan_of(length: int) -> tuple[int, int]:
 
 @lru_cache(maxsize=256)
 def chances(stride: int, steps: int, repeat: int, stretch: int) -> tuple:
-    """Moves by step and code, weights of codes, first values and sampled steps of a stretch."""
+    """Moves by step and code, weights of codes by step, first values and sampled steps of a stretch.
+
+    The lowest bit of a weight is the move of its step, so that both are looked up at once.
+    """
 
     random = np.random.default_rng([repeat, stretch, stride])
     moves = random.integers(0, 2, (steps, 256))
@@ -108,7 +114,8 @@ def chances(stride: int, steps: int, repeat: int, stretch: int) -> tuple:
     sampled = np.zeros((SAMPLES, steps), bool)
     for own in sampled:
         own[random.permutation(steps)[:SAMPLE]] = True
-    return moves, weights, random.integers(0, 1 << 63, SAMPLES, dtype=np.uint64), sampled
+    both = weights >> _ONE << _ONE | moves.astype(np.uint64)
+    return moves, both, random.integers(0, 1 << 63, SAMPLES, dtype=np.uint64), sampled
 
 
 def walk(codes: np.ndarray, starts: np.ndarray, plan: Plan, repeat: int) -> Iterator[tuple]:
@@ -127,17 +134,21 @@ def walk(codes: np.ndarray, starts: np.ndarray, plan: Plan, repeat: int) -> Iter
         if not len(at):
             return
         moves, weights, seeds, sampled = chances(plan.stride, plan.steps, repeat, stretch)
+        noted = sampled.any(0).tolist()
         begin, at, values = at, at.copy(), [np.full(len(at), seed) for seed in seeds]
         seen, move, weight = (np.empty(len(at), t) for t in (np.intp, np.int64, np.uint64))
         for j in range(plan.steps):
             codes.take(at, out=seen, mode="clip")
-            if sampled[:, j].any():
-                weights.take(seen, out=weight, mode="clip")
+            if noted[j]:
+                weights[j].take(seen, out=weight, mode="clip")
                 for value, own in zip(values, sampled):
                     if own[j]:
                         value *= _ODD
                         value += weight
-            at += moves[j].take(seen, out=move, mode="clip")
+                weight &= _ONE
+                at += weight.view(np.int64)
+            else:
+                at += moves[j].take(seen, out=move, mode="clip")
         for value in values:
             value ^= value >> _SHIFT
             value *= _ODD
@@ -204,7 +215,8 @@ class Index:
     keys: np.ndarray  # ascending
     item: np.ndarray  # by key
     place: np.ndarray  # in the item, by key
-    maybe: np.ndarray  # by leading bits of a signature: may it be there?
+    count: np.ndarray  # equal keys, by the first of them
+    maybe: np.ndarray  # by leading bits of a signature: its mark, SEVERAL, or 0 if none is there
     first: np.ndarray  # piece of each item, by item
     width: np.ndarray  # of the piece
     offset: np.ndarray  # of the piece in its item
@@ -216,7 +228,7 @@ class Index:
 
     @property
     def nbytes(self) -> int:
-        return self.keys.nbytes + self.item.nbytes + self.place.nbytes + self.maybe.nbytes + self.masks.nbytes
+        return self.keys.nbytes + self.item.nbytes + self.place.nbytes + self.count.nbytes + self.maybe.nbytes + self.masks.nbytes
 
 
 def pieces(items: list[tuple[object, str]]) -> tuple[np.ndarray, ...]:
@@ -261,15 +273,27 @@ def build(items: list[tuple[object, str]], max_edit: float = 0.2, target: float
                 own, begin = own[inside], begin[inside]
                 parts.append((value[inside], np.array(numbers, np.int32)[own], (begin - begins[own]).astype(np.int32)))
     if not parts:
-        return Index([], *(np.zeros(0, t) for t in (np.uint64, np.int32, np.int32)), np.zeros(2, bool), *pieces(items))
+        return Index([], *(np.zeros(0, t) for t in (np.uint64, np.int32, np.int32, np.int64)), np.zeros(2, np.uint8), *pieces(items))
     keys, item, place = map(np.concatenate, zip(*parts))
     order = np.argsort(keys, kind="stable")
-    maybe = np.zeros(1 << max(16, (8 * len(keys)).bit_length()), bool)
-    index = Index(plans, keys[order], item[order], place[order], maybe, *pieces(items))
-    maybe[(keys >> index.shift).astype(np.int64)] = True
+    maybe = np.zeros(1 << max(16, (8 * len(keys)).bit_length()), np.uint8)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    count = np.zeros(len(keys), np.int64)
+    count[first] = np.diff(np.append(first, len(keys)))
+    index = Index(plans, keys, item[order], place[order], count, maybe, *pieces(items))
+    lead = (keys >> index.shift).astype(np.int64)
+    maybe[lead] = marks(keys)
+    maybe[lead[1:][(lead[1:] == lead[:-1]) & (keys[1:] != keys[:-1])]] = SEVERAL
     return index
 
 
+def marks(keys: np.ndarray) -> np.ndarray:
+    """Seven low bits of each signature, never 0 and never SEVERAL."""
+
+    return keys.astype(np.uint8) | np.uint8(1)
+
+
 def candidates(index: Index, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(item, place in the item, place in `codes`) of equal signatures."""
 
@@ -277,10 +301,13 @@ def candidates(index: Index, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np
         starts = np.arange(low + -low % plan.stride, min(low + SLICE, len(codes)), plan.stride)
         for repeat in range(plan.repeats):
             for begin, _, value in walk(codes, starts, plan, repeat):
-                hit = np.flatnonzero(index.maybe.take((value >> index.shift).astype(np.int64)))
+                mark = index.maybe.take((value >> index.shift).astype(np.int64))
+                hit = np.flatnonzero((mark == marks(value)) | (mark == SEVERAL))
                 first = np.searchsorted(index.keys, value[hit], "left")
-                count = np.searchsorted(index.keys, value[hit], "right") - first
-                if count.any():
+                there = index.keys.take(first, mode="clip") == value[hit]
+                if there.any():
+                    hit, first = hit[there], first[there]
+                    count = index.count[first]
                     ends = np.cumsum(count)
                     row = np.repeat(first - ends + count, count) + np.arange(ends[-1])
                     yield index.item[row], index.place[row], np.repeat(begin[hit], count)
