@@ -163,6 +163,19 @@ def test_edit_distance_by_brute_force():
         assert (got is None) == (expected > most) and (got is None or got[0] == expected)
 
 
+def test_few_foreign_signatures_are_looked_up():
+    random_ = random.Random(4)
+    items = [(k, "".join(random_.choice("abcdefgh ") for _ in range(200))) for k in range(40)]
+    index = leaks.build(items)
+    values = np.random.default_rng(5).integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    own = np.concatenate([values, index.keys])
+    mark = index.maybe.take((own >> index.shift).astype(np.int64))
+    passed = (mark == leaks.marks(own)) | (mark == leaks.SEVERAL)
+    assert passed[len(values) :].all() and passed[: len(values)].mean() < 0.03
+    run = np.flatnonzero(index.count)
+    assert index.count.sum() == len(index.keys) and (index.keys[run][1:] > index.keys[run][:-1]).all()
+
+
 def test_query_op10(spark, sf_dir, texts):
     items = {r["item_id"]: leaks.normal(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     exact = {(d, i) for d, t in texts.items() for n in [leaks.normal(t)] for i, x in items.items() if x in n}

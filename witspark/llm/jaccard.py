@@ -43,6 +43,8 @@ from witspark.llm.words import mix, word_hashes
 from witspark.plans.lineage import broadcast_if_small, cut
 
 BUCKET_BYTES = 8 << 20
+#: Bytes of a signature that go through the shuffle, besides the bits of its bucket.
+TAIL = 5
 SKETCH = 1024
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
@@ -191,12 +193,12 @@ def _map_side(bits: int, size: int, threshold: Fraction):
             table = nodes[distinct].astype("<i8")
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 used, local = np.unique(which[a:b], return_inverse=True)
-                # 6 bytes after the bucket's bits tell signatures apart; an accidental
+                # 5 bytes after the bucket's bits tell signatures apart; an accidental
                 # agreement only adds a pair that is verified.
-                tail = (sig[a:b] << np.uint64(bits) >> np.uint64(16)).astype("<u8").view(np.uint8)
-                tail = tail.reshape(-1, 8)[:, :6].tobytes()
+                tail = (sig[a:b] << np.uint64(bits) >> np.uint64(24)).astype("<u8").view(np.uint8)
+                tail = tail.reshape(-1, 8)[:, :TAIL].tobytes()
                 head = np.array([len(used), b - a], "<u4").tobytes()
-                blob = head + table[used].tobytes() + local.astype("<u2").tobytes() + tail
+                blob = head + table[used].tobytes() + local.astype(_index_type(len(used))).tobytes() + tail
                 out["bucket"].append(int(bucket[a]))
                 out["packed"].append(blob)
             more = len(out["bucket"]) - n
@@ -207,18 +209,24 @@ def _map_side(bits: int, size: int, threshold: Fraction):
     return work
 
 
+def _index_type(used: int) -> str:
+    """Type of a place in a blob's table of nodes; a batch of usual size needs a byte."""
+
+    return "u1" if used <= 256 else "<u2"
+
+
 def _unpack(bucket: int, blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     used, count = np.frombuffer(blob, "<u4", 2).tolist()
     at = 8
     table = np.frombuffer(blob, "<i8", used, at)
     at += 8 * used
-    local = np.frombuffer(blob, "<u2", count, at)
-    at += 2 * count
+    local = np.frombuffer(blob, _index_type(used), count, at)
+    at += local.nbytes
     wide = np.zeros((count, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * count, at).reshape(-1, 6)
+    wide[:, :TAIL] = np.frombuffer(blob, np.uint8, TAIL * count, at).reshape(-1, TAIL)
     tail = wide.reshape(-1).view("<u8")
-    # The bucket goes above the 48 bits of the tail as far as it fits, else it is mixed in.
-    return tail | np.uint64((bucket & 0xFFFF) << 48), table[local]
+    # The bucket goes above the 40 bits of the tail; those of one call have the same anyway.
+    return tail | np.uint64((bucket & 0xFFFFFF) << 40), table[local]
 
 
 def _reduce_side(id_type_: str, bits: int):
