@@ -45,8 +45,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.unpacked(bpe.encode(docs, path, public_tokenizers.PATTERN))
-    return encoded.withColumnRenamed("id", "doc_id")
+    return bpe.encode_unpacked(docs, path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

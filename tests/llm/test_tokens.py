@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
@@ -97,6 +98,19 @@ def test_unpacked_ids(spark, odd):
         assert row["ids"] == ids(row["packed"]) and row["n_tokens"] == len(row["ids"])
 
 
+def test_encoded_to_arrays_in_one_pass(spark, odd):
+    found = bpe.encode_unpacked(odd, RANKS, public_tokenizers.PATTERN)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    expected = bpe.unpacked(bpe.encode(odd, RANKS, public_tokenizers.PATTERN))
+    assert found.schema == expected.schema
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_pipeline_encodes_in_one_pass(spark, documents, sf_dir):
+    encoded = corpus_pipeline.byte_bpe(spark, documents, sf_dir)
+    assert encoded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 @pytest.fixture(scope="module")
 def counter():
     return wordbpe.Counter(open(WORDS, "rb").read())

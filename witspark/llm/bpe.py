@@ -272,20 +272,47 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     )
 
 
+def _arrays(kind) -> tuple:
+    """Result type, and a function from ids and packed ids to a batch of it."""
+
+    kind = _parse_datatype_string(f"id {kind}, n_tokens bigint, ids array<int>")
+    arrow = to_arrow_schema(kind)
+
+    def batch_of(ids, packed):
+        sizes = np.array([0, *(len(p) // 4 for p in packed)])
+        values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(sizes[1:]), lists.cast(arrow.field(2).type)], schema=arrow
+        )
+
+    return kind, batch_of
+
+
 def unpacked(encoded: DataFrame) -> DataFrame:
     """`id`, `n_tokens` and `ids` as an array of integers."""
 
-    kind = _parse_datatype_string(f"id {id_type(encoded, 'id')}, n_tokens bigint, ids array<int>")
-    arrow = to_arrow_schema(kind)
+    kind, batch_of = _arrays(id_type(encoded, "id"))
 
     def run(batches):
         for batch in batches:
-            packed = batch.column(1).to_pylist()
-            sizes = np.array([0, *(len(p) // 4 for p in packed)])
-            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes[1:]), lists.cast(arrow.field(2).type)], schema=arrow
-            )
+            yield batch_of(batch.column(0), batch.column(1).to_pylist())
 
     return encoded.select("id", "ids").mapInArrow(run, kind)
+
+
+def encode_unpacked(
+    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """`unpacked(encode(...))` in one pass: one Python worker a task holds memory, not two."""
+
+    prepare(df.sparkSession)
+    model = df.sparkSession.sparkContext.broadcast(read_model(path))
+    kind, batch_of = _arrays(id_type(df, id_col))
+
+    def run(batches):
+        for batch in batches:
+            vocabulary = loaded(model.value, pattern)
+            yield batch_of(batch.column(0), vocabulary.encode_all([b.decode() for b in batch.column(1).to_pylist()]))
+
+    return texts(df, id_col, text_col).mapInArrow(run, kind)
