@@ -8,7 +8,7 @@ from witspark.operators import graph, project
 from witspark.operators.validate import parse_events
 from witspark.plans.lineage import shared_folder
 from witspark.plans.registry import query
-from witspark.sources.tables import event_line, evidence_events, flat_events
+from witspark.sources.tables import causal_events, event_line, evidence_events, flat_events
 
 SEEN = (
     "strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(occurred_at) % 1000000 <> 0"
@@ -316,7 +316,7 @@ def _closure_sql(event_type, step):
 
 
 def _closure(spark, sf_dir, event_type, direction):
-    rows = evidence_events(spark, sf_dir)
+    rows = causal_events(spark, sf_dir)
     seeds = rows.filter(F.col("event_type") == event_type).select("event_id")
     found = project.causal_closure(rows, seeds, direction)
     return found.withColumn("depth", F.col("depth").cast("bigint"))
