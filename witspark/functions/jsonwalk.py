@@ -61,10 +61,13 @@ def _step(key: str) -> str:
     return f".{key}"
 
 
-def _nodes(value):
-    """Rows of one document, parents before children; keeps its own stack."""
+def _nodes(value, paths: bool = True):
+    """Rows of one document, parents before children; keeps its own stack.
 
-    stack = [("$", "", 0, None, value, False)]
+    Without `paths`, path and up stay empty.
+    """
+
+    stack = [("$" if paths else "", "", 0, None, value, False)]
     while stack:
         path, up, depth, key, node, inside = stack.pop()
         kind = _kind(node)
@@ -82,32 +85,40 @@ def _nodes(value):
         size = len(node) if kind in ("object", "array") else None
         yield path, up, depth, key, "capture" if marked else kind, shown, size, inside
         if kind == "object":
-            stack.extend(
-                (path + _step(k), path, depth + 1, k, v, inside or marked) for k, v in node.items()
-            )
+            if paths:
+                stack.extend(
+                    (path + _step(k), path, depth + 1, k, v, inside or marked) for k, v in node.items()
+                )
+            else:
+                held = inside or marked
+                stack.extend([("", "", depth + 1, k, v, held) for k, v in node.items()])
         elif kind == "array":
             stack.extend(
-                (f"{path}[{i}]", path, depth + 1, None, v, inside) for i, v in enumerate(node)
+                (f"{path}[{i}]" if paths else "", path, depth + 1, None, v, inside) for i, v in enumerate(node)
             )
 
 
-def _walk_batches(json_index: int, id_schema, keys, kinds, size: int = 8192):
+def _walk_batches(json_index: int, id_schema, keys, kinds, fields, size: int = 8192):
     def run(batches):
         import pyarrow as pa
 
-        names = [name for name, _ in id_schema] + [name for name, _ in NODE_FIELDS]
+        names = [name for name, _ in id_schema] + list(fields)
         arrow = {
             "string": pa.string(),
             "int": pa.int32(),
             "bigint": pa.int64(),
             "boolean": pa.bool_(),
         }
-        types = [t for _, t in id_schema] + [arrow[t] for _, t in NODE_FIELDS]
+        of = dict(NODE_FIELDS)
+        types = [t for _, t in id_schema] + [arrow[of[name]] for name in fields]
+        all_names = [name for name, _ in NODE_FIELDS]
+        places = [*range(json_index), *(json_index + all_names.index(name) for name in fields)]
+        paths = "path" in fields or "up" in fields
         buffer = []
 
         def flush():
             batch = pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in buffer], type=t) for i, t in enumerate(types)],
+                [pa.array([r[i] for r in buffer], type=t) for i, t in zip(places, types)],
                 names=names,
             )
             buffer.clear()
@@ -120,7 +131,7 @@ def _walk_batches(json_index: int, id_schema, keys, kinds, size: int = 8192):
                 if text is None:
                     continue
                 try:
-                    found = _nodes(strict_loads(text))
+                    found = _nodes(strict_loads(text), paths)
                     for node in found:
                         if keys is not None and node[3] not in keys:
                             continue
@@ -138,12 +149,15 @@ def _walk_batches(json_index: int, id_schema, keys, kinds, size: int = 8192):
     return run
 
 
-def walk_json(df: DataFrame, ids: list[str], json_col: str, *, keys=None, kinds=None) -> DataFrame:
+def walk_json(
+    df: DataFrame, ids: list[str], json_col: str, *, keys=None, kinds=None, fields=None
+) -> DataFrame:
     """One row per node of every JSON text: path, depth, key, kind, text, members.
 
     `keys` and `kinds` keep only nodes under such keys and of such kinds. A
     text that names none of the keys is dropped before it reaches Python; one
-    with an escape may spell a key differently and is always walked.
+    with an escape may spell a key differently and is always walked. `fields`
+    names the columns that are wanted; others are neither made nor sent.
 
     `kind` is object, array, string, number, boolean, null, capture (a bounded
     capture marker, whose text is the list of its length, digest and scope) or
@@ -160,8 +174,9 @@ def walk_json(df: DataFrame, ids: list[str], json_col: str, *, keys=None, kinds=
             named = named | F.contains(text, F.lit(f'"{key}"'))
         source = source.filter(named)
     id_schema = [(f.name, to_arrow_type(f.dataType)) for f in source.schema.fields[: len(ids)]]
-    fields = list(source.schema.fields[: len(ids)]) + [
-        T.StructField(name, T._parse_datatype_string(kind)) for name, kind in NODE_FIELDS
+    wanted = [name for name, _ in NODE_FIELDS if fields is None or name in fields]
+    shape = list(source.schema.fields[: len(ids)]) + [
+        T.StructField(name, T._parse_datatype_string(dict(NODE_FIELDS)[name])) for name in wanted
     ]
     return source.mapInArrow(
         _walk_batches(
@@ -169,11 +184,54 @@ def walk_json(df: DataFrame, ids: list[str], json_col: str, *, keys=None, kinds=
             id_schema,
             None if keys is None else frozenset(keys),
             None if kinds is None else frozenset(kinds),
+            wanted,
         ),
-        T.StructType(fields),
+        T.StructType(shape),
     )
 
 
+def json_sizes(df: DataFrame, ids: list[str], json_col: str) -> DataFrame:
+    """One row per JSON text: depth, members of its largest object, longest array, and whether it is valid.
+
+    The figures of the nodes that `walk_json` gives, taken where a text is walked, so
+    that a text sends one row and not one per node. A null text has no row.
+    """
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    source = df.select(*ids, json_col)
+    sizes = T._parse_datatype_string("max_depth bigint, max_members bigint, max_array bigint, parsed boolean")
+    shape = T.StructType([*source.schema.fields[: len(ids)], *sizes.fields])
+    arrow = to_arrow_schema(shape)
+
+    def one(text):
+        depth = members = items = 0
+        try:
+            for _, _, level, _, kind, _, size, _ in _nodes(strict_loads(text), paths=False):
+                if level > depth:
+                    depth = level
+                if size is not None:
+                    if kind == "object":
+                        members = max(members, size)
+                    elif kind == "array":
+                        items = max(items, size)
+        except (ValueError, RecursionError):
+            return depth, members, items, False
+        return depth, members, items, True
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            batch = batch.filter(batch.column(len(ids)).is_valid())
+            found = [one(text) for text in batch.column(len(ids)).to_pylist()]
+            columns = [pa.array([f[i] for f in found], type=arrow.field(len(ids) + i).type) for i in range(4)]
+            own = [batch.column(i).cast(arrow.field(i).type) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([*own, *columns], schema=arrow)
+
+    return source.mapInArrow(run, shape)
+
+
 def settled_json(col: Column) -> Column:
     """Canonical text of the texts that columns alone can settle; null for all others.
 

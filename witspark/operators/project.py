@@ -179,7 +179,7 @@ def filtered_timeline(df: DataFrame, *, ids=("event_id",), payload="payload", **
                 escaped = json.dumps(filters[name], ensure_ascii=False)[1:-1]
                 # An escape may spell it otherwise, so a text with a backslash is walked too.
                 df = df.filter(F.col(payload).contains(escaped) | F.col(payload).contains("\\"))
-        nodes = walk_json(df, list(ids), payload, kinds=("string",))
+        nodes = walk_json(df, list(ids), payload, kinds=("string",), fields=("key", "text"))
         hits = nodes.groupBy(*ids).agg(*[F.max(d).alias(f"hit_{i}") for i, d in enumerate(deep)])
         for i in range(len(deep)):
             hits = hits.filter(F.col(f"hit_{i}"))
@@ -190,14 +190,14 @@ def filtered_timeline(df: DataFrame, *, ids=("event_id",), payload="payload", **
 def key_values(df: DataFrame, ids, payload: str, keys) -> DataFrame:
     """Distinct (ids, value) of all strings at any depth under one of the keys."""
 
-    nodes = walk_json(df, list(ids), payload, keys=keys, kinds=("string",))
+    nodes = walk_json(df, list(ids), payload, keys=keys, kinds=("string",), fields=("text",))
     return nodes.select(*ids, F.col("text").alias("value")).distinct()
 
 
 def string_values(df: DataFrame, ids, payload: str) -> DataFrame:
     """Distinct (ids, value) of all string leaves."""
 
-    nodes = walk_json(df, list(ids), payload, kinds=("string",))
+    nodes = walk_json(df, list(ids), payload, kinds=("string",), fields=("text",))
     return nodes.select(*ids, F.col("text").alias("value")).distinct()
 
 
@@ -221,7 +221,8 @@ def summary_values(df: DataFrame, ids, payload: str, keys: dict[str, tuple]) ->
     """
 
     wanted = sorted({k for ks in keys.values() for k in ks})
-    nodes = walk_json(df, list(ids), payload, keys=wanted, kinds=("string", "capture"))
+    shown = ("key", "kind", "text", "inside_capture")
+    nodes = walk_json(df, list(ids), payload, keys=wanted, kinds=("string", "capture"), fields=shown)
     nodes = nodes.filter(~F.col("inside_capture"))
     fields = F.array(*[F.when(F.col("key").isin(*ks), F.lit(f)) for f, ks in keys.items()])
     value = F.when(F.col("kind") == "capture", _capture_text()).otherwise(F.col("text"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from witspark import schema as S
-from witspark.functions.jsonwalk import canonical_text, strict_loads, walk_json
+from witspark.functions.jsonwalk import canonical_text, json_sizes, strict_loads
 from witspark.functions.times import canonical_ts, to_utc
 
 
@@ -249,17 +249,9 @@ def check_causality(df: DataFrame) -> DataFrame:
 def json_limits(df: DataFrame, ids: list[str], payload: str = "payload") -> DataFrame:
     """Depth, largest object and longest array per payload, and whether all are in bounds."""
 
-    nodes = walk_json(df, ids, payload)
-    known = F.col("kind") != "invalid"
-    sizes = nodes.groupBy(*ids).agg(
-        F.max("depth").cast("bigint").alias("max_depth"),
-        F.coalesce(F.max(F.when(F.col("kind") == "object", F.col("members"))), F.lit(0)).alias(
-            "max_members"
-        ),
-        F.coalesce(F.max(F.when(F.col("kind") == "array", F.col("members"))), F.lit(0)).alias(
-            "max_array"
-        ),
-        F.every(known).alias("parsed"),
+    sizes = json_sizes(df, ids, payload).groupBy(*ids).agg(
+        *[F.max(name).alias(name) for name in ("max_depth", "max_members", "max_array")],
+        F.every("parsed").alias("parsed"),
     )
     return sizes.select(
         *ids,
