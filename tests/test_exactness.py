@@ -159,6 +159,29 @@ def test_case_files_follow_the_rows_of_a_case(spark, tmp_path):
     assert sum(f["size_bytes"] for f in files if f["part"] == "events") == sum(len(str(i)) + 1 for i in range(1000))
 
 
+def test_many_small_cases_are_written_and_listed_by_as_many_tasks_as_their_files_need(spark, tmp_path):
+    from witspark.sources import journal
+
+    df = spark.range(400).select(
+        F.concat(F.lit("case_"), F.col("id") % 200).alias("run_id"),
+        F.timestamp_seconds("id").alias("occurred_at"),
+        F.col("id").alias("sequence"),
+        F.col("id").cast("string").alias("event_id"),
+        F.col("id").cast("string").alias("line"),
+    )
+    summary = df.groupBy("run_id").agg(F.lit("n").alias("field"), F.lit("v").alias("value"), F.count(F.lit(1)).alias("events"))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    files = journal.write_case_bundles(df, f"{tmp_path}/out", summary).collect()
+    assert spark.conf.get(name) == before
+    with journal.listing(spark):
+        assert int(spark.conf.get(name)) <= journal.LISTING_TASKS
+    assert len(files) == 400 and len({(f["case_id"], f["part"]) for f in files}) == 400
+    for part in ("events", "summary"):
+        tasks = {f["path"].rsplit("/", 1)[1][:10] for f in files if f["part"] == part}
+        assert 2 <= len(tasks) <= 200 // journal.FILES_PER_TASK
+
+
 def test_late_matches_are_suppressed_in_event_order(spark, tmp_path):
     ops.use_rocksdb(spark)
     second = 1_000_000

@@ -13,16 +13,16 @@ from witspark.plans.integrity import CHAIN, chained
 from witspark.plans.lineage import shared_folder
 from witspark.plans.projection import SEEN
 from witspark.plans.registry import query
-from witspark.sources.journal import read_journal, scan_artifacts, write_ndjson
+from witspark.sources.journal import dealt_by_files, read_journal, scan_artifacts, write_ndjson
 from witspark.sources.tables import event_line, flat_events, table
 
 
 def journal_files(spark, sf_dir):
     """All journals written as one newline-delimited file each."""
     folder = f"{shared_folder(spark)}/journals-{uuid.uuid4().hex[:12]}"
+    rows = chained(spark, sf_dir)
     (
-        chained(spark, sf_dir)
-        .repartition("journal_id")
+        dealt_by_files(rows, rows.select("journal_id").distinct().count(), "journal_id")
         .sortWithinPartitions("journal_id", "record_number")
         .select("journal_id", F.col("line").alias("value"))
         .write.partitionBy("journal_id")
