@@ -1,5 +1,6 @@
 """Cases that once lost, invented or mixed up results."""
 
+import json
 import random
 import time
 
@@ -132,6 +133,46 @@ def test_dotted_keys_are_members_of_their_own(spark):
     assert diff('{"a.b":1,"a":{"b":2}}', '{"a.b":1,"a":{"b":3}}') == [("$.a.b", "value")]
 
 
+def test_two_reports_compare_as_their_nodes_do():
+    rng = random.Random(5)
+
+    def value(depth=0):
+        draw = rng.random()
+        if depth < 3 and draw < 0.35:
+            return {rng.choice(["a", "b", "c.d", "", "marker"]): value(depth + 1) for _ in range(rng.randrange(4))}
+        if depth < 3 and draw < 0.55:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return rng.choice([0, 1, 1.0, 0.0, -0.0, True, None, "x", "1", "", "witspark.capture.v1", "\\"])
+
+    seen = 0
+    for _ in range(4000):
+        first = {"a": value(), "b": value()} if rng.random() < 0.7 else value()
+        second = json.loads(json.dumps(first))
+        if isinstance(second, dict):
+            second[rng.choice("abc")] = value()
+        texts = [json.dumps(v) for v in (first, second if rng.random() < 0.7 else value())]
+        if rng.random() < 0.05:
+            texts[rng.randrange(2)] = rng.choice(["{", '{"a":1,"a":2}', "[NaN]", "1e400"])
+        found = report._pair_differences(*texts)
+        nodes = report._differences(*[report._node_counts([t]) for t in texts])
+        seen += found is not None
+        assert found is None or sorted(found) == sorted(nodes), texts
+    assert seen > 2000
+
+
+def test_reports_go_through_one_shuffle_and_their_nodes_through_none(spark):
+    schema = "id int, report string"
+    left = [(1, '{"a":1,"b":{"c":1}}'), (2, '{"a":1}'), (2, '{"a":1}'), (3, '{"a":1}'), (None, '{"a":1}'), (4, None)]
+    right = [(1, '{"a":2,"d":[]}'), (2, '{"a":2}'), (2, '{"a":1}'), (None, '{"a":2}'), (4, '{"a":2}'), (5, "{}")]
+    found = report.json_diff(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    # Two reports on each side meet in four ways, and so do the nodes that hold what differs.
+    assert sorted((r["id"], r["path"], r["change"]) for r in found.collect()) == sorted(
+        [(1, "$.a", "value"), (1, "$.b", "removed"), (1, "$.d", "added")] + [(2, "$.a", "value")] * 8
+    )
+
+
 def test_no_text_of_an_event_is_an_export_slot():
     assert "@event" != export._slot("event") and export._slot("event").startswith("@event-")
     assert export._slot("event") == export._slot("event") != export._slot("objects")

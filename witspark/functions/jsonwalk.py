@@ -53,7 +53,7 @@ def _kind(value) -> str:
     return "null" if value is None else "number"
 
 
-def _step(key: str) -> str:
+def path_step(key: str) -> str:
     """A member in a path; a key that would read as more than one step is quoted."""
 
     if key == "" or any(c in key for c in '.[]"'):
@@ -87,7 +87,7 @@ def _nodes(value, paths: bool = True):
         if kind == "object":
             if paths:
                 stack.extend(
-                    (path + _step(k), path, depth + 1, k, v, inside or marked) for k, v in node.items()
+                    (path + path_step(k), path, depth + 1, k, v, inside or marked) for k, v in node.items()
                 )
             else:
                 held = inside or marked
@@ -98,6 +98,15 @@ def _nodes(value, paths: bool = True):
             )
 
 
+def json_nodes(text: str):
+    """The nodes that `walk_json` gives of one text."""
+
+    try:
+        yield from _nodes(strict_loads(text))
+    except (ValueError, RecursionError):
+        yield "$", "", 0, None, "invalid", None, None, False
+
+
 def _walk_batches(json_index: int, id_schema, keys, kinds, fields, size: int = 8192):
     def run(batches):
         import pyarrow as pa

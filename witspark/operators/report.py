@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from witspark.functions.digest import sha256_label, sorted_json
-from witspark.functions.jsonwalk import walk_json
+from witspark.functions.jsonwalk import CAPTURE_MARKER, json_nodes, path_step, strict_loads, walk_json
 from witspark.operators.ordered import in_order
 
 LIFECYCLE = (
@@ -331,55 +333,170 @@ def replay_equivalence(expected: DataFrame, actual: DataFrame, key, fields) -> D
     )
 
 
+def _differences(left: Counter, right: Counter) -> list:
+    """(path, change, copies) between the nodes of one id, as a join of nodes by path has them.
+
+    The counters hold (path, up, kind, text, members); several reports of one id give a
+    copy for each way in which their nodes, and those of the parent, meet.
+    """
+
+    sides: dict = {}
+    for side, counter in enumerate((left, right)):
+        for (path, up, *rest), copies in counter.items():
+            sides.setdefault((path, up), ([], []))[side].append((*rest, copies))
+    # Members of a shared parent object count; what hangs under a missing or
+    # retyped parent is told by the parent's own row.
+    shared: Counter = Counter()
+    for (path, _), (a, b) in sides.items():
+        shared[path] += math.prod(sum(n for kind, _, _, n in own if kind == "object") for own in (a, b))
+    out = []
+    for (path, up), (a, b) in sides.items():
+        parents = shared[up]
+        if not a or not b:
+            if parents:
+                change = "removed" if a else "added"
+                out.append((path, change, sum(node[3] for node in a or b) * parents))
+            continue
+        for kind, text, members, count in a:
+            for other, other_text, other_members, other_count in b:
+                copies = count * other_count * max(parents, 1)
+                if kind != other:
+                    out.append((path, "type", copies))
+                elif kind == "array":
+                    if members != other_members:
+                        out.append((f"{path}.length", "length", copies))
+                elif kind != "object" and text != other_text:
+                    out.append((path, "value", copies))
+    return out
+
+
+def _pair_differences(left: str, right: str) -> list | None:
+    """What `_differences` tells of two reports, without their nodes; None for texts it is left to.
+
+    Only members that differ get a path. Captures and texts that may spell one with
+    escapes, and invalid texts, are left to the nodes.
+    """
+
+    if left == right:
+        return []
+    if any("\\" in text or CAPTURE_MARKER in text for text in (left, right)):
+        return None
+    try:
+        stack = [("$", strict_loads(left), strict_loads(right))]
+    except (ValueError, RecursionError):
+        return None
+    out = []
+    while stack:
+        path, a, b = stack.pop()
+        if type(a) is type(b) is dict:
+            for key, value in a.items():
+                if key not in b:
+                    out.append((path + path_step(key), "removed", 1))
+                elif type(value) in (dict, list) or value is not b[key]:
+                    stack.append((path + path_step(key), value, b[key]))
+            out.extend((path + path_step(key), "added", 1) for key in b if key not in a)
+        elif type(a) is type(b) is list:
+            if len(a) != len(b):
+                out.append((f"{path}.length", "length", 1))
+            stack.extend((f"{path}[{i}]", x, y) for i, (x, y) in enumerate(zip(a, b)))
+        elif type(a) is type(b):
+            # 0.0 and -0.0 are equal values with different texts.
+            if a != b or type(a) is float and repr(a) != repr(b):
+                out.append((path, "value", 1))
+        elif {type(a), type(b)} == {int, float}:
+            out.append((path, "value", 1))
+        else:
+            out.append((path, "type", 1))
+    return out
+
+
+def _node_counts(texts) -> Counter:
+    found: Counter = Counter()
+    for text in texts:
+        for path, up, _, _, kind, shown, members, _ in json_nodes(text):
+            found[path, up, "object" if kind == "capture" else kind, shown, members] += 1
+    return found
+
+
+def _diff_groups(width: int, schema, size: int = 8192):
+    """mapInArrow function: rows of (ids, side, report) sorted by id to (ids, path, change)."""
+
+    def same(one, other):
+        return one == other or all(x == y or (x != x and y != y) for x, y in zip(one, other))
+
+    def run(batches):
+        import pyarrow as pa
+
+        buffer = []
+
+        def flush():
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in buffer], type=f.type) for i, f in enumerate(schema)], schema=schema
+            )
+            buffer.clear()
+            return batch
+
+        def close(ids, single, counts):
+            # A report without a counterpart has no shared parent and tells nothing.
+            if counts is None:
+                if single[0] is None or single[1] is None:
+                    return
+                found = _pair_differences(*single)
+                if found is None:
+                    found = _differences(*[_node_counts([text]) for text in single])
+            else:
+                found = _differences(*counts) if counts[0] and counts[1] else ()
+            for path, change, copies in found:
+                for _ in range(copies):
+                    buffer.append((*ids, path, change))
+                    if len(buffer) >= size:
+                        yield flush()
+
+        current, single, counts = None, [None, None], None
+        for batch in batches:
+            for *ids, side, text in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
+                if ids != current and (current is None or not same(ids, current)):
+                    yield from close(current, single, counts)
+                    current, single, counts = ids, [None, None], None
+                if counts is not None:
+                    counts[side].update(_node_counts([text]))
+                elif single[side] is None:
+                    single[side] = text
+                else:
+                    # Several reports of one id are held as the different nodes that they have.
+                    counts = [_node_counts([t] if t is not None else []) for t in single]
+                    counts[side].update(_node_counts([text]))
+        yield from close(current, single, counts)
+        if buffer:
+            yield flush()
+
+    return run
+
+
 def json_diff(left: DataFrame, right: DataFrame, ids, col: str = "report") -> DataFrame:
     """Paths at which two JSON reports of the same id differ.
 
     One row per added or removed member (its own subtree is not listed again),
-    changed value, changed type, or changed list length.
+    changed value, changed type, or changed list length. The texts go through one
+    shuffle by id and their nodes through none; a task compares one id at a time
+    and holds the different nodes of that id.
     """
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     ids = list(ids)
 
-    def nodes(df, side):
-        walked = walk_json(df, ids, col)
-        return walked.select(
-            *ids,
-            "path",
-            "up",
-            F.col("key").alias(f"{side}_key"),
-            F.when(F.col("kind") == "capture", "object").otherwise(F.col("kind")).alias(f"{side}_kind"),
-            F.col("text").alias(f"{side}_text"),
-            F.col("members").alias(f"{side}_members"),
-        )
+    def side(df, number):
+        # A null id equals none, and a null text has no nodes.
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*ids, col]])
+        return df.filter(known).select(*ids, F.lit(number).alias("__side"), F.col(col).alias("__report"))
 
-    a, b = nodes(left, "a"), nodes(right, "b")
-    joined = a.join(b, [*ids, "path", "up"], "full")
-    # Members of a shared parent object count; what hangs under a missing or
-    # retyped parent is told by the parent's own row.
-    parents = joined.filter(
-        F.col("a_kind").eqNullSafe(F.col("b_kind")) & (F.col("a_kind") == "object")
-    ).select(*ids, F.col("path").alias("up"), F.lit(True).alias("shared_parent"))
-    rows = joined.join(parents, [*ids, "up"], "left")
-    both = F.col("a_kind").isNotNull() & F.col("b_kind").isNotNull()
-    same_kind = F.col("a_kind").eqNullSafe(F.col("b_kind"))
-    scalar = ~F.col("a_kind").isin("object", "array")
-    named = F.coalesce("shared_parent", F.lit(False))
-    change = (
-        F.when(F.col("a_kind").isNull(), F.when(named, "added"))
-        .when(F.col("b_kind").isNull(), F.when(named, "removed"))
-        .when(both & ~same_kind, "type")
-        .when(
-            (F.col("a_kind") == "array") & (F.col("a_members") != F.col("b_members")), "length"
-        )
-        .when(both & scalar & ~F.col("a_text").eqNullSafe(F.col("b_text")), "value")
-    )
-    return rows.withColumn("change", change).filter("change IS NOT NULL").select(
-        *ids,
-        F.when(F.col("change") == "length", F.concat("path", F.lit(".length")))
-        .otherwise(F.col("path"))
-        .alias("path"),
-        "change",
+    both = side(left, 0).unionByName(side(right, 1))
+    shape = T.StructType(
+        [*both.schema.fields[: len(ids)], T.StructField("path", T.StringType()), T.StructField("change", T.StringType())]
     )
+    dealt = both.repartition(*ids).sortWithinPartitions(*ids, "__side")
+    return dealt.mapInArrow(_diff_groups(len(ids), to_arrow_schema(shape)), shape)
 
 
 def input_drift(left: DataFrame, right: DataFrame) -> DataFrame:
