@@ -204,6 +204,19 @@ def test_signatures_are_packed_small_and_read_back(rows, per_signature):
     assert found == expected and held == per_signature * len(sig)
 
 
+def test_nodes_are_named_in_few_buckets():
+    # At 30 GB a batch names its nodes once for each of 2,048 buckets, not of 4,096.
+    assert jaccard.bucket_bits(30 * 10**9) <= 11
+    random_ = random.Random(7)
+    bodies = [" ".join(str(random_.randrange(10**6)) for _ in range(60)).encode() for _ in range(256)]
+    cols = {"id": list(range(256)), "body": bodies}
+    held = [
+        sum(len(b) for b in jaccard._map_side(bits, 5, Fraction(4, 5))(cols)["packed"] if b)
+        for bits in (jaccard.bucket_bits(30 * 10**9), 12)
+    ]
+    assert held[0] < held[1]
+
+
 @pytest.mark.parametrize("rate, least", [(0.02, 0.97), (0.05, 0.95), (0.1, 0.85)])
 def test_recall_of_edited_items(spark, sf_dir, rate, least):
     random_ = random.Random(3)

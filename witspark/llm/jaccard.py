@@ -42,7 +42,9 @@ from witspark.llm.components import connected
 from witspark.llm.words import mix, word_hashes
 from witspark.plans.lineage import broadcast_if_small, cut
 
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for one bucket of signatures. In each bucket a batch names its nodes
+#: anew, so fewer and larger buckets make a smaller shuffle.
+BUCKET_BYTES = 16 << 20
 #: Bytes of a signature that go through the shuffle, besides the bits of its bucket.
 TAIL = 5
 SKETCH = 1024
@@ -161,6 +163,12 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
+def bucket_bits(total: int) -> int:
+    """Leading bits of a signature that name its bucket, for so many bytes of text."""
+
+    return max(3, (total // BUCKET_BYTES).bit_length())
+
+
 def _map_side(bits: int, size: int, threshold: Fraction):
     """Rows of one batch: its documents, and its signatures packed by bucket."""
 
@@ -365,7 +373,7 @@ def link(
     prepare(spark)
     source = texts(df, id_col, text_col)
     total = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    bits = max(3, (total // BUCKET_BYTES).bit_length())
+    bits = bucket_bits(total)
     kind = id_type(df, id_col)
     rows = map_rows(
         source,
