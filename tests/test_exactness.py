@@ -173,6 +173,17 @@ def test_reports_go_through_one_shuffle_and_their_nodes_through_none(spark):
     )
 
 
+def test_odd_numbers_are_found_behind_one_class(spark):
+    from witspark.operators.validate import _ODD_NUMBER
+
+    odd = ['":1e5', '[1E', 'x,-0.00001', '":12345678901234567', '[-1.5e', '":-0.0000', ',,1..e', '[1e5"', '\n[1e']
+    even = [':1e5', '":1234567890123456', '["1e5"', '":e5', '-0.0000', "12:00:00.5"]
+    df = spark.createDataFrame([(t,) for t in odd + even], "line string")
+    assert [r[0] for r in df.select(F.col("line").rlike(_ODD_NUMBER)).collect()] == [True] * len(odd) + [False] * len(even)
+    # A class, not an alternation, is tried at every place of a line.
+    assert _ODD_NUMBER.startswith("[:,")
+
+
 def test_no_text_of_an_event_is_an_export_slot():
     assert "@event" != export._slot("event") and export._slot("event").startswith("@event-")
     assert export._slot("event") == export._slot("event") != export._slot("objects")

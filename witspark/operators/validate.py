@@ -28,7 +28,8 @@ _CANONICAL = (
 )
 # Numbers whose spelling VARIANT may change: more than fifteen digits, very
 # small, or with an exponent. All others print as they were written.
-_ODD_NUMBER = r'(?:":|,|\[)-?(?:[0-9.]{17,}|0\.0000|[0-9.]+[eE])'
+# One class comes first, so that most places of a text are passed at once.
+_ODD_NUMBER = r'[:,\[](?<=":|,|\[)-?(?:[0-9.]{17,}|0\.0000|[0-9.]++[eE])'
 _TEXTS = (
     "event_id",
     "event_type",
