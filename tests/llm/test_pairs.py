@@ -332,3 +332,51 @@ def test_a_text_without_an_id_links_others(spark):
     rows = [(5, last), (7, first), (None, " ".join(words)), (None, "alone without an id and unlike all others"), (9, "q")]
     found = jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(((r["id"], r["component"]) for r in found), key=str) == [(5, 5), (7, 5), (9, 9), (None, 5), (None, None)]
+
+
+def test_bands_hold_every_similar_pair_with_few_signatures():
+    """Any two sizes within the threshold share a band whose k covers them."""
+
+    t = Fraction(4, 5)
+    bands = jaccard.Bands(t)
+    sizes = np.arange(1, 1500)
+    first, last = bands.of(sizes)
+    for small in range(1, 1000):
+        for large in {small, small * 9 // 8, int(small / t)}:
+            shared = range(max(first[small - 1], first[large - 1]), min(last[small - 1], last[large - 1]) + 1)
+            most = int((small + large) * (1 - t) / (1 + t))
+            assert any(bands.plan(band)[0] >= most for band in shared), (small, large)
+    signed = sum(bands.plan(band)[0] for a, b in zip(first, last) for band in range(a, b + 1))
+    # Bands of one ratio l / t, each set signing for two, came to 0.56 an element.
+    assert signed < 0.48 * sizes.sum()
+
+
+def test_wide_sketches_rule_out_long_sets_and_never_a_link():
+    rng = np.random.default_rng(8)
+    for both, differ in [(4000, 4000), (4000, 1000), (20_000, 20_000), (1100, 1), (520, 130), (1000, 30)]:
+        values = rng.integers(0, 1 << 62, both + differ).astype(np.uint64)
+        a, b = values[: both + differ // 2], np.r_[values[:both], values[both + differ // 2 :]]
+        if (both, differ) == (1000, 30):
+            a, b = values, values[:1000]  # 4,096 places and 2,048
+        least = jaccard._least_difference(jaccard._wide(a), jaccard._wide(b))
+        assert least <= len(np.setxor1d(a, b))
+        alike = 5 * both >= 4 * (both + differ)
+        assert alike or least * 9 > len(a) + len(b)
+    assert jaccard._wide(values[:512]) is None and len(jaccard._wide(values[:513])) == 256
+
+
+def test_pairs_that_wide_sketches_rule_out_are_left_out(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+    sets = [base, np.r_[base[:4900], rng.integers(0, 1 << 62, 100).astype(np.uint64)]]
+    sets += [np.r_[base[:2000], rng.integers(0, 1 << 62, 3000).astype(np.uint64)], base[:300], base[:310]]
+    told = jaccard._sketches(list(range(5)), sets)
+    sketches = spark.createDataFrame(
+        list(zip(*told.values())), "node bigint, n bigint, sketch array<bigint>, wide binary"
+    )
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a + 1, 5)], "a bigint, b bigint")
+    # The narrow sketch allows the long pairs that are unlike, as its places are full.
+    narrow = np.array(told["sketch"], "<i8")
+    assert np.bitwise_count((narrow[0] ^ narrow[2]).view("<u8")).sum() * 9 <= 10_000
+    left = {(r["a"], r["b"]) for r in jaccard._unlike_left_out(pairs, sketches, Fraction(4, 5)).collect()}
+    assert left == {(0, 1), (3, 4)} | {(a, b) for a in range(3) for b in (3, 4)}

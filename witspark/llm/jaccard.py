@@ -4,10 +4,10 @@ A document's set are its distinct word n-grams, as 64-bit hashes. Sets of equal
 content are one node (a 64-bit digest of the set; two of n different sets share
 one with a chance of n * n / 2**65), so copies meet before any pair is looked at.
 
-Sizes are cut into bands with r = floor(l / threshold), so that similar sets lie in
-the same band or in adjacent ones; a set signs for its own band and for the next.
-Similar sets of one band differ in at most k = 2 r (1 - t) / (1 + t) elements. The
-feature domain is hashed into n1 partitions of three parts each. With
+Similar pairs are dealt to bands by the size of their smaller set; a set signs for every
+band in which it may be the smaller or the larger one. With sizes of at most l and
+r = floor(l / t), the pairs of a band differ in at most k = (l + r) (1 - t) / (1 + t)
+elements. The feature domain is hashed into n1 partitions of three parts each. With
 n1 = floor(k / 2) + 1 + spare, at least spare + 1 partitions of a similar pair
 differ in at most one element; every subset of two of the three parts is
 enumerated as a signature, and one of them is equal. Signatures of empty parts are
@@ -20,9 +20,11 @@ that several nodes share, as groups. Of each group first the pairs with its
 smallest node are taken, then, as components are known, those pairs of a group
 whose nodes are still in different components. A parity sketch rules most out
 (each differing element flips one of `SKETCH` bits, so the number of different bits
-never exceeds the true difference); the rest is verified by the exact Jaccard of
-the sets. Groups are never expanded to pairs within a
-component.
+never exceeds the true difference). That many bits fill up with the differences of long
+sets, so what is left of these is held against sketches that grow with the set; the rest
+is verified by the exact Jaccard of the sets. Sketches are kept of all nodes in groups,
+sets only of those in a pair that no sketch rules out. Groups are never expanded to
+pairs within a component.
 
 Defined cases: null, empty and blank texts have no n-grams and are linked with
 nothing; with fewer words than `size` the whole sequence is one n-gram; repeated
@@ -84,39 +86,49 @@ def digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Bands:
-    """Bands of set sizes and the partitions of each."""
+    """Bands of pairs by the size of their smaller set, and the partitions of each.
+
+    The smaller set of band j has `low[j]` to `low[j + 1]` - 1 elements, the larger at
+    most `high[j]`.
+    """
 
     def __init__(self, threshold: Fraction):
         self.threshold = threshold
-        self.low, self.high = [1], [int(1 / threshold)]
+        # Wider bands are fewer to sign for, but let k grow beyond what a small set of the
+        # band needs; here it is at most 1 / t ** 2 of that.
+        self.step = 2 / (threshold * (1 + threshold))
+        self.low, self.high, self.plans = [1], [], []
 
     def grow(self, most: int) -> None:
-        while self.high[-1] < most:
-            self.low.append(self.high[-1] + 1)
-            self.high.append(max(self.low[-1], int(self.low[-1] / self.threshold)))
+        t = self.threshold
+        while self.low[-1] <= most:
+            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * self.step)))
+            smaller = self.low[-1] - 1
+            self.high.append(int(smaller / t))
+            k = int((smaller + self.high[-1]) * (1 - t) / (1 + t))
+            need = k // 2 + 1
+            spare = 1 + need // 8
+            self.plans.append((k, need + spare, spare))
+
+    def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last band of sets of these sizes."""
 
-    def of(self, sizes: np.ndarray) -> np.ndarray:
         self.grow(int(sizes.max(initial=1)))
-        return np.searchsorted(np.array(self.low), sizes, "right") - 1
+        return np.searchsorted(np.array(self.high), sizes), np.searchsorted(np.array(self.low), sizes, "right") - 1
 
     def plan(self, band: int) -> tuple[int, int, int]:
         """(k, partitions, spare) of a band."""
 
-        self.grow(self.high[-1] + 1 if band >= len(self.high) else 1)
-        t = self.threshold
-        k = int(2 * self.high[band] * (1 - t) / (1 + t))
-        need = k // 2 + 1
-        spare = 1 + need // 8
-        return k, need + spare, spare
+        return self.plans[band]
 
 
 def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) of all sets; bands in which k is 0 need none."""
 
     sizes = np.array([len(s) for s in sets], np.int64)
-    own = bands.of(sizes)
+    first, last = (x.tolist() for x in bands.of(sizes))
     out_sig, out_set = [], []
-    todo = [(i, b) for i in range(len(sets)) if sizes[i] for b in (own[i], own[i] + 1)]
+    todo = [(i, b) for i in range(len(sets)) if sizes[i] for b in range(first[i], last[i] + 1)]
     seed = 0
     while todo:
         plans = [bands.plan(b) for _, b in todo]
@@ -315,12 +327,38 @@ def shared(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return name.view(np.int64)[run[chosen]], node[chosen]
 
 
+def _parity(values: np.ndarray, places: int) -> np.ndarray:
+    """Parity of the elements at each of so many places, in bytes of eight.
+
+    With half as many places it is the exclusive or of its two halves.
+    """
+
+    place = (mix(values ^ np.uint64(0x5BF0A8B1)) % np.uint64(places)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=places) & 1).astype(np.uint8))
+
+
 def _sketch(values: np.ndarray) -> list[int]:
     """Parity of the elements at each of SKETCH places, as longs."""
 
-    place = (mix(values ^ np.uint64(0x5BF0A8B1)) % np.uint64(SKETCH)).astype(np.int64)
-    odd = (np.bincount(place, minlength=SKETCH) & 1).astype(np.uint8)
-    return np.packbits(odd).view("<i8").tolist()
+    return _parity(values, SKETCH).view("<i8").tolist()
+
+
+def _wide(values: np.ndarray) -> bytes | None:
+    """The sketch of a long set: two to four places an element; None if SKETCH are as many."""
+
+    places = 1 << (2 * len(values) - 1).bit_length()
+    return _parity(values, places).tobytes() if places > SKETCH else None
+
+
+def _least_difference(x: bytes, y: bytes) -> int:
+    """Elements in which the sets of two wide sketches differ at least."""
+
+    left, right = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(left) > len(right):
+        left, right = right, left
+    while len(right) > len(left):
+        right = right[: len(right) // 2] ^ right[len(right) // 2 :]
+    return int(np.bitwise_count(left ^ right).sum())
 
 
 def _possible(threshold: Fraction) -> Column:
@@ -334,13 +372,34 @@ def _possible(threshold: Fraction) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+def _unlike_left_out(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (`a`, `b`) without those of long sets that the wide sketches rule out."""
+
+    long = sketches.filter("wide is not null")
+    both = pairs.join(
+        long.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x")), "a", "left"
+    ).join(long.select(F.col("node").alias("b"), "n", F.col("wide").alias("y")), "b", "left")
+    t, u = threshold.numerator, threshold.denominator
+
+    def work(cols):
+        good = [
+            x is None or y is None or _least_difference(x, y) * (u + t) <= (u - t) * (m + n)
+            for m, n, x, y in zip(cols["m"], cols["n"], cols["x"], cols["y"])
+        ]
+        return {
+            "a": [v for v, g in zip(cols["a"], good) if g],
+            "b": [v for v, g in zip(cols["b"], good) if g],
+        }
+
+    return map_rows(both.select("a", "b", "m", "n", "x", "y"), "a bigint, b bigint", work)
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, sets_of, threshold: Fraction) -> DataFrame:
     """The pairs (`a`, `b`) whose sets have at least the threshold as Jaccard."""
 
-    pairs = cut(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # Only the sets of these pairs go through the joins.
-    own = sets.select("node", "packed").join(broadcast_if_small(nodes), "node", "left_semi")
+    pairs = cut(_unlike_left_out(pairs, sketches, threshold))
+    # Only the sets of these pairs are made and go through the joins.
+    own = cut(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     joined = pairs.join(own.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(
         own.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b"
     )
@@ -396,18 +455,44 @@ def link(
     )
 
 
-def _described(bodies: list[bytes], size: int) -> dict[str, list]:
-    """Node, length, set and sketch of each text that has n-grams."""
-
-    sets = [s for s in ngram_sets(bodies, size) if len(s)]
+def _sketches(nodes: list[int], sets: list[np.ndarray]) -> dict[str, list]:
     return {
-        "node": digests(sets).tolist() if sets else [],
+        "node": nodes,
         "n": [len(s) for s in sets],
-        "packed": [s.astype("<u8").tobytes() for s in sets],
         "sketch": [_sketch(s) for s in sets],
+        "wide": [_wide(s) for s in sets],
     }
 
 
+def _packed(nodes: list[int], sets: list[np.ndarray]) -> dict[str, list]:
+    return {"node": nodes, "packed": [s.astype("<u8").tobytes() for s in sets]}
+
+
+def _described(source: DataFrame, wanted: DataFrame, size: int, shape: str, describe) -> DataFrame:
+    """What `describe` tells of the nodes `wanted` (`node`, `id` of a row with its text)."""
+
+    named = wanted.filter("id is not null")
+    body = source.join(broadcast_if_small(named), "id").select("node", "body")
+
+    def work(cols):
+        sets = ngram_sets(cols["body"], size)
+        same = [i for i, (d, n) in enumerate(zip(digests(sets).tolist(), cols["node"])) if d == n]
+        return describe([cols["node"][i] for i in same], [sets[i] for i in same])
+
+    def anew(cols):
+        sets = [s for s in ngram_sets(cols["body"], size) if len(s)]
+        return describe(digests(sets).tolist() if sets else [], sets)
+
+    out = map_rows(body, shape, work)
+    nameless = wanted.filter("id is null").select("node")
+    if nameless.isEmpty():
+        return out
+    # No id leads to the text of these; the rows without an id name their nodes anew.
+    own = map_rows(source.filter("id is null").select("body"), shape, anew)
+    own = own.join(broadcast_if_small(nameless), "node", "left_semi").dropDuplicates(["node"])
+    return out.unionByName(own)
+
+
 def _labels(source, docs, groups, size, threshold) -> DataFrame:
     """`node`, `comp` of all nodes that have a link."""
 
@@ -415,43 +500,28 @@ def _labels(source, docs, groups, size, threshold) -> DataFrame:
     wanted = cut(
         docs.join(groups.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"))
     )
-    named = wanted.filter("id is not null")
-    body = source.join(broadcast_if_small(named), "id").select("node", "body")
+    sketches = cut(
+        _described(source, wanted, size, "node bigint, n bigint, sketch array<bigint>, wide binary", _sketches)
+    )
 
-    def work(cols):
-        sets = ngram_sets(cols["body"], size)
-        same = [d == n for d, n in zip(digests(sets).tolist(), cols["node"])]
-        kept = [i for i, s in enumerate(same) if s]
-        return {
-            "node": [cols["node"][i] for i in kept],
-            "n": [len(sets[i]) for i in kept],
-            "packed": [sets[i].astype("<u8").tobytes() for i in kept],
-            "sketch": [_sketch(sets[i]) for i in kept],
-        }
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        own = cut(wanted.join(broadcast_if_small(cut(nodes)), "node", "left_semi"))
+        return _described(source, own, size, "node bigint, packed binary", _packed)
 
-    shape = "node bigint, n bigint, packed binary, sketch array<bigint>"
-    sets = map_rows(body, shape, work)
-    nameless = wanted.filter("id is null").select("node")
-    if not nameless.isEmpty():
-        # No id leads to the text of these; the rows without an id name their nodes anew.
-        own = map_rows(source.filter("id is null").select("body"), shape, lambda cols: _described(cols["body"], size))
-        own = own.join(broadcast_if_small(nameless), "node", "left_semi").dropDuplicates(["node"])
-        sets = sets.unionByName(own)
-    sets = cut(sets)
     stars = (
         groups.join(groups.groupBy("gid").agg(F.min("node").alias("a")), "gid")
         .filter("node != a")
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
-    light = sets.select("node", "n", "sketch")
+    light = sketches.select("node", "n", "sketch")
     likely = (
         stars.join(light.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("l")), "a")
         .join(light.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("r")), "b")
         .filter(_possible(threshold))
         .select("a", "b")
     )
-    edges = cut(_verified(likely, sets, threshold).distinct())
+    edges = cut(_verified(likely, sketches, sets_of, threshold).distinct())
     labels = connected(edges)
     # What is left: nodes of one group in different components.
     placed = groups.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -466,7 +536,7 @@ def _labels(source, docs, groups, size, threshold) -> DataFrame:
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
     )
-    more = cut(_verified(rest.join(stars, ["a", "b"], "left_anti"), sets, threshold).distinct())
+    more = cut(_verified(rest.join(stars, ["a", "b"], "left_anti"), sketches, sets_of, threshold).distinct())
     if more.isEmpty():
         return labels
     return connected(edges.union(more))
