@@ -81,6 +81,39 @@ def test_index_gives_the_same_matches(spark, indexed):
     assert found == shown(detect.evaluate_rules(df, rules, resolver=RESOLVER))
 
 
+def test_events_of_many_ordered_rules_are_no_row_per_rule(spark, indexed, monkeypatch):
+    """The candidates, a row per rule and event, are not made; groups, repeats and windows are kept."""
+
+    r = random.Random(9)
+    rows = [(r.choice("ab"), r.choice("uv"), {"p": r.choice("xyz"), "q": r.choice([1, 2, True])}) for _ in range(120)]
+    df = events(spark, rows)
+    # Repeated ids at other times, and the same rows once more.
+    later = df.withColumn("us", F.col("us") + 130_000_000).withColumn("occurred_at", F.timestamp_micros("us"))
+    df = df.unionByName(later.filter("sequence % 3 > 0")).unionByName(df.filter("sequence % 5 = 0"))
+    rules = [
+        Rule(
+            f"r{n}\\'", "n", tuple(Stage(r.choice("ab"), {p: r.choice(EXPECTED)} if n % 4 else {}) for p in "pqp"[: 1 + n % 3]),
+            group_by=(("g",), ("g", "p"), ())[n % 3 if n % 2 else 0], deduplicate=n % 5 > 0,
+            within_seconds=3.0 if n % 7 == 0 else None,
+            **({"suppression_seconds": 4.0, "suppression_key": ("q",)} if n % 11 == 0 else {}),
+        )
+        for n in range(80)
+    ]
+    spark.conf.set("witspark.indexedStages", "1000000")
+    expected = shown(detect.evaluate_rules(df, rules, resolver=RESOLVER))
+    spark.conf.set("witspark.indexedStages", "1")
+
+    def refused(*args):
+        raise AssertionError("a row per rule and event")
+
+    monkeypatch.setattr(detect, "candidates", refused)
+    found = shown(detect.evaluate_rules(df, rules, resolver=RESOLVER))
+    assert found == expected and len(set(found)) < len(found)
+    for name, size in (("FLUSH_MATCHES", 3), ("FLUSH_EVENTS", 2)):
+        monkeypatch.setattr(f"witspark.operators.ruleindex.{name}", size)
+        assert shown(detect.evaluate_rules(df, rules, resolver=RESOLVER)) == expected
+
+
 def test_stages_beyond_one_mask_word(spark, indexed):
     rule = Rule("long", "long", tuple(Stage("a", {"k": i}) for i in range(70)), group_by=("g",))
     df = events(spark, [("a", "u", {"k": i}) for i in range(70)])

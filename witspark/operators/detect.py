@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from witspark.functions.payload import Resolver
 from witspark.functions.predicates import predicate
 from witspark.operators.ordered import in_order
-from witspark.operators.ruleindex import WORD, indexed_candidates
+from witspark.operators.ruleindex import WORD, fold_events, indexed_candidates, indexed_events
 from witspark.operators.rules import Rule
 from witspark.plans.lineage import cut, has_hot_group
 
@@ -63,6 +63,24 @@ def _bit(stage: int):
 INDEXED_STAGES = 64
 
 
+def _prepared(df: DataFrame, rules, resolver: Resolver):
+    """Events of the rules' types with each path looked up once, and a resolver over that."""
+
+    types = sorted({stage.event_type for rule in rules for stage in rule.stages})
+    paths = [p for rule in rules for stage in rule.stages for p in stage.where]
+    paths += [p for rule in rules for p in rule.group_by + rule.suppression_key]
+    return resolver.prepared(df.filter(F.col("event_type").isin(types)), paths)
+
+
+def _words(rules) -> int:
+    return 1 + max((len(rule.stages) - 1) // WORD for rule in rules)
+
+
+def _indexed(df: DataFrame, rules) -> bool:
+    least = int(df.sparkSession.conf.get("witspark.indexedStages", str(INDEXED_STAGES)))
+    return sum(len(rule.stages) for rule in rules) >= least
+
+
 def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFrame:
     """One row per (rule, event) with at least one matching stage.
 
@@ -71,15 +89,10 @@ def candidates(df: DataFrame, rules, resolver: Resolver | None = None) -> DataFr
     rules that have nothing to do with the event.
     """
 
-    resolver = resolver or Resolver()
-    types = sorted({stage.event_type for rule in rules for stage in rule.stages})
-    paths = [p for rule in rules for stage in rule.stages for p in stage.where]
-    paths += [p for rule in rules for p in rule.group_by + rule.suppression_key]
-    df, resolver = resolver.prepared(df.filter(F.col("event_type").isin(types)), paths)
+    df, resolver = _prepared(df, rules, resolver or Resolver())
     entries = []
-    words = 1 + max((len(rule.stages) - 1) // WORD for rule in rules)
-    least = int(df.sparkSession.conf.get("witspark.indexedStages", str(INDEXED_STAGES)))
-    if sum(len(rule.stages) for rule in rules) >= least:
+    words = _words(rules)
+    if _indexed(df, rules):
         return indexed_candidates(df, rules, resolver, words)
     for number, rule in enumerate(rules):
         skey = [resolver.text(p) for p in rule.suppression_key]
@@ -306,6 +319,22 @@ def _ordered_matches(hits: DataFrame, rules, may_be_hot: bool) -> DataFrame:
     return entered.mapInArrow(_fold_partitions(plans), MATCH_SCHEMA)
 
 
+def _indexed_matches(df: DataFrame, rules, resolver: Resolver) -> DataFrame:
+    """Matches of many ordered rules without repeats where a rule says so: an event is one row.
+
+    `rule_no` counts in the given rules. Groups must not be hot: one is matched in one task.
+    """
+
+    prepared, ready = _prepared(df, rules, resolver)
+    rows, index = indexed_events(prepared, rules, ready)
+    keys, order = ["place", "group_key"], ["us", "sequence", "event_id"]
+    # The rows are few and short for the matches that they make: their bytes say little of the work.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
+    names = [f.split()[0] for f in MATCH_SCHEMA.split(", ")]
+    return spread.mapInArrow(fold_events(index, rules, _words(rules), names), MATCH_SCHEMA)
+
+
 def _free_for(stage: int, taken):
     def free(event):
         return (event["stage"] == stage) & ~F.exists(
@@ -461,31 +490,45 @@ def evaluate_rules(
 
     rules = [r for r in rules if r.stages and (rule_ids is None or r.rule_id in rule_ids)]
     resolver = resolver or Resolver()
-    hits = candidates(df, rules, resolver)
     ordered = [i for i, r in enumerate(rules) if r.ordered]
-    found = []
+    found, whole = [], []
     if ordered:
-        found.append(
-            _ordered_matches(
-                hits if len(ordered) == len(rules) else hits.filter(F.col("rule_no").isin(ordered)),
-                rules,
-                _may_be_hot(df, [rules[i] for i in ordered], resolver),
-            )
-        )
+        chosen = [rules[i] for i in ordered]
+        hot = _may_be_hot(df, chosen, resolver)
+        indexed = _indexed(df, rules) and not hot
+    # Most of the rows of many rules, and their part of the plan, are only made where needed.
+    hits = candidates(df, rules, resolver) if len(ordered) < len(rules) or not indexed else None
+    if ordered:
+        if indexed:
+            one = _indexed_matches(df, chosen, resolver)
+            if len(ordered) < len(rules):
+                place = F.element_at(F.array(*[F.lit(i) for i in ordered]), F.col("rule_no") + 1)
+                one = one.withColumn("rule_no", place)
+            whole.append(one)
+        else:
+            own = hits if len(ordered) == len(rules) else hits.filter(F.col("rule_no").isin(ordered))
+            found.append(_ordered_matches(own, rules, hot))
     found += [_unordered_matches(hits, i, r) for i, r in enumerate(rules) if not r.ordered]
-    matches = found[0]
-    for other in found[1:]:
+    if found:
+        matches = found[0]
+        for other in found[1:]:
+            matches = matches.unionByName(other)
+        unique = [i for i, r in enumerate(rules) if r.deduplicate]
+        if len(unique) == len(rules):
+            matches = deduplicate(matches)
+        elif unique:
+            kept = F.col("rule_no").isin(unique)
+            matches = deduplicate(matches.filter(kept)).unionByName(matches.filter(~kept))
+        whole.append(matches)
+    matches = whole[0]
+    for other in whole[1:]:
         matches = matches.unionByName(other)
-    unique = [i for i, r in enumerate(rules) if r.deduplicate]
-    if len(unique) == len(rules):
-        matches = deduplicate(matches)
-    elif unique:
-        kept = F.col("rule_no").isin(unique)
-        matches = deduplicate(matches.filter(kept)).unionByName(matches.filter(~kept))
     matches = suppress(matches, rules)
 
     def constant(values):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rule_no") + 1)
+        # One text for all rules: a column for each of them takes longer to make than the matches.
+        texts = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+        return F.element_at(F.expr(f"array({texts})"), F.col("rule_no") + 1)
 
     return matches.select(
         constant([r.rule_id for r in rules]).alias("rule_id"),
