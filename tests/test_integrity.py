@@ -268,3 +268,17 @@ def test_appending_needs_a_sound_journal(spark):
         ("b", 3, "stored_chain_invalid"),
         ("n", 3, "sequence_mismatch: expected record 2"),
     ]
+
+
+def test_lines_are_redacted_once_for_both_results(spark):
+    lines = loose(spark, {"a": [event(i, "a") for i in range(3)], "b": [event(0, "b")]})
+    broken = spark.createDataFrame([("a", 4, '{"a":1,"a":2}'), ("c", 1, "{")], lines.schema)
+    appended, failed = I.append_events(lines.unionByName(broken))
+    both = appended.groupBy("journal_id").count().join(failed, "journal_id", "full")
+    rows = {(r["journal_id"], r["count"], r["record_number"], r["error"]) for r in both.collect()}
+    assert rows == {("a", 3, 4, "redaction_failed"), ("b", 1, None, None), ("c", None, 1, "redaction_failed")}
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython [redact(") == 1
+    assert lines_of(appended) == {("a", n + 1): line for n, line in enumerate(chain([event(i, "a") for i in range(3)]))} | {
+        ("b", 1): chain([event(0, "b")])[0]
+    }

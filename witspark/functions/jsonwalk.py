@@ -23,6 +23,12 @@ CAPTURE_MARKER = "witspark.capture.v1"
 def strict_loads(text: str):
     """Python value of a JSON text; duplicate keys and non-finite numbers are errors."""
 
+    return strict_reader()(text)
+
+
+def strict_reader():
+    """`strict_loads` for many texts: the decoder is made once. It cannot be sent to a task."""
+
     def unique(pairs):
         value = dict(pairs)
         if len(value) != len(pairs):
@@ -32,13 +38,17 @@ def strict_loads(text: str):
     def reject(token):
         raise ValueError(token)
 
-    return json.loads(text, object_pairs_hook=unique, parse_constant=reject)
+    return json.JSONDecoder(object_pairs_hook=unique, parse_constant=reject).decode
 
 
 def canonical_text(value) -> str:
-    return json.dumps(
-        value, ensure_ascii=False, separators=(",", ":"), sort_keys=True, allow_nan=False
-    )
+    return canonical_writer()(value)
+
+
+def canonical_writer():
+    """`canonical_text` for many values: the encoder is made once. It cannot be sent to a task."""
+
+    return json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True, allow_nan=False).encode
 
 
 def _kind(value) -> str:
