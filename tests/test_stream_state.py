@@ -203,3 +203,20 @@ def test_a_replay_has_few_batches_however_many_files(spark, tmp_path):
     ops.run_to_files(stream, str(tmp_path))
     assert len(list((tmp_path / "checkpoint" / "commits").glob("[0-9]*"))) <= BATCHES + 1
     assert spark.read.parquet(f"{tmp_path}/out").filter("NOT closing").count() == 400
+
+
+def test_a_bucket_holds_many_groups(spark, tmp_path, monkeypatch):
+    """Groups share frames, timers and waiting rows; repeats, quiet times and horizons stay their own."""
+
+    monkeypatch.setattr(ops, "BUCKETS", 2)
+    r = random.Random(5)
+    rows = [(f"e{n}", r.choice("abc"), r.randrange(900), f"g{n % 30}", r.choice("st")) for n in range(240)]
+    rows = [(i, t, at + k / 1000, g, s) for k, (i, t, at, g, s) in enumerate(rows)]
+    rows += [(i, t, at + 950, g, s) for i, t, at, g, s in rows[::4]]
+    batches = [rows[0::2], rows[1::2]]
+    found, _ = matches(spark, tmp_path / "kept", batches, RULES)
+    assert found == in_batch(spark, rows, RULES)
+    ended, query = matches(spark, tmp_path / "ended", [*batches, end(50_000)], RULES, "500 seconds")
+    assert {m[0] for m in ended} == set(range(len(RULES)))
+    # Of the state of 180 groups only that of the closing rows may be left.
+    assert keys_left(query) <= 30

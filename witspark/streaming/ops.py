@@ -311,91 +311,60 @@ _LAST = T.StructType([T.StructField("us", T.LongType())])
 _TEXT = T.StructType([T.StructField("text", T.StringType())])
 
 
-class _Sequence(_ByTime):
+class _Group:
     """Matches due rows of one rule and group, then drops repeats and quietens the rest.
 
     Ordered rules keep the partial match. It does not expire: a late completion uses
     up its events, just as in the batch form. Unordered rules keep the earliest
-    `stages` events of each stage in list state until every stage has one that no
-    stage before it took; as rows come in event order, a later one cannot change
-    that choice, so the match is final and the list goes.
-
-    Seen tuples of event ids and the last match per suppression key lie behind the
-    matcher; a suppression key goes when no further match can start within its time.
-    With a horizon a group without a row for that long starts anew, and all of its
-    state goes.
+    `stages` events of each stage until every stage has one that no stage before it
+    took; as rows come in event order, a later one cannot change that choice, so the
+    match is final and the list goes.
+
+    A suppression key goes when no further match can start within its time. Seen
+    tuples of event ids are not held here but asked of `seen`.
     """
 
-    row = _ROW
+    def __init__(self, partial=None, held=(), done=False, quiet=(), last=None, tuples=0):
+        self.partial, self.held, self.done = partial or ([], [], None), [tuple(r) for r in held], done
+        self.quiet, self.last, self.tuples = dict(quiet), last, tuples
 
-    def __init__(self, plans: list[Plan], slot_ms: int, horizon_us: int | None):
-        super().__init__(slot_ms)
-        self.plans, self.columns, self.horizon_us = plans, _MATCH_COLUMNS, horizon_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.partial = handle.getValueState("partial", _PARTIAL)
-        self.held = handle.getListState("held", _ROW)
-        self.done = handle.getValueState("done", T.StructType([T.StructField("done", T.BooleanType())]))
-        self.seen = handle.getMapState("seen", _TEXT, _LAST)
-        self.quiet = handle.getMapState("quiet", _TEXT, _LAST)
-        self.last = handle.getValueState("last", _LAST)
+    def packed(self):
+        """The state as a tuple for the store, None if a new group has the same."""
 
-    def handle_due(self, key, rows):
-        out, session = [], []
-        last = self.last.get()[0] if self.last.exists() else None
-        for row in rows:
-            if self.horizon_us is not None and last is not None and row[0] - last > self.horizon_us:
-                out += self._matches(key, session)
-                session = []
-                self._clear()
-            session.append(row)
-            last = row[0] if last is None else max(last, row[0])
-        out += self._matches(key, session)
-        if self.horizon_us is not None and last is not None:
-            self.last.update((last,))
-            self.wake(last + self.horizon_us)
-        return out
+        ids, times, suppression = self.partial
+        if not (ids or self.held or self.done or self.quiet or self.last is not None):
+            return None
+        quiet = (list(self.quiet), list(self.quiet.values()))
+        return (ids, times, suppression, self.held, self.done, *quiet, self.last, self.tuples)
 
-    def expire(self, us):
-        if self.horizon_us is not None and self.last.exists() and self.last.get()[0] + self.horizon_us < us:
-            self._clear()
-            self.last.clear()
-
-    def _clear(self):
-        for state in (self.partial, self.held, self.done, self.seen, self.quiet):
-            state.clear()
+    @classmethod
+    def unpacked(cls, state):
+        ids, times, suppression, held, done, names, at, last, tuples = state
+        partial = (list(ids), list(times), suppression)
+        return cls(partial, [(*r[:3], list(r[3]), r[4]) for r in held], done, zip(names, at), last, tuples)
 
-    def _matches(self, key, rows):
+    def matches(self, plan, rows, seen):
         if not rows:
             return []
-        plan = self.plans[key[0]]
         found = self._ordered(plan, rows) if plan.ordered else self._unordered(plan, rows)
-        kept = [(key[0], key[1], *match) for match in found if self._emits(plan, match)]
+        kept = [match for match in found if self._emits(plan, match, seen)]
         if plan.quiet_us is not None:
             # The next match starts at the open one's first event or later than all due rows.
-            open_times = list(self.partial.get()[1]) if self.partial.exists() else []
-            earliest = min([rows[-1][0], *open_times])
-            for entry, (at,) in [(k, v) for k, v in self.quiet.iterator()]:
-                if earliest - at > plan.quiet_us:
-                    self.quiet.removeKey(entry)
+            earliest = min([rows[-1][0], *self.partial[1]])
+            self.quiet = {k: at for k, at in self.quiet.items() if earliest - at <= plan.quiet_us}
         return kept
 
     def _ordered(self, plan, rows):
         fold = _Fold(plan.stages, plan.within_us)
-        if self.partial.exists():
-            ids, times, suppression = self.partial.get()
-            fold.start(list(ids), list(times), suppression)
+        fold.start(*self.partial)
         found = [fold.step(mask, us, event_id, key) for us, _sequence, event_id, mask, key in rows]
-        self.partial.update((fold.ids, fold.times, fold.suppression))
+        self.partial = (fold.ids, fold.times, fold.suppression if fold.ids else None)
         return [match for match in found if match is not None]
 
     def _unordered(self, plan, rows):
-        if self.done.exists():
+        if self.done:
             return []
-        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        places = [sum(_has(r[3], i) for r in held) for i in range(plan.stages)]
-        new = []
+        places = [sum(_has(r[3], i) for r in self.held) for i in range(plan.stages)]
         for row in rows:
             wanted = [i for i in range(plan.stages) if _has(row[3], i) and places[i] < plan.stages]
             if wanted:
@@ -403,42 +372,159 @@ class _Sequence(_ByTime):
                 for i in wanted:
                     places[i] += 1
                     mask[i // WORD] |= 1 << i % WORD
-                new.append((*row[:3], mask, row[4]))
+                self.held.append((*row[:3], mask, row[4]))
         taken: list[tuple] = []
         for i in range(plan.stages):
-            free = (r for r in held + new if _has(r[3], i) and all(r[2] != t[2] for t in taken))
+            free = (r for r in self.held if _has(r[3], i) and all(r[2] != t[2] for t in taken))
             first = next(free, None)
             if first is None:
-                if new:
-                    self.held.appendList(new)
                 return []
             taken.append(first)
-        self.held.clear()
-        self.done.update((True,))
+        self.held, self.done = [], True
         times = [t[0] for t in taken]
         if plan.within_us is not None and plan.stages > 1 and max(times) - min(times) > plan.within_us:
             return []
         return [([t[2] for t in taken], min(times), max(times), taken[0][4])]
 
-    def _emits(self, plan, match):
+    def _emits(self, plan, match, seen):
         ids, first_us, _last_us, suppression = match
-        if plan.deduplicate and plan.ordered:
-            name = (hashlib.sha256(json.dumps(list(ids)).encode()).hexdigest(),)
-            if self.seen.containsKey(name):
-                return False
-            self.seen.updateValue(name, (first_us,))
+        if plan.deduplicate and plan.ordered and not seen(ids):
+            return False
         if plan.quiet_us is not None:
-            name = (suppression or "",)
-            if self.quiet.containsKey(name) and first_us - self.quiet.getValue(name)[0] <= plan.quiet_us:
+            name = suppression or ""
+            if name in self.quiet and first_us - self.quiet[name] <= plan.quiet_us:
                 return False
-            self.quiet.updateValue(name, (first_us,))
+            self.quiet[name] = first_us
         return True
 
 
+_NAME = T.StructType([T.StructField("rule_no", T.IntegerType()), T.StructField("group_key", T.StringType())])
+_NUMBER = T.StructType([T.StructField("number", T.LongType())])
+_SEEN = T.StructType([*_NAME.fields, *_TEXT.fields])
+_PLACE = T.StructType([*_NAME.fields, *_NUMBER.fields])
+_IN_SLOT = T.StructType([T.StructField("slot", T.LongType()), *_NUMBER.fields])
+_STATE = T.StructType(
+    [
+        *_PARTIAL.fields,
+        T.StructField("held", T.ArrayType(_ROW)),
+        T.StructField("done", T.BooleanType()),
+        T.StructField("quiet", T.ArrayType(T.StringType())),
+        T.StructField("quiet_us", T.ArrayType(T.LongType())),
+        T.StructField("last", T.LongType()),
+        T.StructField("tuples", T.LongType()),
+    ]
+)
+
+
+class _Sequence(_ByTime):
+    """Matches the due rows of a bucket of groups, each group by itself (see `_Group`).
+
+    A call of the state store or a frame costs more than the rows of most groups, so
+    rows wait by bucket, and a group costs one read and one write for each slot in which
+    it has rows. With a horizon a group without a row for that long starts anew, and all
+    of its state goes: its tuples are numbered for that, and the groups that may end in
+    a slot are listed by it.
+    """
+
+    row = T.StructType([*_ROW.fields, *_NAME.fields])
+
+    def __init__(self, plans: list[Plan], slot_ms: int, horizon_us: int | None):
+        super().__init__(slot_ms)
+        self.plans, self.columns, self.horizon_us = plans, _MATCH_COLUMNS, horizon_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.groups = handle.getMapState("groups", _NAME, _STATE)
+        self.seen = handle.getMapState("seen", _SEEN, _LAST)
+        self.tuples = handle.getMapState("tuples", _PLACE, _TEXT)
+        self.ending = handle.getMapState("ending", _NUMBER, _NUMBER)
+        self.ends = handle.getMapState("ends", _IN_SLOT, _NAME)
+
+    def order(self, row):
+        return row[5:], row[:3]
+
+    def handle_due(self, key, rows):
+        by_group: dict[tuple, list] = {}
+        for row in rows:
+            by_group.setdefault(row[5:], []).append(row[:5])
+        out = []
+        for name, own in by_group.items():
+            out += [(*name, *match) for match in self._group_due(name, own)]
+        return out
+
+    def _group_due(self, name, rows):
+        plan, stored = self.plans[name[0]], self.groups.getValue(name)
+        group = _Group() if stored is None else _Group.unpacked(stored)
+        before = group.last
+        out, session = [], []
+
+        def seen(ids):
+            digest = hashlib.sha256(json.dumps(list(ids)).encode()).hexdigest()
+            if self.seen.containsKey((*name, digest)):
+                return False
+            self.seen.updateValue((*name, digest), (0,))
+            if self.horizon_us is not None:
+                self.tuples.updateValue((*name, group.tuples), (digest,))
+                group.tuples += 1
+            return True
+
+        for row in rows:
+            if self.horizon_us is not None and group.last is not None and row[0] - group.last > self.horizon_us:
+                out += group.matches(plan, session, seen)
+                session = []
+                self._forget(name, group)
+                group = _Group()
+            session.append(row)
+            if self.horizon_us is not None:
+                group.last = row[0] if group.last is None else max(group.last, row[0])
+        out += group.matches(plan, session, seen)
+        state = group.packed()
+        if state is not None:
+            self.groups.updateValue(name, state)
+        elif stored is not None:
+            self.groups.removeKey(name)
+        if group.last is not None and (before is None or self._end(group.last) != self._end(before)):
+            slot = self._end(group.last)
+            number = self.ending.getValue((slot,))[0] if self.ending.containsKey((slot,)) else 0
+            self.ends.updateValue((slot, number), name)
+            self.ending.updateValue((slot,), (number + 1,))
+            self.wake(group.last + self.horizon_us)
+        return out
+
+    def _end(self, last: int) -> int:
+        """The slot in which a group ends that has its last row so far at `last`."""
+
+        return (last + self.horizon_us) // 1000 // self.slot_ms
+
+    def expire(self, us):
+        slot = us // 1000 // self.slot_ms - 1
+        if self.horizon_us is None or not self.ending.containsKey((slot,)):
+            return
+        for number in range(self.ending.getValue((slot,))[0]):
+            name = tuple(self.ends.getValue((slot, number)))
+            self.ends.removeKey((slot, number))
+            stored = self.groups.getValue(name)
+            # A group with a later row is listed by the slot of that one.
+            if stored is not None and self._end(stored[-2]) <= slot:
+                self.groups.removeKey(name)
+                self._forget(name, _Group.unpacked(stored))
+        self.ending.removeKey((slot,))
+
+    def _forget(self, name, group):
+        """The seen tuples of a group go."""
+
+        for number in range(group.tuples):
+            self.seen.removeKey((*name, self.tuples.getValue((*name, number))[0]))
+            self.tuples.removeKey((*name, number))
+
+
 def _has(mask, stage: int) -> bool:
     return bool(mask[stage // WORD] >> stage % WORD & 1)
 
 
+#: Keys of the streaming matcher: many for its tasks, few for the calls that each of them costs.
+BUCKETS = 1024
+
 _MATCH_COLUMNS = ["rule_no", "group_key", "event_ids", "first_us", "last_us", "suppression"]
 
 
@@ -450,12 +536,14 @@ def stream_sequences(
     Rows later than the watermark are dropped; everything else gives the matches of
     the batch form, without repeats and suppressed as the rules say, each emitted
     once the watermark has passed it. With a `horizon` a group's state ends after a
-    pause of that length; without one it stays.
+    pause of that length; without one it stays. Groups are dealt over BUCKETS keys, which
+    a checkpoint must keep; the due rows of one slot of a bucket are in memory at once.
     """
 
     hits = candidates(events, rules, resolver)
     timed = hits.withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
-    return timed.groupBy("rule_no", "group_key").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("rule_no", "group_key"), F.lit(BUCKETS))
+    return timed.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Sequence(
             [Plan.of(r) for r in rules], _slot(delay), None if horizon is None else _micros(horizon)
         ),
