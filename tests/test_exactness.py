@@ -266,3 +266,29 @@ def test_random_groups_at_both_settings(spark, hot):
     rule = Rule("r", "r", (Stage("a"), Stage("b"), Stage("c")))
     found = detect.evaluate_rules(events(spark, rows), [rule], resolver=resolver())
     assert sorted((r["group_key"][0], r["event_ids"]) for r in found.collect()) == brute_ordered(rows, "abc")
+
+
+def test_case_files_are_written_and_listed_some_at_a_time(spark, tmp_path, monkeypatch):
+    """The driver never holds the paths of all files: 60 cases with two files each, 30 files at a time."""
+
+    from witspark.sources import journal
+
+    df = spark.range(180).select(
+        F.when(F.col("id") % 60 > 0, F.concat(F.lit("case/ "), F.col("id") % 60)).alias("run_id"),
+        F.timestamp_seconds("id").alias("occurred_at"),
+        F.col("id").alias("sequence"),
+        F.col("id").cast("string").alias("event_id"),
+        F.col("id").cast("string").alias("line"),
+    )
+    summary = df.groupBy("run_id").agg(F.lit("n").alias("field"), F.lit("v").alias("value"), F.count(F.lit(1)).alias("events"))
+
+    def shown(rows):
+        return sorted((r["case_id"], r["part"], r["size_bytes"], r["sha256"]) for r in rows)
+
+    whole = shown(journal.write_case_bundles(df, f"{tmp_path}/whole", summary).collect())
+    listed, scan = [], journal.scan_artifacts
+    monkeypatch.setattr(journal, "FILES_PER_ROUND", 30)
+    monkeypatch.setattr(journal, "scan_artifacts", lambda *a: listed.append(scan(*a).count()) or scan(*a))
+    found = journal.write_case_bundles(df, f"{tmp_path}/out", summary)
+    assert shown(found.collect()) == whole and len(whole) == 118  # a case without a name has no folder
+    assert len(listed) == 4 and max(listed) < 118 and sum(listed) == 118
